@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from yieldspark.llm.near_dedup import op7_near_dedup
 from yieldspark.llm.substring_dedup import op9_substring_dedup
 from yieldspark.llm.suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op7_near_dedup, op9_substring_dedup, op10_suffix_dedup)}
 
 #: DuckDB's own reading of the contracts.
 ORACLE_SQL: dict[str, str] = {

@@ -6,10 +6,11 @@ from yieldspark.llm.decontamination import op4_decontamination
 from yieldspark.llm.language_id import op2_language_id
 from yieldspark.llm.near_dedup import op7_near_dedup
 from yieldspark.llm.quality_rules import op8_quality_rules
+from yieldspark.llm.secret_scan import op1_secret_scan
 from yieldspark.llm.substring_dedup import op9_substring_dedup
 from yieldspark.llm.suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op7_near_dedup, op8_quality_rules, op9_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_decontamination, op7_near_dedup, op8_quality_rules, op9_substring_dedup, op10_suffix_dedup)}
 
 #: DuckDB's own reading of the contracts.
 ORACLE_SQL: dict[str, str] = {

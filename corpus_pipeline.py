@@ -1,13 +1,73 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, secret scans, mixing."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, secret scans, mixing.
+
+Each stage takes what its predecessor kept; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from yieldspark.llm._spark import staged, table
+from yieldspark.llm.decontamination import contamination
+from yieldspark.llm.language_id import fit, predict
+from yieldspark.llm.mixing import mixture
+from yieldspark.llm.near_dedup import near_duplicates
+from yieldspark.llm.secret_scan import redact, secrets
+
+#: Python on the main path of three stages, and a corpus model: SQL cannot express run().
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of no language (no letter, or no text)."""
+    model = fit(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null"))
+    return predict(docs, model, carry=True).where("lang_pred != 'und'").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: five words, similarity 0.8; rows without an id stay."""
+    kept = near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark window."""
+    return contamination(docs, table(spark, sf_dir, "benchmark"), carry=True).where("n_hit = 0").select("row.*")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each secret in the text by a mark, and counts n_chars anew."""
+    found = secrets(docs, carry=True)
+    text = F.when(F.size("spans") > 0, redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    clean = found.select("row.*", text.alias("clean_text__"), F.size("spans").alias("n_spans__"))
+    chars = F.when(F.col("n_spans__") > 0, F.length("clean_text__").cast("long")).otherwise(F.col("n_chars"))
+    own = {"text": F.col("clean_text__"), "n_chars": chars}
+    return clean.select(*(own[c].alias(c) if c in own else c for c in docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents so that token shares meet the targets; adds topic, n_tokens and weight (1 / probability)."""
+    out = mixture(docs).where("mix.selected")
+    own = [c for c in docs.columns if c not in ("topic", "n_tokens", "weight")]
+    return out.select(*(F.col("row")[c].alias(c) for c in own), F.col("mix.topic").alias("topic"), F.col("mix.n_tokens").alias("n_tokens"), (1 / F.col("mix.probability")).alias("weight"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scan", hide_secrets),
+    ("mixing", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts; sizes batches and shards, so that one holds a fixed amount at any scale."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+
+
+def row_of(docs: DataFrame) -> tuple[Column, str]:
+    """All columns as one struct `row`, and its type: carried through an operator, no name can clash."""
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    return row, docs.select(row).schema["row"].dataType.simpleString()

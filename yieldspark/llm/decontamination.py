@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.llm import _text as T
-from yieldspark.llm._spark import table
+from yieldspark.llm._spark import row_of, staged, table
 
 #: Bytes of item text that may be broadcast; a larger benchmark is scanned in several such parts.
 PART_BYTES = 32 << 20
@@ -26,7 +26,7 @@ PART_BYTES = 32 << 20
 DELIMITER = np.ones(256, bool)
 DELIMITER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 NORMAL = bytes(0x20 if DELIMITER[b] else int(T.LOWER[b]) for b in range(256))
-HITS = "row long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _built: dict[bytes, ahocorasick.Automaton] = {}
 
 
@@ -84,26 +84,28 @@ def _scan(text: bytes, automaton: ahocorasick.Automaton) -> tuple[int, int, list
     return len(words), int(mask.sum()), sorted(items), _offsets(text, mask)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, carry: bool = False) -> DataFrame:
     """Every word of a document inside an occurrence of a window of `window` consecutive item words.
 
     Returns doc_id, n_words, n_hit, items (ids as strings, sorted), spans (code points of the runs of hit
     words in the original text), a row for each input row. An item under `window` words is one window;
     items and texts without words match nothing; a null item id counts as the string "null". Equal items
-    all count. Other columns are ignored; an empty benchmark hits nothing; an empty table gives no rows.
+    all count. With carry, the input row comes along as a struct `row`. Other columns are ignored; an empty benchmark hits nothing; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row, kind = row_of(docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([row] if carry else []))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // PART_BYTES) or 1
     if parts > 1:
         return _in_parts(rows, items, parts, window)
-    return _scanned(rows, [(r.item, r.text) for r in items.collect()], window)
+    return _scanned(rows, [(r.item, r.text) for r in items.collect()], window, kind if carry else "")
 
 
-def _scanned(rows: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _scanned(rows: DataFrame, items: list[tuple[str, str]], window: int, carried: str = "") -> DataFrame:
     key = hashlib.sha256(repr((window, items)).encode()).digest()
     sent = rows.sparkSession.sparkContext.broadcast(items)
+    more = ["row"] if carried else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x for x, _ in sent.value]
@@ -112,24 +114,26 @@ def _scanned(rows: DataFrame, items: list[tuple[str, str]], window: int) -> Data
             out = [_scan(text, automaton) for text in T.binary(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
+                    *(batch.column(c) for c in more),
                     batch.column("doc_id"),
                     *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)),
                     pa.array([sorted({names[i] for i in x[2]}) for x in out], pa.list_(pa.string())),
                     pa.array([x[3] for x in out], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))),
                 ],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
+                [*more, "doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return rows.mapInArrow(run, HITS.replace("row long", "doc_id long"))
+    return rows.mapInArrow(run, f"row {carried}, " * bool(carried) + HITS)
 
 
 def _in_parts(rows: DataFrame, items: DataFrame, parts: int, window: int) -> DataFrame:
     """A benchmark over PART_BYTES: one scan for each part, hits united by row."""
-    tagged = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    more = [c for c in rows.columns if c == "row"]
+    tagged = staged(rows.select(F.monotonically_increasing_id().alias("place"), *rows.columns), "tagged")
     every = None
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        found = _scanned(tagged.select(F.col("row").alias("doc_id"), "text"), [(r.item, r.text) for r in part.collect()], window)
+        found = _scanned(tagged.select(F.col("place").alias("doc_id"), "text"), [(r.item, r.text) for r in part.collect()], window)
         every = found if every is None else every.unionByName(found)
     ends = F.array_sort(F.flatten(F.collect_list("spans")))
     merged = F.aggregate(
@@ -140,11 +144,11 @@ def _in_parts(rows: DataFrame, items: DataFrame, parts: int, window: int) -> Dat
             F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(out, F.array(s))),
     )
-    united = every.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
+    united = every.groupBy(F.col("doc_id").alias("place")).agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
     # words of the united spans
-    texts = tagged.join(united, "row")
+    texts = tagged.join(united, "place")
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.regexp_count(F.expr("text").substr(s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
-    return texts.select("doc_id", "n_words", words.alias("n_hit"), "items", "spans")
+    return texts.select(*more, "doc_id", "n_words", words.alias("n_hit"), "items", "spans")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldspark.llm import _text as T
-from yieldspark.llm._spark import table
+from yieldspark.llm._spark import row_of, table
 
 DIMS_BITS = 17
 DIMS = 1 << DIMS_BITS
@@ -96,17 +96,20 @@ def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float =
     return LanguageModel(languages, np.ascontiguousarray(weights, np.float32))
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1: margin of the best language over the next), a row for each input row.
 
     `und` with score 0 for null texts, texts without a letter, and where no model could be learned.
-    Repeated rows give repeated rows; other columns are ignored; an empty table gives none.
+    With carry, the input row comes along as a struct `row`. Repeated rows give repeated rows; other columns
+    are ignored; an empty table gives none.
     """
+    row, kind = row_of(docs)
     text = F.col(text_col).cast("string")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(lettered, text).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(lettered, text).alias("text"), *([row] if carry else []))
+    more = ["row"] if carry else []
     if model is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(*more, "doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +128,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
             absent = np.diff(T.buffers(T.binary(batch.column("text")))[1]) == 0
             lang = np.where(absent, "und", np.array(names, object)[best])
             sure = np.where(absent, 0.0, np.clip(top - rest, 0.0, 1.0).astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], [*more, "doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, f"row {kind}, " * carry + "doc_id long, lang_pred string, score double")
 
 
 def fold(id_col: str, folds: int) -> Column:

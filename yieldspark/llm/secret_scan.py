@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.llm._spark import table
+from yieldspark.llm._spark import row_of, table
 
 #: kind -> pattern, group whose length counts, least length.
 PATTERNS: dict[str, tuple[str, int, int]] = {
@@ -107,21 +107,21 @@ def _secret_class(token: Column, measured: bool = True) -> Column:
     return F.when(kind.isNotNull() & ~allowed, F.when(window_entropy(token) >= least, kind))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id and `spans`: start, end (code points, end exclusive) and kind of every secret, in order.
 
     Kinds: assign, access, hex (patterns) and entropy_<class>. Spans of different kinds may overlap. Null
-    and empty texts have none; repeated rows give repeated rows; other columns are ignored; an empty table
+    and empty texts have none. With carry, the input row comes along as a struct `row`. Repeated rows give repeated rows; other columns are ignored; an empty table
     gives none. The order is by start, then kind as listed here, then end.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([row_of(docs)[0]] if carry else []))
     none = F.array().cast(SPAN)
     kinds = [F.when(F.col("text").rlike(NEEDED[k]), _spans(F.col("text"), p, k, group, least)).otherwise(none) for k, (p, group, least) in PATTERNS.items()]
     entropy = F.when(F.col("text").rlike(CANDIDATE), _entropy_spans(F.col("text"))).otherwise(none)
     order = [*PATTERNS, *(f"entropy_{c}" for c in CLASSES)]
     keyed = F.transform(F.concat(*kinds, entropy), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(order), s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.select("doc_id", F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
+    return rows.select(*(["row"] if carry else []), "doc_id", F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from yieldspark.plans import control, evaluation, experiments, exploration, relational, series
+
+_PLANS = (relational, control, evaluation, experiments, series, exploration)
+QUERIES = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
+ORACLE_SQL = {k: s for p in _PLANS for k, s in p.ORACLE_SQL.items()}

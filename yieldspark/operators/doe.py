@@ -110,7 +110,9 @@ def _terms(factors: list[str]) -> list[tuple[str, Column]]:
 
 
 def ols_effects(cells: DataFrame, factors: list[str], response: str = "mean") -> DataFrame:
-    """term, estimate, std_error, t_value, p_value of the coded factors and their pairwise products."""
+    """term, estimate, std_error, t_value, p_value of the coded factors and their pairwise products.
+
+    A saturated model (as many cells as terms) has estimates only."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
@@ -120,7 +122,8 @@ def ols_effects(cells: DataFrame, factors: list[str], response: str = "mean") ->
     model = LinearRegression(solver="normal").fit(x)
     s = model.summary
     estimates = [*model.coefficients, model.intercept]
-    rows = list(zip([t for t, _ in terms] + ["intercept"], map(float, estimates), map(float, s.coefficientStandardErrors), map(float, s.tValues), map(float, s.pValues), strict=True))
+    tests = (s.coefficientStandardErrors, s.tValues, s.pValues) if s.degreesOfFreedom > 0 else [[None] * len(estimates)] * 3
+    rows = [(t, float(e), *(None if v is None else float(v) for v in x)) for t, e, *x in zip([t for t, _ in terms] + ["intercept"], estimates, *tests, strict=True)]
     return cells.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, t_value double, p_value double")
 
 

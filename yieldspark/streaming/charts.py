@@ -12,14 +12,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from yieldspark.functions.stats import binomial_limits
 
 
+def _timed(stream: DataFrame, ts: str) -> DataFrame:
+    """Event time as a timestamp of the session's zone, as watermarks need it."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def fresh_rows(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Each key once within the watermark: a lot delivered twice is not scored twice."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def stream_p_chart(stream: DataFrame, ts: str, flag: Column, p0: float, width: str = "1 day", late: str = "1 hour", k: float = 3.0) -> DataFrame:
     """start, n, rate, lcl, ucl, alarm of tumbling event-time windows under a frozen p0."""
-    out = stream.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count(F.lit(1)).alias("n"), F.avg(flag.cast("double")).alias("rate"))
+    out = _timed(stream, ts).withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count(F.lit(1)).alias("n"), F.avg(flag.cast("double")).alias("rate"))
     low, high = binomial_limits(F.lit(p0), F.col("n"), k)
     return out.select(F.col("window.start").alias("start"), "n", "rate", low.alias("lcl"), high.alias("ucl"), (F.col("rate") > high).alias("alarm"))
 

@@ -23,6 +23,8 @@ from yieldspark.llm._spark import row_of, table
 DIMS_BITS = 17
 DIMS = 1 << DIMS_BITS
 ORDERS = (1, 2, 3, 4)
+#: Bytes of the presence bitmaps that are unpacked at once.
+BLOCK = 512
 PAIR = pa.schema({"lang": pa.string(), "grams": pa.binary()})
 
 
@@ -82,17 +84,23 @@ def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float =
     known = docs.where(F.col("lang").isin(*languages)) if len(languages) == rows else docs
     sample = _sampled(known, len(languages), rows).select("doc_id", "lang", "text").mapInArrow(grams, "lang string, grams binary")
     got = sorted((r["lang"], bytes(r["grams"])) for r in sample.limit(rows).collect())
-    x = np.unpackbits(np.frombuffer(b"".join(g for _, g in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
-    y = (np.array([g for g, _ in got])[:, None] == np.array(languages)).astype(float)
+    bits = np.frombuffer(b"".join(g for _, g in got), np.uint8).reshape(len(got), -1)
     spread = np.random.default_rng(7).permutation(len(got))[: min(landmarks, len(got))]
-    marks = x[spread]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+    kernel, size = np.zeros((len(got), len(spread))), np.zeros(len(got))
+    for low in range(0, bits.shape[1], BLOCK):
+        part = np.unpackbits(bits[:, low : low + BLOCK], axis=1).astype(np.float32)
+        kernel += part @ part[spread].T
+        size += part.sum(1)
+    norm = np.sqrt(np.maximum(size, 1))
+    kernel /= norm[:, None] * norm[spread]
+    y = (np.array([g for g, _ in got])[:, None] == np.array(languages)).astype(float)
+    values, vectors = np.linalg.eigh(kernel[spread])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ marks.T) @ root
+    z = kernel @ root
     solved = np.linalg.solve(z.T @ z + ridge * len(got) * np.eye(z.shape[1]), z.T @ y)
-    weights = marks.T @ (root @ solved)
+    dual = (root @ solved) / norm[spread][:, None]
+    weights = np.concatenate([np.unpackbits(bits[spread, low : low + BLOCK], axis=1).T.astype(np.float32) @ dual for low in range(0, bits.shape[1], BLOCK)])
     return LanguageModel(languages, np.ascontiguousarray(weights, np.float32))
 
 

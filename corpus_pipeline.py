@@ -42,8 +42,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret in the text by a mark, and counts n_chars anew."""
     found = secrets(docs, carry=True)
-    text = F.when(F.size("spans") > 0, redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
-    clean = found.select("row.*", text.alias("clean_text__"), F.size("spans").alias("n_spans__"))
+    whole, spans = found["row"]["text"], found["spans"]
+    text = F.when(F.size(spans) > 0, redact(whole, spans)).otherwise(whole)
+    clean = found.select("row.*", text.alias("clean_text__"), F.size(spans).alias("n_spans__"))
     chars = F.when(F.col("n_spans__") > 0, F.length("clean_text__").cast("long")).otherwise(F.col("n_chars"))
     own = {"text": F.col("clean_text__"), "n_chars": chars}
     return clean.select(*(own[c].alias(c) if c in own else c for c in docs.columns))
@@ -53,7 +54,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that token shares meet the targets; adds topic, n_tokens and weight (1 / probability)."""
     out = mixture(docs).where("mix.selected")
     own = [c for c in docs.columns if c not in ("topic", "n_tokens", "weight")]
-    return out.select(*(F.col("row")[c].alias(c) for c in own), F.col("mix.topic").alias("topic"), F.col("mix.n_tokens").alias("n_tokens"), (1 / F.col("mix.probability")).alias("weight"))
+    row, mixed = out["row"], out["mix"]
+    return out.select(*(row[c].alias(c) for c in own), mixed["topic"].alias("topic"), mixed["n_tokens"].alias("n_tokens"), (1 / mixed["probability"]).alias("weight"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

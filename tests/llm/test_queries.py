@@ -1,0 +1,58 @@
+"""The registered queries at sf0.001: SQL where there is some, and the pipeline against its stages by hand."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm import brute
+from tests.oracle import same
+from yieldspark.llm import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_oracle(spark, name):
+    same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+def test_runs(spark, name):
+    assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "near_dedup", "decontamination", "secret_scan", "mixing"]
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    one = stages["language_id"](spark, docs, SF)
+    assert one.columns == docs.columns and ids(one) == {i for i, t in text.items() if any(c.isalpha() for c in t)}
+    two = stages["near_dedup"](spark, one, SF)
+    groups = brute.components(sorted((i, text[i]) for i in ids(one)), 5, 80)
+    assert two.columns == docs.columns and ids(two) == {i for i, (_, c) in groups.items() if i == c}
+    three = stages["decontamination"](spark, two, SF)
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hits = brute.benchmark_hits([(i, text[i]) for i in ids(two)], bench)
+    assert three.columns == docs.columns and ids(three) == {i for i, h in hits.items() if not h[-1]}
+    four = stages["secret_scan"](spark, three, SF)
+    assert four.columns == docs.columns and ids(four) == ids(three)
+    assert not [r for r in four.collect() if brute.secrets(r["text"]) or r["n_chars"] != len(r["text"])]
+    five = stages["mixing"](spark, four, SF)
+    assert ids(five) < ids(four) and five.where("weight < 1").isEmpty()
+    assert sorted(ids(corpus_pipeline.run(spark, SF))) == sorted(ids(five))
+
+
+def test_stages_take_edges(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "same text " * 20, "en", "a", 200), (2, "same text " * 20, "en", "a", 200), (None, "no id here", "en", None, 10), (4, "token = abcdefghijklmnop12", "en", "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit(1))
+    out = df
+    for name, stage in corpus_pipeline.STAGES:
+        nxt = stage(spark, out, SF)
+        if name != "mixing":
+            assert nxt.columns == df.columns
+        out = nxt
+        stage(spark, df.where("false"), SF).count()
+    assert out.count() <= 4

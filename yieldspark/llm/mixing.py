@@ -32,7 +32,7 @@ def topic(text: Column) -> Column:
 
 def _shares(of: dict[str, float], target: dict[str, float] | float) -> dict[str, float]:
     """Target shares of the values that have tokens; a value without a target keeps its own share."""
-    total = sum(of.values())
+    total = sum(of.values()) or 1.0
     if not isinstance(target, dict):
         raw = {k: (v / total) ** target for k, v in of.items()}
         return {k: v / sum(raw.values()) for k, v in raw.items()}
@@ -47,7 +47,8 @@ def _raked_here(cells: DataFrame, dims: tuple[str, ...], targets: dict, rounds:
     weight, places, goals = tokens.copy(), [], []
     for d in dims:
         names = sorted({r[d] for r in rows})
-        place = np.array([names.index(r[d]) for r in rows])
+        at = {n: k for k, n in enumerate(names)}
+        place = np.array([at[r[d]] for r in rows], int)
         share = _shares(dict(zip(names, np.bincount(place, tokens, len(names)).tolist(), strict=True)), targets[d])
         places.append(place)
         goals.append(np.array([share[n] for n in names]) * tokens.sum())

@@ -204,3 +204,12 @@ def test_statistics(spark):
     assert [r["p"] for r in z] == pytest.approx([0.0499958, 1.0, 6.334e-5], abs=2e-7)
     tea = spark.createDataFrame([(1, 3, 1, 1, 3)], "k int, a int, b int, c int, d int")
     assert eda.fisher_exact(tea, "k").first()["p"] == pytest.approx(0.485714, abs=1e-6)
+
+
+def test_running_sums_within_keys(spark):
+    from yieldspark.operators.ordering import running_sums
+
+    rng = np.random.default_rng(11)
+    x = pd.DataFrame({"k": rng.integers(0, 3, 200), "t": rng.permutation(200), "v": rng.integers(0, 9, 200)})
+    got = running_sums(spark.createDataFrame(x), [F.col("t")], {"s": F.col("v")}, ranges=6, keys=["k"]).toPandas().sort_values(["k", "t"])
+    assert (got["s"] == got.groupby("k")["v"].cumsum()).all()

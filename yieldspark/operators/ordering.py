@@ -21,14 +21,15 @@ def _dealt(df: DataFrame, order: list[Column], ranges: int | None) -> DataFrame:
     return stage(df.repartitionByRange(ranges, *order).withColumn("range__", F.spark_partition_id()), "ranges")
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """df with running totals (own row included) in the given order; equal order keys must not repeat."""
-    dealt = _dealt(df, order, ranges)
-    own = Window.partitionBy("range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = dealt.groupBy("range__").agg(*(F.sum(c).alias(f"{n}__") for n, c in sums.items()))
-    before = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    offsets = totals.select("range__", *(F.coalesce(F.sum(f"{n}__").over(before), F.lit(0)).alias(f"{n}__") for n in sums))
-    out = dealt.select("*", *(F.sum(c).over(own).alias(n) for n, c in sums.items())).join(F.broadcast(offsets), "range__")
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], ranges: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """df with running totals (own row included) in the given order, within keys if any; order keys must not repeat."""
+    keys = keys or []
+    dealt = _dealt(df, [*map(F.col, keys), *order], ranges)
+    own = Window.partitionBy("range__", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = dealt.groupBy("range__", *keys).agg(*(F.sum(c).alias(f"{n}__") for n, c in sums.items()))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and key
+    offsets = totals.select("range__", *keys, *(F.coalesce(F.sum(f"{n}__").over(before), F.lit(0)).alias(f"{n}__") for n in sums))
+    out = dealt.select("*", *(F.sum(c).over(own).alias(n) for n, c in sums.items())).join(offsets if keys else F.broadcast(offsets), ["range__", *keys])
     return out.select(*df.columns, *((F.coalesce(F.col(n), F.lit(0)) + F.col(f"{n}__")).alias(n) for n in sums))
 
 

@@ -69,7 +69,7 @@ def test_pack_round_trip():
     rng = np.random.default_rng(2)
     for n, top in ((0, 10), (1, 10), (5000, 2**50), (20, 2**63)):
         keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
-        assert (_repeats._unpack(_repeats._pack(keys)) == keys).all()
+        assert (_repeats.unpack_keys(_repeats.pack_keys(keys)) == keys).all()
 
 
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])

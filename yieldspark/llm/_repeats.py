@@ -78,7 +78,7 @@ def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts > 1
 
 
-def _pack(keys: np.ndarray) -> bytes:
+def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as the first and 6-byte differences, or whole where one is too large for that."""
     gaps = np.diff(keys)
     if not len(gaps) or gaps.max() >> np.uint64(48):
@@ -86,7 +86,7 @@ def _pack(keys: np.ndarray) -> bytes:
     return b"6" + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def unpack_keys(packed: bytes) -> np.ndarray:
     if packed[:1] == b"8":
         return np.frombuffer(packed, np.uint64, offset=1)
     gaps = np.zeros(((len(packed) - 9) // 6 + 1, 8), np.uint8)
@@ -95,19 +95,19 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
+def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's keys start among the sorted keys."""
     return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
 
 
 def _sent(batch: int, keys: np.ndarray, twice: np.ndarray, shards: int) -> pa.Table:
-    at = _bounds(keys, shards)
+    at = shard_bounds(keys, shards)
     full = np.flatnonzero(np.diff(at))
     return pa.table(
         {
             "shard": pa.array(full, pa.int32()),
             "batch": pa.array(np.full(len(full), batch), pa.int64()),
-            "keys": pa.array([_pack(keys[at[s] : at[s + 1]]) for s in full], pa.binary()),
+            "keys": pa.array([pack_keys(keys[at[s] : at[s + 1]]) for s in full], pa.binary()),
             "twice": pa.array([np.packbits(twice[at[s] : at[s + 1]]).tobytes() for s in full], pa.binary()),
         }
     )
@@ -115,7 +115,7 @@ def _sent(batch: int, keys: np.ndarray, twice: np.ndarray, shards: int) -> pa.Ta
 
 def _chosen(back: pa.Table, round_: int, keys: np.ndarray, shards: int) -> np.ndarray:
     """The batch's sorted keys that the shards called repeated."""
-    at, keep = _bounds(keys, shards), np.zeros(len(keys), bool)
+    at, keep = shard_bounds(keys, shards), np.zeros(len(keys), bool)
     for r, s, bits in zip(*(back[c].to_pylist() for c in ("round", "shard", "bits")), strict=True):
         if r == round_:
             keep[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[s + 1] - at[s])
@@ -135,7 +135,7 @@ def exact(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _merged(sent: DataFrame, round_: int, merge: Merge) -> DataFrame:
     def shard(rows: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in rows["keys"].to_pylist()]
+        parts = [unpack_keys(x) for x in rows["keys"].to_pylist()]
         sizes = [len(x) for x in parts]
         twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["twice"].to_pylist(), sizes, strict=True)]
         keep = merge(np.concatenate(parts), np.concatenate(twice) + 1)

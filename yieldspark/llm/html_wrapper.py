@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.llm._spark import table
+from yieldspark.llm._spark import staged, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 RAW = frozenset("script style noscript template iframe svg math textarea select object canvas head title".split())
@@ -38,6 +38,8 @@ MAIN = re.compile(r"^(article|story|entry|post|articlebody|storybody|postbody|ma
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A constant of this many pages at least is template text, where it stands outside the main region.
 TEMPLATE_PAGES = 5
+#: Wrappers of all hosts up to this size are broadcast; more are joined by host.
+BROADCAST_CHARS = 16 << 20
 WRAPPER = "host string, wrapper string"
 
 # A node is [tag, pages, repeated, characters, constant or None, children]; text is a node of tag "#",
@@ -337,7 +339,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out.append(main_text(Page(source), plans[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(infer_wrappers(pages, url_col, html_col), "host")
+    wrappers = staged(infer_wrappers(pages, url_col, html_col), "wrappers")
+    small = (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS
+    joined = rows.join(F.broadcast(wrappers) if small else wrappers, "host")
     return joined.select("page_id", "url", "host", "wrapper", "html").mapInArrow(run, "page_id long, url string, text string")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.llm import _text as T
-from yieldspark.llm._repeats import _bounds, _pack, _unpack
+from yieldspark.llm._repeats import shard_bounds, pack_keys, unpack_keys
 from yieldspark.llm._spark import staged, table, text_bytes
 from yieldspark.llm.language_id import fold
 
@@ -145,13 +145,13 @@ def _send(texts: pa.Table, shards: int) -> pa.Table:
     learned = np.repeat(texts["learn"].to_numpy(), np.diff(first))
     keys, of = np.unique(hashes, return_inverse=True)
     counts = np.bincount(of, learned, len(keys)).astype(np.uint32)
-    at = _bounds(keys, shards)
+    at = shard_bounds(keys, shards)
     full = np.flatnonzero(np.diff(at))
     return pa.table(
         {
             "shard": pa.array(full, pa.int32()),
             "batch": pa.array(np.full(len(full), texts["batch"][0].as_py()), pa.int64()),
-            "keys": pa.array([_pack(keys[at[s] : at[s + 1]]) for s in full], pa.binary()),
+            "keys": pa.array([pack_keys(keys[at[s] : at[s + 1]]) for s in full], pa.binary()),
             "counts": pa.array([counts[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()),
         }
     )
@@ -159,7 +159,7 @@ def _send(texts: pa.Table, shards: int) -> pa.Table:
 
 def _add_up(sent: pa.Table) -> pa.Table:
     """Total counts of a shard's words, for each batch in its own order; the shard's sums on its first row."""
-    parts = [_unpack(x) for x in sent["keys"].to_pylist()]
+    parts = [unpack_keys(x) for x in sent["keys"].to_pylist()]
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in sent["counts"].to_pylist()])
     keys, of = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(of, counts, len(keys)).astype(np.int64)
@@ -195,7 +195,7 @@ def score_documents(docs: DataFrame, learn: str, id_col: str = "doc_id", text_co
     def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
         data, starts, ends_, hashes, first = _words(texts)
         keys, at, of = np.unique(hashes, return_index=True, return_inverse=True)
-        bounds, c = _bounds(keys, shards), np.zeros(len(keys), np.int64)
+        bounds, c = shard_bounds(keys, shards), np.zeros(len(keys), np.int64)
         for s, packed in zip(counts["shard"].to_pylist(), counts["counts"].to_pylist(), strict=True):
             c[bounds[s] : bounds[s + 1]] = np.frombuffer(packed, np.int64)
         spelled = np.exp(word_logs(data, starts[at], ends_[at], model.value))

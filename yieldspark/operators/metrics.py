@@ -81,3 +81,30 @@ def ranked(df: DataFrame, score: Column, ties: list[Column]) -> DataFrame:
     out = positions(df.withColumn("score__", score), [F.desc("score__"), *ties], "rank")
     n = F.lit(df.count())
     return out.withColumn("decile", F.floor(F.col("rank") * 10 / n).cast("long") + 1).withColumn("rank", F.col("rank") + 1).drop("score__")
+
+
+def evaluate(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
+    """One row: average precision, ROC-AUC, Brier and the confusion panel at a threshold tuned elsewhere."""
+    table = threshold_table(df, score, label)
+    parts = [average_precision(table), roc_auc(table), brier(df, score, label), confusion(df, score, label, threshold)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, n, mean, std, min, q25, q50, q75, max with exact linear quantiles, in one aggregate."""
+    wide = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), *(F.percentile(c, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in columns))
+    return wide.unpivot([], columns, "column_name", "s").select("column_name", "s.*")
+
+
+def out_of_fold_mean(oof: DataFrame, key: str, p: str = "p_oof") -> DataFrame:
+    """Mean prediction of each key over its repeats, and how many there were."""
+    return oof.groupBy(key).agg(F.avg(p).alias("p"), F.count(p).alias("n_repeats"))
+
+
+def rank_invariant(df: DataFrame, raw: str, calibrated: str, label: str, tolerance: float = 1e-9) -> bool:
+    """Whether calibration kept the order: equal ROC-AUC before and after."""
+    a, b = (roc_auc(threshold_table(df, c, label)).first()[0] for c in (raw, calibrated))
+    return a is None and b is None or abs(a - b) <= tolerance

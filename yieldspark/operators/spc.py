@@ -186,3 +186,13 @@ def stable_set(counts: DataFrame, sensor: str, count: str) -> DataFrame:
     most = counts.agg(F.max(count).alias("most__"))
     out = counts.crossJoin(F.broadcast(most))
     return out.select(sensor, F.when(F.col("most__") > 1.5, F.col(count) / F.col("most__")).otherwise(F.col(count).cast("double")).alias("stability"))
+
+
+def protocol_charts(rows: DataFrame, position: str, flags: list[str], phase1: Column, window: int = 50, k: float = 3.0) -> DataFrame:
+    """p-charts of several 0/1 columns on one grid: feature, w, x, n, rate, p0, lcl, ucl, alarm, in one pass each side."""
+    long = rows.select(position, phase1.alias("p1__"), *(F.col(f).cast("double").alias(f) for f in flags)).unpivot([position, "p1__"], flags, "feature", "v")
+    p0 = long.where("p1__").groupBy("feature").agg(F.avg("v").alias("p0"))
+    cells = long.groupBy("feature", F.floor(F.col(position) / window).cast("long").alias("w")).agg((F.max(position) + 1).cast("long").alias("x"), F.count(F.lit(1)).alias("n"), F.avg("v").alias("rate"))
+    low, high = binomial_limits(F.col("p0"), F.col("n"), k)
+    out = cells.join(F.broadcast(p0), "feature").withColumns({"lcl": low, "ucl": high})
+    return out.withColumn("alarm", F.col("rate") > F.col("ucl"))

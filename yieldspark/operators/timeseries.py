@@ -229,3 +229,69 @@ def rolling_arima(y: np.ndarray, model: tuple[int, int, int], min_train: int = M
     """Mean absolute error of an ARIMA refitted at each origin."""
     errors = [np.abs(y[t : t + horizon] - fit_arima(y[:t], model, ahead=horizon)["forecast"]) for t in range(min_train, len(y) - horizon + 1, step)]
     return float(np.mean(list(itertools.chain.from_iterable(errors)))) if errors else float("nan")
+
+
+def partial_autocorrelation(acf: DataFrame, key: str) -> DataFrame:
+    """key, lag, pacf from autocorrelation()'s table, by Durbin-Levinson (a few lags a key)."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        r = part.sort_values("lag")["acf"].to_numpy(float)
+        phi, out = np.zeros(0), []
+        for k in range(len(r)):
+            scale = 1 - phi @ r[:k]
+            last = (r[k] - phi @ r[:k][::-1]) / scale if scale > 0 else np.nan
+            phi = np.append(phi - last * phi[::-1], last)
+            out.append(last)
+        return pd.DataFrame({key: part[key].iloc[0], "lag": np.arange(1, len(r) + 1), "pacf": out})
+
+    return acf.select(key, "lag", "acf").groupBy(key).applyInPandas(run, f"{key} {dict(acf.dtypes)[key]}, lag long, pacf double")
+
+
+# The seasonal candidates, as (AR lags, seasonal AR lags, period).
+SEASONAL = {"ar1": (1, 0, 1), "sar7": (1, 1, 7), "sar14": (1, 1, 14)}
+
+
+def seasonal_candidates(series: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, model, llf, aicc, place by AICc: a constant with AR(1), and seasonal AR of a week and two weeks."""
+    kind = dict(series.dtypes)[key]
+    names = F.explode(F.array(*map(F.lit, SEASONAL)))
+    jobs = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s")).select(key, F.transform("s", lambda x: x[value]).alias("y"), names.alias("model")).repartition(len(SEASONAL) * 2, key, "model")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fits = [fit_arima(np.array(y, float), (SEASONAL[m][0], 0, 0), (SEASONAL[m][1], SEASONAL[m][2])) for y, m in zip(b["y"], b["model"], strict=True)]
+            yield b[[key, "model"]].assign(llf=[f["llf"] for f in fits], aicc=[f["aicc"] for f in fits])
+
+    out = jobs.mapInPandas(run, f"{key} {kind}, model string, llf double, aicc double")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("aicc", "model")).cast("long"))
+
+
+def exogenous_tests(series: DataFrame, key: str, order: str, value: str, exog: list[str], model: tuple[int, int, int] = (1, 0, 0), gain: float = 2.0) -> DataFrame:
+    """key, exog, coefficient, aicc, base_aicc, accepted: a regressor must beat the bare model's AICc by over `gain`."""
+    kind = dict(series.dtypes)[key]
+    long = series.select(key, order, value, *exog).unpivot([key, order, value], exog, "exog", "x")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        y = part[value].to_numpy(float)
+        base, full = fit_arima(y, model), fit_arima(y, model, exog=part[["x"]].to_numpy(float))
+        return pd.DataFrame({key: part[key].iloc[:1], "exog": part["exog"].iloc[:1], "coefficient": full["beta"][-1], "aicc": full["aicc"], "base_aicc": base["aicc"], "accepted": bool(base["aicc"] - full["aicc"] > gain)})
+
+    return long.groupBy(key, "exog").applyInPandas(run, f"{key} {kind}, exog string, coefficient double, aicc double, base_aicc double, accepted boolean")
+
+
+def rolling_arima_errors(series: DataFrame, key: str, order: str, value: str, model: tuple[int, int, int] = (0, 1, 1)) -> DataFrame:
+    """key, mae, mase of an ARIMA refitted at each rolling origin: comparable with rolling_origin()."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        y = part.sort_values(order)[value].to_numpy(float)
+        mae, scale = rolling_arima(y, model), float(np.mean(np.abs(np.diff(y)))) if len(y) > 1 else 0.0
+        return pd.DataFrame({key: part[key].iloc[:1], "mae": mae, "mase": mae / scale if scale > 0 else None})
+
+    return series.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {dict(series.dtypes)[key]}, mae double, mase double")
+
+
+def channel_drift(forecast: DataFrame, key: str, least: int = 1) -> DataFrame:
+    """key, n_breach, coverage, verdict: DRIFT from `least` breaches of the one-shot interval on, else STABLE."""
+    out = breach_summary(forecast, [key])
+    return out.withColumn("verdict", F.when(F.col("n_breach") >= least, "DRIFT").otherwise("STABLE"))

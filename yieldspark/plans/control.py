@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from yieldspark.operators import monitoring, spc
 from yieldspark.plans.tables import EVENTS_SQL, masked_events, placed_events, rounded, table
+from yieldspark.sources import artifacts
 
 ORDER = ["ts", "event_id"]
 
@@ -62,6 +63,21 @@ def pchart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spc.p_chart(rows, "pos", F.col("event_type") == "error", F.col("pos") < n * 4 // 5))
 
 
+def protocol_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = placed_events(spark, sf_dir)
+    rows = rows.withColumns({"f_null": F.col("x").isNull().cast("int"), "f_high": F.coalesce(F.col("x") > 100, F.lit(False)).cast("int")})
+    return rounded(spc.protocol_charts(rows, "pos", ["f_null", "f_high"], F.col("pos") < n * 4 // 5))
+
+
+def drift_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.drift_table(spc_screening(spark, sf_dir), -1.0).select("event_type", "delta")
+
+
+def queue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score_raw"))
+    return rounded(artifacts.queue_view(o, "o_orderkey", 20))
+
+
 def showcase_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").groupBy("user_id").agg((F.avg("value") / 1000).alias("delta"), (F.count(F.lit(1)) % 2 == 0).alias("stable"))
     return rounded(spc.showcase(users, "user_id"))
@@ -135,7 +151,7 @@ def retrain_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.retrain_policy(ledger, "run_id", consecutive=2, threshold=0.05).select("action", "metric", "n_records", F.array_join("evidence", ",").alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (moving_range, spc_limits_robust, spc_limits_classic, ewma, we_rules, imr_series, spc_screening, windowed_rate, pchart, showcase_pick, stable_set, score_rank_decile, inspection_queue, scorecard_panel, scorecard_delta, reconcile_keyed, reconcile_sorted, output_health, feature_drift, monitor_verdict, retrain_policy)}
+QUERIES = {f.__name__: f for f in (moving_range, spc_limits_robust, spc_limits_classic, ewma, we_rules, imr_series, spc_screening, windowed_rate, pchart, protocol_charts, drift_table, queue_view, showcase_pick, stable_set, score_rank_decile, inspection_queue, scorecard_panel, scorecard_delta, reconcile_keyed, reconcile_sorted, output_health, feature_drift, monitor_verdict, retrain_policy)}
 
 
 def _limits_sql(source: str, method: str = "robust") -> str:
@@ -218,3 +234,10 @@ ORACLE_SQL = {
     "retrain_policy": f"""WITH {EVENTS_SQL}, {_WEEK}, l AS (SELECT 'run' || lpad(week::VARCHAR, 3, '0') AS id, avg(x) / 1000 AS v FROM wk GROUP BY 1), k AS (SELECT * FROM l WHERE v IS NOT NULL ORDER BY id DESC LIMIT 2)
         SELECT CASE WHEN count(*) >= 2 AND min(v) >= 0.05 THEN 'RETRAIN_RECOMMENDED' ELSE 'IN_CONTROL' END AS action, 'max_delta' AS metric, count(*) AS n_records, string_agg(id, ',' ORDER BY id DESC) AS evidence FROM k""",
 }
+ORACLE_SQL |= {
+    "protocol_charts": f"""WITH {EVENTS_SQL}, f AS (SELECT pos, 'f_null' AS feature, (x IS NULL)::INT AS v FROM e UNION ALL SELECT pos, 'f_high', coalesce(x > 100, false)::INT FROM e), p AS (SELECT feature, avg(v) AS p0 FROM f, n WHERE pos < n * 4 // 5 GROUP BY 1),
+        g AS (SELECT feature, pos // 50 AS w, max(pos) + 1 AS x, count(*) AS n, avg(v) AS rate FROM f GROUP BY ALL)
+        SELECT feature, w, x, n, round(rate, 6) AS rate, round(p0, 6) AS p0, round(greatest(p0 - 3 * sqrt(p0 * (1 - p0) / n), 0), 6) + 0.0 AS lcl, round(p0 + 3 * sqrt(p0 * (1 - p0) / n), 6) AS ucl, rate > p0 + 3 * sqrt(p0 * (1 - p0) / n) AS alarm FROM g JOIN p USING (feature)""",
+    "drift_table": "SELECT event_type, delta FROM (" + ORACLE_SQL["spc_screening"] + ") WHERE delta IS NOT NULL AND delta >= -1",
+    "queue_view": "SELECT o_orderkey, round(o_totalprice, 6) AS score_raw, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, true AS in_top_k FROM orders QUALIFY rank <= 20",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.operators import metrics, models
+from yieldspark.operators import doe, metrics, models
 from yieldspark.plans.tables import CURVE_SQL, SCORED_SQL, lines, masked_events, r, rounded, scored_documents, table
 
 TARGETS = [0.5, 0.6, 0.7]
@@ -55,6 +55,26 @@ def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.reliability_bins(scored_documents(spark, sf_dir), "p", "y"))
 
 
+def evaluate_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.evaluate(scored_documents(spark, sf_dir), "p", "y", 0.5).select("average_precision", "roc_auc", "brier", "tp", "fp", "fn", "tn"))
+
+
+def describe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.describe(table(spark, sf_dir, "orders"), ["o_totalprice"]), 4)
+
+
+def oof_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = models.stratified_folds(table(spark, sf_dir, "labels"), "doc_id", "toxic", 5, 3)
+    oof = folds.join(scored_documents(spark, sf_dir), "doc_id").withColumn("p_oof", F.col("p") + F.col("fold") / 10)
+    return rounded(metrics.out_of_fold_mean(oof, "doc_id"))
+
+
+def noisy_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = scored_documents(spark, sf_dir)
+    out = p.select("p", doe.with_noise(F.col("p"), "bernoulli", seed=3).alias("b"), doe.with_noise(F.col("p"), "logit-gaussian", 0.1, 3).alias("g"))
+    return out.agg(F.count("b").alias("n"), F.max(F.col("b").isin(0.0, 1.0).cast("int")).cast("long").alias("binary"), F.count_if((F.col("g") > 0) & (F.col("g") < 1)).alias("inside"))
+
+
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.stratified_folds(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("long").alias("toxic")), "doc_id", "toxic", 5, 3))
 
@@ -100,7 +120,7 @@ def drop_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy((F.col("l_orderkey") % 10).alias("k")).agg(F.count_if(F.col("l_quantity").isNull()).alias("n_null"), F.count_if(F.col("l_quantity").isNull() != F.col("l_tax").isNull()).alias("n_uneven"))
 
 
-QUERIES = {f.__name__: f for f in (pr_curve, average_precision, roc_auc, brier, confusion, mcc_threshold, f1_threshold, operating_points, recall_at_flagrate, reliability_bins, stratified_folds, fold_metrics, platt_calibration, isotonic_calibration, gbt_score, contribution_importance, jitter_stats, drop_out)}
+QUERIES = {f.__name__: f for f in (pr_curve, average_precision, roc_auc, brier, confusion, mcc_threshold, f1_threshold, operating_points, recall_at_flagrate, reliability_bins, evaluate_bundle, describe_columns, oof_mean, noisy_response, stratified_folds, fold_metrics, platt_calibration, isotonic_calibration, gbt_score, contribution_importance, jitter_stats, drop_out)}
 
 _FOLDS = "f AS (SELECT t.r AS repeat, doc_id, toxic::BIGINT AS toxic, ((row_number() OVER (PARTITION BY t.r, toxic ORDER BY md5(t.r::VARCHAR || '|1337|' || doc_id::VARCHAR), doc_id) - 1) % 5)::BIGINT AS fold FROM labels, range(1, 4) t(r))"
 ORACLE_SQL = {
@@ -119,4 +139,8 @@ ORACLE_SQL = {
         SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS mean_label FROM b GROUP BY 1""",
     "stratified_folds": f"WITH {_FOLDS} SELECT * FROM f",
     "fold_metrics": f"WITH {_FOLDS}, {SCORED_SQL}, c AS (SELECT repeat, fold, avg((p - y) ** 2) AS b FROM f JOIN s USING (doc_id) GROUP BY ALL) SELECT coalesce(repeat, 0)::BIGINT AS repeat, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS std, count(*) AS n FROM c GROUP BY GROUPING SETS ((repeat), ())",
+    "evaluate_bundle": f"WITH {CURVE_SQL}, a AS (SELECT sum(pos / np::DOUBLE * tp / (tp + fp)) AS ap, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / max(np::DOUBLE * nn) AS auc FROM c), b AS (SELECT avg((p - y) ** 2) AS b, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM s) SELECT round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc, round(b, 6) AS brier, tp, fp, fn, tn FROM a, b",
+    "describe_columns": "SELECT 'o_totalprice' AS column_name, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, round(min(o_totalprice), 4) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.75), 4) AS q75, round(max(o_totalprice), 4) AS max FROM orders",
+    "oof_mean": f"WITH {_FOLDS}, {SCORED_SQL} SELECT doc_id, round(avg(p + fold / 10.0::DOUBLE), 6) AS p, count(*) AS n_repeats FROM f JOIN s USING (doc_id) GROUP BY 1",
+    "noisy_response": f"WITH {SCORED_SQL} SELECT count(*) AS n, 1::BIGINT AS binary, count(*) AS inside FROM s",
 }

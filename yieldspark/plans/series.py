@@ -48,13 +48,34 @@ def forecast_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timeseries.breach_summary(timeseries.arima_forecast(_daily(spark, sf_dir), "event_type", "day", "y", 5), ["event_type"]))
 
 
+def partial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timeseries.partial_autocorrelation(timeseries.autocorrelation(_daily(spark, sf_dir), "event_type", "day", "y", 2), "event_type"))
+
+
+def seasonal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timeseries.seasonal_candidates(_daily(spark, sf_dir), "event_type", "day", "y"), 3)
+
+
+def exogenous_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = _daily(spark, sf_dir).withColumns({"weekday": F.dayofweek("day").cast("double"), "half": (F.dayofmonth("day") > 15).cast("double")})
+    return rounded(timeseries.exogenous_tests(daily, "event_type", "day", "y", ["weekday", "half"]).select("event_type", "exog", "coefficient", "accepted"), 1)
+
+
+def rolling_arima_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timeseries.rolling_arima_errors(_daily(spark, sf_dir), "event_type", "day", "y"), 3)
+
+
+def channel_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timeseries.channel_drift(timeseries.arima_forecast(_daily(spark, sf_dir), "event_type", "day", "y", 5), "event_type"))
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of the streaming p-chart, run as a batch."""
     out = charts.stream_p_chart(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), "ts", F.col("event_type") == "error", 0.2)
     return rounded(out)
 
 
-QUERIES = {f.__name__: f for f in (daily_grid, windowed_mean, naive_scale, baseline_rolling_origin, autocorrelation, arima_grid, arima_forecast, forecast_breaches, event_windows)}
+QUERIES = {f.__name__: f for f in (daily_grid, windowed_mean, naive_scale, baseline_rolling_origin, autocorrelation, arima_grid, arima_forecast, forecast_breaches, partial_autocorrelation, seasonal_candidates, exogenous_tests, rolling_arima_errors, channel_drift, event_windows)}
 _DAILY = "d AS (SELECT event_type, ts::DATE AS day, sum(value) AS y FROM events GROUP BY ALL)"
 ORACLE_SQL = {
     "daily_grid": """WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1), s AS (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d)
@@ -66,5 +87,7 @@ ORACLE_SQL = {
         c AS (SELECT event_type, avg(abs(y - last)) AS scale FROM s GROUP BY 1), r AS (SELECT event_type, 'persistence' AS model, count(*) AS n, avg(p) AS mae FROM e GROUP BY 1 UNION ALL SELECT event_type, 'mean', count(*), avg(m) FROM e GROUP BY 1)
         SELECT event_type, model, n AS n_errors, round(mae, 6) AS mae, round(mae / scale, 6) AS mase FROM r JOIN c USING (event_type)""",
     "autocorrelation": f"WITH {_DAILY}, z AS (SELECT event_type, day, y - avg(y) OVER (PARTITION BY event_type) AS v FROM d), l AS (SELECT event_type, k AS lag, v, lag(v, k::INT) OVER (PARTITION BY event_type, k ORDER BY day) AS p FROM z, range(1, 6) t(k)) SELECT event_type, lag, round(sum(v * p) / sum(v * v), 6) + 0.0 AS acf FROM l GROUP BY ALL",
+    "partial_autocorrelation": f"""WITH {_DAILY}, z AS (SELECT event_type, day, y - avg(y) OVER (PARTITION BY event_type) AS v FROM d), l AS (SELECT event_type, v, lag(v) OVER w AS p1, lag(v, 2) OVER w AS p2 FROM z WINDOW w AS (PARTITION BY event_type ORDER BY day)),
+        r AS (SELECT event_type, sum(v * p1) / sum(v * v) AS r1, sum(v * p2) / sum(v * v) AS r2 FROM l GROUP BY 1) SELECT event_type, 1::BIGINT AS lag, round(r1, 6) + 0.0 AS pacf FROM r UNION ALL SELECT event_type, 2, round((r2 - r1 * r1) / (1 - r1 * r1), 6) + 0.0 FROM r""",
     "event_windows": "WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, avg((event_type = 'error')::INT) AS rate FROM events GROUP BY 1) SELECT start, n, round(rate, 6) AS rate, round(greatest(0.2 - 3 * sqrt(0.16::DOUBLE / n), 0), 6) + 0.0 AS lcl, round(0.2 + 3 * sqrt(0.16::DOUBLE / n), 6) AS ucl, rate > 0.2 + 3 * sqrt(0.16::DOUBLE / n) AS alarm FROM w",
 }

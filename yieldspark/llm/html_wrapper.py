@@ -38,7 +38,7 @@ MAIN = re.compile(r"^(article|story|entry|post|articlebody|storybody|postbody|ma
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A constant of this many pages at least is template text, where it stands outside the main region.
 TEMPLATE_PAGES = 5
-#: Wrappers of all hosts up to this size are broadcast; more are joined by host.
+#: Extraction plans of all hosts up to this size are broadcast; more are joined by host.
 BROADCAST_CHARS = 16 << 20
 WRAPPER = "host string, wrapper string"
 
@@ -330,19 +330,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), *(_host_and_html(url_col, html_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[str, dict] = {}
         for b in batches:
-            out = []
-            for host, wrapper, source in zip(*(b.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True):
-                if host not in plans:
-                    plans[host] = plan(json.loads(wrapper))
-                out.append(main_text(Page(source), plans[host]))
+            todo = {p: json.loads(p) for p in b.column("plan").unique().to_pylist()}
+            out = [main_text(Page(source), todo[p]) for p, source in zip(b.column("plan").to_pylist(), b.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    wrappers = staged(infer_wrappers(pages, url_col, html_col), "wrappers")
-    small = (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS
-    joined = rows.join(F.broadcast(wrappers) if small else wrappers, "host")
-    return joined.select("page_id", "url", "host", "wrapper", "html").mapInArrow(run, "page_id long, url string, text string")
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            todo = [json.dumps(plan(json.loads(w))) for w in b.column("wrapper").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(todo, pa.string())], ["host", "plan"])
+
+    plans = staged(infer_wrappers(pages, url_col, html_col).mapInArrow(planned, "host string, plan string"), "plans")
+    small = (plans.agg(F.sum(F.length("plan") + F.length("host"))).first()[0] or 0) <= BROADCAST_CHARS
+    joined = rows.join(F.broadcast(plans) if small else plans, "host")
+    return joined.select("page_id", "url", "plan", "html").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import inverse_logit, logit
+from yieldspark.operators.ordering import column_quantiles, grouped_quantiles
 
 MIN_BACKGROUND = 20
 
 
 def factor_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     """factor, low, center, high: the linear 10, 50 and 90 % quantiles."""
-    wide = df.agg(*(F.percentile(c, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(c) for c in columns))
-    return wide.unpivot([], columns, "factor", "q").select("factor", F.get("q", 0).alias("low"), F.get("q", 1).alias("center"), F.get("q", 2).alias("high"))
+    return column_quantiles(df, columns, {"low": 0.1, "center": 0.5, "high": 0.9}).withColumnRenamed("column_name", "factor")
 
 
 def rank_factors(candidates: DataFrame, first: str, factor: str = "factor", importance: str = "importance") -> DataFrame:
@@ -213,7 +213,7 @@ def ood_table(design: DataFrame, background: DataFrame, factors: list[str], key:
     The background's kNN distances to itself use k + 1 neighbours, the zero to itself included.
     """
     whole = background.dropna(subset=factors)
-    limit = lambda df, c: df.agg(F.percentile(c, F.lit(0.99))).first()[0]
+    limit = lambda df, c: grouped_quantiles(df, [], c, {"q": 0.99}).first()["q"]
     far_m = limit(mahalanobis(whole, whole, factors), "mahalanobis")
     far_k = limit(knn_distance(whole, whole, ref_key, factors, k + 1), "knn_distance")
     out = mahalanobis(design, whole, factors).join(knn_distance(design, whole, key, factors, k), key, "left")

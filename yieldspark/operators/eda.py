@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldspark.operators.ordering import running_sums
+from yieldspark.operators.ordering import column_quantiles, quantile_edges, running_sums
 from yieldspark.operators.quality import long_form
 
 
@@ -94,30 +94,28 @@ def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def tail_enrichment(df: DataFrame, columns: list[str], label: str, q: float = 0.95) -> DataFrame:
     """column_name, base_rate, upper and lower: fail rate beyond the q and 1 - q quantiles over the base rate."""
-    bounds = df.agg(*(F.percentile(c, F.array(F.lit(1 - q), F.lit(q))).alias(f"{c}__") for c in columns))
-    both = df.crossJoin(F.broadcast(bounds))
-    y = F.col(label).cast("double")
-    wide = []
+    edges, y, wide = quantile_edges(df, columns, [1 - q, q]), F.col(label).cast("double"), []
     for c in columns:
+        low, high = edges.get(c, [None, None])
         base = F.avg(F.when(F.col(c).isNotNull(), y))
-        wide.append(F.struct(base.alias("base_rate"), (F.avg(F.when(F.col(c) > F.get(f"{c}__", 1), y)) / base).alias("upper"), (F.avg(F.when(F.col(c) < F.get(f"{c}__", 0), y)) / base).alias("lower")).alias(c))
-    return both.agg(*wide).unpivot([], columns, "column_name", "s").select("column_name", "s.*")
+        wide.append(F.struct(base.alias("base_rate"), (F.avg(F.when(F.col(c) > F.lit(high), y)) / base).alias("upper"), (F.avg(F.when(F.col(c) < F.lit(low), y)) / base).alias("lower")).alias(c))
+    return df.agg(*wide).unpivot([], columns, "column_name", "s").select("column_name", "s.*")
 
 
 def variance_ratios(df: DataFrame, columns: list[str], label: str, clip: float = 0.01) -> DataFrame:
     """column_name and the class 1 to class 0 ratio of variances, of variances clipped at quantiles, and of IQRs."""
-    bounds = df.agg(*(F.percentile(c, F.array(F.lit(clip), F.lit(1 - clip))).alias(f"{c}__") for c in columns))
-    both = df.crossJoin(F.broadcast(bounds))
-    y = F.col(label) == 1
-    wide = []
+    edges, y, wide = quantile_edges(df, columns, [clip, 1 - clip]), F.col(label) == 1, []
+    var = lambda on, x: F.var_samp(F.when(on, x))
+    safe = lambda a, b: F.when(b > 0, a / b)
     for c in columns:
+        low, high = edges.get(c, [None, None])
         v = F.col(c).cast("double")
-        cut = F.when(v.isNotNull(), F.greatest(F.least(v, F.get(f"{c}__", 1)), F.get(f"{c}__", 0)))
-        iqr = lambda on, v=v: F.percentile(F.when(on, v), F.lit(0.75)) - F.percentile(F.when(on, v), F.lit(0.25))
-        var = lambda on, x: F.var_samp(F.when(on, x))
-        safe = lambda a, b: F.when(b > 0, a / b)
-        wide.append(F.struct(safe(var(y, v), var(~y, v)).alias("raw"), safe(var(y, cut), var(~y, cut)).alias("clipped"), safe(iqr(y), iqr(~y)).alias("iqr")).alias(c))
-    return both.agg(*wide).unpivot([], columns, "column_name", "s").select("column_name", "s.*")
+        cut = F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(high)), F.lit(low)))
+        wide.append(F.struct(safe(var(y, v), var(~y, v)).alias("raw"), safe(var(y, cut), var(~y, cut)).alias("clipped")).alias(c))
+    ratios = df.agg(*wide).unpivot([], columns, "column_name", "s").select("column_name", "s.*")
+    spread = column_quantiles(df.where(F.col(label).isNotNull()), columns, {"a": 0.25, "b": 0.75}, [label]).withColumn("w", F.col("b") - F.col("a"))
+    one, zero = F.max(F.when(y, F.col("w"))), F.max(F.when(~y, F.col("w")))
+    return ratios.join(spread.groupBy("column_name").agg(safe(one, zero).alias("iqr")), "column_name", "left")
 
 
 def missing_gap(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -160,20 +158,15 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
 
     Quantile bins replace nearest-neighbour estimates: counts add up over any number of rows.
     """
-    edges = df.agg(*(F.percentile(c, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias(f"{c}__") for c in columns))
-    both = df.crossJoin(F.broadcast(edges))
-    binned = both.select(F.col(label).alias("y"), *(_bin(c).alias(c) for c in columns))
+    edges = quantile_edges(df, columns, [k / bins for k in range(1, bins)])
+    place = lambda c: F.when(F.col(c).isNotNull(), sum(((F.col(c) > e).cast("int") for e in edges.get(c, [])), F.lit(0)))
+    binned = df.select(F.col(label).alias("y"), *(place(c).alias(c) for c in columns))
     cells = binned.unpivot(["y"], columns, "column_name", "x").where("x is not null").groupBy("column_name", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     by = lambda *k: F.sum("n").over(Window.partitionBy("column_name", *k))
     cells = cells.select("column_name", "n", by().alias("all"), by("x").alias("nx"), by("y").alias("ny"))
     return cells.groupBy("column_name").agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
-def _bin(c: str) -> Column:
-    """Number of the edges in <c>__ that the value exceeds; null stays null."""
-    return F.when(F.col(c).isNotNull(), F.aggregate(f"{c}__", F.lit(0), lambda n, e: n + (F.col(c) > e).cast("int")))
-
-
 def rolling_mean(rows: DataFrame, keys: list[str], order: list[str], value: str, window: int = 10) -> DataFrame:
     """rows with the mean of the last `window` rows, null until that many values are there."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - window, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import matthews, ratio
-from yieldspark.operators.ordering import positions, running_sums
+from yieldspark.operators.ordering import column_quantiles, positions, quantile_edges, running_sums
 
 
 def threshold_table(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -71,9 +71,9 @@ def recall_at_flag_rate(df: DataFrame, score: str, label: str, key: str, rate: f
 
 def reliability_bins(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """bin, n, mean_score, mean_label over quantile bins (linear quantiles); empty bins drop out."""
-    edges = df.agg(F.percentile(score, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("e"))
-    place = F.aggregate("e", F.lit(0), lambda n, e: n + (F.col(score) > e).cast("int"))
-    return df.crossJoin(F.broadcast(edges)).groupBy(place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("mean_label"))
+    edges = quantile_edges(df, [score], [i / bins for i in range(1, bins)]).get(score, [])
+    place = sum(((F.col(score) > e).cast("int") for e in edges), F.lit(0))
+    return df.where(F.col(score).isNotNull()).groupBy(place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("mean_label"))
 
 
 def ranked(df: DataFrame, score: Column, ties: list[Column]) -> DataFrame:
@@ -94,9 +94,10 @@ def evaluate(df: DataFrame, score: str, label: str, threshold: float) -> DataFra
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n, mean, std, min, q25, q50, q75, max with exact linear quantiles, in one aggregate."""
-    wide = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), *(F.percentile(c, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in columns))
-    return wide.unpivot([], columns, "column_name", "s").select("column_name", "s.*")
+    """column_name, n, mean, std, min, q25, q50, q75, max; quantiles are exact and linear."""
+    wide = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in columns))
+    quarters = column_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return wide.unpivot([], columns, "column_name", "s").select("column_name", "s.*").join(quarters, "column_name", "left")
 
 
 def out_of_fold_mean(oof: DataFrame, key: str, p: str = "p_oof") -> DataFrame:

@@ -37,3 +37,38 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos", ranges: int
     """df with the dense 0-based position of each row in a total order."""
     out = running_sums(df, order, {name: F.lit(1).cast("long")}, ranges)
     return out.withColumn(name, F.col(name) - 1)
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """keys and a column for each named probability: exact quantiles, linear between ranks, nulls left out.
+
+    Distinct values are counted, ranked by running sums and picked by rank. A built-in percentile keeps every
+    distinct value of a group in one task's memory; here a group may have any number of them.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v__")).agg(F.count(F.lit(1)).alias("n__"))
+    ranked = running_sums(counts, [F.col("v__")], {"upto__": F.col("n__")}, keys=keys)
+    totals = counts.groupBy(*keys).agg(F.sum("n__").alias("total__"))
+    both = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto__") - F.col("n__") <= rank) & (rank < F.col("upto__")), F.col("v__")))
+
+    aggs = []
+    for k, p in enumerate(probs.values()):
+        h = (F.col("total__") - 1) * F.lit(p)
+        aggs += [at(F.floor(h)).alias(f"lo{k}"), at(F.ceil(h)).alias(f"hi{k}"), F.max(h - F.floor(h)).alias(f"w{k}")]
+    out = both.groupBy(*keys).agg(*aggs)
+    return out.select(*keys, *((F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * F.col(f"w{k}")).alias(n) for k, n in enumerate(probs)))
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float], ids: list[str] | None = None) -> DataFrame:
+    """column_name (and ids), a column for each probability, over all the columns at once."""
+    ids = ids or []
+    long = df.select(*ids, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(ids, columns, "column_name", "value")
+    return grouped_quantiles(long, ["column_name", *ids], "value", probs)
+
+
+def quantile_edges(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
+    """The same as numbers on the driver: one list a column."""
+    rows = column_quantiles(df, columns, {f"q{k}": p for k, p in enumerate(probs)}).collect()
+    return {r["column_name"]: [r[f"q{k}"] for k in range(len(probs))] for r in rows}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import binomial_limits
+from yieldspark.operators.ordering import grouped_quantiles
 
 # MAD to sigma, d2 of a range of 2, D4 of a moving range.
 MAD_SIGMA, D2, D4 = 1.4826, 1.128, 3.267
@@ -29,10 +30,11 @@ def control_limits(rows: DataFrame, sensor: str, value: str, order: list[str], m
     """
     seen = rows.where(F.col(value).isNotNull()).select(sensor, *order, F.col(value).alias("x"))
     seen = seen.withColumn("mr", moving_range(F.col("x"), [sensor], order))
-    first = seen.groupBy(sensor).agg(F.count(F.lit(1)).alias("n_obs"), F.median("x").alias("median"), F.avg("x").alias("mean"), F.avg("mr").alias("mr_bar"))
+    first = seen.groupBy(sensor).agg(F.count(F.lit(1)).alias("n_obs"), F.avg("x").alias("mean"), F.avg("mr").alias("mr_bar"))
     if method == "robust":
-        spread = seen.select(sensor, "x").join(first.select(sensor, "median"), sensor).groupBy(sensor).agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-        first = first.join(spread, sensor).withColumns({"center": F.col("median"), "sigma": MAD_SIGMA * F.col("mad")})
+        middle = grouped_quantiles(seen, [sensor], "x", {"median": 0.5})
+        spread = seen.select(sensor, "x").join(F.broadcast(middle), sensor).select(sensor, F.abs(F.col("x") - F.col("median")).alias("d"))
+        first = first.join(middle, sensor).join(grouped_quantiles(spread, [sensor], "d", {"mad": 0.5}), sensor).withColumns({"center": F.col("median"), "sigma": MAD_SIGMA * F.col("mad")})
     elif method == "classic":
         first = first.withColumns({"center": F.col("mean"), "sigma": F.col("mr_bar") / D2})
     else:

@@ -220,7 +220,7 @@ def test_lm_base(spark, texts, monkeypatch):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><nav><ul><li><a href=/>Home</a><li>Menu</ul></nav></header>
 <div class="cookie-notice"><p>We use cookies</p></div><div class="ad">Buy {k}</div><{tag} {attr}><h1>Title &amp; {k}</h1><p>First <b>bold</b><br>line&nbsp;{k}
-<p>Second <script>var a="</p>";</script>part &lt;{k}&gt;</p><aside>Side {k}</aside><ul><li>one<li>two {k}</ul><form><input><p>Sign up</p></form>
+<p>Second <script>var a="</p>";</script>part &lt;{k}&gt;</p><aside>Side {k}</aside><ul><li>one<li>two {k}</ul><button>Share</button><div class="user-comments" hidden><p>Me too {k}</p></div><form><input><p>Sign up</p></form>
 <section id="comments"><p>A reader says {k}</p></section></{tag}><footer>&copy; all</footer></body></html>"""
 
 

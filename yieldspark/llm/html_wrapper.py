@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from yieldspark.llm._spark import staged, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-RAW = frozenset("script style noscript template iframe svg math textarea select object canvas head title".split())
+RAW = frozenset("script style noscript template iframe svg math textarea select button datalist object canvas audio video head title".split())
 RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr header footer nav aside form fieldset details summary center dialog menu".split())
 VOID = frozenset(["hr"])
@@ -31,8 +31,8 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 FURNITURE = frozenset("nav footer aside form fieldset dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
-    r"^(ads?|adverts?|advertis\w+|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widgets?|footer\w*|header\w*|masthead|topbar|cookies?|consent|gdpr|notices?|alert\w*|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|"
-    r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|search\w*|pagination|pager|toolbar|skip)$"
+    r"^(ads?|adverts?|advertis\w+|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|aside|widgets?|footer\w*|header\w*|masthead|topbar|cookies?|consent|gdpr|notices?|alert\w*|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|"
+    r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|discussion|disclaimer|paywall|search\w*|pagination|pager|toolbar|skip)$"
 )
 MAIN = re.compile(r"^(article|story|entry|post|articlebody|storybody|postbody|maincontent)$")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -100,7 +100,7 @@ class Page:
             if name in RAW:
                 if not end and not attrs.endswith("/"):
                     stop = RAW_END[name].search(source, at)
-                    at = stop.end() if stop else at if name in ("head", "object", "noscript", "svg", "math") else len(source)
+                    at = stop.end() if stop else at if name in ("head", "title", "object", "noscript", "svg", "math", "button", "select", "audio", "video") else len(source)
                 continue
             if name == "br":
                 text.append(" ")

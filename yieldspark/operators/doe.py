@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import inverse_logit, logit
+from yieldspark.operators.features import missingness_features
 from yieldspark.operators.ordering import column_quantiles, grouped_quantiles
 
 MIN_BACKGROUND = 20
@@ -76,6 +77,15 @@ def with_noise(p: Column, kind: str | None, scale: float = 0.1, seed: int = 0) -
     raise ValueError(f"unknown noise {kind}")
 
 
+def score_design(background: DataFrame, design: DataFrame, factors: list[str], scorer: Callable[[DataFrame], DataFrame], groups: dict[str, list[str]], sensors: list[str]) -> DataFrame:
+    """Surrogate scores of every background row under every design row.
+
+    Factor values are written into the raw sensors first and missingness features are rebuilt after, so a
+    factor over a missing cell lowers the row's missing rate; scorer adds score_raw.
+    """
+    return scorer(missingness_features(expand_design(background, design, factors), groups, sensors))
+
+
 def cell_summary(rows: DataFrame, keys: list[str], response: str) -> DataFrame:
     """n, mean and std (0 for a single row) of each cell; null keys form cells of their own."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(response).alias("mean"), F.coalesce(F.stddev_samp(response), F.lit(0.0)).alias("std"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from yieldspark.functions.stats import entropy_bits
 from yieldspark.operators.metrics import ranked
 from yieldspark.operators.spc import western_electric
+from yieldspark.sources.staging import checked
 
 # Thresholds of health, drift and policy.
 HIGH_RISK, TRIAGE_UCL, DRIFT_Z, DRIFT_SHARE, DRIFT_FRACTION, RETRAIN_DELTA = 0.15, 0.20, 3.0, 0.40, 0.25, 0.05
@@ -95,7 +96,7 @@ def output_health(scores: DataFrame, p: Column, keys: list[str] | None = None, h
 def feature_drift(rows: DataFrame, limits: DataFrame, sensor: str, value: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
     """Per (keys, sensor): max |z|, share beyond 2 sigma, rule 1, drifted. Nulls leave; degenerate limits are skipped."""
     keys = keys or []
-    seen = rows.where(F.col(value).isNotNull()).join(F.broadcast(limits.where("not degenerate and sigma > 0").select(sensor, "center", "sigma")), sensor)
+    seen = rows.where(F.col(value).isNotNull()).join(checked(limits.where("not degenerate and sigma > 0").select(sensor, "center", "sigma"), "limits"), sensor)
     z = (F.col(value) - F.col("center")) / F.col("sigma")
     ruled = western_electric(seen.withColumn("zz", z), [*keys, sensor], order, z)
     out = ruled.groupBy(*keys, sensor).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("zz")).alias("max_z"), F.avg((F.abs("zz") > 2).cast("double")).alias("beyond_2s"), F.max("r1").alias("any_r1"))

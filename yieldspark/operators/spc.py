@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import binomial_limits
 from yieldspark.operators.ordering import grouped_quantiles
+from yieldspark.sources.staging import checked
 
 # MAD to sigma, d2 of a range of 2, D4 of a moving range.
 MAD_SIGMA, D2, D4 = 1.4826, 1.128, 3.267
@@ -32,8 +33,8 @@ def control_limits(rows: DataFrame, sensor: str, value: str, order: list[str], m
     seen = seen.withColumn("mr", moving_range(F.col("x"), [sensor], order))
     first = seen.groupBy(sensor).agg(F.count(F.lit(1)).alias("n_obs"), F.avg("x").alias("mean"), F.avg("mr").alias("mr_bar"))
     if method == "robust":
-        middle = grouped_quantiles(seen, [sensor], "x", {"median": 0.5})
-        spread = seen.select(sensor, "x").join(F.broadcast(middle), sensor).select(sensor, F.abs(F.col("x") - F.col("median")).alias("d"))
+        middle = checked(grouped_quantiles(seen, [sensor], "x", {"median": 0.5}), "medians")
+        spread = seen.select(sensor, "x").join(middle, sensor).select(sensor, F.abs(F.col("x") - F.col("median")).alias("d"))
         first = first.join(middle, sensor).join(grouped_quantiles(spread, [sensor], "d", {"mad": 0.5}), sensor).withColumns({"center": F.col("median"), "sigma": MAD_SIGMA * F.col("mad")})
     elif method == "classic":
         first = first.withColumns({"center": F.col("mean"), "sigma": F.col("mr_bar") / D2})
@@ -122,7 +123,7 @@ def western_electric(rows: DataFrame, sensor: list[str], order: list[str], z: Co
 
 def imr_series(rows: DataFrame, limits: DataFrame, sensor: str, value: str, order: list[str], lam: float = 0.2) -> DataFrame:
     """The chart table: value, mr (positional), ewma and its limits, r1..r4."""
-    joined = rows.select(sensor, *order, F.col(value).cast("double").alias("value")).join(F.broadcast(limits.select(sensor, "center", "sigma")), sensor)
+    joined = rows.select(sensor, *order, F.col(value).cast("double").alias("value")).join(checked(limits.select(sensor, "center", "sigma"), "limits"), sensor)
     low, high = ewma_limits(F.col("center"), F.col("sigma"), lam)
     out = ewma(joined, sensor, "value", order, F.col("center"), lam).withColumns({"mr": moving_range(F.col("value"), [sensor], order), "ewma_lcl": low, "ewma_ucl": high})
     return western_electric(out, [sensor], order, (F.col("value") - F.col("center")) / F.col("sigma")).drop("center", "sigma")
@@ -136,7 +137,7 @@ def screening(rows: DataFrame, sensor: str, value: str, order: list[str], phase2
     """
     flagged = rows.withColumns({"p2__": phase2, "tail__": tail})
     limits = control_limits(flagged.where(~F.col("p2__")), sensor, value, order, method, k)
-    joined = flagged.select(sensor, *order, F.col(value).cast("double").alias("x"), F.col("p2__").alias("p2"), F.col("tail__").alias("tail")).join(F.broadcast(limits), sensor, "left")
+    joined = flagged.select(sensor, *order, F.col(value).cast("double").alias("x"), F.col("p2__").alias("p2"), F.col("tail__").alias("tail")).join(checked(limits, "limits"), sensor, "left")
     joined = ewma(joined, sensor, "x", order, F.col("center"), lam)
     low, high = ewma_limits(F.col("center"), F.col("sigma"), lam, k)
     ok = ~F.col("degenerate")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.operators import doe
-from yieldspark.plans.tables import rounded, table
+from yieldspark.operators import doe, models
+from yieldspark.plans.tables import lines, rounded, table
 
 FACTORS = [{"name": "s060", "low": 10.0, "high": 20.0}, {"name": "s123", "low": -1.0, "high": 1.0, "center": 0.25}, {"name": "s461", "low": 0.0, "high": 5.0}]
 NAMES = [f["name"] for f in FACTORS]
@@ -80,6 +80,17 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(doe.studentized_residuals(_cells(spark, sf_dir), CODED, "run_id").select("run_id", "fitted", "leverage"))
 
 
+def surrogate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sensors = ["l_quantity", "l_tax", "sparse"]
+    rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in sensors), F.max("fail").alias("fail"))
+    encoded, columns = models.encode_missing(rows, sensors)
+    model = models.boosted_trees(encoded, columns, "fail", rounds=5)
+    design = doe.factorial_design(spark, [{"name": "l_quantity", "low": 5.0, "high": 45.0}, {"name": "sparse", "low": 0.0, "high": 0.08}], centers=1)
+    score = lambda df: models.score(model, models.encode_missing(df, sensors)[0])
+    out = doe.score_design(rows.where("l_orderkey < 200"), design, ["l_quantity", "sparse"], score, {"f_any": sensors}, sensors)
+    return rounded(out.groupBy("run_id", "l_quantity", "sparse").agg(F.count(F.lit(1)).alias("n"), F.avg("score_raw").alias("p"), F.avg(F.col("f_row_missing_rate").cast("double")).alias("missing")))
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", k).cast("double").alias(f"e{k}") for k in range(2)))
 
@@ -99,7 +110,7 @@ def ood_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(doe.ood_table(p.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "run_id"), p.where("label = 0").withColumnRenamed("vec_id", "wafer_id"), ["e0", "e1"]).select("run_id", "mahalanobis", "knn_distance", "ood_flag"), 5)
 
 
-QUERIES = {f.__name__: f for f in (factor_levels, rank_factors, factorial_design, fractional_design, design_expand, cell_summary, bernoulli_cells, main_effects, curvature, recommend, ols_effects, glm_effects, residuals, mahalanobis_ood, knn_ood, ood_flags)}
+QUERIES = {f.__name__: f for f in (factor_levels, rank_factors, factorial_design, fractional_design, design_expand, cell_summary, bernoulli_cells, main_effects, curvature, recommend, ols_effects, glm_effects, residuals, surrogate_scores, mahalanobis_ood, knn_ood, ood_flags)}
 
 _CORNERS = "co AS (SELECT a.v AS a, b.v AS b, c.v AS c, row_number() OVER (ORDER BY c.v, b.v, a.v) AS k FROM (VALUES (-1.0::DOUBLE), (1.0)) a(v), (VALUES (-1.0::DOUBLE), (1.0)) b(v), (VALUES (-1.0::DOUBLE), (1.0)) c(v))"
 _LEVELS = "CASE WHEN a < 0 THEN 10.0 WHEN a > 0 THEN 20.0 ELSE 15.0 END::DOUBLE AS s060, CASE WHEN b < 0 THEN -1.0 WHEN b > 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS s123, CASE WHEN c < 0 THEN 0.0 WHEN c > 0 THEN 5.0 ELSE 2.5 END::DOUBLE AS s461"

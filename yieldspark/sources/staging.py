@@ -14,3 +14,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+#: Rows of a summary table (a row a sensor, host or the like) that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def checked(df: DataFrame, name: str) -> DataFrame:
+    """A summary table, staged once and hinted for broadcast only if its rows are under BROADCAST_ROWS."""
+    from pyspark.sql import functions as F
+
+    table = stage(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from yieldspark.llm.decontamination import op4_decontamination
-from yieldspark.llm import mixing
+from yieldspark.llm import mixing, secret_scan
 from yieldspark.llm.html_wrapper import op5_html_extraction
 from yieldspark.llm.language_id import op2_language_id
 from yieldspark.llm.lm_scoring import op3_lm_scoring
 from yieldspark.llm.near_dedup import op7_near_dedup
 from yieldspark.llm.quality_rules import RULES, op8_quality_rules
-from yieldspark.llm.secret_scan import op1_secret_scan
 from yieldspark.llm.substring_dedup import op9_substring_dedup
 from yieldspark.llm.suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_lm_scoring, op4_decontamination, op5_html_extraction, mixing.op6_mixing, op7_near_dedup, op8_quality_rules, op9_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (secret_scan.op1_secret_scan, op2_language_id, op3_lm_scoring, op4_decontamination, op5_html_extraction, mixing.op6_mixing, op7_near_dedup, op8_quality_rules, op9_substring_dedup, op10_suffix_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: DuckDB's own reading of the contracts. SQL has no lattice, kernel model, wrapper or entropy fold: ops 1, 2, 3 and 5 have none.
+#: DuckDB's own reading of the contracts. SQL has no lattice, kernel model or wrapper: ops 2, 3 and 5 have none.
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": secret_scan.ORACLE_SQL,
     "op4_decontamination": rf"""
         WITH d AS (SELECT doc_id, {_BENCH} AS words FROM documents),
         i AS (SELECT item_id::VARCHAR AS item, {_BENCH} AS words FROM benchmark),

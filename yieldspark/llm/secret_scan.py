@@ -146,3 +146,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*PATTERNS))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *(n(k) for k in PATTERNS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The same in DuckDB: places by splitting, entropy anew for every window."""
+    text = lambda s: s.replace("'", "''")
+    kinds = [(k, p, g, n) for k, (p, g, n) in PATTERNS.items()] + [("entropy", CANDIDATE, 0, 0)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, {n} AS least, regexp_extract_all(t, '{text(p)}') AS f, regexp_extract_all(t, '{text(p)}', {g}) AS s, string_split_regex(t, '{text(p)}') AS p FROM d WHERE regexp_matches(t, '{text(p)}')" for k, p, g, n in kinds
+    )
+    allowed = " OR ".join(f"regexp_matches(token, '{p}')" for p in ALLOWED)
+    hits = {"hex": "regexp_full_match(token, '[0-9a-fA-F]+')", "alnum": "regexp_full_match(token, '[A-Za-z0-9]+') AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]')", "base64": "regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[a-z]')"}
+    case = "CASE " + " ".join(f"WHEN {hits[k]} THEN '{k}'" for k in CLASSES) + " END"
+    least = "CASE cls " + " ".join(f"WHEN '{k}' THEN {bits}" for k, (_, bits) in CLASSES.items()) + " END"
+    place = [*PATTERNS, *(f"entropy_{c}" for c in CLASSES)]
+    n = lambda k: f"count(*) FILTER (kind = '{k}') AS n_{k}"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), g AS ({found}), i AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM g),
+        m AS (SELECT doc_id, kind, least, f[i] AS token, length(s[i]) AS size, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a FROM i),
+        c AS (SELECT doc_id, a, token, {case} AS cls FROM m WHERE kind = 'entropy' AND NOT ({allowed})),
+        w AS (SELECT doc_id, a, token, cls, max(list_aggregate(string_split(substr(token, o, {WINDOW}), ''), 'entropy')) AS h FROM (SELECT *, unnest(range(1, length(token) - {WINDOW} + 2)) AS o FROM c WHERE cls IS NOT NULL) GROUP BY ALL),
+        s AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(token))::BIGINT AS b FROM m WHERE kind != 'entropy' AND size >= least UNION ALL SELECT doc_id, 'entropy_' || cls, a::BIGINT, (a + length(token))::BIGINT FROM w WHERE h >= {least}),
+        o AS (SELECT *, list_position({place}, kind) AS k, kind || ':' || a || ':' || b AS span FROM s),
+        r AS (SELECT doc_id, {', '.join(map(n, PATTERNS))}, string_agg(span, ',' ORDER BY a, k, b) FILTER (k <= {len(PATTERNS)}) AS base, string_agg(span, ',' ORDER BY a, k, b) AS spans FROM o GROUP BY 1)
+        SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in PATTERNS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)"""
+
+
+ORACLE_SQL = _oracle()

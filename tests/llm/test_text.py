@@ -61,7 +61,7 @@ def test_repeated_windows_have_repeated_anchors(letters, width, gram):
     """The cover property: two equal windows each hold an anchor, at positions of their own."""
     windows = _repeats.Windows(width, min(gram, width), words=False)
     data = np.frombuffer("".join(letters).encode(), np.uint8)
-    _, grams, starts, least = windows.scan(data, np.array([0, len(data)]))
+    ((_, _, grams, starts, least),) = windows.scan(data, np.array([0, len(data)]))
     anchors = windows.anchors(grams, starts, least).tolist()
     text = "".join(letters)
     for k, m in zip(starts, least.tolist(), strict=True):
@@ -69,6 +69,39 @@ def test_repeated_windows_have_repeated_anchors(letters, width, gram):
             assert anchors.count(m) > 1
 
 
+@given(st.lists(st.sampled_from(["a", "bb", "é", "c d"]), min_size=1, max_size=60), st.integers(2, 7), st.integers(1, 20), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_pieces_find_the_same_windows(parts, width, piece, words):
+    """A long text in pieces has each window once, with the same hash, and no anchor less."""
+    windows = _repeats.Windows(width, min(3, width), words)
+    data = np.frombuffer(" ".join(parts).encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+
+    def found(limit):
+        before, _repeats.PIECE_ELEMENTS = _repeats.PIECE_ELEMENTS, limit
+        try:
+            pieces = list(windows.scan(data, offsets))
+        finally:
+            _repeats.PIECE_ELEMENTS = before
+        at = [(low + s, int(h)) for low, prefix, _, starts, _ in pieces for s, h in zip(starts.tolist(), T.run_hash(prefix, starts, starts + width).tolist(), strict=True)]
+        return sorted(at), {a for _, _, grams, starts, least in pieces for a in windows.anchors(grams, starts, least).tolist()}
+
+    whole, anchors = found(1 << 20)
+    cut, cut_anchors = found(piece)
+    assert cut == whole and anchors == cut_anchors
+
+
+def test_long_texts_hash_in_pieces():
+    data = np.frombuffer(b" ".join(b"w%d" % k for k in range(500)) + b" " + b"y" * 300, np.uint8)
+    starts, ends, _ = T.word_bounds(data, np.array([0, len(data)]))
+    whole = T.word_hashes(data, starts, ends)
+    before, T.PIECE_BYTES = T.PIECE_BYTES, 64
+    try:
+        assert (T.word_hashes(data, starts, ends) == whole).all()
+    finally:
+        T.PIECE_BYTES = before
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=50))
 def test_pack(keys):
     a = np.array(sorted(keys), np.uint64)

@@ -12,7 +12,7 @@ merges what it gets and sends back one bit a key. Two rounds keep this small:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,9 @@ from yieldspark.llm import _text as T
 from yieldspark.llm._spark import text_bytes
 
 BATCH_BYTES = 4 << 20
+#: A batch is over KEEP_BYTES only where one text is very long; elements are scanned PIECE_ELEMENTS at a time.
+KEEP_BYTES = 12 << 20
+PIECE_ELEMENTS = 2 << 20
 SENT = "shard int, batch long, keys binary, twice binary"
 BACK = "batch long, round int, shard int, bits binary"
 #: merge(keys, weights) -> mask of the keys that count as repeated; never false for a key of total weight 2 or more.
@@ -44,9 +47,24 @@ class Windows:
         starts, ends, first = T.word_bounds(data, offsets)
         return T.word_hashes(data, starts, ends) | np.uint64(1), first
 
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Prefix hashes, gram hashes, each valid window's start and its anchor's hash."""
+    def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each piece: its first element, and what scan_elements says. Only a text over PIECE_ELEMENTS has
+        several; neighbours overlap by a window less one, so each window starts in one piece."""
+        if not self.words and len(data) > PIECE_ELEMENTS:
+            for low in range(0, max(1, len(data) - self.width + 1), PIECE_ELEMENTS):
+                part = data[low : low + PIECE_ELEMENTS + self.width - 1]
+                yield low, *self.scan_elements(T.byte_values(part), np.array([0, len(part)]))
+            return
         values, first = self.elements(data, offsets)
+        if len(values) <= PIECE_ELEMENTS:
+            yield 0, *self.scan_elements(values, first)
+            return
+        for low in range(0, max(1, len(values) - self.width + 1), PIECE_ELEMENTS):
+            high = min(len(values), low + PIECE_ELEMENTS + self.width - 1)
+            yield low, *self.scan_elements(values[low:high], np.clip(first, low, high) - low)
+
+    def scan_elements(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Prefix hashes, gram hashes, each valid window's start and its anchor's hash."""
         prefix, n = T.prefix_hash(values), len(values)
         if n < self.width:
             return prefix, prefix[:0], np.zeros(0, np.int64), prefix[:0]
@@ -72,6 +90,16 @@ class Windows:
         return starts, T.run_hash(prefix, starts, starts + self.width)
 
 
+@dataclass(frozen=True)
+class Again:
+    """An iterable that starts its generator anew for each reading."""
+
+    make: Callable[[], Iterator]
+
+    def __iter__(self) -> Iterator:
+        return self.make()
+
+
 def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and which of them came twice or more."""
     keys, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
@@ -160,20 +188,25 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, firs
     rows = rows.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(batches)).alias("batch"))
     width = windows.width
 
-    def scans(texts: pa.Table) -> Iterator[tuple]:
-        for _, _, data, offsets in T.slices(texts["text"]):
-            yield windows.scan(data, offsets)
+    def scans(texts: pa.Table) -> Iterable[Iterable[tuple]]:
+        """The pieces of every slice: kept for a second reading in a batch of usual size, else made again."""
+        whole = Again(lambda: (windows.scan(data, offsets) for _, _, data, offsets in T.slices(texts["text"])))
+        return [list(pieces) for pieces in whole] if texts["text"].nbytes <= KEEP_BYTES else whole
 
-    def anchors_of(scanned: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct([windows.anchors(grams, starts, least) for _, grams, starts, least in scanned])
+    def anchors_of(scanned: Iterable[Iterable[tuple]]) -> tuple[np.ndarray, np.ndarray]:
+        return _distinct([windows.anchors(grams, starts, least) for pieces in scanned for _, _, grams, starts, least in pieces])
 
     def send_anchors(texts: pa.Table) -> pa.Table:
-        return _sent(texts["batch"][0].as_py(), *anchors_of(list(scans(texts))), anchor_shards)
+        return _sent(texts["batch"][0].as_py(), *anchors_of(scans(texts)), anchor_shards)
 
     def found(texts: pa.Table, back: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-        scanned = list(scans(texts))
+        scanned = scans(texts)
         keys = _chosen(back, 1, anchors_of(scanned)[0], anchor_shards)
-        return [windows.candidates(prefix, starts, least, keys) for prefix, _, starts, least in scanned]
+        out = []
+        for pieces in scanned:
+            spots = [(low, *windows.candidates(prefix, starts, least, keys)) for low, prefix, _, starts, least in pieces]
+            out.append((np.concatenate([at + low for low, at, _ in spots]), np.concatenate([h for *_, h in spots])))
+        return out
 
     def send_windows(texts: pa.Table, back: pa.Table) -> pa.Table:
         if not texts.num_rows or not back.num_rows:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Texts over this size are hashed in pieces: working memory is a multiple of a piece, not of a text.
+PIECE_BYTES = 4 << 20
 #: The white space of all word definitions: space and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -100,7 +102,15 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_hash(prefix_hash(_TABLE[data]), starts, ends)
+    """A hash a word; long texts go through in pieces of about PIECE_BYTES, cut between words."""
+    if len(data) <= PIECE_BYTES:
+        return run_hash(prefix_hash(_TABLE[data]), starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), PIECE_BYTES)), len(starts)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        base = starts[i]
+        out[i:j] = run_hash(prefix_hash(_TABLE[data[base : ends[j - 1]]]), starts[i:j] - base, ends[i:j] - base)
+    return out
 
 
 def sliding(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from yieldspark.operators.ordering import column_quantiles, quantile_edges, running_sums
 from yieldspark.operators.quality import long_form
+from yieldspark.sources.staging import stage
 
 
 def shape_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,7 +41,7 @@ def shape_flags(stats: DataFrame, skew: float = 2.0, kurtosis: float = 7.0, zero
 def mid_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n, before): counts of each distinct value and of the rows before it; mid-rank = before + (n + 1) / 2."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    out = running_sums(counts, [F.col(value)], {"before": F.col("n")}, keys=keys)
+    out = running_sums(stage(counts, "values"), [F.col(value)], {"before": F.col("n")}, keys=keys)
     return out.withColumn("before", F.col("before") - F.col("n")).withColumn("mid_rank", F.col("before") + (F.col("n") + 1) / 2)
 
 
@@ -49,7 +50,7 @@ def mann_whitney(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     rows = long_form(df, columns, [label]).where("value is not null")
     one = F.count_if(F.col(label) == 1)
     counts = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"), one.alias("n1"))
-    ranked = running_sums(counts, [F.col("value")], {"upto": F.col("n")}, keys=["column_name"]).withColumn("mid", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
+    ranked = running_sums(stage(counts, "values"), [F.col("value")], {"upto": F.col("n")}, keys=["column_name"]).withColumn("mid", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     s = ranked.groupBy("column_name").agg(F.sum("n").cast("double").alias("n"), F.sum("n1").cast("double").alias("n1"), F.sum(F.col("n1") * F.col("mid")).alias("r1"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
     n, n1, n0 = F.col("n"), F.col("n1"), F.col("n") - F.col("n1")
     u = F.col("r1") - n1 * (n1 + 1) / 2

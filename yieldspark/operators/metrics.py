@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import matthews, ratio
 from yieldspark.operators.ordering import column_quantiles, positions, quantile_edges, running_sums
+from yieldspark.sources.staging import stage
 
 
 def threshold_table(df: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, tp, fp, positives, negatives, pos, neg for `score >= threshold`, a row a distinct score."""
     y = F.col(label).cast("long")
     scores = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    scores = stage(scores, "scores")  # read three times
     totals = scores.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     return running_sums(scores, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")}).crossJoin(F.broadcast(totals))
 

@@ -46,6 +46,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     distinct value of a group in one task's memory; here a group may have any number of them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v__")).agg(F.count(F.lit(1)).alias("n__"))
+    counts = stage(counts, "values")  # read three times
     ranked = running_sums(counts, [F.col("v__")], {"upto__": F.col("n__")}, keys=keys)
     totals = counts.groupBy(*keys).agg(F.sum("n__").alias("total__"))
     both = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))

@@ -12,7 +12,6 @@ to key shards, which add them up and send each batch the totals of its own words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 

@@ -134,6 +134,8 @@ ORACLE_SQL = {
     "curvature": f"WITH {_ROWS} SELECT round(avg(mean) FILTER (is_center), 6) AS center_mean, round(avg(mean) FILTER (NOT is_center), 6) AS corner_mean, count(*) FILTER (is_center) AS n_center, round(avg(mean) FILTER (is_center) - avg(mean) FILTER (NOT is_center), 6) + 0.0 AS curvature FROM ce",
     "recommend": f"WITH {_ROWS} SELECT run_id, round(mean, 6) AS mean FROM ce ORDER BY mean, run_id LIMIT 1",
     "ols_effects": f"WITH {_ROWS} " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(avg(mean * {x}), 6) + 0.0 AS estimate FROM ce WHERE NOT is_center" for t, x in _FIT.items()),
+    "residuals": f"""WITH {_ROWS}, b AS (SELECT avg(mean) AS m, {', '.join(f'sum({x} * mean) / 8 AS b{k}' for k, x in enumerate(_FIT.values()))} FROM ce)
+        SELECT run_id, round(m + {' + '.join(f'b{k} * {x}' for k, x in enumerate(_FIT.values()) if x != '1')}, 6) AS fitted, round(1 / 9.0::DOUBLE + CASE WHEN is_center THEN 0 ELSE 0.75 END, 6) AS leverage FROM ce, b""",
     "mahalanobis_ood": f"WITH {_PTS}, {_MAH} SELECT vec_id, round(m, 5) AS mahalanobis FROM ma",
     "knn_ood": f"WITH {_PTS}, {_KNN.format(name='kn', which='vec_id % 20 = 0', k=5)} SELECT id AS vec_id, round(knn, 5) AS knn_distance FROM kn",
     "ood_flags": f"""WITH {_PTS}, {_MAH}, {_KNN.format(name='kn', which='vec_id % 20 = 0', k=5)}, {_KNN.format(name='kr', which='label = 0', k=6)},

@@ -25,6 +25,8 @@ DIMS = 1 << DIMS_BITS
 ORDERS = (1, 2, 3, 4)
 #: Bytes of the presence bitmaps that are unpacked at once.
 BLOCK = 512
+#: Texts that are multiplied at once.
+TEXTS = 64
 PAIR = pa.schema({"lang": pa.string(), "grams": pa.binary()})
 
 
@@ -53,11 +55,30 @@ def _presence(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flags)
 
 
-def _sampled(docs: DataFrame, languages: int, rows: int) -> DataFrame:
-    """Up to rows // languages labelled rows of each language: the least by a hash of the id."""
-    quota = max(1, rows // languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    ids = docs.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota)
+def _products(found: list[np.ndarray], weights: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Scores of a block of texts (their grams): presence matrix, over the grams that occur, times weights."""
+    sizes, grams = np.array([len(x) for x in found]), np.concatenate(found)
+    flags[:] = False
+    flags[grams] = True
+    own = np.flatnonzero(flags)
+    presence = np.zeros((len(found), len(own)), np.float32)
+    presence[np.repeat(np.arange(len(found)), sizes), np.searchsorted(own, grams)] = 1
+    return presence @ weights[own] / np.sqrt(np.maximum(sizes, 1))[:, None]
+
+
+def _sampled(docs: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
+    """Up to rows // languages labelled rows of each language: the least by a hash of the id.
+
+    A language of many rows is first thinned by the same hash to about four quotas, so that few rows are
+    ranked in one task, however many it has.
+    """
+    quota = max(1, rows // len(counts))
+    share = {lang: min(1.0, (4 * quota + 64) / n) for lang, n in counts.items()}
+    most = {lang: min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63)) for lang, s in share.items()}
+    drawn = F.xxhash64("doc_id", F.lit(17))
+    ids = docs.select("doc_id", "lang", drawn.alias("drawn")).where(F.col("drawn") <= F.create_map(*(F.lit(x) for kv in most.items() for x in kv))[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("drawn", "doc_id")
+    ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota)
     return docs.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
 
@@ -69,7 +90,8 @@ def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float =
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
     if not counts:
         return None
-    languages = tuple(sorted(r["lang"] for r in counts))
+    sizes = {r["lang"]: r["n"] for r in counts}
+    languages = tuple(sorted(sizes))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(DIMS, bool)
@@ -82,7 +104,7 @@ def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float =
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(packed, pa.binary())], schema=PAIR)
 
     known = docs.where(F.col("lang").isin(*languages)) if len(languages) == rows else docs
-    sample = _sampled(known, len(languages), rows).select("doc_id", "lang", "text").mapInArrow(grams, "lang string, grams binary")
+    sample = _sampled(known, sizes, rows).select("doc_id", "lang", "text").mapInArrow(grams, "lang string, grams binary")
     got = sorted((r["lang"], bytes(r["grams"])) for r in sample.limit(rows).collect())
     bits = np.frombuffer(b"".join(g for _, g in got), np.uint8).reshape(len(got), -1)
     spread = np.random.default_rng(7).permutation(len(got))[: min(landmarks, len(got))]
@@ -126,10 +148,10 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
             n = batch.num_rows
             scores = np.zeros((n, len(names)), np.float32)
             for row, end, data, offsets in T.slices(batch.column("text")):
-                for i in range(end - row):
-                    if offsets[i + 1] > offsets[i]:
-                        at = _presence(data[offsets[i] : offsets[i + 1]], flags)
-                        scores[row + i] = np.ones(len(at), np.float32) @ weights[at] / np.sqrt(len(at))
+                for low in range(0, end - row, TEXTS):
+                    high = min(low + TEXTS, end - row)
+                    found = [_presence(data[offsets[i] : offsets[i + 1]], flags) for i in range(low, high)]
+                    scores[row + low : row + high] = _products(found, weights, flags)
             best = scores.argmax(1)
             top = np.take_along_axis(scores, best[:, None], 1)[:, 0]
             rest = np.where(np.arange(len(names)) == best[:, None], -np.inf, scores).max(1, initial=-1.0)

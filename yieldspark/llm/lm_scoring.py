@@ -200,7 +200,8 @@ def score_documents(docs: DataFrame, learn: str, id_col: str = "doc_id", text_co
         spelled = np.exp(word_logs(data, starts[at], ends_[at], model.value))
         floor = np.finfo(float).tiny
         base, own = np.log10((c + 1) / (n + v + 1)), np.log10(np.maximum((c + (v + 1) * (1 - end_share) * spelled) / (n + v + 1), floor))
-        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[of])])[first])
+        # each text is summed on its own, so its score does not depend on what else is in the batch
+        sums = lambda x: np.where(np.diff(first) > 0, np.add.reduceat(np.append(x[of], 0), first[:-1]), 0)
         return pa.table(
             {
                 "doc_id": texts["doc_id"].cast(pa.int64()), "learn": texts["learn"], "n_tokens": pa.array(np.diff(first) + 1, pa.int64()),

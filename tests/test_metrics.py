@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from yieldspark.operators import metrics, models, monitoring
+from yieldspark.operators import metrics, models, monitoring, ordering
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +123,17 @@ def test_contributions_add_up(spark):
     model = models.boosted_trees(encoded, columns, "y", rounds=3)
     top = models.importance(models.contributions(model, encoded, "k", columns)).orderBy(F.desc("mean_abs")).first()
     assert top["feature"] == "a"
+
+
+def test_folds_and_flag_rate_in_ranges(spark, scored, monkeypatch):
+    """Many ordered ranges give what one gives, null classes too."""
+    df = scored[0]
+    labelled = df.select("k", F.when(F.col("k") % 11 != 0, F.col("y")).alias("y"))
+
+    def every():
+        folds = {tuple(r) for r in models.stratified_folds(labelled, "k", "y", 5, 2).select("repeat", "k", "y", "fold").collect()}
+        return folds, metrics.recall_at_flag_rate(df, "p", "y", "k", 0.2).first()
+
+    whole = every()
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 60)
+    assert every() == whole and len(whole[0]) == 800

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from yieldspark.operators import spc
+from yieldspark.operators import eda, ordering, spc
 
 
 def series(spark, values, sensor="s"):
@@ -14,7 +14,7 @@ def column(df, name, order="t"):
 
 
 def test_moving_range_gaps(spark):
-    df = series(spark, [1, 2, 4, 3, None, 5]).withColumn("mr", spc.moving_range(F.col("x"), ["sensor"], ["t"]))
+    df = spc.moving_range(series(spark, [1, 2, 4, 3, None, 5]), "x", ["sensor"], ["t"])
     assert column(df, "mr") == [None, 1, 2, 1, None, None]
 
 
@@ -75,6 +75,28 @@ def test_western_electric(spark):
     assert rules(spark, [-0.5] * 8 + [0] + [-0.5] * 3)["r4"] == [7]
 
 
+def test_hot_sensor_in_blocks(spark, monkeypatch):
+    """Blocks led by the rows before them give what one window over the whole sensor gives."""
+    rng = np.random.default_rng(4)
+    values = [None if rng.random() < 0.1 else float(v) for v in rng.normal(size=200) * 1.5]
+    df = series(spark, values, "hot").union(series(spark, values[:20], "small")).union(series(spark, values[50:70], None))
+    names = ["sensor", "t", "mr", "r1", "r2", "r3", "r4", "rolling_mean"]
+
+    def every():
+        out = spc.western_electric(spc.moving_range(df, "x", ["sensor"], ["t"]), ["sensor"], ["t"], F.col("x"))
+        return sorted(eda.rolling_mean(out, ["sensor"], ["t"], "x", 5).select(names).collect(), key=str)
+
+    whole = every()
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 40)
+    monkeypatch.setattr(ordering, "BLOCK_ROWS", 16)
+    blocks = every()
+    assert len(blocks) == 240
+    for a, b in zip(whole, blocks, strict=True):
+        assert a[:-1] == b[:-1] and (a[-1] is None) == (b[-1] is None) and (a[-1] is None or a[-1] == pytest.approx(b[-1]))
+    smoothed = spc.ewma(df.where("sensor = 'hot'"), "sensor", "x", ["t"], F.lit(0.5))
+    assert column(smoothed, "ewma") == pytest.approx(fold(values, 0.5), abs=1e-9)
+
+
 def test_screening_drift_and_empty_phase(spark):
     rng = np.random.default_rng(7)
     calm, drift = rng.normal(size=1567), rng.normal(size=1567)

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from yieldspark.operators.ordering import column_quantiles, quantile_edges, running_sums
+from yieldspark.operators.ordering import column_quantiles, look_back, quantile_edges, running_sums
 from yieldspark.operators.quality import long_form
 from yieldspark.sources.staging import stage
 
@@ -170,5 +170,9 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
 
 def rolling_mean(rows: DataFrame, keys: list[str], order: list[str], value: str, window: int = 10) -> DataFrame:
     """rows with the mean of the last `window` rows, null until that many values are there."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - window, 0)
-    return rows.withColumn("rolling_mean", F.when(F.count(value).over(w) == window, F.avg(value).over(w)))
+
+    def mean(w: WindowSpec) -> dict[str, Column]:
+        last = w.rowsBetween(1 - window, 0)
+        return {"rolling_mean": F.when(F.count(value).over(last) == window, F.avg(value).over(last))}
+
+    return look_back(rows, keys, order, window - 1, mean)

@@ -66,8 +66,8 @@ def operating_points(table: DataFrame, targets: list[float]) -> DataFrame:
 def recall_at_flag_rate(df: DataFrame, score: str, label: str, key: str, rate: float) -> DataFrame:
     """Recall among the k = max(1, floor(n * rate)) highest scores (ties by key)."""
     n, positives = df.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
-    k = max(1, int(n * rate))
-    top = df.orderBy(F.desc(score), key).limit(k)
+    k = max(1, int(n * rate))  # a share of all rows: by position, as a limit would take them to one task
+    top = positions(df.select(key, score, label), [F.desc(score), F.col(key)], "place__").where(F.col("place__") < k)
     return top.agg(ratio(F.sum(F.col(label).cast("long")), F.lit(positives or 0)).alias("recall"), F.lit(k).cast("long").alias("k"))
 
 

@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yieldspark.operators.ordering import positions
+
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 1, seed: int = 1337) -> DataFrame:
     """repeat, key, label, fold: within each class and repeat, keys in hashed order are dealt round the folds."""
     each = df.select(key, label, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    order = Window.partitionBy("repeat", label).orderBy(F.md5(F.concat_ws("|", F.col("repeat").cast("string"), F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
-    return each.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("long")).withColumn("repeat", F.col("repeat").cast("long"))
+    order = F.md5(F.concat_ws("|", F.col("repeat").cast("string"), F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    dealt = positions(each, [order, F.col(key)], "fold", keys=["repeat", label])
+    return dealt.withColumns({"fold": (F.col("fold") % folds).cast("long"), "repeat": F.col("repeat").cast("long")})
 
 
 def platt(df: DataFrame, score: str, label: str):

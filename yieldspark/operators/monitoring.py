@@ -74,7 +74,7 @@ def reconcile_keyed(scores: DataFrame, reference: DataFrame, key: str, score: st
 
 def reconcile_sorted(scores: DataFrame, reference: DataFrame, score: str, ref_score: str, tolerance: float = 1e-6) -> DataFrame:
     """The same without keys: values compared in sorted order; pass_values_only, fail_values or fail_length."""
-    from yieldspark.operators.ordering import positions
+    from yieldspark.operators.ordering import positions, row_ranges
 
     a = positions(scores.select(F.col(score).alias("a")), [F.col("a")])
     b = positions(reference.select(F.col(ref_score).alias("b")), [F.col("b")])
@@ -98,7 +98,7 @@ def feature_drift(rows: DataFrame, limits: DataFrame, sensor: str, value: str, o
     keys = keys or []
     seen = rows.where(F.col(value).isNotNull()).join(checked(limits.where("not degenerate and sigma > 0").select(sensor, "center", "sigma"), "limits"), sensor)
     z = (F.col(value) - F.col("center")) / F.col("sigma")
-    ruled = western_electric(seen.withColumn("zz", z), [*keys, sensor], order, z)
+    ruled = western_electric(seen.withColumn("zz", z), [*keys, sensor], order, z, row_ranges(rows))
     out = ruled.groupBy(*keys, sensor).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("zz")).alias("max_z"), F.avg((F.abs("zz") > 2).cast("double")).alias("beyond_2s"), F.max("r1").alias("any_r1"))
     return out.withColumn("drifted", F.col("any_r1") | (F.col("max_z") > DRIFT_Z) | (F.col("beyond_2s") >= DRIFT_SHARE)).withColumn("max_z", F.round("max_z", 2))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import binomial_limits
-from yieldspark.operators.ordering import grouped_quantiles
+from yieldspark.operators.ordering import grouped_quantiles, look_back, positions, row_ranges
 from yieldspark.sources.staging import checked
 
 # MAD to sigma, d2 of a range of 2, D4 of a moving range.
@@ -18,9 +18,9 @@ MIN_OBSERVED = 25
 BLOCK = 100_000
 
 
-def moving_range(value: Column, sensor: list[str], order: list[str]) -> Column:
-    """|x - previous x|; null on the first row and on both sides of a gap."""
-    return F.abs(value - F.lag(value).over(Window.partitionBy(*sensor).orderBy(*order)))
+def moving_range(rows: DataFrame, value: str, sensor: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """rows with mr: |x - previous x|; null on the first row and on both sides of a gap."""
+    return look_back(rows, sensor, order, 1, lambda w: {"mr": F.abs(F.col(value) - F.lag(value).over(w))}, ranges)
 
 
 def control_limits(rows: DataFrame, sensor: str, value: str, order: list[str], method: str = "robust", k: float = 3.0) -> DataFrame:
@@ -30,7 +30,7 @@ def control_limits(rows: DataFrame, sensor: str, value: str, order: list[str], m
     observed values (nulls leave no gap). Under 25 observations, or sigma not over 0: degenerate, no limits.
     """
     seen = rows.where(F.col(value).isNotNull()).select(sensor, *order, F.col(value).alias("x"))
-    seen = seen.withColumn("mr", moving_range(F.col("x"), [sensor], order))
+    seen = moving_range(seen, "x", [sensor], order)
     first = seen.groupBy(sensor).agg(F.count(F.lit(1)).alias("n_obs"), F.avg("x").alias("mean"), F.avg("mr").alias("mr_bar"))
     if method == "robust":
         middle = checked(grouped_quantiles(seen, [sensor], "x", {"median": 0.5}), "medians")
@@ -49,7 +49,7 @@ def control_limits(rows: DataFrame, sensor: str, value: str, order: list[str], m
     )
 
 
-def ewma(rows: DataFrame, sensor: str, value: str, order: list[str], seed: Column, lam: float = 0.2) -> DataFrame:
+def ewma(rows: DataFrame, sensor: str, value: str, order: list[str], seed: Column, lam: float = 0.2, ranges: int | None = None) -> DataFrame:
     """rows with ewma: z = lam * x + (1 - lam) * z, from seed; a null carries z, and a null seed gives null.
 
     A sensor's series is cut in blocks: each block folds from zero on its own, the blocks' ends are chained
@@ -57,8 +57,7 @@ def ewma(rows: DataFrame, sensor: str, value: str, order: list[str], seed: Colum
     """
     if {"pos__", "block__", "seed__", "z__"} & set(rows.columns):
         raise ValueError("column names with __ are reserved")
-    place = Window.partitionBy(sensor).orderBy(*order)
-    cut = rows.withColumn("seed__", seed.cast("double")).withColumn("pos__", F.row_number().over(place)).withColumn("block__", F.floor(F.col("pos__") / BLOCK))
+    cut = positions(rows.withColumn("seed__", seed.cast("double")), [F.col(c) for c in order], "pos__", ranges, [sensor]).withColumn("block__", F.floor(F.col("pos__") / BLOCK))
     keep = 1 - lam
 
     def fold(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +81,13 @@ def ewma(rows: DataFrame, sensor: str, value: str, order: list[str], seed: Colum
     kind = dict(rows.dtypes)[sensor]
     narrow = cut.select(sensor, "block__", "pos__", F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("x"))
     done = narrow.groupBy(sensor, "block__").applyInArrow(ends, f"{sensor} {kind}, block__ long, end double, seen long")
-    before = Window.partitionBy(sensor).orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)
-    chain = F.aggregate(F.coalesce(F.collect_list(F.struct("end", "seen")).over(before), F.array()), F.struct(F.lit(0.0).alias("z"), F.lit(0).cast("long").alias("n")), lambda a, b: F.struct((a["z"] * F.pow(F.lit(keep), b["seen"]) + b["end"]).alias("z"), (a["n"] + b["seen"]).alias("n")))
-    starts = done.select(sensor, "block__", chain.alias("c")).select(sensor, "block__", F.col("c.z").alias("z__"), F.col("c.n").alias("n__"))
+    # a block of so many values that the start has decayed to 0 begins a chain anew, so chains stay short
+    blocks = Window.partitionBy(sensor).orderBy("block__")
+    done = done.withColumn("chain__", F.sum((F.pow(F.lit(keep), "seen") == 0).cast("int")).over(blocks))
+    upto = Window.partitionBy(sensor, "chain__").orderBy("block__").rowsBetween(Window.unboundedPreceding, 0)
+    chain = F.aggregate(F.collect_list(F.struct("end", "seen")).over(upto), F.lit(0.0), lambda z, b: z * F.pow(F.lit(keep), b["seen"]) + b["end"])
+    done = done.withColumn("z__", chain)
+    starts = done.select(sensor, "block__", F.coalesce(F.lag("z__").over(blocks), F.lit(0.0)).alias("z__"), F.coalesce(F.sum("seen").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n__"))
     fields = rows.schema
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
@@ -105,28 +108,31 @@ def ewma_limits(center: Column, sigma: Column, lam: float = 0.2, k: float = 3.0)
     return center - half, center + half
 
 
-def western_electric(rows: DataFrame, sensor: list[str], order: list[str], z: Column) -> DataFrame:
+def western_electric(rows: DataFrame, sensor: list[str], order: list[str], z: Column, ranges: int | None = None) -> DataFrame:
     """rows with r1..r4 at each point: beyond 3; 2 of 3 beyond 2 on its side; 4 of 5 beyond 1; 8 on one side.
 
     z is the standardised value; a null or an exact 0 breaks runs.
     """
-    w = lambda n: Window.partitionBy(*sensor).orderBy(*order).rowsBetween(1 - n, 0)
     rows = rows.withColumn("z__", z)
     z = F.col("z__")
 
-    def zone(limit: float, n: int, least: int) -> Column:
-        sides = [(s * z > limit) & (F.sum(F.coalesce((s * z > limit).cast("int"), F.lit(0))).over(w(n)) >= least) for s in (1, -1)]
-        return F.coalesce(sides[0] | sides[1], F.lit(False))
+    def rules(w: WindowSpec) -> dict[str, Column]:
+        def zone(limit: float, n: int, least: int) -> Column:
+            sides = [(s * z > limit) & (F.sum(F.coalesce((s * z > limit).cast("int"), F.lit(0))).over(w.rowsBetween(1 - n, 0)) >= least) for s in (1, -1)]
+            return F.coalesce(sides[0] | sides[1], F.lit(False))
 
-    return rows.select("*", F.coalesce(F.abs(z) > 3, F.lit(False)).alias("r1"), zone(2, 3, 2).alias("r2"), zone(1, 5, 4).alias("r3"), zone(0, 8, 8).alias("r4")).drop("z__")
+        return {"r1": F.coalesce(F.abs(z) > 3, F.lit(False)), "r2": zone(2, 3, 2), "r3": zone(1, 5, 4), "r4": zone(0, 8, 8)}
+
+    return look_back(rows, sensor, order, 7, rules, ranges).drop("z__")
 
 
 def imr_series(rows: DataFrame, limits: DataFrame, sensor: str, value: str, order: list[str], lam: float = 0.2) -> DataFrame:
     """The chart table: value, mr (positional), ewma and its limits, r1..r4."""
+    ranges = row_ranges(rows)
     joined = rows.select(sensor, *order, F.col(value).cast("double").alias("value")).join(checked(limits.select(sensor, "center", "sigma"), "limits"), sensor)
     low, high = ewma_limits(F.col("center"), F.col("sigma"), lam)
-    out = ewma(joined, sensor, "value", order, F.col("center"), lam).withColumns({"mr": moving_range(F.col("value"), [sensor], order), "ewma_lcl": low, "ewma_ucl": high})
-    return western_electric(out, [sensor], order, (F.col("value") - F.col("center")) / F.col("sigma")).drop("center", "sigma")
+    out = moving_range(ewma(joined, sensor, "value", order, F.col("center"), lam, ranges), "value", [sensor], order, ranges).withColumns({"ewma_lcl": low, "ewma_ucl": high})
+    return western_electric(out, [sensor], order, (F.col("value") - F.col("center")) / F.col("sigma"), ranges).drop("center", "sigma")
 
 
 def screening(rows: DataFrame, sensor: str, value: str, order: list[str], phase2: Column, tail: Column, method: str = "robust", k: float = 3.0, lam: float = 0.2) -> DataFrame:
@@ -138,7 +144,7 @@ def screening(rows: DataFrame, sensor: str, value: str, order: list[str], phase2
     flagged = rows.withColumns({"p2__": phase2, "tail__": tail})
     limits = control_limits(flagged.where(~F.col("p2__")), sensor, value, order, method, k)
     joined = flagged.select(sensor, *order, F.col(value).cast("double").alias("x"), F.col("p2__").alias("p2"), F.col("tail__").alias("tail")).join(checked(limits, "limits"), sensor, "left")
-    joined = ewma(joined, sensor, "x", order, F.col("center"), lam)
+    joined = ewma(joined, sensor, "x", order, F.col("center"), lam, row_ranges(rows))
     low, high = ewma_limits(F.col("center"), F.col("sigma"), lam, k)
     ok = ~F.col("degenerate")
     out_of, alarm = ((F.col("x") < F.col("lcl")) | (F.col("x") > F.col("ucl"))), ((F.col("ewma") < low) | (F.col("ewma") > high))

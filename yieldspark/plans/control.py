@@ -14,7 +14,7 @@ ORDER = ["ts", "event_id"]
 
 def moving_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = masked_events(spark, sf_dir)
-    return rounded(rows.select("event_id", spc.moving_range(F.col("x"), ["event_type"], ORDER).alias("mr")))
+    return rounded(spc.moving_range(rows, "x", ["event_type"], ORDER).select("event_id", "mr"))
 
 
 def _phase1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,21 @@ def test_lm_base(spark, texts, monkeypatch):
     assert alone["train_tokens"] == 0 and alone["n_known"] == 0
 
 
+def test_lm_long_unknown_words(spark):
+    """A word too unlikely for a float still scores by its own lattice, as does any word after empty training texts."""
+    pieces = lm_scoring.load_pieces()
+    words = ["\u0e01\u0e02" * 700, "\u0e01\u0e02" * 1400, "q7" * 3000, "known"]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(documents(spark, [*enumerate(words), (9, "known")]).withColumn("learn", F.col("doc_id") == 9), "learn").collect()}
+    for k, word in enumerate(words[:3]):
+        data = np.frombuffer(word.encode(), np.uint8)
+        spelled = lm_scoring.word_logs(data, np.array([0]), np.array([len(data)]), pieces)[0]
+        # two training tokens (one an end), two words: k = 3
+        assert got[k] == pytest.approx((math.log(3 * 0.5) + spelled - math.log(5)) / math.log(10) + math.log10((1 + 3 * 0.5) / 5))
+    assert got[1] < 1.9 * got[0] < got[0] < -1000 < got[3]
+    empty = lm_scoring.score_documents(documents(spark, [(0, words[0]), (9, "")]).withColumn("learn", F.col("doc_id") == 9), "learn").collect()
+    assert all(math.isfinite(r["score"]) for r in empty)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><nav><ul><li><a href=/>Home</a><li>Menu</ul></nav></header>
 <div class="cookie-notice"><p>We use cookies</p></div><div class="ad">Buy {k}</div><{tag} {attr}><h1>Title &amp; {k}</h1><p>First <b>bold</b><br>line&nbsp;{k}
 <p>Second <script>var a="</p>";</script>part &lt;{k}&gt;</p><aside>Side {k}</aside><ul><li>one<li>two {k}</ul><button>Share</button><div class="user-comments" hidden><p>Me too {k}</p></div><form><input><p>Sign up</p></form>

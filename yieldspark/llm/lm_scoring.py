@@ -173,7 +173,8 @@ def score_documents(docs: DataFrame, learn: str, id_col: str = "doc_id", text_co
     Returns doc_id, learn, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score (lattice
     model), both log10 of the whole text, a row for each input row. Tokens are A-Z lower-cased words at ASCII
     white space and one end, so a null or empty text is one token. A null `learn` is false. Without training
-    rows all counts are 0 and score is the lattice's alone. Repeated rows count each time; other columns are
+    rows all counts are 0 and score is the lattice's alone; without training words, half of the base measure
+    is the end's. There is no least score: an unknown word's falls with its length. Repeated rows count each time; other columns are
     ignored; an empty table gives none.
     """
     spark = docs.sparkSession
@@ -187,7 +188,7 @@ def score_documents(docs: DataFrame, learn: str, id_col: str = "doc_id", text_co
     ends = rows.where("learn").count()
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
     model = spark.sparkContext.broadcast(load_pieces(vocabulary))
-    end_share = ends / n if n else 0.5
+    end_share = ends / n if n > ends else 0.5
     base_end = np.log10((ends + 1) / (n + v + 1))
     own_end = np.log10((ends + (v + 1) * end_share) / (n + v + 1))
 
@@ -197,9 +198,11 @@ def score_documents(docs: DataFrame, learn: str, id_col: str = "doc_id", text_co
         bounds, c = shard_bounds(keys, shards), np.zeros(len(keys), np.int64)
         for s, packed in zip(counts["shard"].to_pylist(), counts["counts"].to_pylist(), strict=True):
             c[bounds[s] : bounds[s + 1]] = np.frombuffer(packed, np.int64)
-        spelled = np.exp(word_logs(data, starts[at], ends_[at], model.value))
-        floor = np.finfo(float).tiny
-        base, own = np.log10((c + 1) / (n + v + 1)), np.log10(np.maximum((c + (v + 1) * (1 - end_share) * spelled) / (n + v + 1), floor))
+        # in log space throughout: a long unknown word's weight has no float
+        spelled = np.log((v + 1) * (1 - end_share)) + word_logs(data, starts[at], ends_[at], model.value)
+        with np.errstate(divide="ignore"):
+            learned = np.log(c)
+        base, own = np.log10((c + 1) / (n + v + 1)), (np.logaddexp(learned, spelled) - np.log(n + v + 1)) / np.log(10)
         # each text is summed on its own, so its score does not depend on what else is in the batch
         sums = lambda x: np.where(np.diff(first) > 0, np.add.reduceat(np.append(x[of], 0), first[:-1]), 0)
         return pa.table(

@@ -250,6 +250,22 @@ def test_extraction(spark, tag, attr):
     assert got[100] == "" and got[101] == "plain text" and got[102] == "" and got[103].startswith("cut")
 
 
+@pytest.mark.parametrize("pages", [2, 3, 8])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_constants_by_position(spark, pages, tag):
+    """Constants go on all hosts, main regions included, whatever their length; long texts that differ late stay."""
+    notice, long = "All rights reserved. " * 20, "same start " * 30
+    page = "<body><{t}><h1>One title</h1><div>{n}</div><p>own {k}</p><blockquote>{l}{k}</blockquote><h2>Follow us</h2></{t}></body>"
+    rows = [(k, "http://h/", page.format(k=k, t=tag, n=notice, l=long)) for k in range(pages)]
+    rows += [(10 + k, "http://copies/", page.format(k=0, t=tag, n=notice, l=long)) for k in range(6)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    title = ["One title"] if tag == "article" else []
+    for k in range(pages):
+        assert got[k] == [*title, f"own {k}", f"{long}{k}"]
+    # copies of one page have no varying text to tell a template by
+    assert got[10][:3] == ["One title", notice.strip(), "own 0"]
+
+
 def test_wrapper_groups():
     a = html_wrapper.stream(html_wrapper.Page("<html><body><div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div></body></html>").root)
     b = html_wrapper.stream(html_wrapper.Page("<html><body><div><h2>a</h2><p>x</p><hr></div><p>end</p></body></html>").root)

@@ -5,11 +5,13 @@ have in common: two streams are aligned level by level (longest common subsequen
 of them has becomes an optional group, neighbours that repeat (of one tag, or a run of up to four) fold into
 a repeated group, and text that differs becomes a slot, text that never does stays a constant. Alignment is
 associative enough to run per batch first and then over the batches' wrappers, so a host with a third of
-all pages is no single task. Extraction keeps the slots of the wrapper's main region.
+all pages is no single task. Extraction keeps the slots of the main region, which an element's name or the
+wrapper's mass gives, and drops its constants; texts of a repeated group are slots unless all are alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -36,14 +38,15 @@ NAMES = re.compile(
 )
 MAIN = re.compile(r"^(article|story|entry|post|articlebody|storybody|postbody|maincontent)$")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-#: A constant of this many pages at least is template text, where it stands outside the main region.
+#: A constant of this many different pages is template text; on a host of fewer, one of all its pages (two at least).
 TEMPLATE_PAGES = 5
 #: Extraction plans of all hosts up to this size are broadcast; more are joined by host.
 BROADCAST_CHARS = 16 << 20
 WRAPPER = "host string, wrapper string"
 
-# A node is [tag, pages, repeated, characters, constant or None, children]; text is a node of tag "#",
-# a folded run of siblings one of tag "+".
+# A node is [tag, pages, repeated, characters, constant or None, children, common, seen]; text is a node of tag
+# "#", a folded run of siblings one of tag "+". common: the hash of a constant's path and whole text, if it
+# is one; seen: the least hashes of the different pages that have it, up to TEMPLATE_PAGES.
 
 
 def _marks(attrs: str) -> tuple[str, bool, bool]:
@@ -141,7 +144,7 @@ def _fold(nodes: list[list]) -> list[list]:
     out: list[list] = []
     for n in nodes:
         if out and out[-1][0] == n[0]:
-            out[-1] = _align(out[-1], n, out[-1][1])
+            out[-1] = _align(out[-1], n, out[-1][1], True)
             out[-1][2] = True
         else:
             out.append(n)
@@ -151,10 +154,10 @@ def _fold(nodes: list[list]) -> list[list]:
             run = out[k : k + size]
             tags, reps = [n[0] for n in run], 1
             while len(run) == size and [n[0] for n in out[k + reps * size : k + (reps + 1) * size]] == tags:
-                run = [_align(a, b, a[1]) for a, b in zip(run, out[k + reps * size : k + (reps + 1) * size], strict=True)]
+                run = [_align(a, b, a[1], True) for a, b in zip(run, out[k + reps * size : k + (reps + 1) * size], strict=True)]
                 reps += 1
             if reps > 1:
-                folded.append(["+", run[0][1], True, 0, None, run])
+                folded.append(["+", run[0][1], True, 0, None, run, [], []])
                 k += reps * size
             else:
                 folded.append(out[k])
@@ -167,17 +170,18 @@ def _tag(n: list) -> str:
     return "+" + " ".join(x[0] for x in n[5]) if n[0] == "+" else n[0]
 
 
-def _align(a: list, b: list, pages: int) -> list:
-    """One node that generalises both."""
-    constant = a[4] if a[4] == b[4] else None
-    return [a[0], pages, a[2] or b[2], a[3] + b[3], constant, _aligned(a[5], b[5])]
+def _align(a: list, b: list, pages: int, within: bool = False) -> list:
+    """One node that generalises both; within: siblings of one page, not positions of two."""
+    constant, common = (a[4], a[6]) if a[6] == b[6] else (None, [])
+    seen = sorted({*a[7], *b[7]})[:TEMPLATE_PAGES] if common or a[0] == "" else []
+    return [a[0], pages, a[2] or b[2], a[3] + b[3], constant, _aligned(a[5], b[5], within), common, seen]
 
 
-def _aligned(xs: list[list], ys: list[list]) -> list[list]:
+def _aligned(xs: list[list], ys: list[list], within: bool = False) -> list[list]:
     """Siblings of two streams: common ones merge, the others stay, seen in fewer pages, so optional."""
     kx, ky = [_tag(n) for n in xs], [_tag(n) for n in ys]
     if kx == ky:
-        return [_align(a, b, a[1] + b[1]) for a, b in zip(xs, ys, strict=True)]
+        return [_align(a, b, a[1] if within else a[1] + b[1], within) for a, b in zip(xs, ys, strict=True)]
     best = [[0] * (len(ky) + 1) for _ in range(len(kx) + 1)]
     for i in range(len(kx) - 1, -1, -1):
         for j in range(len(ky) - 1, -1, -1):
@@ -185,7 +189,7 @@ def _aligned(xs: list[list], ys: list[list]) -> list[list]:
     out, i, j = [], 0, 0
     while i < len(kx) and j < len(ky):
         if kx[i] == ky[j]:
-            out.append(_align(xs[i], ys[j], xs[i][1] + ys[j][1]))
+            out.append(_align(xs[i], ys[j], xs[i][1] if within else xs[i][1] + ys[j][1], within))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append(xs[i])
@@ -196,10 +200,28 @@ def _aligned(xs: list[list], ys: list[list]) -> list[list]:
     return out + xs[i:] + ys[j:]
 
 
-def stream(node: list) -> list:
-    """A parsed element as a wrapper of one page; furniture keeps its tag only."""
-    children = [] if node[1] else [["#", 1, False, len(c), c[:200], []] if isinstance(c, str) else stream(c) for c in node[3]]
-    return [("-" if node[1] else "*" if node[2] else "") + node[0], 1, False, 0, None, _fold(children)]
+def _hash(*parts: str) -> str:
+    return hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def _label(node: list) -> str:
+    return ("-" if node[1] else "*" if node[2] else "") + node[0]
+
+
+def _texts(node: list) -> Iterator[str]:
+    for c in node[3]:
+        if isinstance(c, str):
+            yield c
+        elif not c[1]:
+            yield from _texts(c)
+
+
+def stream(node: list, path: str = "", page: str | None = None) -> list:
+    """A parsed element as a wrapper of one page; furniture keeps its tag only. Copies of a page count as one."""
+    page = _hash(*_texts(node)) if page is None else page
+    path += "/" + _label(node)
+    children = [] if node[1] else [["#", 1, False, len(c), c[:200], [], [_hash(path, c)], [page]] if isinstance(c, str) else stream(c, path, page) for c in node[3]]
+    return [_label(node), 1, False, 0, None, _fold(children), [], [] if node[0] else [page]]
 
 
 def merge(wrappers: list[list]) -> list:
@@ -226,7 +248,8 @@ def _has_main(node: list) -> bool:
 
 
 def plan(wrapper: list) -> dict:
-    """What extraction needs: the path of the main region (None where an element names it), template constants."""
+    """What extraction needs: the path of the main region (None where an element names it), and the hashes of
+    template constants: what all pages with a position share there. A main region's h1 is its page's title."""
     main: list[str] | None = None
     if not _has_main(wrapper):
         main, node = [], wrapper
@@ -238,12 +261,13 @@ def plan(wrapper: list) -> dict:
             main.append(heavy[0])
             node = heavy
     constants: set[str] = set()
+    least = max(2, len(wrapper[7]))
 
     def walk(node: list, inside: bool) -> None:
         for c in _flat(node):
             if c[0] == "#":
-                if not inside and c[4] and not c[2] and c[1] >= TEMPLATE_PAGES and len(c[4]) < 200:
-                    constants.add(c[4])
+                if len(c[7]) >= least and not (inside and node[0].lstrip("*").split(".")[0] == "h1"):
+                    constants.update(c[6])
             elif not c[0].startswith("-"):
                 walk(c, inside or c[0].startswith("*"))
 
@@ -260,41 +284,46 @@ def _flat(node: list) -> Iterator[list]:
 
 
 def main_text(page: Page, todo: dict) -> str:
-    """The blocks of the page's main region, one a line."""
+    """The blocks of the page's main region that are slots of the wrapper, one a line. A named region that has
+    constants only gives those."""
     path, constants = todo["main"], set(todo["constants"])
     blocks: list[str] = []
 
-    def take(node: list, free: bool) -> None:
+    def take(node: list, at: str, free: bool = False) -> None:
         for c in node[3]:
             if isinstance(c, str):
-                if free or c[:200] not in constants:
+                if free or not constants or _hash(at, c) not in constants:
                     blocks.append(c)
             elif not c[1]:
-                take(c, free)
+                take(c, f"{at}/{_label(c)}", free)
 
-    def regions(node: list) -> Iterator[list]:
+    def regions(node: list, at: str) -> Iterator[tuple[list, str]]:
         for c in node[3]:
             if not isinstance(c, str) and not c[1]:
+                below = f"{at}/{_label(c)}"
                 if c[2]:
-                    yield c
+                    yield c, below
                 else:
-                    yield from regions(c)
+                    yield from regions(c, below)
 
+    root = "/" + _label(page.root)
     if path is None:
-        found = list(regions(page.root))
-        inner = [x for r in found if r[0].startswith("main") for x in regions(r)]
-        for node in [x for r in found for x in ([y for y in inner if any(y is z for z in regions(r))] or [r])]:
-            take(node, True)
+        own: list[tuple[list, str]] = []
+        for r, at in regions(page.root, root):
+            own += (r[0].startswith("main") and list(regions(r, at))) or [(r, at)]
+        for free in (False, True):
+            for r, at in own if not blocks else ():
+                take(r, at, free)
     else:
-        node = page.root
+        node, at = page.root, root
         for key in path:
-            down = next((c for c in node[3] if not isinstance(c, str) and not c[1] and c[0] == key), None)
+            down = next((c for c in node[3] if not isinstance(c, str) and not c[1] and _label(c) == key), None)
             if down is None:
                 break
-            node = down
-        take(node, False)
+            node, at = down, f"{at}/{_label(down)}"
+        take(node, at)
     if not blocks:
-        take(page.root, False)
+        take(page.root, root)
     return "\n".join(blocks)
 
 

@@ -266,6 +266,23 @@ def test_constants_by_position(spark, pages, tag):
     assert got[10][:3] == ["One title", notice.strip(), "own 0"]
 
 
+@pytest.mark.parametrize(
+    "top, inner, kept",
+    [
+        ('article class="post has-sidebar"', "", True), ('div class="content no-comments"', "", True), ('main class="with-header"', "", True),
+        ('div class="sidebar-left-layout"', "", True), ('article class="post sidebar-2"', "", True), ("article", 'id="discussion"', True), ("article", 'id="related-work"', True),
+        ("article", 'class="search-engines"', True), ("article", 'class="related-posts"', False), ("article", 'class="search-box"', False), ("article", 'class="post-comments"', False),
+    ],
+)
+def test_names_only_vote(top, inner, kept):
+    """A name drops no article, nor a section whose name only resembles furniture."""
+    tag = top.split()[0]
+    html = f'<body><div class="menu">Home</div><{top}><p>Text of the page</p><p>{"and more " * 20}</p><section {inner}><p>inner text</p></section></{tag}><div class="ads">buy</div></body>'
+    page = html_wrapper.Page(html)
+    got = html_wrapper.main_text(page, html_wrapper.plan(html_wrapper.stream(page.root))).split("\n")
+    assert got[0] == "Text of the page" and got[2:] == ["inner text"] * kept
+
+
 def test_wrapper_groups():
     a = html_wrapper.stream(html_wrapper.Page("<html><body><div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div></body></html>").root)
     b = html_wrapper.stream(html_wrapper.Page("<html><body><div><h2>a</h2><p>x</p><hr></div><p>end</p></body></html>").root)

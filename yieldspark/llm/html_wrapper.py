@@ -36,6 +36,14 @@ NAMES = re.compile(
     r"^(ads?|adverts?|advertis\w+|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|aside|widgets?|footer\w*|header\w*|masthead|topbar|cookies?|consent|gdpr|notices?|alert\w*|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|"
     r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|discussion|disclaimer|paywall|search\w*|pagination|pager|toolbar|skip)$"
 )
+#: A name that starts so says what an element has, not what it is.
+MODIFIERS = frozenset("has no non not with without is hide show".split())
+#: Of NAMES, those that also head content (related-work, search-engines): furniture alone or beside NAMES and holders only.
+DOUBTFUL = re.compile(r"^(related|recommend\w*|search\w*|discussion|notices?|alert\w*|header\w*|social|sharing|share|skip|reply|replies|respond|consent)$")
+HOLDER = re.compile(r"^(\d*|posts?|articles?|stories|items?|links?|lists?|news|media|products?|topics?|videos?|threads?|box|bar|forms?|results?|field|input|buttons?|icons?|blocks?|sections?|containers?|content|wrap|wrapper|inner|outer|area|row|col|main|site|page|top|bottom|left|right|to|js|title|text|message)$")
+#: Element furniture by name is kept after all where a page has no named main region and all else is under this share of it.
+REST = 0.1
+SURE = 2
 MAIN = re.compile(r"^(article|story|entry|post|articlebody|storybody|postbody|maincontent)$")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A constant of this many different pages is template text; on a host of fewer, one of all its pages (two at least).
@@ -49,27 +57,35 @@ WRAPPER = "host string, wrapper string"
 # is one; seen: the least hashes of the different pages that have it, up to TEMPLATE_PAGES.
 
 
-def _marks(attrs: str) -> tuple[str, bool, bool]:
-    """Class and id words that name a role, whether the element is page furniture, and whether it is a main region."""
-    names, off, main = [], False, False
+def _furniture(word: str) -> bool:
+    """Whether a class or id word names furniture."""
+    parts = re.split(r"[-_]+", word)
+    named = [x for x in parts if NAMES.match(x)]
+    if not named or parts[0] in MODIFIERS or parts == ["discussion"]:
+        return False
+    return any(not DOUBTFUL.match(x) for x in named) or all(NAMES.match(x) or HOLDER.match(x) for x in parts)
+
+
+def _marks(attrs: str) -> tuple[str, int, bool]:
+    """Class and id words that name a role, whether the element is page furniture (1 by name, SURE otherwise), and whether it is a main region."""
+    names, off, main = [], 0, False
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "itemprop"):
             for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                off |= any(NAMES.match(x) for x in parts)
+                off = max(off, int(_furniture(word)))
                 main |= bool(MAIN.match(word.replace("-", "").replace("_", "")))
                 names.append(re.sub(r"\d+", "0", word))
         elif key == "role":
-            off |= value in ROLES
+            off = SURE if value in ROLES else off
             main |= value in ("main", "article")
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            off = True
+            off = SURE
     return ".".join(sorted(set(names))), off, main
 
 
 class Page:
-    """Block tree of one page. Elements are lists [tag, off, main, children, texts]; text children are strings."""
+    """Block tree of one page. Elements are lists [tag, off, main, children]; text children are strings."""
 
     __slots__ = ("root",)
 
@@ -124,12 +140,12 @@ class Page:
                     close(k)
                 elif names[k] not in ("p", *kinds) and not kinds:
                     break
-            key, off, main = _marks(attrs) if attrs.strip() else ("", False, False)
+            key, off, main = _marks(attrs) if attrs.strip() else ("", 0, False)
             inside = any(x[2] for x in stack)
             if name in FURNITURE or (name == "header" and not inside):
-                off = True
+                off = SURE
             if name[0] == "h" and name[1:].isdigit() or name in ("html", "body"):
-                off = off and not key.strip() or "hidden" in attrs
+                off = SURE if off and not key.strip() or "hidden" in attrs else 0
             node = [f"{name}.{key}" if key else name, off, main or name in ("article", "main"), []]
             stack[-1][3].append(node)
             if name not in VOID:
@@ -137,6 +153,45 @@ class Page:
                 names.append(name)
         text.append(entities.unescape(source[at:]))
         flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Names only vote: without a named main region elsewhere, what holds one, or nearly all text, is no furniture."""
+        while True:
+            rest, main, named = 0, False, []
+            open_ = [(self.root, False)]
+            while open_:
+                node, inside = open_.pop()
+                inside = inside or node[2]
+                for c in node[3]:
+                    if isinstance(c, str):
+                        rest, main = rest + len(c), main or inside
+                    elif c[1] == 1:
+                        named.append(c)
+                    elif not c[1]:
+                        open_.append((c, inside))
+            if main or not named:
+                return
+            sizes = [_held(c) for c in named]
+            best = max(range(len(named)), key=lambda k: (sizes[k][1] > 0, sizes[k][0]))
+            if not sizes[best][1] and sizes[best][0] * REST <= rest or not sizes[best][0]:
+                return
+            named[best][1] = 0
+
+
+def _held(top: list) -> tuple[int, int]:
+    """Characters below an element that are no sure furniture, and those of them in main regions."""
+    size = region = 0
+    open_ = [(top, False)]
+    while open_:
+        node, inside = open_.pop()
+        inside = inside or node[2]
+        for c in node[3]:
+            if isinstance(c, str):
+                size, region = size + len(c), region + len(c) * inside
+            elif c[1] != SURE:
+                open_.append((c, inside))
+    return size, region
 
 
 def _fold(nodes: list[list]) -> list[list]:

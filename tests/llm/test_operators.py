@@ -167,6 +167,17 @@ def test_allowed_and_redacted(spark):
     assert not [s for s in got[1]["spans"] + got[4]["spans"] if s["kind"].startswith("entropy")]
 
 
+def test_every_candidate_is_measured(spark):
+    """Lower-case tokens with separators, letters only, and keys beside placeholders; prose names and plain placeholders are none."""
+    key = "Zx9qL3Tb7uVw2KpR8sNmQ4aB"
+    rows = [(1, "sk_live_4f9q2zk7w1xj8m3p6vtr"), (2, "k3j9-x7qm2-w8vz4-p1rt6-n5yb"), (3, "QzLpXvRtBnMkWsJdHyGcFa"), (4, f"/example/{key}"), (5, f"{key}/00000000"), (6, "your-example-placeholder-token-1a"), (7, "some/long/path/name/of/words/2024"), (8, "AbstractUserAccountController")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"].startswith("entropy")] for r in secret_scan.secrets(documents(spark, rows)).collect()}
+    kinds = {1: "token", 2: "token", 3: "mixed", 4: "base64", 5: "base64"}
+    for i, text in rows:
+        assert [(s, e) for _, s, e in got[i]] == [(0, len(text))] * (i in kinds), (text, got[i])
+    assert got[1][0][0] == got[2][0][0] == "entropy_token" and got[3][0][0] == "entropy_mixed"
+
+
 def test_language(spark):
     sf = "/root/testdata/sf0.01"
     out = language_id.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")

@@ -30,6 +30,11 @@ CLASSES: dict[str, tuple[str, float]] = {
     "alnum": (r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.7),
     "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_=-]+$", 3.9),
 }
+#: Classes of the candidates that are left, as CLASSES; the SQL of op1_secret_scan does not have them. mixed: letters whose case changes too often for words.
+LEFT: dict[str, tuple[str, float]] = {
+    "token": (r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+$", 3.8),
+    "mixed": (r"^(?=.*(?:[a-z][A-Z][A-Za-z]{0,2}){4})[A-Za-z+/_=-]+$", 4.0),
+}
 #: Candidates that are never secrets: digits and separators, UUIDs, words joined by separators, placeholders.
 ALLOWED: tuple[str, ...] = (
     r"^[0-9_=/+-]+$",
@@ -37,6 +42,8 @@ ALLOWED: tuple[str, ...] = (
     r"^[A-Za-z]+([_/=+-]+([A-Za-z]+|[0-9]{1,4}))*$",
     r"(?i)example|placeholder|changeme|your[_-]|x{6,}|0{8,}",
 )
+#: The last of ALLOWED covers what it matches, not the candidate around it. Words joined by separators are allowed in every class but mixed.
+WORDS, PLACEHOLDER = ALLOWED[2], ALLOWED[3]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "array<struct<start:long,end:long,kind:string>>"
 
@@ -91,19 +98,25 @@ def _entropy_spans(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))
     places = _spans(text, CANDIDATE, "entropy", 0, 0)
     pairs = F.zip_with(places, found, lambda p, t: F.struct(p["start"].alias("start"), p["end"].alias("end"), t.alias("token")))
-    kept = F.filter(pairs, lambda x: _secret_class(x["token"]).isNotNull())
-    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("entropy_"), _secret_class(x["token"], False)).alias("kind")))
+    found_ = F.transform(pairs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("entropy_"), _candidate_class(x["token"])).alias("kind")))
+    return F.filter(found_, lambda x: x["kind"].isNotNull())
+
+
+def _candidate_class(token: Column) -> Column:
+    """Class of the first part of the candidate, between placeholders, that is a secret; null if none is."""
+    parts = F.filter(F.split(token, PLACEHOLDER), lambda p: F.length(p) >= WINDOW)
+    return F.when(token.rlike(PLACEHOLDER), F.get(F.filter(F.transform(parts, _secret_class), lambda k: k.isNotNull()), F.lit(0))).otherwise(_secret_class(token))
 
 
-def _secret_class(token: Column, measured: bool = True) -> Column:
+def _secret_class(token: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
-        allowed = allowed | token.rlike(pattern)
+        if pattern not in (WORDS, PLACEHOLDER):
+            allowed = allowed | token.rlike(pattern)
     kind, least = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, (pattern, bits) in reversed(CLASSES.items()):
-        kind, least = F.when(token.rlike(pattern), name).otherwise(kind), F.when(token.rlike(pattern), bits).otherwise(least)
-    if not measured:
-        return kind
+    for name, (pattern, bits) in reversed((CLASSES | LEFT).items()):
+        own = token.rlike(pattern) if name == "mixed" else token.rlike(pattern) & ~token.rlike(WORDS)
+        kind, least = F.when(own, name).otherwise(kind), F.when(own, bits).otherwise(least)
     return F.when(kind.isNotNull() & ~allowed, F.when(window_entropy(token) >= least, kind))
 
 
@@ -119,7 +132,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     none = F.array().cast(SPAN)
     kinds = [F.when(F.col("text").rlike(NEEDED[k]), _spans(F.col("text"), p, k, group, least)).otherwise(none) for k, (p, group, least) in PATTERNS.items()]
     entropy = F.when(F.col("text").rlike(CANDIDATE), _entropy_spans(F.col("text"))).otherwise(none)
-    order = [*PATTERNS, *(f"entropy_{c}" for c in CLASSES)]
+    order = [*PATTERNS, *(f"entropy_{c}" for c in CLASSES | LEFT)]
     keyed = F.transform(F.concat(*kinds, entropy), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(order), s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
     return rows.select(*(["row"] if carry else []), "doc_id", F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 

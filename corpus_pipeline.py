@@ -22,9 +22,16 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language (no letter, or no text)."""
+    """Drops documents of no language (no letter, or no text); fills lang from the model where it is null.
+
+    Without a labelled text there is no model: lettered texts stay, as they are.
+    """
     model = fit(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null"))
-    return predict(docs, model, carry=True).where("lang_pred != 'und'").select("row.*")
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = predict(docs, model, carry=True).where("lang_pred != 'und'")
+    row = out["row"]
+    return out.select(*(F.coalesce(row[c], out["lang_pred"]).alias(c) if c == "lang" else row[c].alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

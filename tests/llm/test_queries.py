@@ -45,6 +45,15 @@ def test_pipeline(spark):
     assert sorted(ids(corpus_pipeline.run(spark, SF))) == sorted(ids(five))
 
 
+def test_language_stage_uses_the_model(spark):
+    rows = [(1, "le chat et la souris dans la maison", "fr"), (2, "the cat and the mouse in the house", "en"), (3, "the mouse and the cat", None), (4, "dans la maison le chat", None), (5, "12 --", None), (6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("row", F.lit(1))
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    assert {r["doc_id"]: r["lang"] for r in stage(spark, df, SF).collect()} == {1: "fr", 2: "en", 3: "en", 4: "fr"}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"]: r["lang"] for r in stage(spark, unlabelled, SF).collect()} == {1: None, 2: None, 3: None, 4: None}
+
+
 def test_stages_take_edges(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "same text " * 20, "en", "a", 200), (2, "same text " * 20, "en", "a", 200), (None, "no id here", "en", None, 10), (4, "token = abcdefghijklmnop12", "en", "b", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit(1))

@@ -1,7 +1,7 @@
 """Operator 9, substring dedup: repeated word windows behind a count-min prefilter.
 
-Each batch of documents sketches its anchors; a shard adds the partition sketches up in one count-min
-block (`DEPTH` rows of `WIDTH` counters: fixed memory, however many batches come). The block
+Each batch of documents sends its distinct anchor keys; a shard, which holds its keys from all batches, hashes
+them into one count-min block (`DEPTH` rows of `WIDTH` counters). The block saves no memory or shuffle. It
 overestimates counts, never the reverse, so a window whose anchor it puts under 2 is unique. A second
 pass groups exactly the windows that are left, so nothing is lost and nothing unique is removed.
 """
@@ -23,7 +23,7 @@ GRAM = 8
 
 
 def count_min(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Merges partition sketches in one count-min block and asks it: estimate of 2 or more."""
+    """Counts a shard's keys in one count-min block and asks it: estimate of 2 or more."""
     estimate = None
     for row in range(DEPTH):
         cell = (T.mix(keys + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(WIDTH)).astype(np.int64)

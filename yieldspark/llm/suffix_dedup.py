@@ -1,9 +1,9 @@
-"""Operator 10, suffix-array dedup: byte strings that start at two places, over blockwise suffix buckets.
+"""Operator 10, suffix-array dedup: byte strings that start at two places, by grouping anchor hashes.
 
-The suffixes that may start a repeat are dealt into buckets, each sorted on its own, so memory holds one
-bucket. Long ties are not compared byte by byte: the samples of a difference cover are ranked first, and
-a suffix goes on only if the sample inside its window has a rank that others share. The cover is
-content-defined (see _repeats): a modular cover ranks one position in eight, this one 1 in 85, and equal
+No suffix is sorted or ranked. Anchor keys (samples of a content-defined difference cover, see _repeats) are
+dealt to shards and grouped by sorting; a suffix goes on only if the sample inside its window stands at
+another place too, and is then grouped by the 64-bit hash of its bytes. A modular cover would
+take one position in eight, this one 1 in 85, and equal
 windows meet at one offset instead of one that depends on both positions.
 """
 

@@ -78,9 +78,8 @@ def test_near_duplicates(spark, texts, size, percent):
     assert got == brute.components(texts, size, percent)
 
 
-def test_near_duplicates_across_a_star(spark, monkeypatch):
-    """A chain whose ends do not link, in buckets wider than a block, keeps one component."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+def test_near_duplicates_across_a_star(spark):
+    """A chain whose ends do not link keeps one component."""
     rng = random.Random(3)
     base = [f"w{k}" for k in range(200)]
     rows = [(0, " ".join(base))]
@@ -93,6 +92,32 @@ def test_near_duplicates_across_a_star(spark, monkeypatch):
     assert got == brute.components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("edits, paired", [("delete", 32), ("mixed", 4)])
+def test_near_duplicates_in_a_wide_group(spark, monkeypatch, edits, paired):
+    """Copies on both sides of the threshold, and families of copies of one far copy; wide buckets take more stars, then blocks."""
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 2)
+    rng = random.Random(11)
+
+    def copy(words, n):
+        words = list(words)
+        for _ in range(n):
+            at, how = rng.randrange(len(words)), edits if edits != "mixed" else rng.choice(["replace", "insert", "delete"])
+            words[at : at + (how != "insert")] = [] if how == "delete" else [f"{how[0]}{rng.randrange(400)}"]
+        return words
+
+    base = [f"w{k}" for k in range(100)]
+    rows = [copy(base, rng.randrange(12)) for _ in range(160)]
+    for _ in range(8):
+        far = copy(base, 9)
+        rows += [copy(far, rng.randrange(5)) for _ in range(8)]
+    docs = list(enumerate(" ".join(r) for r in rows))
+    want = brute.components(docs, 3, 85)
+    assert len({c for _, c in want.values()}) > 20
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(documents(spark, docs), shingle=3, percent=85).collect()}
+    assert got == want
+
+
 def test_same_ids_and_null_ids(spark):
     long = " ".join(f"w{k}" for k in range(50))
     other = " ".join(f"v{k}" for k in range(50))

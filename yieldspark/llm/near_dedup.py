@@ -2,10 +2,11 @@
 
 A document is its set of word shingles. Each set gets `BUCKETS` registers: of the least hash in a bucket,
 the count of leading zeros (6 bits) and the next `MANTISSA` bits. Documents with equal sets collapse into
-one node first. Bands of registers give candidate buckets; each bucket links its members to its least
-node only (a star, not all pairs), pairs far under the threshold by the collision-corrected estimate go,
-and the others are verified on full sets. Where a bucket still spans components after that, all its
-members are compared across components in bounded blocks, so no link is lost to the star.
+one node first. Bands of registers give candidate buckets; each bucket links its members to its pivot only
+(a star, not all pairs): pairs far under the threshold by the collision-corrected estimate go, the others
+are verified on full sets. Where a star still holds several components, two members may link though neither
+links with the pivot, or one does. Such members share shingles by which they differ from the pivot, so they
+meet again in narrower buckets of those: small ones are compared pair by pair, wide ones by another star.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ BUCKETS, MANTISSA = 192, 10
 #: A link at the threshold is missed by all bands less often than this.
 MISS = 1e-6
 ROW_SLICE = 4096
-BLOCK = 128
+#: Narrowed buckets of up to PAIRED members are compared pair by pair, so a member makes at most that many rows;
+#: wider ones get another star. What ROUNDS of stars have not narrowed is compared in blocks of PAIRED.
+PAIRED, ROUNDS = 32, 5
 NODES = "doc_id long, n_shingles long, node long, registers binary"
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -107,7 +110,8 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose corrected estimate is within six standard errors of the threshold, or above."""
+    """The pairs with `near` (they may link) and `beside` (x may have a link that also links with y), both up to
+    six standard errors of the corrected estimate: two links in a row leave at least 2 t - 1 of similarity."""
     t = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +124,11 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
             chance = 0.1699 * 2.0 ** (1 - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
             jaccard = ((x == y).mean(1) - chance) / (1 - chance)
             error = np.sqrt(t * (1 - t) / np.minimum(BUCKETS, np.minimum(nx, ny)))
-            keep = (jaccard >= t - 6 * error) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
-            yield b.select(["x", "y"]).filter(pa.array(keep))
+            near = (jaccard >= t - 6 * error) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+            beside = (jaccard >= 2 * t - 1 - 6 * error) & (1 >= (2 * t - 1) * ratio)
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(near), pa.array(beside)], ["x", "y", "near", "beside"])
 
-    return pairs.mapInArrow(run, "x long, y long")
+    return pairs.mapInArrow(run, "x long, y long, near boolean, beside boolean")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -158,38 +163,89 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a bucket (key, n, node, label) with different labels, in blocks of about BLOCK."""
-
-    def block(rows: pa.Table) -> pa.Table:
-        side, label, node = (rows[c].to_numpy() for c in ("side", "label", "node"))
-        bags = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
-        size = np.array([len(x) for x in bags])
-        shingle, column = np.unique(np.concatenate(bags), return_inverse=True)
-        row = np.repeat(np.arange(len(bags)), size)
-        xs, ys = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        both = np.zeros((len(xs), len(ys)), np.float32)
-        of = np.full((2, len(bags)), -1)
-        of[0, xs], of[1, ys] = np.arange(len(xs)), np.arange(len(ys))
-        for low in range(0, len(shingle), 4096):
-            here = (column >= low) & (column < low + 4096)
-            r, c = row[here], column[here] - low
-            x, y = np.zeros((len(xs), 4096), np.float32), np.zeros((len(ys), 4096), np.float32)
-            x[of[0, r[of[0, r] >= 0]], c[of[0, r] >= 0]] = 1
-            y[of[1, r[of[1, r] >= 0]], c[of[1, r] >= 0]] = 1
-            both += x @ y.T
-        union = size[xs][:, None] + size[ys][None] - both
-        i, j = np.nonzero((100 * both >= percent * union) & (label[xs][:, None] != label[ys][None]))
-        x, y = xs[i], ys[j]
-        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-        one = np.unique(np.stack([low, high]), axis=1, return_index=True)[1]
-        return pa.table({"x": node[x[one]], "y": node[y[one]]})
-
-    cells = members.join(sets, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "shingles", side.alias("side"))
-    return cells.groupBy("key", "i", "j").applyInArrow(block, "x long, y long")
+def _buckets(members: DataFrame) -> DataFrame:
+    """(key, node) rows with n, the bucket's size, and its pivot: the member whose buckets are the largest in sum.
+
+    A group of copies of one original has it (or its nearest copy) as pivot, as most bands agree with it.
+    """
+    sized = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    central = sized.groupBy("node").agg(F.sum("n").alias("central"))
+    ranked = sized.join(central, "node")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct(F.col("central"), (-F.col("node")).alias("least"), F.col("node")))["node"].alias("pivot"))
+    return sized.join(pivots, "key")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, nx, ny, diff): shingles that only one of the two sets has; x, y and their other columns stay."""
+    own = [c for c in pairs.columns if c not in ("x", "y")]
+    kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                bags = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column("sx").to_pylist(), part.column("sy").to_pylist(), strict=True)]
+                diffs = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in bags]
+                flat = pa.array(np.concatenate(diffs) if diffs else np.zeros(0, np.int64))
+                ends = pa.array(np.cumsum([0, *(len(d) for d in diffs)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("x", "y", *own)), pa.array([len(x) for x, _ in bags], pa.int64()), pa.array([len(y) for _, y in bags], pa.int64()), pa.ListArray.from_arrays(ends, flat)],
+                    ["x", "y", *own, "nx", "ny", "diff"],
+                )
+
+    joined = pairs.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y").join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
+    return joined.select("x", "y", *own, "sx", "sy").mapInArrow(run, f"x long, y long{kinds}, nx long, ny long, diff array<long>")
+
+
+def _narrowed(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets (key, y, label, linked, n) that hold every pair which may still link two components, of a star's groups.
+
+    star has (x, y, near): pivot, member, and whether the estimate says that they may link. Let d(z) be the
+    shingles which only one of z and its pivot has. Two members link if the sets d share at least
+    (f(y) + f(z)) / 2 elements, where f(z) = |d(z)| - theta |z| and theta = (100 - percent) / (100 + percent);
+    with one of them not linked to the pivot that is over 0. So they meet in a bucket of (pivot, element), of
+    elements that several components have, and by the usual argument already in those of the rarest elements
+    of each, as many as it has over that least overlap, plus one. Members that have fewer go altogether.
+    """
+    theta = (100 - percent) / (100 + percent)
+    linked = links.select("x", "y", F.lit(True).alias("linked")).distinct()
+    of = labels.select(F.col("node").alias("y"), "label")
+    members = star.join(linked, ["x", "y"], "left").join(of, "y", "left")
+    members = members.select("x", "y", "beside", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("label", "y").alias("label"))
+    own, other = (lambda c: F.when(F.col("linked"), F.col(c))), (lambda c: F.when(~F.col("linked"), F.col(c)))
+    near = F.when(F.col("beside") & ~F.col("linked"), F.col("label"))
+    spread = members.groupBy("x").agg(F.max(own("label")).alias("own"), F.min(near).alias("a"), F.max(near).alias("b"), F.min(other("label")).alias("low"), F.max(other("label")).alias("high"))
+    # what is not beside the pivot links with nothing that links with the pivot
+    open_ = spread.select("x", F.coalesce((F.col("a") != F.col("own")) | (F.col("b") != F.col("own")), F.lit(False)).alias("both"), (F.col("low") != F.col("high")).alias("many")).where("both or many")
+    members = members.join(open_, "x").where("both or not linked").drop("beside", "both", "many")
+    found = staged(_differences(members, sets).withColumn("f", F.size("diff") - theta * F.col("ny")), "differences")
+    elements = found.select("x", "y", "label", F.explode("diff").alias("e"))
+    shared = elements.groupBy("x", "e").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("x", "e", "n")
+    rare = elements.join(shared, ["x", "e"]).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("rare"))
+    rows = found.select("x", "y", "label", "linked", "f").join(rare, ["x", "y"]).withColumn("g", F.size("rare") - F.col("f") / 2)
+    rows = staged(rows, "rare")
+    least = F.ceil((F.col("f") + F.when(F.col("linked"), F.col("f_other")).otherwise(F.least("f_other", "f_own"))) / 2 - 1e-6)
+    for _ in range(2):
+        bounds = rows.groupBy("x").agg(
+            F.min(own("f")).alias("f_own"), F.min(other("f")).alias("f_other"), F.max("g").alias("g_all"), F.max(other("g")).alias("g_other"), F.min("label").alias("low"), F.max("label").alias("high"),
+        ).where("low != high and f_other is not null").drop("low", "high")
+        partner = F.col("f") / 2 <= F.when(F.col("linked"), F.col("g_other")).otherwise(F.col("g_all")) + 1e-6
+        rows = rows.drop("overlap").join(bounds, "x").withColumn("overlap", F.greatest(least, F.lit(1)).cast("int"))
+        rows = staged(rows.where(partner & (F.size("rare") >= F.col("overlap"))).drop("f_own", "f_other", "g_all", "g_other"), "open")
+    rarest = F.slice("rare", F.lit(1), F.size("rare") - F.col("overlap") + 1)
+    cells = staged(rows.select("y", "label", "linked", F.explode(F.transform(rarest, lambda s: F.xxhash64("x", s["e"]))).alias("key")), "cells")
+    wide = cells.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("linked").alias("linked"), F.bit_xor(F.xxhash64("y")).alias("members"), F.count(F.lit(1)).alias("n"))
+    # buckets of the same members are one
+    wide = wide.where("low != high and not linked").groupBy("members").agg(F.min(F.struct("key", "n")).alias("first")).select("first.*")
+    return staged(cells.join(wide, "key"), "narrowed")
+
+
+def _paired(cells: DataFrame) -> DataFrame:
+    """All pairs x < y of a narrowed bucket that may link two components, its members met by blocks of PAIRED."""
+    blocks = F.ceil(F.col("n") / PAIRED).cast("int")
+    one = cells.select("key", F.col("y").alias("x"), F.col("label").alias("of"), F.col("linked").alias("done"), F.pmod(F.xxhash64("y"), blocks).cast("int").alias("block"))
+    two = cells.select("key", "y", "label", "linked", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return one.join(two, ["key", "block"]).where("x < y and of != label and not (done and linked)").select("x", "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -208,24 +264,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a smaller set equals all that it links with
     banded = nodes.where(F.col("n") * (100 - percent) >= percent).select("node", "registers")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // rows - 1)), lambda k: F.xxhash64(k, F.substring("registers", k * F.lit(2 * rows) + 1, F.lit(2 * rows))))
-    banded = banded.select("node", F.explode(bands).alias("key")).repartition("key")
-    buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = staged(banded.join(buckets, "key"), "hits")
-
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    star = hits.where("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
-    star = _estimated(star.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "ny", "rx", "ry"), percent)
+    hits = staged(_buckets(banded.select("node", F.explode(bands).alias("key"))), "hits")
     wanted = nodes.join(hits.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
     sets = staged(_sets(docs, wanted, shingle), "sets")
-    links = staged(_verified(star, sets, percent), "links")
-    labels = connected_components(links)
-
-    member = hits.where("n > 2").join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
-    open_ = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("node")).alias("members")).where("low != high")
-    open_ = open_.groupBy("members").agg(F.min("key").alias("key")).select("key")
-    rest = staged(_across(member.join(open_, "key", "left_semi"), sets, percent), "rest")
-    if not rest.isEmpty():
-        labels = connected_components(links.unionByName(rest))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
+    estimated = lambda pairs: staged(_estimated(pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "ny", "rx", "ry"), percent), "estimated")
+    labels, edges = None, lambda known: known.select(F.col("label").alias("x"), F.col("node").alias("y"))
+    for turn in range(ROUNDS):
+        star = estimated(hits.where("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct())
+        links = staged(_verified(star.where("near"), sets, percent), "links")
+        labels = connected_components(links if labels is None else links.unionByName(edges(labels)))
+        cells = _narrowed(star, links, labels, sets, percent)
+        small = cells if turn == ROUNDS - 1 else cells.where(F.col("n") <= PAIRED)
+        rest = staged(_verified(estimated(_paired(small)).where("near"), sets, percent), "links")
+        if not rest.isEmpty():
+            labels = connected_components(rest.unionByName(edges(labels)))
+        cells = cells.where(F.col("n") > PAIRED).select("key", F.col("y").alias("node"))
+        if cells.isEmpty():
+            break
+        hits = staged(_buckets(cells), "hits")
 
     of = nodes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))

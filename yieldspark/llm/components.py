@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from yieldspark.llm._spark import staged
@@ -11,7 +11,7 @@ from yieldspark.llm._spark import staged
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    return both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
+    return both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges, before = edges.select("x", "y"), None
     while True:
-        edges = staged(_small_star(_large_star(edges)), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first()
-        if now == before:
+        seen = Observation()
+        edges = staged(_small_star(_large_star(edges)).observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("x", "y")).alias("sum")), "stars")
+        now = seen.get
+        if now == before or not now["n"]:
             break
         before = now
     roots = edges.select(F.col("y").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("x").alias("node"), F.col("y").alias("label")).unionByName(roots)
+
+
+def grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, label) after more links x, y; staged. Only labels that the links join are run anew."""
+    if labels is None:
+        return staged(connected_components(links), "labels")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    fresh = links.select("x", "y").join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
+    fresh = staged(fresh.where("x != y").distinct(), "fresh")
+    if fresh.isEmpty():
+        return labels
+    moved = staged(connected_components(fresh), "moved").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    # a node that no link had yet is its own label
+    known = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = moved.join(labels, moved["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+    return staged(known.unionByName(new), "labels")

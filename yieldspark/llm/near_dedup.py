@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 
 from yieldspark.llm import _text as T
 from yieldspark.llm._spark import staged, table
-from yieldspark.llm.components import connected_components
+from yieldspark.llm.components import grown
 
 BUCKETS, MANTISSA = 192, 10
 #: A link at the threshold is missed by all bands less often than this.
 MISS = 1e-6
 ROW_SLICE = 4096
-#: Narrowed buckets of up to PAIRED members are compared pair by pair, so a member makes at most that many rows;
+#: Narrowed buckets of up to PAIRED members are compared pair by pair, so a member meets at most that many;
 #: wider ones get another star. What ROUNDS of stars have not narrowed is compared in blocks of PAIRED.
-PAIRED, ROUNDS = 32, 5
+PAIRED, ROUNDS = 1024, 5
+#: Ids of candidates that may be broadcast to the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 NODES = "doc_id long, n_shingles long, node long, registers binary"
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -137,15 +139,18 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y, beside) with `linked`; those not near by the estimate are not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 part = b.slice(low, 256)
                 found = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(part.column("sx").to_pylist(), part.column("sy").to_pylist(), strict=True)]
-                yield part.select(["x", "y"]).filter(pa.array(found, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("x", "y", "beside")), pa.array(found, pa.bool_())], ["x", "y", "beside", "linked"])
 
-    joined = pairs.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y").join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
-    return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    near = pairs.where("near").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y").join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
+    near = near.select("x", "y", "beside", "sx", "sy").mapInArrow(run, "x long, y long, beside boolean, linked boolean")
+    return near.unionByName(pairs.where("not near").select("x", "y", "beside", F.lit(False).alias("linked")))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -158,7 +163,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 some = pa.array(np.diff(bounds) > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(_set_hash(shingles, bounds)), pa.array(packed, pa.binary())], ["node", "shingles"]).filter(some)
 
-    wanted = nodes.select(F.col("doc_id").alias("wanted")).distinct()
+    wanted = staged(nodes.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
     return texts.mapInArrow(run, "node long, shingles binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -197,10 +203,11 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("x", "y", *own, "sx", "sy").mapInArrow(run, f"x long, y long{kinds}, nx long, ny long, diff array<long>")
 
 
-def _narrowed(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets (key, y, label, linked, n) that hold every pair which may still link two components, of a star's groups.
+def _narrowed(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets (key, y, label, linked, f, left, n) that hold every pair which may still link two components, of a
+    star's groups; left: the elements of y from the bucket's on, which bound what a pair that meets here first shares.
 
-    star has (x, y, near): pivot, member, and whether the estimate says that they may link. Let d(z) be the
+    star has (x, y, beside, linked): pivot, member, and what is known of the two. Let d(z) be the
     shingles which only one of z and its pivot has. Two members link if the sets d share at least
     (f(y) + f(z)) / 2 elements, where f(z) = |d(z)| - theta |z| and theta = (100 - percent) / (100 + percent);
     with one of them not linked to the pivot that is over 0. So they meet in a bucket of (pivot, element), of
@@ -208,10 +215,7 @@ def _narrowed(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFr
     of each, as many as it has over that least overlap, plus one. Members that have fewer go altogether.
     """
     theta = (100 - percent) / (100 + percent)
-    linked = links.select("x", "y", F.lit(True).alias("linked")).distinct()
-    of = labels.select(F.col("node").alias("y"), "label")
-    members = star.join(linked, ["x", "y"], "left").join(of, "y", "left")
-    members = members.select("x", "y", "beside", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("label", "y").alias("label"))
+    members = star.join(labels.select(F.col("node").alias("y"), "label"), "y", "left").withColumn("label", F.coalesce("label", "y"))
     own, other = (lambda c: F.when(F.col("linked"), F.col(c))), (lambda c: F.when(~F.col("linked"), F.col(c)))
     near = F.when(F.col("beside") & ~F.col("linked"), F.col("label"))
     spread = members.groupBy("x").agg(F.max(own("label")).alias("own"), F.min(near).alias("a"), F.max(near).alias("b"), F.min(other("label")).alias("low"), F.max(other("label")).alias("high"))
@@ -233,7 +237,9 @@ def _narrowed(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFr
         rows = rows.drop("overlap").join(bounds, "x").withColumn("overlap", F.greatest(least, F.lit(1)).cast("int"))
         rows = staged(rows.where(partner & (F.size("rare") >= F.col("overlap"))).drop("f_own", "f_other", "g_all", "g_other"), "open")
     rarest = F.slice("rare", F.lit(1), F.size("rare") - F.col("overlap") + 1)
-    cells = staged(rows.select("y", "label", "linked", F.explode(F.transform(rarest, lambda s: F.xxhash64("x", s["e"]))).alias("key")), "cells")
+    at = F.posexplode(F.transform(rarest, lambda s: F.xxhash64("x", s["e"]))).alias("at", "key")
+    cells = rows.select("y", "label", "linked", "f", F.size("rare").alias("held"), at)
+    cells = staged(cells.select("key", "y", "label", "linked", "f", (F.col("held") - F.col("at")).alias("left")), "cells")
     wide = cells.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("linked").alias("linked"), F.bit_xor(F.xxhash64("y")).alias("members"), F.count(F.lit(1)).alias("n"))
     # buckets of the same members are one
     wide = wide.where("low != high and not linked").groupBy("members").agg(F.min(F.struct("key", "n")).alias("first")).select("first.*")
@@ -241,11 +247,12 @@ def _narrowed(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFr
 
 
 def _paired(cells: DataFrame) -> DataFrame:
-    """All pairs x < y of a narrowed bucket that may link two components, its members met by blocks of PAIRED."""
+    """The pairs x < y of a narrowed bucket that may link two components, its members met by blocks of PAIRED."""
     blocks = F.ceil(F.col("n") / PAIRED).cast("int")
-    one = cells.select("key", F.col("y").alias("x"), F.col("label").alias("of"), F.col("linked").alias("done"), F.pmod(F.xxhash64("y"), blocks).cast("int").alias("block"))
-    two = cells.select("key", "y", "label", "linked", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return one.join(two, ["key", "block"]).where("x < y and of != label and not (done and linked)").select("x", "y").distinct()
+    one = cells.select("key", F.col("y").alias("x"), F.col("label").alias("of"), F.col("linked").alias("done"), F.col("f").alias("fx"), F.col("left").alias("most"), F.pmod(F.xxhash64("y"), blocks).cast("int").alias("block"))
+    two = cells.select("key", "y", "label", "linked", "f", "left", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    may = "x < y and of != label and not (done and linked) and 2 * least(most, left) >= f + fx - 0.000001"
+    return one.join(two, ["key", "block"]).where(may).select("x", "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -268,17 +275,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = nodes.join(hits.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
     sets = staged(_sets(docs, wanted, shingle), "sets")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    estimated = lambda pairs: staged(_estimated(pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "ny", "rx", "ry"), percent), "estimated")
-    labels, edges = None, lambda known: known.select(F.col("label").alias("x"), F.col("node").alias("y"))
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "ny", "rx", "ry")
+        return staged(_verified(staged(_estimated(both, percent), "estimated"), sets, percent), "compared")
+
+    labels = None
     for turn in range(ROUNDS):
-        star = estimated(hits.where("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct())
-        links = staged(_verified(star.where("near"), sets, percent), "links")
-        labels = connected_components(links if labels is None else links.unionByName(edges(labels)))
-        cells = _narrowed(star, links, labels, sets, percent)
-        small = cells if turn == ROUNDS - 1 else cells.where(F.col("n") <= PAIRED)
-        rest = staged(_verified(estimated(_paired(small)).where("near"), sets, percent), "links")
-        if not rest.isEmpty():
-            labels = connected_components(rest.unionByName(edges(labels)))
+        star = compared(hits.where("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct())
+        labels = grown(labels, star.where("linked"))
+        cells = _narrowed(star, labels, sets, percent)
+        labels = grown(labels, compared(_paired(cells if turn == ROUNDS - 1 else cells.where(F.col("n") <= PAIRED))).where("linked"))
         cells = cells.where(F.col("n") > PAIRED).select("key", F.col("y").alias("node"))
         if cells.isEmpty():
             break

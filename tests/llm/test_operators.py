@@ -221,6 +221,15 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, None).collect()} == {"und"}
 
 
+def test_language_sample_needs_no_ids(spark):
+    """Null or shared ids and repeated rows change nothing in the sample."""
+    rows = [("le chat et la souris dans la maison", "fr"), ("the cat and the mouse in the house", "en")]
+    plain = language_id.fit(spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(rows)], "doc_id long, text string, lang string"))
+    other = language_id.fit(spark.createDataFrame([(None, t, g) for t, g in rows * 30], "doc_id long, text string, lang string"), rows=4)
+    assert plain.languages == other.languages == ("en", "fr") and np.allclose(plain.weights, other.weights)
+    assert language_id.fit(spark.createDataFrame([(1, None, "fr"), (2, "x", None)], "doc_id long, text string, lang string")) is None
+
+
 def test_lattice_sums_segmentations():
     pieces = lm_scoring.load_pieces()
     of = dict(zip(pieces.texts, pieces.logs, strict=True))
@@ -345,6 +354,14 @@ def test_mixing_meets_targets(spark, monkeypatch):
     assert here == pytest.approx(there)
 
 
+@pytest.mark.parametrize("cells", [0, 10**6])
+def test_mixing_takes_a_target_of_zero(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    df = documents(spark, [(k, "w w w", "en" if k % 2 else "fr") for k in range(8)])
+    out = mixing.mixture(df, {"lang": {"en": 0.0, "fr": 1.0}, "source": 1.0}, {"lang": F.col("lang"), "source": F.col("source")}, rounds=3).select("row.lang", "mix.*").collect()
+    assert {(r["lang"], r["probability"]) for r in out} == {("en", 0.0), ("fr", 1.0)}
+
+
 def test_empty_tables(spark):
     none = documents(spark, [(1, "a")]).where("false")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")

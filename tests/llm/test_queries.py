@@ -65,3 +65,18 @@ def test_stages_take_edges(spark):
         out = nxt
         stage(spark, df.where("false"), SF).count()
     assert out.count() <= 4
+
+
+def test_stages_decide_by_row(spark):
+    """Rows that share an id are judged by their texts; clashing names pass through."""
+    t, u = "one text of some words " * 5, "another text that differs much " * 5
+    rows = [(1, t), (1, u), (0, u), (None, t), (None, "own words only here " * 6), (7, t), (7, t), (9, None), (9, None), (8, " ")]
+    df = spark.createDataFrame([(i, x, "en", "a", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({c: F.lit("x") for c in ("clean_text__", "n_spans__", "clean", "hit", "row", "place", "label", "worded", "spans")})
+    stages = dict(corpus_pipeline.STAGES)
+    two = stages["near_dedup"](spark, df, SF)
+    assert two.columns == df.columns
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, (r["text"] or "")[:3]) for r in two.collect())
+    assert got == [(-1, "own"), (0, "ano"), (1, "one"), (8, " "), (9, ""), (9, "")]
+    four = stages["secret_scan"](spark, df, SF)
+    assert four.columns == df.columns and four.count() == len(rows)

@@ -67,27 +67,30 @@ def _products(found: list[np.ndarray], weights: np.ndarray, flags: np.ndarray) -
 
 
 def _sampled(docs: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
-    """Up to rows // languages labelled rows of each language: the least by a hash of the id.
+    """Up to rows // languages different labelled texts of each language: the least by a hash of the text.
 
-    A language of many rows is first thinned by the same hash to about four quotas, so that few rows are
-    ranked in one task, however many it has.
+    A language of many texts is first thinned by the same hash to about four quotas, so that few rows are
+    ranked in one task, however many it has; copies of one text are one row before that.
     """
     quota = max(1, rows // len(counts))
-    share = {lang: min(1.0, (4 * quota + 64) / n) for lang, n in counts.items()}
+    share = {lang: min(1.0, (4 * quota + 64) / max(n, 1)) for lang, n in counts.items()}
     most = {lang: min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63)) for lang, s in share.items()}
-    drawn = F.xxhash64("doc_id", F.lit(17))
-    ids = docs.select("doc_id", "lang", drawn.alias("drawn")).where(F.col("drawn") <= F.create_map(*(F.lit(x) for kv in most.items() for x in kv))[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("drawn", "doc_id")
-    ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota)
-    return docs.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    drawn = docs.select("lang", "text", F.xxhash64("text", F.lit(17)).alias("drawn")).where(F.col("drawn") <= F.create_map(*(F.lit(x) for kv in most.items() for x in kv))[F.col("lang")])
+    drawn = drawn.groupBy("lang", "drawn").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("drawn")
+    return drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota).drop("place", "drawn")
 
 
 def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float = 1e-3) -> LanguageModel | None:
-    """Fits on at most `rows` labelled rows (doc_id, text, lang, none null); None if there are none.
+    """Fits on at most `rows` labelled texts (text, lang); None if there are none.
 
-    What comes to the driver is one presence bitmap (16 KB) for each of these rows, so `rows` bounds it.
+    Rows without text or lang are left out; ids are not read; copies count once, so the sample is the same
+    however rows repeat. Empty texts have no grams; of very long ones all grams count. What comes to the
+    driver is one presence bitmap (16 KB) for each of these texts, so `rows` bounds it; with more than `rows`
+    languages, those of the most texts are learned.
     """
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    counts = docs.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(17))).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
     if not counts:
         return None
     sizes = {r["lang"]: r["n"] for r in counts}
@@ -104,8 +107,10 @@ def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float =
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(packed, pa.binary())], schema=PAIR)
 
     known = docs.where(F.col("lang").isin(*languages)) if len(languages) == rows else docs
-    sample = _sampled(known, sizes, rows).select("doc_id", "lang", "text").mapInArrow(grams, "lang string, grams binary")
-    got = sorted((r["lang"], bytes(r["grams"])) for r in sample.limit(rows).collect())
+    sample = _sampled(known, sizes, rows).select("lang", "text").mapInArrow(grams, "lang string, grams binary")
+    got = sorted((r["lang"], bytes(r["grams"])) for r in sample.collect())
+    if not got:
+        return None
     bits = np.frombuffer(b"".join(g for _, g in got), np.uint8).reshape(len(got), -1)
     spread = np.random.default_rng(7).permutation(len(got))[: min(landmarks, len(got))]
     kernel, size = np.zeros((len(got), len(spread))), np.zeros(len(got))
@@ -129,7 +134,8 @@ def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float =
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1: margin of the best language over the next), a row for each input row.
 
-    `und` with score 0 for null texts, texts without a letter, and where no model could be learned.
+    `und` with score 0 for null texts, texts without a letter, and where no model could be learned. A very
+    long text is read whole, one slice of its own.
     With carry, the input row comes along as a struct `row`. Repeated rows give repeated rows; other columns
     are ignored; an empty table gives none.
     """

@@ -1,7 +1,7 @@
 """Operator 6, mixing: token weights raked to marginals, then documents sampled by calibrated probabilities.
 
 Documents fall in cells (a value of every dimension). Iterative proportional fitting scales the cells'
-token weights to each dimension's target in turn until all hold; a document's probability is its cell's
+token weights to each dimension's target in turn, for ROUNDS rounds; a document's probability is its cell's
 weight over its cell's tokens, scaled so that the largest is 1, so that the sample's expected token shares
 are the targets, without clipping.
 """
@@ -54,9 +54,10 @@ def _raked_here(cells: DataFrame, dims: tuple[str, ...], targets: dict, rounds:
         goals.append(np.array([share[n] for n in names]) * tokens.sum())
     for _ in range(rounds):
         for place, goal in zip(places, goals, strict=True):
-            weight *= (goal / np.bincount(place, weight, len(goal)))[place]
+            sums = np.bincount(place, weight, len(goal))
+            weight *= np.divide(goal, sums, out=np.zeros_like(goal), where=sums > 0)[place]
     ratio = weight / tokens
-    out = [(*(r[d] for d in dims), float(w)) for r, w in zip(rows, ratio / ratio.max(initial=0) if len(rows) else ratio, strict=True)]
+    out = [(*(r[d] for d in dims), float(w)) for r, w in zip(rows, ratio / (ratio.max(initial=0) or 1.0), strict=True)]
     return cells.sparkSession.createDataFrame(out, ", ".join(f"{d} string" for d in dims) + ", probability double")
 
 
@@ -79,9 +80,9 @@ def _raked_there(cells: DataFrame, dims: tuple[str, ...], targets: dict, rounds:
     for _ in range(rounds):
         for d in dims:
             sums = now.groupBy(d).agg(F.sum("weight").alias("sum")).join(goals[d], d)
-            now = now.join(sums, d).withColumn("weight", F.col("weight") * F.col("goal") / F.col("sum")).drop("sum", "goal")
+            now = now.join(sums, d).withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * F.col("goal") / F.col("sum")).otherwise(0.0)).drop("sum", "goal")
         now = staged(now, "cells")
-    most = now.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0]
+    most = now.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
     return now.select(*dims, (F.col("weight") / F.col("tokens") / F.lit(most)).alias("probability"))
 
 
@@ -90,7 +91,8 @@ def mixture(docs: DataFrame, targets: dict[str, dict[str, float] | float] | None
 
     dims maps dimension names to columns (by default source, lang and topic()); a null value is the value
     "(none)". Documents without a word weigh nothing and get the probability of their cell, or 1 if no
-    document of the cell has a word. selected depends on the id only (an md5 draw), so reruns and repeated
+    document of the cell has a word. A target of 0 gives its documents probability 0. Of very long texts all
+    words count. selected depends on the id only (an md5 draw), so reruns and repeated
     rows agree; a null id draws 0. Input columns stay as they are, whatever their names; an empty table
     gives none.
     """

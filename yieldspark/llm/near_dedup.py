@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.llm import _text as T
-from yieldspark.llm._spark import staged, table
+from yieldspark.llm._spark import row_of, staged, table
 from yieldspark.llm.components import grown
 
 BUCKETS, MANTISSA = 192, 10
@@ -31,7 +31,7 @@ ROW_SLICE = 4096
 PAIRED, ROUNDS = 1024, 5
 #: Ids of candidates that may be broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-NODES = "doc_id long, n_shingles long, node long, registers binary"
+NODES = "doc_id long, place long, n_shingles long, node long, registers binary"
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -100,11 +100,12 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, rows),
+                        batch.column("place").slice(row, rows),
                         pa.array(n),
                         pa.array(_set_hash(shingles, bounds), mask=n == 0),
                         pa.array([r.tobytes() if k else None for r, k in zip(registers, n, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "registers"],
+                    ["doc_id", "place", "n_shingles", "node", "registers"],
                 )
                 row += rows
 
@@ -263,8 +264,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words is one shingle; null, empty and blank texts link with nothing and are kept. Rows of one text link
     whatever their ids. A null id is kept if its component has no other id. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = staged(_sketch(docs, shingle), "sketch")
+    return _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle, percent).drop("place", "label")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The input rows, one for each component of near_duplicates: that of the least doc_id, a null id after all others.
+
+    Decided by row, whatever ids the rows share; of repeated rows one stays. Rows without a word all stay.
+    Input columns come out as they are, whatever their names; an empty table gives none.
+    """
+    row, _ = row_of(docs)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    found = _components(rows.where("worded").select("doc_id", "text"), shingle, percent)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))["place"].alias("place"))
+    kept = rows.where("worded").withColumn("place", _place()).join(first.select("place"), "place", "left_semi").dropDuplicates(["place"])
+    return kept.select("row").unionByName(rows.where("not worded").select("row")).select("row.*")
+
+
+def _place() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, place (a hash of id and text), n_shingles, component_id, label (null without shingles) and kept, of doc_id and text."""
+    sketched = staged(_sketch(docs.withColumn("place", _place()), shingle), "sketch")
     rows = band_rows(percent)
     nodes = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     nodes = staged(nodes, "nodes")
@@ -292,9 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of = nodes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    out = sketched.join(of.select("node", "label").join(least, "label").select("node", "component_id"), "node", "left")
+    out = sketched.join(of.select("node", "label").join(least, "label"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "place", "n_shingles", component.alias("component_id"), "label")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

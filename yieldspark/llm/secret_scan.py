@@ -124,8 +124,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """doc_id and `spans`: start, end (code points, end exclusive) and kind of every secret, in order.
 
     Kinds: assign, access, hex (patterns) and entropy_<class>. Spans of different kinds may overlap. Null
-    and empty texts have none. With carry, the input row comes along as a struct `row`. Repeated rows give repeated rows; other columns are ignored; an empty table
-    gives none. The order is by start, then kind as listed here, then end.
+    and empty texts have none; a very long text is read whole. With carry, the input row comes along as a
+    struct `row`. Repeated rows give repeated rows; other columns are ignored; an empty table gives none. The order is by start, then kind as listed here, then end.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([row_of(docs)[0]] if carry else []))

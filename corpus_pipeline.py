@@ -14,7 +14,7 @@ from yieldspark.llm._spark import staged, table
 from yieldspark.llm.decontamination import contamination
 from yieldspark.llm.language_id import fit, predict
 from yieldspark.llm.mixing import mixture
-from yieldspark.llm.near_dedup import near_duplicates
+from yieldspark.llm.near_dedup import one_of_each
 from yieldspark.llm.secret_scan import redact, secrets
 
 #: Python on the main path of three stages, and a corpus model: SQL cannot express run().
@@ -24,9 +24,10 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language (no letter, or no text); fills lang from the model where it is null.
 
-    Without a labelled text there is no model: lettered texts stay, as they are.
+    Without a labelled text there is no model: lettered texts stay, as they are. Repeated rows stay; very
+    long texts are read whole; ids are not read; an empty table gives none.
     """
-    model = fit(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null"))
+    model = fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     out = predict(docs, model, carry=True).where("lang_pred != 'und'")
@@ -35,30 +36,42 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: five words, similarity 0.8; rows without an id stay."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps one row of each group (five words, similarity 0.8), of the least id; rows without a word stay.
+
+    Rows count, not ids: rows that share an id are duplicates only by their texts, a null id comes after all
+    others, of repeated rows one stays. An empty table gives none.
+    """
+    return one_of_each(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark window."""
+    """Drops documents that hold a benchmark window; null and empty texts hold none. Repeated rows fare alike;
+    very long texts are scanned whole; an empty table gives none."""
     return contamination(docs, table(spark, sf_dir, "benchmark"), carry=True).where("n_hit = 0").select("row.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each secret in the text by a mark, and counts n_chars anew."""
+    """Replaces each secret in the text by a mark, and counts n_chars anew where there was one.
+
+    Null and empty texts stay as they are, as do all other columns, whatever their names; repeated rows give
+    repeated rows; very long texts are read whole; an empty table gives none.
+    """
     found = secrets(docs, carry=True)
-    whole, spans = found["row"]["text"], found["spans"]
-    text = F.when(F.size(spans) > 0, redact(whole, spans)).otherwise(whole)
-    clean = found.select("row.*", text.alias("clean_text__"), F.size(spans).alias("n_spans__"))
-    chars = F.when(F.col("n_spans__") > 0, F.length("clean_text__").cast("long")).otherwise(F.col("n_chars"))
-    own = {"text": F.col("clean_text__"), "n_chars": chars}
-    return clean.select(*(own[c].alias(c) if c in own else c for c in docs.columns))
+    row, spans = found["row"], found["spans"]
+    hit = F.size(spans) > 0
+    clean = found.select("row", F.when(hit, redact(row["text"], spans)).otherwise(row["text"]).alias("clean"), hit.alias("hit"))
+    row = clean["row"]
+    own = {"text": clean["clean"], "n_chars": F.when(clean["hit"], F.length(clean["clean"]).cast("long")).otherwise(row["n_chars"])}
+    return clean.select(*(own.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that token shares meet the targets; adds topic, n_tokens and weight (1 / probability)."""
+    """Samples documents so that token shares meet the targets; adds topic, n_tokens and weight (1 / probability).
+
+    Input columns of these three names give way to them. Null values of source and lang are a value of their
+    own; texts without a word get their cell's probability; a null id is always drawn; repeated rows fare
+    alike; an empty table gives none.
+    """
     out = mixture(docs).where("mix.selected")
     own = [c for c in docs.columns if c not in ("topic", "n_tokens", "weight")]
     row, mixed = out["row"], out["mix"]

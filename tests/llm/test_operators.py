@@ -5,10 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from yieldspark.llm import _repeats, decontamination, html_wrapper, language_id, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from yieldspark.llm import _text as T
 from yieldspark.llm.components import connected_components
 
 #: Clashing names: every helper column that an operator uses inside.
@@ -55,14 +58,28 @@ def test_batches_with_clashing_columns(spark, texts, monkeypatch):
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == sorted(want)
 
 
-def test_count_min_never_under(spark):
-    keys = np.random.default_rng(1).integers(0, 3000, 5000).astype(np.uint64)
-    weights = np.ones(5000, np.int64)
-    counts = Counter(keys.tolist())
-    mask = substring_dedup.count_min(keys, weights)
-    assert all(m for k, m in zip(keys.tolist(), mask.tolist(), strict=True) if counts[k] > 1)
-    exact = _repeats.exact(keys, weights)
-    assert [counts[k] > 1 for k in keys.tolist()] == exact.tolist()
+@given(st.lists(st.lists(st.integers(0, 60), max_size=40), min_size=1, max_size=6), st.integers(1, 12))
+@settings(max_examples=60, deadline=None)
+def test_merged_sketches_never_under(batches, bits):
+    """Cells of all batches, saturated and added up: an anchor of count 2 or more is always called repeated."""
+    sketch = substring_dedup.CountMin(bits)
+    keyed = [T.mix(np.array(b, np.uint64)) for b in batches]
+    sent = [_repeats._distinct(sketch.keys(k)) for k in keyed]
+    for keys, _ in sent:
+        assert (_repeats.unpack_keys(_repeats.pack_keys(keys, sketch.shift)) == keys).all()
+    every = np.concatenate([k for k, _ in sent])
+    chosen = np.unique(every[_repeats.exact(every, np.concatenate([t for _, t in sent]) + 1)])
+    counts = Counter(x for b in batches for x in b)
+    twice = np.array([x for x, n in counts.items() if n > 1], np.uint64)
+    assert all(T.is_in(k, chosen).all() for k in sketch.keys(T.mix(twice)))
+
+
+def test_sketch_changes_work_only(spark, texts, monkeypatch):
+    df = documents(spark, texts)
+    want = sorted(map(tuple, substring_dedup.remove_repeated_windows(df).collect()))
+    for size in (1, 10**9):  # a counter a byte, and so few that all collide
+        monkeypatch.setattr(substring_dedup, "COUNTER_BYTES", size)
+        assert sorted(map(tuple, substring_dedup.remove_repeated_windows(df).collect())) == want
 
 
 def test_pack_round_trip():
@@ -240,6 +257,9 @@ def test_lattice_sums_segmentations():
         paths = math.exp(pieces.bytes_[b[0]]) * total(b[1:])
         return paths + sum(math.exp(of[b[:k]]) * total(b[k:]) for k in range(1, len(b) + 1) if b[:k] in of)
 
+    long = np.frombuffer(("Qué_x9/" * 60).encode(), np.uint8)
+    marked = np.concatenate([np.frombuffer(lm_scoring.MARK, np.uint8), long])
+    assert len(long) >= lm_scoring.LONG and lm_scoring.long_lattice(marked, pieces) == pytest.approx(lm_scoring.lattice(marked[None], pieces)[0])
     for word in (b"thing", "été".encode(), b"zq\xff"):
         data = np.frombuffer(word, np.uint8)
         got = lm_scoring.word_logs(data, np.array([0]), np.array([len(data)]), pieces)[0]
@@ -254,11 +274,22 @@ def test_lm_base(spark, texts, monkeypatch):
     counts = Counter(w for i in split if i % 3 for w in split[i])
     ends = sum(1 for i in split if i % 3)
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    pieces = lm_scoring.load_pieces()
+    of = dict(zip(pieces.texts, pieces.logs, strict=True))
+
+    def spelled(word):
+        b, alpha = lm_scoring.MARK + word, [0.0]
+        for e in range(1, len(lm_scoring.MARK + word) + 1):
+            alpha.append(np.logaddexp.reduce([alpha[e - 1] + pieces.bytes_[b[e - 1]], *(alpha[s] + of[b[s:e]] for s in range(e) if b[s:e] in of)]))
+        return alpha[-1]
+
     for r in got:
         w = split[r["doc_id"]]
         base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and -1e9 < r["score"] < 0
+        own = [np.logaddexp(math.log(counts[x]) if counts[x] else -np.inf, math.log((v + 1) * (1 - ends / n)) + spelled(x)) - math.log(n + v + 1) for x in w]
+        assert r["score"] == pytest.approx(sum(own) / math.log(10) + math.log10((ends + (v + 1) * ends / n) / (n + v + 1)), rel=1e-9)
     alone = lm_scoring.score_documents(df.withColumn("learn", F.lit(None).cast("boolean")), "learn").first()
     assert alone["train_tokens"] == 0 and alone["n_known"] == 0
 
@@ -383,4 +414,5 @@ def test_very_long_text(spark):
     assert near_dedup.near_duplicates(df).where("kept").count() == 3
     assert quality_rules.ledger(df).count() == 3
     assert language_id.predict(df, language_id.fit(df.select("doc_id", "text").withColumn("lang", F.lit("en")))).count() == 3
-    assert lm_scoring.score_documents(df.limit(1).withColumn("learn", F.lit(True)), "learn").count() == 1
+    scores = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(df.withColumn("learn", F.col("doc_id") != 2), "learn").collect()}
+    assert len(scores) == 3 and scores[2] < 1000 * scores[3] < 0

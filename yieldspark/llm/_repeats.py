@@ -6,7 +6,8 @@ merges what it gets and sends back one bit a key. Two rounds keep this small:
 
 1. Anchors. The window's anchor is its least hashed gram of `gram` elements, so equal windows have equal
    anchors at one offset: a content-defined difference cover, of density 2 / (window - gram + 2). A
-   window whose anchor stands at one place only cannot repeat.
+   window whose anchor stands at one place only cannot repeat. What is sent of the anchors is up to the
+   prefilter: the anchors themselves (Plain), or the cells of a count-min sketch of the batch.
 2. Windows. Only those with a repeated anchor are grouped exactly, by their own hash.
 """
 
@@ -23,14 +24,24 @@ from pyspark.sql import functions as F
 from yieldspark.llm import _text as T
 from yieldspark.llm._spark import text_bytes
 
-BATCH_BYTES = 4 << 20
+#: A batch's bytes; from BATCH_BYTES * BATCHES on it grows with the corpus up to MOST_BYTES, as messages get short.
+BATCH_BYTES, MOST_BYTES, BATCHES = 4 << 20, 16 << 20, 4096
 #: A batch is over KEEP_BYTES only where one text is very long; elements are scanned PIECE_ELEMENTS at a time.
 KEEP_BYTES = 12 << 20
 PIECE_ELEMENTS = 2 << 20
 SENT = "shard int, batch long, keys binary, twice binary"
 BACK = "batch long, round int, shard int, bits binary"
-#: merge(keys, weights) -> mask of the keys that count as repeated; never false for a key of total weight 2 or more.
-Merge = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Plain:
+    """A prefilter that sends the anchors' hashes as they are. shift: low bits of its keys that are always 0."""
+
+    shift: int = 0
+
+    def keys(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """The keys whose counts must all be 2 or more for the anchor to count as repeated."""
+        return [hashes]
 
 
 @dataclass(frozen=True)
@@ -81,11 +92,12 @@ class Windows:
         at[starts + span] = least
         return grams[T.sliding(at, span + 1, np.maximum) == grams]
 
-    def candidates(self, prefix: np.ndarray, starts: np.ndarray, least: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows whose anchor is in the sorted anchors."""
+    def candidates(self, prefix: np.ndarray, starts: np.ndarray, least: np.ndarray, prefilter: Plain, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows whose anchor has all its keys among the sorted chosen ones."""
         if len(starts):
             turn = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            keep = np.repeat(T.is_in(least[turn], anchors), np.diff(np.append(turn, len(least))))
+            held = np.logical_and.reduce([T.is_in(k, chosen) for k in prefilter.keys(least[turn])])
+            keep = np.repeat(held, np.diff(np.append(turn, len(least))))
             starts = starts[keep]
         return starts, T.run_hash(prefix, starts, starts + self.width)
 
@@ -106,21 +118,24 @@ def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts > 1
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first and 6-byte differences, or whole where one is too large for that."""
-    gaps = np.diff(keys)
-    if not len(gaps) or gaps.max() >> np.uint64(48):
-        return b"8" + keys.tobytes()
-    return b"6" + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def pack_keys(keys: np.ndarray, shift: int = 0) -> bytes:
+    """Sorted keys, without their `shift` low bits, as the first and differences of as few bytes as the largest takes."""
+    if not len(keys):
+        return b""
+    own = keys >> np.uint64(shift)
+    gaps = np.diff(own)
+    size = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
+    return bytes([size, shift]) + own[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    if packed[:1] == b"8":
-        return np.frombuffer(packed, np.uint64, offset=1)
-    gaps = np.zeros(((len(packed) - 9) // 6 + 1, 8), np.uint8)
-    gaps[1:, :6] = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, 6)
-    gaps[0] = np.frombuffer(packed, np.uint8, 8, 1)
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+    if not packed:
+        return np.zeros(0, np.uint64)
+    size, shift = packed[0], packed[1]
+    gaps = np.zeros(((len(packed) - 10) // size + 1, 8), np.uint8)
+    gaps[1:, :size] = np.frombuffer(packed, np.uint8, offset=10).reshape(-1, size)
+    gaps[0] = np.frombuffer(packed, np.uint8, 8, 2)
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(shift)
 
 
 def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -128,14 +143,14 @@ def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
 
 
-def _sent(batch: int, keys: np.ndarray, twice: np.ndarray, shards: int) -> pa.Table:
+def _sent(batch: int, keys: np.ndarray, twice: np.ndarray, shards: int, shift: int = 0) -> pa.Table:
     at = shard_bounds(keys, shards)
     full = np.flatnonzero(np.diff(at))
     return pa.table(
         {
             "shard": pa.array(full, pa.int32()),
             "batch": pa.array(np.full(len(full), batch), pa.int64()),
-            "keys": pa.array([pack_keys(keys[at[s] : at[s + 1]]) for s in full], pa.binary()),
+            "keys": pa.array([pack_keys(keys[at[s] : at[s + 1]], shift) for s in full], pa.binary()),
             "twice": pa.array([np.packbits(twice[at[s] : at[s + 1]]).tobytes() for s in full], pa.binary()),
         }
     )
@@ -151,7 +166,9 @@ def _chosen(back: pa.Table, round_: int, keys: np.ndarray, shards: int) -> np.nd
 
 
 def exact(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sorts a shard's keys: its runs of equal keys, and those of weight 2 or more."""
+    """Mask of a shard's keys whose weights (1, or 2 for a batch's own repeats) add up to 2 or more."""
+    if not len(keys):
+        return np.zeros(0, bool)
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     turn = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -161,12 +178,12 @@ def exact(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merged(sent: DataFrame, round_: int, merge: Merge) -> DataFrame:
+def _merged(sent: DataFrame, round_: int) -> DataFrame:
     def shard(rows: pa.Table) -> pa.Table:
         parts = [unpack_keys(x) for x in rows["keys"].to_pylist()]
         sizes = [len(x) for x in parts]
         twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["twice"].to_pylist(), sizes, strict=True)]
-        keep = merge(np.concatenate(parts), np.concatenate(twice) + 1)
+        keep = exact(np.concatenate(parts), np.concatenate(twice) + 1)
         bits = [np.packbits(x).tobytes() for x in np.split(keep, np.cumsum(sizes)[:-1])]
         some = np.array([any(x) for x in bits], bool)
         out = {"batch": rows["batch"], "round": pa.array(np.full(len(bits), round_), pa.int32()), "shard": rows["shard"], "bits": pa.array(bits, pa.binary())}
@@ -175,17 +192,19 @@ def _merged(sent: DataFrame, round_: int, merge: Merge) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(shard, BACK)
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, first_merge: Merge, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, prefilter: Callable[[int], Plain], finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
     """finish(text, mask of its elements covered by repeated windows) for each document, as a row `doc_id, *schema`.
 
-    Null texts are empty; rows with one id each keep their own row; a null id stays null.
+    prefilter makes the first round's filter for a corpus of so many bytes. Null texts are empty; rows with
+    one id each keep their own row; a null id stays null.
     """
     total = text_bytes(docs, text_col)
-    batches = max(8, -(-total // BATCH_BYTES))
+    first = prefilter(total)
+    batches = max(8, -(-total // min(max(BATCH_BYTES, total // BATCHES), MOST_BYTES)))
     anchor_shards = max(8, total // (16 << 20))
     shards = max(8, total // (4 << 20))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(batches)).alias("batch"))
+    rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"))
     width = windows.width
 
     def scans(texts: pa.Table) -> Iterable[Iterable[tuple]]:
@@ -194,17 +213,17 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, firs
         return [list(pieces) for pieces in whole] if texts["text"].nbytes <= KEEP_BYTES else whole
 
     def anchors_of(scanned: Iterable[Iterable[tuple]]) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct([windows.anchors(grams, starts, least) for pieces in scanned for _, _, grams, starts, least in pieces])
+        return _distinct([k for pieces in scanned for _, _, grams, starts, least in pieces for k in first.keys(windows.anchors(grams, starts, least))])
 
     def send_anchors(texts: pa.Table) -> pa.Table:
-        return _sent(texts["batch"][0].as_py(), *anchors_of(scans(texts)), anchor_shards)
+        return _sent(texts["batch"][0].as_py(), *anchors_of(scans(texts)), anchor_shards, first.shift)
 
     def found(texts: pa.Table, back: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         scanned = scans(texts)
         keys = _chosen(back, 1, anchors_of(scanned)[0], anchor_shards)
         out = []
         for pieces in scanned:
-            spots = [(low, *windows.candidates(prefix, starts, least, keys)) for low, prefix, _, starts, least in pieces]
+            spots = [(low, *windows.candidates(prefix, starts, least, first, keys)) for low, prefix, _, starts, least in pieces]
             out.append((np.concatenate([at + low for low, at, _ in spots]), np.concatenate([h for *_, h in spots])))
         return out
 
@@ -221,15 +240,15 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, firs
             hits = [at[T.is_in(h, keys)] for at, h in spots]
         out: list[tuple] = []
         for k, (row, end, data, offsets) in enumerate(T.slices(texts["text"])):
-            first = T.word_bounds(data, offsets)[2] if windows.words else offsets
-            mask = T.covered(int(first[-1]), hits[k], width) if hits else np.zeros(int(first[-1]), bool)
-            out += [finish(data[offsets[i] : offsets[i + 1]].tobytes(), mask[first[i] : first[i + 1]]) for i in range(end - row)]
+            bounds = T.word_bounds(data, offsets)[2] if windows.words else offsets
+            mask = T.covered(int(bounds[-1]), hits[k], width) if hits else np.zeros(int(bounds[-1]), bool)
+            out += [finish(data[offsets[i] : offsets[i + 1]].tobytes(), mask[bounds[i] : bounds[i + 1]]) for i in range(end - row)]
         kinds = names(schema)
         columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
         return pa.table({"doc_id": texts["doc_id"].cast(pa.int64())} | {n: pa.array(c, kind) for (n, kind), c in zip(kinds.items(), columns, strict=True)})
 
-    anchored = _merged(rows.groupBy("batch").applyInArrow(send_anchors, SENT), 1, first_merge)
-    windowed = _merged(rows.groupBy("batch").cogroup(anchored.groupBy("batch")).applyInArrow(send_windows, SENT), 2, exact)
+    anchored = _merged(rows.groupBy("batch").applyInArrow(send_anchors, SENT), 1)
+    windowed = _merged(rows.groupBy("batch").cogroup(anchored.groupBy("batch")).applyInArrow(send_windows, SENT), 2)
     return rows.groupBy("batch").cogroup(anchored.unionByName(windowed).groupBy("batch")).applyInArrow(result, f"doc_id long, {schema}")
 
 

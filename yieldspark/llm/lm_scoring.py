@@ -12,6 +12,7 @@ to key shards, which add them up and send each batch the totals of its own words
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -29,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_BYTES = 8 << 20
 MARK = "▁".encode()
 ROWS = 16384
+#: Words of this many bytes or more go one by one, LONG_SLICE bytes of places at a time.
+LONG, LONG_SLICE = 256, 1 << 20
 SENT = "shard int, batch long, keys binary, counts binary"
 BACK = "shard int, batch long, counts binary, n_tokens long, n_words long"
 
@@ -87,6 +90,31 @@ def load_pieces(path: str = VOCABULARY) -> Pieces:
     return Pieces(tuple(keep), logs[list(keep.values())] - total, fallback - total)
 
 
+def long_lattice(word: np.ndarray, pieces: Pieces) -> float:
+    """lattice() of one word of any length: the pieces at all places are found at once, then one pass sums them."""
+    n = len(word)
+    ends, starts, logs = [np.arange(1, n + 1)], [np.arange(n)], [pieces.bytes_[word]]
+    for low in range(0, n, LONG_SLICE):
+        part = word[low : low + LONG_SLICE + pieces.lengths[-1]]
+        prefix = T.prefix_hash(T.byte_values(part))
+        for size in pieces.lengths:
+            at = np.arange(min(LONG_SLICE, n - low, max(0, len(part) - size + 1)))
+            place = pieces.find(T.run_hash(prefix, at, at + size))
+            hit = np.flatnonzero(place >= 0)
+            ends.append(low + hit + size)
+            starts.append(low + hit)
+            logs.append(pieces.logs[place[hit]])
+    end = np.concatenate(ends)
+    order = np.argsort(end, kind="stable")
+    start, log, cuts = np.concatenate(starts)[order].tolist(), np.concatenate(logs)[order].tolist(), np.searchsorted(end[order], np.arange(1, n + 2)).tolist()
+    alpha = [0.0] * (n + 1)
+    for k in range(n):
+        terms = [alpha[start[i]] + log[i] for i in range(cuts[k], cuts[k + 1])]
+        most = max(terms)
+        alpha[k + 1] = most + math.log(sum([math.exp(t - most) for t in terms]))
+    return alpha[n]
+
+
 def lattice(words: np.ndarray, pieces: Pieces) -> np.ndarray:
     """log of the summed weight of all segmentations; words is a matrix of words of one length, a row each."""
     rows, n = words.shape
@@ -118,6 +146,9 @@ def word_logs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pi
     mark = np.frombuffer(MARK, np.uint8)
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         n = int(size[order[low]])
+        if n >= LONG:
+            out[order[low:high]] = [long_lattice(np.concatenate([mark, data[starts[w] : ends[w]]]), pieces) for w in order[low:high]]
+            continue
         step = max(1, min(ROWS, (1 << 22) // (n + 4)))
         for k in range(low, high, step):
             rows = order[k : min(k + step, high)]
@@ -180,7 +211,7 @@ def score_documents(docs: DataFrame, learn: str, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     batches = max(8, -(-text_bytes(docs, text_col) // BATCH_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(batches)))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
     shards = batches
     sent = rows.groupBy("batch").applyInArrow(lambda t: _send(t, shards), SENT)
     back = staged(sent.groupBy("shard").applyInArrow(_add_up, BACK), "counts")

@@ -1,13 +1,16 @@
 """Operator 9, substring dedup: repeated word windows behind a count-min prefilter.
 
-Each batch of documents sends its distinct anchor keys; a shard, which holds its keys from all batches, hashes
-them into one count-min block (`DEPTH` rows of `WIDTH` counters). The block saves no memory or shuffle. It
-overestimates counts, never the reverse, so a window whose anchor it puts under 2 is unique. A second
-pass groups exactly the windows that are left, so nothing is lost and nothing unique is removed.
+Each batch of documents counts its windows' anchors (see _repeats) in a count-min sketch of `DEPTH` rows, whose
+counters saturate at 2. Its width grows with the corpus, so a batch's sketch is sparse and travels as its
+non-zero cells, dealt to blocks of cells; a block adds up the sketches of all batches and tells each batch
+which of its cells reach 2. An anchor is repeated by estimate if its cells in all rows do. The sum never
+underestimates, so a window whose anchor is not is unique. A second pass groups exactly the windows that are
+left, so nothing is lost and nothing unique is removed.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -18,18 +21,29 @@ from yieldspark.llm import _text as T
 from yieldspark.llm._repeats import Windows, repeated
 from yieldspark.llm._spark import table
 
-DEPTH, WIDTH = 4, 1 << 19
+DEPTH = 2
+#: Bytes of text for a counter of a row: about 16 counters an anchor, as words have some 6 bytes and anchors some 14 words.
+COUNTER_BYTES = 5
 GRAM = 8
 
 
-def count_min(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Counts a shard's keys in one count-min block and asks it: estimate of 2 or more."""
-    estimate = None
-    for row in range(DEPTH):
-        cell = (T.mix(keys + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(WIDTH)).astype(np.int64)
-        counts = np.bincount(cell, weights, WIDTH)[cell]
-        estimate = counts if estimate is None else np.minimum(estimate, counts)
-    return estimate > 1
+@dataclass(frozen=True)
+class CountMin:
+    """DEPTH rows of 2 ** bits counters; a key is a row's number and a cell's, in the top bits."""
+
+    bits: int
+
+    @classmethod
+    def of(cls, total: int) -> CountMin:
+        return cls(max(8, (total // COUNTER_BYTES).bit_length()))
+
+    @property
+    def shift(self) -> int:
+        return 64 - self.bits - (DEPTH - 1).bit_length()
+
+    def keys(self, hashes: np.ndarray) -> list[np.ndarray]:
+        cell = lambda row: T.mix(hashes + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - self.bits)
+        return [(np.uint64(row << self.bits) | cell(row)) << np.uint64(self.shift) for row in range(DEPTH)]
 
 
 def _keep(text: bytes, removed: np.ndarray) -> tuple[int, int, str]:
@@ -45,7 +59,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     twice is a repeat of itself; other columns are ignored, whatever their names; an empty table gives none.
     """
     windows = Windows(window, min(GRAM, window), words=True)
-    return repeated(docs, id_col, text_col, windows, count_min, _keep, "n_words long, n_removed long, kept_text string")
+    return repeated(docs, id_col, text_col, windows, CountMin.of, _keep, "n_words long, n_removed long, kept_text string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

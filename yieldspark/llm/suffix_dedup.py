@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.llm._repeats import Windows, exact, repeated
+from yieldspark.llm._repeats import Plain, Windows, repeated
 from yieldspark.llm._spark import table
 
 GRAM = 32
@@ -35,7 +35,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row twice is a repeat of itself; other columns are ignored; an empty table gives none.
     """
     windows = Windows(length, min(GRAM, length), words=False)
-    return repeated(docs, id_col, text_col, windows, exact, _keep, "n_bytes long, n_removed long, n_spans long, kept binary")
+    return repeated(docs, id_col, text_col, windows, lambda total: Plain(), _keep, "n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

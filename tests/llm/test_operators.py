@@ -359,6 +359,43 @@ def test_names_only_vote(top, inner, kept):
     assert got[0] == "Text of the page" and got[2:] == ["inner text"] * kept
 
 
+def test_headings_math_and_discussion_stay():
+    html = '<body><article><div class="post-header"><h1>Title</h1></div><p>Let <math><mi>x</mi></math> be</p><section class="results-discussion"><p>We found</p></section><div class="discussion-list"><p>Bob wrote</p></div></article></body>'
+    page = html_wrapper.Page(html)
+    assert html_wrapper.main_text(page, html_wrapper.plan(html_wrapper.stream(page.root))) == "Title\nLet x be\nWe found"
+
+
+@pytest.mark.parametrize("depth", [50, 900, 10_000])
+def test_deep_pages(spark, depth):
+    """Text at any depth stays in page order; furniture goes at any depth."""
+    page = "<body><article>" + "".join(f"<div>t{k}" for k in range(depth)) + '<nav>menu<div>home</div></nav><p>own {}</p>' + "".join(f"</div>u{k}" for k in range(depth)) + "</article></body>"
+    rows = [(k, "http://deep/", page.format(k)) for k in range(3)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # texts that all pages share are constants: own text is what is left
+    assert [got[k] for k in range(3)] == [[f"own {k}"] for k in range(3)]
+    alone = html_wrapper.Page(page.format("x"))
+    text = html_wrapper.main_text(alone, {"main": None, "constants": []}).split("\n")
+    assert text == [*(f"t{k}" for k in range(depth)), "own x", *(f"u{k}" for k in range(depth))]
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_aligned_places(xs, ys):
+    """The table gives a longest common subsequence; both ways give common ones, in order."""
+    from functools import cache
+
+    @cache
+    def longest(i, j):
+        return 0 if i == len(xs) or j == len(ys) else longest(i + 1, j + 1) + 1 if xs[i] == ys[j] else max(longest(i + 1, j), longest(i, j + 1))
+
+    for table in (html_wrapper.TABLE, 0):
+        old, html_wrapper.TABLE = html_wrapper.TABLE, table
+        got = html_wrapper.common_places(xs, ys)
+        html_wrapper.TABLE = old
+        assert all(xs[i] == ys[j] for i, j in got) and got == sorted(set(got)) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+        assert not table or len(got) == longest(0, 0)
+
+
 def test_wrapper_groups():
     a = html_wrapper.stream(html_wrapper.Page("<html><body><div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div></body></html>").root)
     b = html_wrapper.stream(html_wrapper.Page("<html><body><div><h2>a</h2><p>x</p><hr></div><p>end</p></body></html>").root)

@@ -11,6 +11,7 @@ wrapper's mass gives, and drops its constants; texts of a repeated group are slo
 
 from __future__ import annotations
 
+import difflib
 import hashlib
 import html as entities
 import json
@@ -24,10 +25,16 @@ from pyspark.sql import functions as F
 from yieldspark.llm._spark import staged, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-RAW = frozenset("script style noscript template iframe svg math textarea select button datalist object canvas audio video head title".split())
+RAW = frozenset("script style noscript template iframe svg textarea select button datalist object canvas audio video head title".split())
 RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr header footer nav aside form fieldset details summary center dialog menu".split())
 VOID = frozenset(["hr"])
+#: Elements deeper than this give their text to the element at this depth, in page order; furniture stays furniture.
+DEPTH = 100
+#: Two lists of siblings whose tags make a larger table than this are matched in linear memory.
+TABLE = 250_000
+#: Wrappers of a host's batches are merged in so many groups first.
+GROUPS = 64
 #: An element whose start ends open elements of these names up to the nearest of its bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 FURNITURE = frozenset("nav footer aside form fieldset dialog menu".split())
@@ -57,23 +64,25 @@ WRAPPER = "host string, wrapper string"
 # is one; seen: the least hashes of the different pages that have it, up to TEMPLATE_PAGES.
 
 
-def _furniture(word: str) -> bool:
-    """Whether a class or id word names furniture."""
+def _furniture(word: str, inside: bool) -> bool:
+    """Whether a class or id word names furniture; inside a main region a header is the article's own."""
     parts = re.split(r"[-_]+", word)
     named = [x for x in parts if NAMES.match(x)]
-    if not named or parts[0] in MODIFIERS or parts == ["discussion"]:
+    if not named or parts[0] in MODIFIERS or "discussion" in parts and set(parts) <= {"discussion", "results", "section", "text", "content"}:
+        return False
+    if inside and all(x.startswith("header") for x in named):
         return False
     return any(not DOUBTFUL.match(x) for x in named) or all(NAMES.match(x) or HOLDER.match(x) for x in parts)
 
 
-def _marks(attrs: str) -> tuple[str, int, bool]:
+def _marks(attrs: str, inside: bool) -> tuple[str, int, bool]:
     """Class and id words that name a role, whether the element is page furniture (1 by name, SURE otherwise), and whether it is a main region."""
     names, off, main = [], 0, False
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "itemprop"):
             for word in value.split():
-                off = max(off, int(_furniture(word)))
+                off = max(off, int(_furniture(word, inside)))
                 main |= bool(MAIN.match(word.replace("-", "").replace("_", "")))
                 names.append(re.sub(r"\d+", "0", word))
         elif key == "role":
@@ -91,7 +100,8 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.root = ["", False, False, []]
-        stack, names = [self.root], [""]
+        # an open element's node, or below DEPTH the node that takes its text
+        stack, names, inner = [self.root], [""], [False]
         text: list[str] = []
         at = 0
 
@@ -103,7 +113,7 @@ class Page:
                     stack[-1][3].append(" ".join(words))
 
         def close(k: int) -> None:
-            del stack[k:], names[k:]
+            del stack[k:], names[k:], inner[k:]
 
         while True:
             m = TOKEN.search(source, at)
@@ -119,7 +129,7 @@ class Page:
             if name in RAW:
                 if not end and not attrs.endswith("/"):
                     stop = RAW_END[name].search(source, at)
-                    at = stop.end() if stop else at if name in ("head", "title", "object", "noscript", "svg", "math", "button", "select", "audio", "video") else len(source)
+                    at = stop.end() if stop else at if name in ("head", "title", "object", "noscript", "svg", "button", "select", "audio", "video") else len(source)
                 continue
             if name == "br":
                 text.append(" ")
@@ -140,17 +150,21 @@ class Page:
                     close(k)
                 elif names[k] not in ("p", *kinds) and not kinds:
                     break
-            key, off, main = _marks(attrs) if attrs.strip() else ("", 0, False)
-            inside = any(x[2] for x in stack)
+            inside = inner[-1]
+            key, off, main = _marks(attrs, inside) if attrs.strip() else ("", 0, False)
             if name in FURNITURE or (name == "header" and not inside):
                 off = SURE
             if name[0] == "h" and name[1:].isdigit() or name in ("html", "body"):
                 off = SURE if off and not key.strip() or "hidden" in attrs else 0
             node = [f"{name}.{key}" if key else name, off, main or name in ("article", "main"), []]
-            stack[-1][3].append(node)
+            if len(stack) > DEPTH and not (off and not stack[-1][1]):
+                node = stack[-1]
+            else:
+                stack[-1][3].append(node)
             if name not in VOID:
                 stack.append(node)
                 names.append(name)
+                inner.append(inside or node[2])
         text.append(entities.unescape(source[at:]))
         flush()
         self._settle()
@@ -237,6 +251,20 @@ def _aligned(xs: list[list], ys: list[list], within: bool = False) -> list[list]
     kx, ky = [_tag(n) for n in xs], [_tag(n) for n in ys]
     if kx == ky:
         return [_align(a, b, a[1] if within else a[1] + b[1], within) for a, b in zip(xs, ys, strict=True)]
+    out, i, j = [], 0, 0
+    for x, y in [*common_places(kx, ky), (len(kx), len(ky))]:
+        out += xs[i:x] + ys[j:y]
+        if x < len(kx):
+            out.append(_align(xs[x], ys[y], xs[x][1] if within else xs[x][1] + ys[y][1], within))
+        i, j = x + 1, y + 1
+    return out
+
+
+def common_places(kx: list[str], ky: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of lists over TABLE, of long common runs one in another instead."""
+    if len(kx) * len(ky) > TABLE:
+        blocks = difflib.SequenceMatcher(None, kx, ky, autojunk=False).get_matching_blocks()
+        return [(a + k, b + k) for a, b, n in blocks for k in range(n)]
     best = [[0] * (len(ky) + 1) for _ in range(len(kx) + 1)]
     for i in range(len(kx) - 1, -1, -1):
         for j in range(len(ky) - 1, -1, -1):
@@ -244,15 +272,13 @@ def _aligned(xs: list[list], ys: list[list], within: bool = False) -> list[list]
     out, i, j = [], 0, 0
     while i < len(kx) and j < len(ky):
         if kx[i] == ky[j]:
-            out.append(_align(xs[i], ys[j], xs[i][1] if within else xs[i][1] + ys[j][1], within))
+            out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(xs[i])
             i += 1
         else:
-            out.append(ys[j])
             j += 1
-    return out + xs[i:] + ys[j:]
+    return out
 
 
 def _hash(*parts: str) -> str:
@@ -394,9 +420,11 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             yield pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array([json.dumps(w) for w in hosts.values()], pa.string())], ["host", "wrapper"])
 
     def of_host(rows: pa.Table) -> pa.Table:
-        return pa.table({"host": rows["host"].slice(0, 1), "wrapper": [json.dumps(merge([json.loads(w) for w in rows["wrapper"].to_pylist()]))]})
+        return pa.table({"host": rows["host"].slice(0, 1), "wrapper": [json.dumps(merge([json.loads(w) for w in sorted(rows["wrapper"].to_pylist())]))]})
 
-    return pages.select(*_host_and_html(url_col, html_col)).mapInArrow(of_batch, WRAPPER).groupBy("host").applyInArrow(of_host, WRAPPER)
+    batches = pages.select(*_host_and_html(url_col, html_col)).mapInArrow(of_batch, WRAPPER)
+    grouped = batches.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(GROUPS)).alias("part")).applyInArrow(of_host, WRAPPER)
+    return grouped.groupBy("host").applyInArrow(of_host, WRAPPER)
 
 
 def _host_and_html(url_col: str, html_col: str) -> tuple[Column, Column]:
@@ -407,9 +435,9 @@ def _host_and_html(url_col: str, html_col: str) -> tuple[Column, Column]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text (main text, "" if none) of every page, under its host's wrapper.
 
-    Null html is empty; a null or hostless url falls under the host ""; broken, cut and very long markup is
-    read as far as it goes; repeated rows give repeated rows; other columns are ignored; an empty table
-    gives none.
+    Null html is empty; a null or hostless url falls under the host ""; broken and cut markup is read as far
+    as it goes, very long and very deep markup to its end; repeated rows give repeated rows; other columns
+    are ignored; an empty table gives none.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), *(_host_and_html(url_col, html_col)))
 

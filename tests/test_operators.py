@@ -213,3 +213,64 @@ def test_running_sums_within_keys(spark):
     x = pd.DataFrame({"k": rng.integers(0, 3, 200), "t": rng.permutation(200), "v": rng.integers(0, 9, 200)})
     got = running_sums(spark.createDataFrame(x), [F.col("t")], {"s": F.col("v")}, ranges=6, keys=["k"]).toPandas().sort_values(["k", "t"])
     assert (got["s"] == got.groupby("k")["v"].cumsum()).all()
+
+
+def test_fisher_tails():
+    """Outward sums equal full enumeration; large margins need few terms."""
+    import math
+
+    from yieldspark.operators.eda import _two_sided
+
+    def plain(a, b, c, d):
+        row, col, n = a + b, a + c, a + b + c + d
+        ps = {x: math.comb(row, x) * math.comb(n - row, col - x) for x in range(max(0, row + col - n), min(row, col) + 1)}
+        return sum(p for p in ps.values() if p <= ps[a] * (1 + 1e-7)) / math.comb(n, col)
+
+    for t in [(3, 1, 1, 3), (0, 5, 7, 2), (10, 0, 0, 10), (5, 5, 5, 5), (1, 0, 0, 0), (0, 3, 0, 9), (200, 300, 310, 190), (17, 900, 3, 40)]:
+        assert _two_sided(*t) == pytest.approx(plain(*t), rel=1e-6)
+    assert _two_sided(0, 0, 0, 0) == 1.0 and 0 < _two_sided(5_000_000, 5_001_000, 5_000_500, 5_000_000) <= 1
+
+
+def test_create_and_refresh(spark, tmp_path):
+    from yieldspark.sources import registry
+
+    path = f"file://{tmp_path}/t"
+    assert registry.create_table(spark, path, "k long, v string").count() == 0
+    registry.full_refresh(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), path)
+    assert registry.create_table(spark, path, "k long, v string").count() == 2
+    out = registry.full_refresh(spark.read.parquet(path).where("k = 2"), path)
+    assert [tuple(r) for r in out.collect()] == [(2, "b")]
+    with pytest.raises(ValueError, match="schema"):
+        registry.create_table(spark, path, "k long")
+
+
+def test_retrain_decision(spark, tmp_path):
+    from yieldspark.operators import monitoring
+
+    def of(text, **more):
+        (tmp_path / "l.csv").write_text(text)
+        got = monitoring.retrain_decision(spark, f"file://{tmp_path}/l.csv", **more)
+        return got["verdict"], got["exit_code"]
+
+    assert monitoring.retrain_decision(spark, f"file://{tmp_path}/none.csv")["verdict"] == "NO_DATA"
+    assert of("") == ("EMPTY", 0) and of("run_id,max_delta\n") == ("EMPTY", 0)
+    assert of("run_id,max_delta\na,0.01\nb,0.3\n") == ("RETRAIN_RECOMMENDED", 1)
+    assert of("run_id,max_delta\na,0.01\nb,0.3\n", consecutive=2) == ("IN_CONTROL", 0)
+    assert of("run_id,x\na,1\n") == ("NO_METRICS", 0) and of("run_id,max_delta\na,z\n") == ("NO_VALID_RECORDS", 0)
+    assert of("max_delta\n0.3\n", order="run_id")[0] == "ERROR"
+
+
+def test_reconcile_chain_and_summary(spark, tmp_path):
+    from yieldspark.operators import monitoring
+    from yieldspark.sources import artifacts
+
+    a = spark.createDataFrame([(k, k / 10) for k in range(6)], "k long, p double")
+    verdict = lambda ref, **more: monitoring.reconcile(a, ref, "p", "q", key="k", order="k", ref_order="line", **more).first()["verdict"]
+    ref = lambda rows: spark.createDataFrame(rows, "line long, q double")
+    assert verdict(ref([(k, k / 10) for k in range(6)])) == "pass"
+    assert verdict(ref([(-k, k / 10) for k in range(6)])) == "pass_values_only"
+    assert verdict(ref([(k, 0.5) for k in range(6)])) == "fail_values" and verdict(ref([(0, 0.0)])) == "fail_length"
+    assert monitoring.reconcile(a, a.withColumnRenamed("p", "q"), "p", "q", key="k").first()["verdict"] == "pass"
+    folder = f"file://{tmp_path}/run"
+    artifacts.write_json(spark, {"n": 3}, f"{folder}/scorecard.json")
+    assert artifacts.batch_summary(spark, folder) == {"scorecard": {"n": 3}, "reconciliation": {}}

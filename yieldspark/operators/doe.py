@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import inverse_logit, logit
 from yieldspark.operators.features import missingness_features
-from yieldspark.operators.ordering import column_quantiles, grouped_quantiles
+from yieldspark.operators.ordering import column_quantiles, grouped_quantiles, positions
 
 MIN_BACKGROUND = 20
 
@@ -24,8 +24,9 @@ def factor_levels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def rank_factors(candidates: DataFrame, first: str, factor: str = "factor", importance: str = "importance") -> DataFrame:
     """`first` leads, then importance descending with unknown ones last, then by name."""
-    order = Window.orderBy(F.when(F.col(factor) == first, 0).otherwise(1), F.desc_nulls_last(importance), factor)  # a row a factor
-    return candidates.withColumn("place", F.row_number().over(order).cast("long"))
+    order = [F.when(F.col(factor) == first, 0).otherwise(1), F.col(importance).isNull(), -F.col(importance), F.col(factor)]
+    placed = positions(candidates, order, "place")
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 def coded_design(factors: list[str], generator: str | None = None) -> list[tuple[int, ...]]:

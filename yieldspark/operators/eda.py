@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from yieldspark.operators.ordering import column_quantiles, look_back, quantile_edges, running_sums
 from yieldspark.operators.quality import long_form
-from yieldspark.sources.staging import stage
+from yieldspark.sources.staging import checked, stage
 
 
 def shape_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -137,23 +137,50 @@ def dropout_cliques(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return rows.select("column_name", F.col("m.n").alias("n_missing"), F.min("column_name").over(Window.partitionBy("m.n", "m.h")).alias("clique"))
 
 
+def _two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Sum of the tables of equal margins no likelier than the seen one: two tails, each summed outward until nothing is left."""
+    row, col, n = a + b, a + c, a + b + c + d
+    if not n:
+        return 1.0
+    low, high = max(0, row + col - n), min(row, col)
+    of = lambda *xs: sum(math.lgamma(x + 1) for x in xs)
+    log = lambda x: of(row, n - row, col, n - col) - of(n, x, row - x, col - x, n - row - col + x)
+    seen, mode, total = log(a) + 1e-7, min(high, max(low, (row + 1) * (col + 1) // (n + 2))), 0.0
+    for step, near, far in ((-1, mode, low), (1, mode + 1, high)):
+        inside, outside = near - step, far + step  # first place no likelier than the seen table, by halving
+        while abs(outside - inside) > 1:
+            middle = (inside + outside) // 2
+            inside, outside = (inside, middle) if log(middle) <= seen else (middle, outside)
+        at = outside
+        while (far - at) * step >= 0:
+            x = np.arange(at, at + step * min(4096, abs(far - at) + 1), step, dtype=float)
+            up = np.log((row - x[:-1]) * (col - x[:-1])) - np.log((x[:-1] + 1) * (n - row - col + x[:-1] + 1)) if step > 0 else np.log(x[:-1] * (n - row - col + x[:-1])) - np.log((row - x[:-1] + 1) * (col - x[:-1] + 1))
+            more = float(np.exp(log(at) + np.concatenate([[0.0], np.cumsum(up)])).sum())
+            total, at = total + more, at + step * len(x)
+            if more < 1e-17 * total:
+                break
+    return min(1.0, total)
+
+
 def fisher_exact(tables: DataFrame, key: str) -> DataFrame:
-    """key, p: two-sided Fisher test of the 2 x 2 counts a, b, c, d (sum of tables no likelier than the seen one)."""
+    """key, p: two-sided Fisher test of the 2 x 2 counts a, b, c, d (sum of tables no likelier than the seen one).
+
+    A row of any counts takes a few thousand terms, not one for each table of its margins.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log = np.vectorize(math.lgamma, otypes=[float])
         for t in batches:
-            out = []
-            for a, b, c, d in t[["a", "b", "c", "d"]].itertuples(index=False):
-                row, col, n = a + b, a + c, a + b + c + d
-                x = np.arange(max(0, row + col - n), min(row, col) + 1)
-                p = np.exp(log(row + 1) + log(n - row + 1) + log(col + 1) + log(n - col + 1) - log(n + 1) - log(x + 1) - log(row - x + 1) - log(col - x + 1) - log(n - row - col + x + 1))
-                out.append(float(min(1.0, p[p <= p[x == a][0] * (1 + 1e-7)].sum())) if n else 1.0)
-            yield t[[key]].assign(p=out)
+            yield t[[key]].assign(p=[_two_sided(*map(int, x)) for x in t[["a", "b", "c", "d"]].itertuples(index=False)])
 
     return tables.select(key, "a", "b", "c", "d").mapInPandas(run, f"{key} {dict(tables.dtypes)[key]}, p double")
 
 
+def group_offset(rows: DataFrame, keys: list[str], value: str, name: str = "offset") -> DataFrame:
+    """rows with value less its group's least value; null where the value is."""
+    least = checked(rows.groupBy(*keys).agg(F.min(value).alias("least__")), "least")
+    return rows.join(least, keys, "left").withColumn(name, F.col(value) - F.col("least__")).drop("least__")
+
+
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 32) -> DataFrame:
     """column_name, mi: mutual information (nats) of each column, in quantile bins, with a discrete label.
 

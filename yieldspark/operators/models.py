@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yieldspark.operators.metrics import average_precision, brier, roc_auc, threshold_table
 from yieldspark.operators.ordering import positions
+from yieldspark.sources.staging import stage
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 1, seed: int = 1337) -> DataFrame:
@@ -43,24 +46,89 @@ def isotonic(df: DataFrame, score: str, label: str):
     return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="p_cal").fit(df)
 
 
-def encode_missing(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
-    """Nulls as a value below the column's minimum, with a flag column each, so that trees can part them."""
-    low = df.agg(*(F.min(c).alias(c) for c in columns)).first()
-    flags = {f"{c}__null": F.col(c).isNull().cast("double") for c in columns}
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(low[c] if low[c] is not None else 0.0) - 1.0)) for c in columns}
-    return df.withColumns(flags).withColumns(filled), [*columns, *flags]
+def lowest(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Each column's minimum over the training rows (0 where all are null): what encode_missing puts nulls below."""
+    low = df.agg(*(F.min(F.col(c).cast("double")).alias(c) for c in columns)).first()
+    return {c: 0.0 if low[c] is None else float(low[c]) for c in columns}
 
 
-def boosted_trees(df: DataFrame, columns: list[str], label: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 1337):
-    """Gradient-boosted trees, classes weighted to balance; returns (model, encoded columns)."""
+def encode_missing(df: DataFrame, low: dict[str, float]) -> tuple[DataFrame, list[str]]:
+    """Nulls as a value below the training minimum, with a flag column each, so that trees can part them."""
+    flags = {f"{c}__null": F.col(c).isNull().cast("double") for c in low}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(least - 1.0)) for c, least in low.items()}
+    return df.withColumns(flags).withColumns(filled), [*low, *flags]
+
+
+def boosted_trees(df: DataFrame, columns: list[str], label: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 1337, valid: str | None = None):
+    """Gradient-boosted trees over encoded columns, classes weighted to balance.
+
+    valid names a boolean column: its rows are not fitted, and growing stops once the loss on them no longer falls.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    n1, n0 = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    fitted = df.where(~F.col(valid)) if valid else df
+    n1, n0 = fitted.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
     weighted = df.withColumn("weight__", F.when(F.col(label) == 1, n0 / max(n1, 1)).otherwise(1.0))
-    steps = [VectorAssembler(inputCols=columns, outputCol="features__"), GBTClassifier(featuresCol="features__", labelCol=label, weightCol="weight__", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, predictionCol="pred__").setProbabilityCol("prob__").setRawPredictionCol("raw__")]
-    return Pipeline(stages=steps).fit(weighted)
+    trees = GBTClassifier(featuresCol="features__", labelCol=label, weightCol="weight__", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, predictionCol="pred__").setProbabilityCol("prob__").setRawPredictionCol("raw__")
+    if valid:
+        trees = trees.setValidationIndicatorCol(valid)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features__"), trees]).fit(weighted)
+
+
+def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, repeats: int = 3, rounds: int = 200, **trees) -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold scores, fits): a model for each repeat and fold, grown until its held-out fold stops gaining.
+
+    Scores are key, label, repeat, fold, p: each key once a repeat, by the model that has not seen its fold.
+    Fits are repeat, fold, n_trees, average_precision, roc_auc and brier of that fold. The loop is over
+    folds x repeats models, each one distributed.
+    """
+    parts = stage(stratified_folds(df, key, label, folds, repeats).select("repeat", "fold", key), "folds")
+    rows = stage(df.select(key, label, *columns), "training")
+    scores, fits = None, []
+    for repeat in range(1, repeats + 1):
+        for fold in range(folds):
+            held = parts.where((F.col("repeat") == repeat) & (F.col("fold") == fold)).select(key, F.lit(True).alias("valid__"))
+            split = rows.join(held, key, "left").withColumn("valid__", F.coalesce("valid__", F.lit(False)))
+            encoded, used = encode_missing(split, lowest(split.where("not valid__"), columns))
+            model = boosted_trees(encoded, used, label, rounds, valid="valid__", **trees)
+            out = score(model, encoded.where("valid__"), "p").select(key, label, F.lit(repeat).cast("long").alias("repeat"), F.lit(fold).cast("long").alias("fold"), "p")
+            out = stage(out, "held_out")
+            curve = threshold_table(out, "p", label)
+            fits.append((repeat, fold, len(model.stages[-1].trees), average_precision(curve).first()[0], roc_auc(curve).first()[0], brier(out, "p", label).first()[0]))
+            scores = out if scores is None else scores.unionByName(out)
+    kind = "repeat long, fold long, n_trees long, average_precision double, roc_auc double, brier double"
+    return scores, df.sparkSession.createDataFrame(fits, kind)
+
+
+def refit(df: DataFrame, label: str, columns: list[str], fits: DataFrame, **trees):
+    """(model, training minima): all rows, with the median number of trees of the cross-validated fits."""
+    low = lowest(df, columns)
+    encoded, used = encode_missing(df, low)
+    return boosted_trees(encoded, used, label, max(1, int(fits.agg(F.median("n_trees")).first()[0])), **trees), low
+
+
+def selection_counts(fits: DataFrame) -> DataFrame:
+    """feature, n, share: in how many of the fits (a row each, its features in the array `features`) it was chosen."""
+    n = fits.count()
+    return fits.select(F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / n)
+
+
+def save_model(model, path: str, low: dict[str, float] | None = None) -> None:
+    """A fitted pipeline and, for trees, the minima its encoding needs; scoring may then be another job."""
+    model.write().overwrite().save(f"{path}/model")
+    if low is not None:
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(low),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/minima")
+
+
+def load_model(path: str, encoded: bool = True):
+    """(model, minima) as save_model wrote them; minima are None for a calibrator."""
+    from pyspark.ml import PipelineModel
+
+    spark = SparkSession.getActiveSession()
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/minima").first()[0]) if encoded else None
 
 
 def score(model, df: DataFrame, name: str = "score_raw") -> DataFrame:
@@ -114,20 +182,3 @@ def contributions(model, df: DataFrame, key: str, columns: list[str]) -> DataFra
 
 def importance(contribution: DataFrame) -> DataFrame:
     return contribution.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
-
-
-def jitter(df: DataFrame, columns: list[str], share: float = 0.01, seed: int = 7) -> DataFrame:
-    """Observed values plus noise of `share` of their column's standard deviation; nulls stay."""
-    std = df.agg(*(F.stddev_samp(c).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.col(c) + F.lit(float(std[c] or 0.0)) * share * F.randn(seed + k) for k, c in enumerate(columns)})
-
-
-def shift(df: DataFrame, column: str, sigmas: float = 2.0) -> DataFrame:
-    std = df.agg(F.stddev_samp(column)).first()[0] or 0.0
-    return df.withColumn(column, F.col(column) + F.lit(sigmas * std))
-
-
-def drop_out(df: DataFrame, columns: list[str], key: str, share: float = 0.3) -> DataFrame:
-    """The columns null on a hashed share of rows, all of them on the same rows."""
-    hit: Column = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1000)) < int(share * 1000)
-    return df.withColumns({c: F.when(~hit, F.col(c)) for c in columns})

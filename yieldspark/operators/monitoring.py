@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import entropy_bits
 from yieldspark.operators.metrics import ranked
-from yieldspark.operators.ordering import positions, row_ranges
+from yieldspark.operators.ordering import grouped_quantiles, positions, row_ranges
 from yieldspark.operators.spc import western_electric
-from yieldspark.sources.staging import checked
+from yieldspark.sources.staging import checked, stage
 
 # Thresholds of health, drift and policy.
 HIGH_RISK, TRIAGE_UCL, DRIFT_Z, DRIFT_SHARE, DRIFT_FRACTION, RETRAIN_DELTA = 0.15, 0.20, 3.0, 0.40, 0.25, 0.05
@@ -41,12 +41,15 @@ def scorecard(queue: DataFrame, p: str, fail: str, flag: str, keys: list[str] |
     """
     top = F.col("decile") == 1
     y = F.coalesce(F.col(fail).cast("int"), F.lit(0))
-    g = queue.groupBy(*(keys or []))
-    out = g.agg(
-        F.count(F.lit(1)).alias("n"), F.median(p).alias("p_median"), F.avg(p).alias("p_mean"), F.percentile(p, F.lit(0.9)).alias("p90"),
+    keys = keys or []
+    queue = stage(queue, "queue")  # read twice
+    quantiles = grouped_quantiles(queue, keys, p, {"p_median": 0.5, "p90": 0.9})
+    out = queue.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(p).alias("p_mean"),
         F.count(fail).alias("n_labelled"), F.sum(y).alias("n_fail"), F.count_if(top).alias("n_top"), F.sum(F.when(top, y)).alias("top_fails"),
         F.avg(F.col(flag).cast("double")).alias("flag_share"), F.avg(F.when(top, F.col(flag).cast("double"))).alias("top_flag_share"),
     )
+    out = out.join(quantiles, keys, "left") if keys else out.crossJoin(F.broadcast(quantiles))
     known = (F.col("n_labelled") > 0) & (F.col("n_fail") > 0)
     return out.withColumns(
         {
@@ -84,6 +87,23 @@ def reconcile_sorted(scores: DataFrame, reference: DataFrame, score: str, ref_sc
     return out.withColumn("verdict", verdict)
 
 
+def reconcile(scores: DataFrame, reference: DataFrame, score: str, ref_score: str, key: str | None = None, order: str | None = None, ref_order: str | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """One row with a verdict: by key where the reference has it, else by position, else by sorted values.
+
+    Positions are those of `order` and `ref_order`. Equal there is pass, equal only when sorted is
+    pass_values_only; fail_length and fail_values say what differs.
+    """
+    if key is not None and key in reference.columns:
+        return reconcile_keyed(scores, reference, key, score, ref_score, tolerance)
+    place = lambda df, by, c, n: positions(df.select(F.col(by).alias("by__"), F.col(c).alias(n)), [F.col("by__")]).drop("by__")
+    both = place(scores, order, score, "a").join(place(reference, ref_order, ref_score, "b"), "pos", "full_outer")
+    placed = both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("positional_max_abs_diff"))
+    ranked_ = reconcile_sorted(scores, reference, score, ref_score, tolerance).withColumnRenamed("max_abs_diff", "sorted_max_abs_diff")
+    same = F.coalesce(F.col("positional_max_abs_diff"), F.lit(0.0)) < tolerance
+    out = ranked_.crossJoin(placed).withColumn("verdict", F.when((F.col("verdict") != "fail_length") & same, "pass").otherwise(F.col("verdict")))
+    return out.select("n", "n_reference", "positional_max_abs_diff", "sorted_max_abs_diff", "verdict")
+
+
 def output_health(scores: DataFrame, p: Column, keys: list[str] | None = None, high_risk: float = HIGH_RISK, triage_ucl: float = TRIAGE_UCL) -> DataFrame:
     """mean, population std, triage rate (p >= high_risk), mean entropy in bits, n; risk_ooc by the unrounded rate."""
     rows = scores.withColumn("p__", p).where("p__ is not null")
@@ -131,6 +151,25 @@ def retrain_policy(ledger: DataFrame, order: str, consecutive: int = 1, threshol
     return out.select(action.alias("action"), F.lit(metric).alias("metric"), F.col("n").alias("n_records"), "evidence")
 
 
+def retrain_decision(spark: SparkSession, path: str, order: str = "run_id", consecutive: int = 1, threshold: float = RETRAIN_DELTA) -> dict:
+    """retrain_policy over a ledger CSV, as a record with retrain_recommended and exit_code (1 to retrain, else 0).
+
+    NO_DATA where there is no file, EMPTY where it has no column or row, ERROR where it cannot be read.
+    """
+    empty = {"verdict": "EMPTY", "metric": None, "n_records": 0, "evidence": []}
+    try:
+        ledger = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+        if not ledger.columns or ledger.isEmpty():
+            found = empty
+        else:
+            row = retrain_policy(ledger, order, consecutive, threshold).first()
+            found = {"verdict": row["action"], "metric": row["metric"], "n_records": row["n_records"], "evidence": row["evidence"]}
+    except Exception as x:  # the verdict says so, as the policy must not stop a schedule
+        found = empty | ({"verdict": "NO_DATA"} if "PATH_NOT_FOUND" in str(x) else {"verdict": "ERROR", "reason": str(x).splitlines()[0]})
+    hit = found["verdict"] == "RETRAIN_RECOMMENDED"
+    return found | {"threshold": threshold, "consecutive": consecutive, "retrain_recommended": hit, "exit_code": int(hit)}
+
+
 def resolve_bundle(ledger: DataFrame, calibrated: bool = True) -> DataFrame:
     """The latest training run (empty type) and the latest calibration run whose parent it is (null if none)."""
     train = ledger.where("coalesce(type, '') = ''").agg(F.max("run_id").alias("train_id"))

@@ -151,7 +151,14 @@ def retrain_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.retrain_policy(ledger, "run_id", consecutive=2, threshold=0.05).select("action", "metric", "n_records", F.array_join("evidence", ",").alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (moving_range, spc_limits_robust, spc_limits_classic, ewma, we_rules, imr_series, spc_screening, windowed_rate, pchart, protocol_charts, drift_table, queue_view, showcase_pick, stable_set, score_rank_decile, inspection_queue, scorecard_panel, scorecard_delta, reconcile_keyed, reconcile_sorted, output_health, feature_drift, monitor_verdict, retrain_policy)}
+def reconcile_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores against keyless ones in another order: values match, positions do not."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("p"))
+    other = rows.select((-F.col("o_orderkey")).alias("line"), F.col("p").alias("q"))
+    return rounded(monitoring.reconcile(rows, other, "p", "q", "o_orderkey", "o_orderkey", "line"), 4)
+
+
+QUERIES = {f.__name__: f for f in (moving_range, spc_limits_robust, spc_limits_classic, ewma, we_rules, imr_series, spc_screening, windowed_rate, pchart, protocol_charts, drift_table, queue_view, showcase_pick, stable_set, score_rank_decile, inspection_queue, scorecard_panel, scorecard_delta, reconcile_keyed, reconcile_sorted, reconcile_chain, output_health, feature_drift, monitor_verdict, retrain_policy)}
 
 
 def _limits_sql(source: str, method: str = "robust") -> str:
@@ -226,6 +233,8 @@ ORACLE_SQL = {
         SELECT round(y.p_median - x.p_median, 6) AS d_p_median, round(y.p_mean - x.p_mean, 6) AS d_p_mean, round(y.p90 - x.p90, 6) AS d_p90,
             round((CASE WHEN y.n_fail > 0 THEN y.top_fails / y.n_fail::DOUBLE END) - (CASE WHEN x.n_fail > 0 THEN x.top_fails / x.n_fail::DOUBLE END), 6) AS d_capture FROM x, y""",
     "reconcile_keyed": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 100 != 0) AS m, max(CASE WHEN o_orderkey % 100 != 0 AND o_orderkey % 7 = 0 THEN 0.5 ELSE 0 END)::DOUBLE AS d FROM orders) SELECT n, m AS n_reference, m AS n_matched, d AS max_abs_diff, CASE WHEN m != n THEN 'fail_key_coverage' WHEN d < 1e-6 THEN 'pass' ELSE 'fail_values' END AS verdict FROM c",
+    "reconcile_chain": """WITH a AS (SELECT o_totalprice AS p, row_number() OVER (ORDER BY o_orderkey) AS k, row_number() OVER (ORDER BY o_orderkey DESC) AS l FROM orders), d AS (SELECT max(abs(x.p - y.p)) AS d, count(*) AS n FROM a x JOIN a y ON x.k = y.l)
+        SELECT n, n AS n_reference, round(d, 4) AS positional_max_abs_diff, 0.0::DOUBLE AS sorted_max_abs_diff, CASE WHEN d < 1e-6 THEN 'pass' ELSE 'pass_values_only' END AS verdict FROM d""",
     "reconcile_sorted": "SELECT count(*) AS n, count(*) AS n_reference, 0.25::DOUBLE AS max_abs_diff, 'fail_values' AS verdict FROM orders",
     "output_health": f"WITH {EVENTS_SQL}, {_WEEK}, {_HEALTH} SELECT week, n, round(m, 4) AS mean_risk, round(s, 4) AS std_risk, round(t, 4) AS triage_rate, round(en, 4) AS mean_entropy, t >= 0.2 AS risk_ooc FROM h",
     "feature_drift": f"WITH {EVENTS_SQL}, {_WEEK}, {_DRIFT} SELECT week, event_type, n, round(mz, 2) AS max_z, round(b, 6) AS beyond_2s, r AS any_r1, drifted FROM df",

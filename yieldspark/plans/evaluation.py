@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.operators import doe, metrics, models
-from yieldspark.plans.tables import CURVE_SQL, SCORED_SQL, lines, masked_events, r, rounded, scored_documents, table
+from yieldspark.plans.tables import CURVE_SQL, SCORED_SQL, lines, r, rounded, scored_documents, table
 
 TARGETS = [0.5, 0.6, 0.7]
 
@@ -97,33 +97,55 @@ def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.isotonic(rows, "p", "y").transform(rows).select("doc_id", r("p", 9).alias("p"), r("p_cal", 6).alias("p_cal"))
 
 
+def _by_order(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    return lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in columns), F.max("fail").alias("fail"))
+
+
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = models.encode_missing(lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in ("l_quantity", "l_tax", "sparse", "collinear")), F.max("fail").alias("fail")), ["l_quantity", "l_tax", "sparse", "collinear"])
-    model = models.boosted_trees(rows.where("l_orderkey % 5 != 0"), columns, "fail", rounds=5)
-    return models.score(model, rows.where("l_orderkey % 5 = 0")).select("l_orderkey", "fail", r("score_raw").alias("score_raw"))
+    columns = ["l_quantity", "l_tax", "sparse", "collinear"]
+    rows = _by_order(spark, sf_dir, columns)
+    train = rows.where("l_orderkey % 5 != 0")
+    low = models.lowest(train, columns)
+    encoded, used = models.encode_missing(train, low)
+    model = models.boosted_trees(encoded, used, "fail", rounds=5)
+    held_out, _ = models.encode_missing(rows.where("l_orderkey % 5 = 0"), low)
+    return models.score(model, held_out).select("l_orderkey", "fail", r("score_raw").alias("score_raw"))
 
 
 def contribution_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = models.encode_missing(lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in ("l_quantity", "l_tax", "sparse")), F.max("fail").alias("fail")), ["l_quantity", "l_tax", "sparse"])
-    model = models.boosted_trees(rows, columns, "fail", rounds=5)
-    return rounded(models.importance(models.contributions(model, rows, "l_orderkey", columns)))
+    sensors = ["l_quantity", "l_tax", "sparse"]
+    rows = _by_order(spark, sf_dir, sensors)
+    encoded, used = models.encode_missing(rows, models.lowest(rows, sensors))
+    model = models.boosted_trees(encoded, used, "fail", rounds=5)
+    return rounded(models.importance(models.contributions(model, encoded, "l_orderkey", used)))
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("double").alias("quality")).join(sizes, "doc_id", "left")
+    return models.cross_validated(rows, "doc_id", "toxic", ["n_chars", "quality"], folds=3, repeats=2, rounds=6, depth=3)
 
 
-def jitter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = masked_events(spark, sf_dir).select("event_id", "x")
-    out = models.shift(models.jitter(rows.withColumnRenamed("x", "y"), ["y"]), "y").join(rows, "event_id")
-    return out.agg(F.count("x").alias("n"), r(F.stddev_samp(F.col("y") - F.col("x")) / F.stddev_samp("x"), 3).alias("noise"), r(F.avg(F.col("y") - F.col("x")) / F.stddev_samp("x"), 2).alias("shift"))
+def cv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold rows of cross-validated models by repeat and fold: each key once a repeat."""
+    scores, _ = _trained(spark, sf_dir)
+    return scores.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_keys"), F.sum("toxic").alias("n_fail"), F.count_if(F.col("p").between(0, 1)).alias("n_scored"))
 
 
-def drop_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.drop_out(lines(spark, sf_dir), ["l_quantity", "l_tax"], "l_orderkey")
-    return out.groupBy((F.col("l_orderkey") % 10).alias("k")).agg(F.count_if(F.col("l_quantity").isNull()).alias("n_null"), F.count_if(F.col("l_quantity").isNull() != F.col("l_tax").isNull()).alias("n_uneven"))
+def cv_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees and metrics of each cross-validated fit."""
+    return rounded(_trained(spark, sf_dir)[1])
 
 
-QUERIES = {f.__name__: f for f in (pr_curve, average_precision, roc_auc, brier, confusion, mcc_threshold, f1_threshold, operating_points, recall_at_flagrate, reliability_bins, evaluate_bundle, describe_columns, oof_mean, noisy_response, stratified_folds, fold_metrics, platt_calibration, isotonic_calibration, gbt_score, contribution_importance, jitter_stats, drop_out)}
+QUERIES = {f.__name__: f for f in (pr_curve, average_precision, roc_auc, brier, confusion, mcc_threshold, f1_threshold, operating_points, recall_at_flagrate, reliability_bins, evaluate_bundle, describe_columns, oof_mean, noisy_response, stratified_folds, fold_metrics, platt_calibration, isotonic_calibration, gbt_score, contribution_importance, cv_coverage, cv_fits)}
 
 _FOLDS = "f AS (SELECT t.r AS repeat, doc_id, toxic::BIGINT AS toxic, ((row_number() OVER (PARTITION BY t.r, toxic ORDER BY md5(t.r::VARCHAR || '|1337|' || doc_id::VARCHAR), doc_id) - 1) % 5)::BIGINT AS fold FROM labels, range(1, 4) t(r))"
 ORACLE_SQL = {
+    "cv_coverage": f"WITH {_FOLDS.replace('range(1, 4)', 'range(1, 3)').replace('% 5)', '% 3)')} SELECT repeat, fold, count(*) AS n, count(DISTINCT doc_id) AS n_keys, sum(toxic)::BIGINT AS n_fail, count(*) AS n_scored FROM f GROUP BY ALL",
+    # the greatest of the least means of runs from and to a score: the isotonic fit
+    "isotonic_calibration": f"""WITH {SCORED_SQL}, g AS (SELECT p, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM s GROUP BY p), i AS (SELECT p, y, n, row_number() OVER w AS k, sum(y) OVER w AS cy, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY p)),
+        ab AS (SELECT a.k AS a, b.k AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM i a JOIN i b ON b.k >= a.k), mi AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM ab), f AS (SELECT b AS k, max(m) AS fit FROM mi WHERE a <= b GROUP BY b)
+        SELECT doc_id, round(s.p, 9) AS p, round(fit, 6) + 0.0 AS p_cal FROM s JOIN i USING (p) JOIN f USING (k)""",
     "pr_curve": f"WITH {CURVE_SQL} SELECT round(p, 6) AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1, round(mcc, 6) + 0.0 AS mcc FROM m",
     "average_precision": f"WITH {CURVE_SQL} SELECT round(sum(pos / np::DOUBLE * tp / (tp + fp)), 6) AS average_precision FROM c",
     "roc_auc": f"WITH {CURVE_SQL} SELECT round(sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / max(np::DOUBLE * nn), 6) AS roc_auc FROM c",

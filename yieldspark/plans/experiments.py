@@ -18,7 +18,7 @@ def factor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "supplier").where("s_suppkey <= 9").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("factor"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("importance"))
+    c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("factor"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("importance"))
     return rounded(doe.rank_factors(c, "s7"))
 
 
@@ -83,11 +83,12 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surrogate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     sensors = ["l_quantity", "l_tax", "sparse"]
     rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in sensors), F.max("fail").alias("fail"))
-    encoded, columns = models.encode_missing(rows, sensors)
+    low = models.lowest(rows, sensors)
+    encoded, columns = models.encode_missing(rows, low)
     model = models.boosted_trees(encoded, columns, "fail", rounds=5)
     design = doe.factorial_design(spark, [{"name": "l_quantity", "low": 5.0, "high": 45.0}, {"name": "sparse", "low": 0.0, "high": 0.08}], centers=1)
-    score = lambda df: models.score(model, models.encode_missing(df, sensors)[0])
-    out = doe.score_design(rows.where("l_orderkey < 200"), design, ["l_quantity", "sparse"], score, {"f_any": sensors}, sensors)
+    score = lambda df: models.score(model, models.encode_missing(df, low)[0])
+    out = doe.score_design(rows, design, ["l_quantity", "sparse"], score, {"f_any": sensors}, sensors)
     return rounded(out.groupBy("run_id", "l_quantity", "sparse").agg(F.count(F.lit(1)).alias("n"), F.avg("score_raw").alias("p"), F.avg(F.col("f_row_missing_rate").cast("double")).alias("missing")))
 
 
@@ -123,7 +124,7 @@ _MAH = "mo AS (SELECT avg(e0) AS m0, avg(e1) AS m1, var_samp(e0) AS v0, var_samp
 _FIT = {"s060_coded": "a", "s123_coded": "b", "s461_coded": "c", "s060_coded:s123_coded": "a * b", "s060_coded:s461_coded": "a * c", "s123_coded:s461_coded": "b * c", "intercept": "1"}
 ORACLE_SQL = {
     "factor_levels": " UNION ALL ".join(f"SELECT '{c}' AS factor, round(quantile_cont({c}, 0.1), 6) AS low, round(quantile_cont({c}, 0.5), 6) AS center, round(quantile_cont({c}, 0.9), 6) AS high FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax")),
-    "rank_factors": "WITH c AS (SELECT 's' || s_suppkey AS factor, CASE WHEN s_suppkey % 4 != 0 THEN s_acctbal END AS importance FROM supplier WHERE s_suppkey <= 9) SELECT factor, round(importance, 6) + 0.0 AS importance, row_number() OVER (ORDER BY (factor != 's7')::INT, importance DESC NULLS LAST, factor) AS place FROM c",
+    "rank_factors": "WITH c AS (SELECT 's' || s_suppkey AS factor, CASE WHEN s_suppkey % 4 != 0 THEN s_acctbal END AS importance FROM supplier) SELECT factor, round(importance, 6) + 0.0 AS importance, row_number() OVER (ORDER BY (factor != 's7')::INT, importance DESC NULLS LAST, factor) AS place FROM c",
     "factorial_design": f"""WITH {_CORNERS}, d AS (SELECT a, b, c, k, false AS is_center, 1 AS r FROM co UNION ALL SELECT a, b, c, k + 8, false, 2 FROM co UNION ALL SELECT 0, 0, 0, 17 + i, true, 1 FROM range(2) t(i))
         SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, k::BIGINT AS design_row, is_center, r::BIGINT AS replicate, a::DOUBLE AS s060_coded, b::DOUBLE AS s123_coded, c::DOUBLE AS s461_coded, {_LEVELS}, r > 1 AS is_replicate, k::BIGINT AS run_order FROM d""",
     "fractional_design": f"WITH q AS (SELECT a.v AS a, b.v AS b, a.v * b.v AS c, row_number() OVER (ORDER BY b.v, a.v) AS k FROM (VALUES (-1.0::DOUBLE), (1.0)) a(v), (VALUES (-1.0::DOUBLE), (1.0)) b(v)) SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, a AS s060_coded, b AS s123_coded, c AS s461_coded, {_LEVELS} FROM q",

@@ -52,7 +52,7 @@ def dropout_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("fail") == 1
-    t = lines(spark, sf_dir).where("l_orderkey < 2000").groupBy((F.col("l_orderkey") % 17).alias("k")).agg(*(F.count_if(c).alias(n) for n, c in {"a": (F.col("l_quantity") > 25) & y, "b": (F.col("l_quantity") > 25) & ~y, "c": (F.col("l_quantity") <= 25) & y, "d": (F.col("l_quantity") <= 25) & ~y}.items()))
+    t = lines(spark, sf_dir).groupBy((F.col("l_orderkey") % 17).alias("k")).agg(*(F.count_if(c).alias(n) for n, c in {"a": (F.col("l_quantity") > 25) & y, "b": (F.col("l_quantity") > 25) & ~y, "c": (F.col("l_quantity") <= 25) & y, "d": (F.col("l_quantity") <= 25) & ~y}.items()))
     return eda.fisher_exact(t, "k").select("k", r("p").alias("p"))
 
 
@@ -64,7 +64,11 @@ def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(eda.rolling_mean(masked_events(spark, sf_dir), ["event_type"], ["ts", "event_id"], "x").select("event_id", "rolling_mean"))
 
 
-QUERIES = {f.__name__: f for f in (skew_kurt, shape_flags, mann_whitney, bh_fdr, spearman, tail_enrichment, variance_ratio, missing_gap, dropout_cliques, fisher_exact, mutual_information, rolling_mean)}
+def group_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eda.group_offset(masked_events(spark, sf_dir), ["event_type"], "x").select("event_id", "offset"))
+
+
+QUERIES = {f.__name__: f for f in (skew_kurt, shape_flags, mann_whitney, bh_fdr, spearman, tail_enrichment, variance_ratio, missing_gap, dropout_cliques, fisher_exact, mutual_information, rolling_mean, group_offset)}
 
 _IN = lambda cs: "(" + ", ".join(f"'{c}'" for c in cs) + ")"
 _MW = f"""WITH {LONG_SQL}, g AS (SELECT column_name, value, count(*) AS n, count(*) FILTER (fail = 1) AS k FROM lo WHERE value IS NOT NULL AND column_name IN {_IN(TESTED)} GROUP BY ALL),
@@ -72,6 +76,7 @@ _MW = f"""WITH {LONG_SQL}, g AS (SELECT column_name, value, count(*) AS n, count
     s AS (SELECT column_name, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS n1, sum(k * mid) AS r1, sum(n::DOUBLE ** 3 - n) AS ties FROM m GROUP BY 1), u AS (SELECT *, n - n1 AS n0, r1 - n1 * (n1 + 1) / 2 AS u FROM s)"""
 _Q = LONG_SQL + f", qq AS (SELECT column_name, quantile_cont(value, {{lo}}) AS a, quantile_cont(value, {{hi}}) AS b FROM lo WHERE column_name IN {_IN(TESTED)} GROUP BY 1)"
 ORACLE_SQL = {
+    "group_offset": "WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 7 != 0 THEN value END AS x FROM events) SELECT event_id, round(x - min(x) OVER (PARTITION BY event_type), 6) + 0.0 AS \"offset\" FROM e",
     "skew_kurt": f"WITH {LONG_SQL} SELECT column_name, count(value) AS n, round(skewness(value), 4) + 0.0 AS skew, round(kurtosis(value), 4) + 0.0 AS kurtosis, round(avg((value = 0)::INT), 4) AS pct_zeros FROM lo WHERE column_name IN {_IN(TESTED)} GROUP BY 1",
     "shape_flags": f"WITH {LONG_SQL} SELECT column_name, coalesce(abs(skewness(value)) > 2, false) AS skewed, coalesce(kurtosis(value) > 7, false) AS heavy_tailed, coalesce(avg((value = 0)::INT) > 0.5, false) AS zero_inflated FROM lo WHERE column_name IN {_IN([*TESTED, 'rare'])} GROUP BY 1",
     "mann_whitney": _MW + " SELECT column_name, round(u, 4) AS u, round(greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 4) AS z FROM u",
@@ -83,7 +88,7 @@ ORACLE_SQL = {
             round((quantile_cont(value, 0.75) FILTER (fail = 1) - quantile_cont(value, 0.25) FILTER (fail = 1)) / (quantile_cont(value, 0.75) FILTER (fail = 0) - quantile_cont(value, 0.25) FILTER (fail = 0)), 6) AS iqr FROM c GROUP BY 1""",
     "missing_gap": f"WITH {LONG_SQL} SELECT column_name, round(avg((value IS NULL)::INT) FILTER (fail = 1) - avg((value IS NULL)::INT) FILTER (fail = 0), 6) + 0.0 AS gap FROM lo GROUP BY 1",
     "dropout_cliques": f"WITH {LINES_SQL}, k AS (SELECT DISTINCT l_orderkey AS o FROM li), c AS (SELECT count(*) FILTER (o % 3 != 0) AS t, count(*) FILTER (o % 7 = 0) AS s, count(*) FILTER (o % 2 != 0) AS h FROM k) SELECT v.* FROM c, (VALUES ('a', c.t, 'a'), ('d', c.t, 'a'), ('b', c.s, 'b'), ('e', c.s, 'b'), ('f', c.h, 'f')) v(column_name, n_missing, clique)",
-    "fisher_exact": f"""WITH {LINES_SQL}, t AS (SELECT l_orderkey % 17 AS k, count(*) FILTER (l_quantity > 25 AND fail = 1) AS a, count(*) FILTER (l_quantity > 25) AS r, count(*) FILTER (fail = 1) AS m, count(*) AS n FROM li WHERE l_orderkey < 2000 GROUP BY 1),
+    "fisher_exact": f"""WITH {LINES_SQL}, t AS (SELECT l_orderkey % 17 AS k, count(*) FILTER (l_quantity > 25 AND fail = 1) AS a, count(*) FILTER (l_quantity > 25) AS r, count(*) FILTER (fail = 1) AS m, count(*) AS n FROM li GROUP BY 1),
         x AS (SELECT *, unnest(range(greatest(0, r + m - n), least(r, m) + 1)) AS x FROM t), p AS (SELECT *, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(m + 1) + lgamma(n - m + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(m - x + 1) - lgamma(n - r - m + x + 1)) AS p FROM x),
         s AS (SELECT k, p, max(p) FILTER (x = a) OVER (PARTITION BY k) AS seen FROM p) SELECT k, round(least(1, sum(p)), 6) AS p FROM s WHERE p <= seen * (1 + 1e-7) GROUP BY k""",
     "mutual_information": f"""WITH {LONG_SQL}, q AS (SELECT column_name, quantile_cont(value, [{', '.join(f'{k}::DOUBLE / 8' for k in range(1, 8))}]) AS e FROM lo WHERE column_name IN ('l_quantity', 'l_extendedprice', 'l_tax') GROUP BY 1),

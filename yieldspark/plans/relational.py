@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.operators import extract, features, monitoring, quality
-from yieldspark.plans.tables import LINES_SQL, LONG_SQL, WIDE, lines, masked_events, rounded, table
+from yieldspark.plans.tables import LINES_SQL, LONG_SQL, WIDE, lines, rounded, table
 from yieldspark.sources import readers, registry
 
 CUTOFF, EXCLUDE = "1999-01-01 00:00:00", "2000-06-01 00:00:00"
@@ -76,10 +76,10 @@ def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 50")
-    old = parts.select(F.concat(F.lit("s"), F.lpad(F.col("p_partkey").cast("string"), 3, "0")).alias("column_name"), F.lit("feature_raw").alias("role"), F.lit("active").alias("status"), F.col("p_partkey").cast("int").alias("col_index"), F.lit(0.0).alias("missing_pct"), F.lit(None).cast("string").alias("derived_from"), F.lit(None).cast("string").alias("notes"))
+    parts = table(spark, sf_dir, "part")
+    old = parts.select(F.concat(F.lit("s"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("column_name"), F.lit("feature_raw").alias("role"), F.lit("active").alias("status"), F.col("p_partkey").cast("int").alias("col_index"), F.lit(0.0).alias("missing_pct"), F.lit(None).cast("string").alias("derived_from"), F.lit(None).cast("string").alias("notes"))
     new = old.where("col_index > 45").select("column_name", F.lit("feature_eng").alias("role"), F.lit("active").alias("status"), (F.col("col_index") + 100).alias("col_index"))
-    out = registry.retire(registry.upsert(old, new), ["s001", "s002"], "constant")
+    out = registry.retire(registry.upsert(old, new), ["s000000001", "s000000002"], "constant")
     return rounded(out.select("column_name", "role", "status", "col_index", F.coalesce("notes", F.lit("")).alias("notes")))
 
 
@@ -91,10 +91,10 @@ def ledger_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 400")
-    run = F.concat(F.lit("run"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"))
+    o = table(spark, sf_dir, "orders")
+    run = F.concat(F.lit("run"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
     train = o.where("o_orderkey % 5 = 0").select(run.alias("run_id"), F.lit("").alias("type"), F.lit(None).cast("string").alias("parent_run"))
-    parent = F.concat(F.lit("run"), F.lpad((F.floor(F.col("o_orderkey") / 5) * 5).cast("string"), 6, "0"))
+    parent = F.concat(F.lit("run"), F.lpad((F.floor(F.col("o_orderkey") / 5) * 5).cast("string"), 12, "0"))
     cal = o.where("o_orderkey % 5 != 0").select(run.alias("run_id"), F.lit("calibrate").alias("type"), parent.alias("parent_run"))
     return monitoring.resolve_bundle(train.unionByName(cal))
 
@@ -112,12 +112,7 @@ def named_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.run_query(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_view WHERE o_orderdate BETWEEN timestamp(:a) AND timestamp(:b) GROUP BY o_orderpriority", a="1997-01-01", b="1998-12-31")
 
 
-def sim_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = masked_events(spark, sf_dir).select(F.col("event_id").alias("wafer_id"), F.col("x").alias("s060"))
-    return readers.bootstrap_lot(pool, 100, 11, "wafer_id", 1_000_000, "2008-10-16 00:00:00", ["s060"])
-
-
-QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, ledger_union, resolve_bundle, table_fingerprint, dataset_card, named_query, sim_lots)}
+QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, ledger_union, resolve_bundle, table_fingerprint, dataset_card, named_query)}
 
 _NULLS = " + ".join(f"({c} IS NULL)::INT" for c in WIDE)
 _QUALITY = f"""WITH {LONG_SQL}, b AS (SELECT count(*) AS n, avg(fail::DOUBLE) AS base FROM li),
@@ -153,11 +148,11 @@ ORACLE_SQL = {
     "hedges_g": _G + " SELECT column_name, round(g, 6) AS g FROM h",
     "hedges_g_observed": _HEDGES.format(long=LONG_SQL, n1="count(value) FILTER (fail = 1)", n0="count(value) FILTER (fail = 0)") + " SELECT column_name, round(g, 6) AS g FROM h",
     "select_features": _G + ", k AS (SELECT column_name, row_number() OVER (ORDER BY g DESC, column_name) AS p, count(*) FILTER (g >= 0.005) OVER () AS s FROM h) SELECT column_name FROM k WHERE p <= CASE WHEN s < 2 THEN 2 ELSE least(s, 3) END",
-    "registry_upsert": """SELECT 's' || lpad(p_partkey::VARCHAR, 3, '0') AS column_name, CASE WHEN p_partkey > 45 THEN 'feature_eng' ELSE 'feature_raw' END AS role, CASE WHEN p_partkey IN (1, 2) THEN 'excluded' ELSE 'active' END AS status,
-        (p_partkey + CASE WHEN p_partkey > 45 THEN 100 ELSE 0 END)::BIGINT AS col_index, CASE WHEN p_partkey IN (1, 2) THEN 'constant' ELSE '' END AS notes FROM part WHERE p_partkey <= 50""",
+    "registry_upsert": """SELECT 's' || lpad(p_partkey::VARCHAR, 9, '0') AS column_name, CASE WHEN p_partkey > 45 THEN 'feature_eng' ELSE 'feature_raw' END AS role, CASE WHEN p_partkey IN (1, 2) THEN 'excluded' ELSE 'active' END AS status,
+        (p_partkey + CASE WHEN p_partkey > 45 THEN 100 ELSE 0 END)::BIGINT AS col_index, CASE WHEN p_partkey IN (1, 2) THEN 'constant' ELSE '' END AS notes FROM part""",
     "ledger_union": "SELECT event_type, 'spc' AS type, max(event_id) AS last_id, -1::BIGINT AS n FROM events GROUP BY 1 UNION ALL SELECT event_type, 'monitor', -1, count(*) FROM events GROUP BY 1",
-    "resolve_bundle": """WITH t AS (SELECT max('run' || lpad(o_orderkey::VARCHAR, 6, '0')) AS train_id FROM orders WHERE o_orderkey <= 400 AND o_orderkey % 5 = 0),
-        c AS (SELECT 'run' || lpad(o_orderkey::VARCHAR, 6, '0') AS id, 'run' || lpad((o_orderkey // 5 * 5)::BIGINT::VARCHAR, 6, '0') AS parent FROM orders WHERE o_orderkey <= 400 AND o_orderkey % 5 != 0)
+    "resolve_bundle": """WITH t AS (SELECT max('run' || lpad(o_orderkey::VARCHAR, 12, '0')) AS train_id FROM orders WHERE o_orderkey % 5 = 0),
+        c AS (SELECT 'run' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, 'run' || lpad((o_orderkey // 5 * 5)::BIGINT::VARCHAR, 12, '0') AS parent FROM orders WHERE o_orderkey % 5 != 0)
         SELECT train_id, max(id) AS calibrator_id FROM t LEFT JOIN c ON parent = train_id GROUP BY 1""",
     "dataset_card": "SELECT count(*) AS n_rows, 2::BIGINT AS n_columns, count(*) FILTER (l_returnflag = 'R') AS n_fail, round(avg((l_returnflag = 'R')::INT), 6) AS fail_rate, md5('l_orderkey|fail') AS columns_md5 FROM lineitem",
     "named_query": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31' GROUP BY 1",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Score columns that a queue may carry, the first match counts; artifact names by role.
 SCORE_COLUMNS = ("p_cal", "score_cal", "p_hold", "p_oof", "score_raw", "score", "risk", "probability")
-ROLES = {"screening": "spc_screening.csv", "limits": "spc_limits.csv", "pchart": "pchart_data.csv", "protocol": "protocol_rates.csv", "imr": "imr_data.csv", "scores": "scores.parquet"}
+ROLES = {"screening": "spc_screening.csv", "limits": "spc_limits.csv", "pchart": "pchart_data.csv", "protocol": "protocol_rates.csv", "imr": "imr_data.csv", "scores": "scores.parquet", "scorecard": "scorecard.json", "reconciliation": "reconciliation.json"}
 
 
 def six_digits(df: DataFrame) -> DataFrame:
@@ -54,6 +54,11 @@ def artifact_path(spark: SparkSession, folder: str, role: str) -> str:
     return f"{folder}/{read_json(spark, f'{folder}/manifest.json').get('artifacts', {}).get(role, ROLES[role])}"
 
 
+def batch_summary(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """Scorecard and reconciliation of a scored batch; empty where there is none."""
+    return {role: read_json(spark, artifact_path(spark, folder, role)) for role in ("scorecard", "reconciliation")}
+
+
 def require_tables(spark: SparkSession, names: list[str]) -> None:
     missing = [n for n in names if not spark.catalog.tableExists(n)]
     if missing:

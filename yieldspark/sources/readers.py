@@ -48,20 +48,6 @@ def run_query(spark: SparkSession, text: str, **params: object) -> DataFrame:
     return spark.sql(text, args=params)
 
 
-def bootstrap_lot(pool: DataFrame, size: int, seed: int, key: str, first_key: int, start: str, columns: list[str]) -> DataFrame:
-    """size rows drawn with replacement from the pool, new keys from first_key, one an hour from start.
-
-    Draws are hashed places in the keyed order of the pool, so they do not depend on partitioning.
-    """
-    from yieldspark.operators.ordering import positions
-
-    spark, n = pool.sparkSession, pool.count()
-    placed = positions(pool.select(key, *columns), [F.col(key)], "place__")
-    draws = spark.range(size).select(F.col("id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("place__"))
-    stamp = F.to_timestamp(F.lit(start)) + F.make_dt_interval(hours=F.col("id").cast("int"))
-    return draws.join(placed, "place__").select((F.col("id") + first_key).alias(key), stamp.alias("timestamp"), *columns)
-
-
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 of every file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

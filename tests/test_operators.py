@@ -274,3 +274,18 @@ def test_reconcile_chain_and_summary(spark, tmp_path):
     folder = f"file://{tmp_path}/run"
     artifacts.write_json(spark, {"n": 3}, f"{folder}/scorecard.json")
     assert artifacts.batch_summary(spark, folder) == {"scorecard": {"n": 3}, "reconciliation": {}}
+
+
+@pytest.mark.parametrize("leaf", [1, 7, 4096])
+def test_knn_in_leaves(spark, monkeypatch, leaf):
+    """Exact over any leaves, with equal points, clusters and nulls."""
+    monkeypatch.setattr(doe, "LEAF", leaf)
+    rng = np.random.default_rng(4)
+    ref = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(9, 0.1, (40, 2)), np.repeat([[3.0, 3.0]], 30, axis=0)]).round(2)
+    ask = np.concatenate([rng.normal(2, 4, (20, 2)).round(2), [[3.0, 3.0], [100.0, -50.0]]])
+    frame = lambda a: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)] + [(-1, None, 1.0)], "k long, a double, b double")
+    got = {r["k"]: r["knn_distance"] for r in doe.knn_distance(frame(ask), frame(ref), "k", ["a", "b"], 5).collect()}
+    want = {i: np.sort(np.sqrt(((ref - q) ** 2).sum(1)))[:5].mean() for i, q in enumerate(ask)}
+    assert got == pytest.approx(want)
+    few = doe.knn_distance(frame(ask), frame(ref[:3]), "k", ["a", "b"], 5).where("k = 0").first()["knn_distance"]
+    assert few == pytest.approx(np.sqrt(((ref[:3] - ask[0]) ** 2).sum(1)).mean())

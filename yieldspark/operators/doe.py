@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import inverse_logit, logit
 from yieldspark.operators.features import missingness_features
 from yieldspark.operators.ordering import column_quantiles, grouped_quantiles, positions
+from yieldspark.sources.staging import stage
 
 MIN_BACKGROUND = 20
 
+#: Points of a leaf in nearest-neighbour searches, and of the sample that balances the leaves.
+LEAF, SAMPLE = 4096, 50_000
+
 
 def factor_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     """factor, low, center, high: the linear 10, 50 and 90 % quantiles."""
@@ -182,40 +187,105 @@ def mahalanobis(rows: DataFrame, reference: DataFrame, columns: list[str], name:
     return rows.withColumn(name, F.sqrt(F.greatest(square, F.lit(0.0))))
 
 
+@dataclass(frozen=True)
+class Leaves:
+    """Boxes that halve the space until each holds about LEAF points; nodes are numbered, children follow parents."""
+
+    low: np.ndarray  # nodes x columns
+    high: np.ndarray
+    dim: np.ndarray  # column that a node cuts, -1 for a leaf
+    cut: np.ndarray
+    left: np.ndarray  # the right child is the next node
+
+    @classmethod
+    def of(cls, sample: np.ndarray, share: float) -> Leaves:
+        """From a sample of the points, a `share` of them: it only balances the leaves, any cut gives right results."""
+        k = sample.shape[1]
+        low, high, dim, cut, left, rows = [np.full(k, -np.inf)], [np.full(k, np.inf)], [], [], [], [sample]
+        while (node := len(dim)) < len(rows):
+            own, rows[node] = rows[node], None
+            spread = np.ptp(own, axis=0) if len(own) else np.zeros(k)
+            d = int(spread.argmax())
+            if len(own) <= LEAF * share or not spread[d]:
+                dim.append(-1), cut.append(0.0), left.append(-1)
+                continue
+            middle = float(np.median(own[:, d]))
+            middle = middle if middle < own[:, d].max() else float(own[:, d].min())
+            dim.append(d), cut.append(middle), left.append(len(rows))
+            for below in (True, False):
+                rows.append(own[(own[:, d] <= middle) == below])
+                low.append(low[node].copy()), high.append(high[node].copy())
+                (high if below else low)[-1][d] = middle
+        return cls(np.array(low), np.array(high), np.array(dim), np.array(cut), np.array(left))
+
+    def of_points(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each point."""
+        at = np.zeros(len(x), int)
+        while len(inner := np.flatnonzero(self.dim[at] >= 0)):
+            node = at[inner]
+            at[inner] = self.left[node] + (x[inner, self.dim[node]] > self.cut[node])
+        return at
+
+    def within(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, leaf) of all leaves no farther from a point than its reach."""
+        point, node, found = np.arange(len(x)), np.zeros(len(x), int), [(np.zeros(0, int), np.zeros(0, int))]
+        while len(point):
+            gap = np.maximum(np.maximum(self.low[node] - x[point], x[point] - self.high[node]), 0.0)
+            near = np.sqrt((gap**2).sum(1)) <= reach[point] * (1 + 1e-12)
+            point, node = point[near], node[near]
+            leaf = self.dim[node] < 0
+            found.append((point[leaf], node[leaf]))
+            point, node = np.repeat(point[~leaf], 2), np.repeat(self.left[node[~leaf]], 2) + np.tile([0, 1], int((~leaf).sum()))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def knn_distance(queries: DataFrame, reference: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
-    """key, knn_distance: mean unscaled Euclidean distance to the k nearest reference rows.
+    """key, knn_distance: mean unscaled Euclidean distance to the k nearest reference rows (all, if fewer).
 
-    The query set is stated; it meets the whole reference in blocks: every reference batch keeps the k least
-    distances of each query, and those partial lists are merged. Queries are broadcast behind a size check;
-    beyond it they go through in parts.
+    Exact: the reference's different points are dealt into leaves; a query's own leaf bounds its k-th distance,
+    then only leaves within that bound are searched. Rows that are equal count by their number. Rows with a
+    null coordinate are left out. What comes to the driver is a sample of SAMPLE points, to balance the leaves.
     """
-    spark = queries.sparkSession
-    part, pieces = 20_000, []
-    wanted = queries.select(key, *columns).dropna(subset=columns)
-    n = wanted.count()
-    parts = max(1, -(-n // part))
-    kind = dict(queries.dtypes)[key]
-    for p in range(parts):
-        some = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p)
-        sent = spark.sparkContext.broadcast(some.toPandas())
-
-        def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q = sent.value
-            x, best = q[columns].to_numpy(float), np.full((len(q), k), np.inf)
-            for b in batches:
-                y = b.to_numpy(float)
-                for low in range(0, len(y), 512):
-                    d = np.sqrt(((x[:, None, :] - y[None, low : low + 512, :]) ** 2).sum(2))
-                    best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k]
-            rows, cols = np.nonzero(np.isfinite(best))
-            yield pd.DataFrame({key: q[key].to_numpy()[rows], "d": best[rows, cols]})
-
-        pieces.append(reference.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().mapInPandas(nearest, f"{key} {kind}, d double"))
-    partial = pieces[0]
-    for more in pieces[1:]:
-        partial = partial.unionByName(more)
-    best = Window.partitionBy(key).orderBy("d")
-    return partial.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy(key).agg(F.avg("d").alias("knn_distance"))
+    sql = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    xs = [f"x{i}" for i in range(len(columns))]
+    points = stage(reference.select(*sql).dropna().groupBy(*xs).agg(F.count(F.lit(1)).alias("times")), "points")
+    total = points.count()
+    share = min(1.0, SAMPLE / max(total, 1))
+    sample = np.array([tuple(r) for r in points.sample(share, seed=5).select(*xs).collect()] if share < 1 else [tuple(r) for r in points.select(*xs).collect()], float).reshape(-1, len(xs))
+    leaves = Leaves.of(sample, share)
+    coordinates = ", ".join(f"{x} double" for x in xs)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(leaf=leaves.of_points(b[xs].to_numpy(float)))
+
+    def nearest(q: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        """The k least distances of each query to the leaf's points."""
+        at, times, best = y[xs].to_numpy(float), np.minimum(y["times"].to_numpy(int), k), []
+        for low in range(0, len(q), 256):
+            d = np.sqrt(((q[xs].to_numpy(float)[low : low + 256, None, :] - at[None]) ** 2).sum(2))
+            few = np.argsort(d, axis=1, kind="stable")[:, :k]
+            best += [np.sort(np.repeat(row[f], times[f]))[:k].tolist() for row, f in zip(d, few, strict=True)]
+        return q[xs].assign(best=pd.Series(best, q.index, object))
+
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = b[xs].to_numpy(float)
+            reach = np.array([d[k - 1] if len(d) == k else np.inf for d in b["best"]])
+            point, leaf = leaves.within(x, reach)
+            other = leaf != leaves.of_points(x)[point]
+            yield b[xs].iloc[point[other]].assign(leaf=leaf[other])
+
+    placed = stage(points.mapInPandas(dealt, f"{coordinates}, times long, leaf long"), "leaves")
+    found = f"{coordinates}, best array<double>"
+    search = lambda q: q.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInPandas(nearest, found)
+    wanted = queries.select(key, *sql).dropna(subset=xs)
+    own = stage(search(wanted.select(*xs).distinct().mapInPandas(dealt, f"{coordinates}, leaf long")), "own_leaf")
+    every = own.unionByName(search(own.mapInPandas(further, f"{coordinates}, leaf long")))
+    least = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+    merged = every.groupBy(*xs).agg(least.alias("best")).where(F.size("best") > 0)
+    mean = F.aggregate("best", F.lit(0.0), lambda n, d: n + d) / F.size("best")
+    return wanted.join(merged.select(*xs, mean.alias("knn_distance")), xs).select(key, "knn_distance")
 
 
 def ood_table(design: DataFrame, background: DataFrame, factors: list[str], key: str = "run_id", ref_key: str = "wafer_id", k: int = 5) -> DataFrame:

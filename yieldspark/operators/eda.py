@@ -86,7 +86,8 @@ def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     x = mid_ranks(rows, ["column_name"], "value").select("column_name", "value", F.col("mid_rank").alias("rx"))
     y = mid_ranks(rows, ["column_name"], target).select("column_name", target, F.col("mid_rank").alias("ry"))
     cells = rows.groupBy("column_name", "value", target).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    cells = cells.join(x, ["column_name", "value"]).join(y, ["column_name", target])
+    # rank tables of bounded size are broadcast, so a value that a column's rows share is no single task
+    cells = cells.join(checked(x, "ranks"), ["column_name", "value"]).join(checked(y, "ranks"), ["column_name", target])
     n, sx, sy = F.sum("w"), F.sum(F.col("w") * F.col("rx")), F.sum(F.col("w") * F.col("ry"))
     cov = F.sum(F.col("w") * F.col("rx") * F.col("ry")) - sx * sy / n
     vx, vy = F.sum(F.col("w") * F.col("rx") ** 2) - sx**2 / n, F.sum(F.col("w") * F.col("ry") ** 2) - sy**2 / n

@@ -1,10 +1,10 @@
-"""Operator 3, LM scoring: a subword lattice under a Dirichlet word model.
+"""Operator 3, LM scoring: the marginal probability of a text over its subword lattice.
 
 A word's lattice holds every way to cut it into pieces of an existing vocabulary; each path weighs the
-product of its pieces' scores, and the forward recursion in log space sums all of them: the word's marginal
-probability. That is the base measure of the word model, (c + k * lattice(w)) / (N + k) with k = V + 1 and
-training counts c, so known words are learned and unknown ones are spelled. Add-one smoothing gives the
-same weight k to what was not seen, but spread evenly.
+product of its pieces' scores. Beside them is one arc for the whole word, weighted by its training count c:
+c / (N + k) against k / (N + k) for the pieces together, with k = V + 1. The forward recursion in log space
+sums all of them, so known words are learned and unknown ones are spelled, and the words of a text multiply
+to its marginal probability. Add-one smoothing gives the same weight k to what was not seen, spread evenly.
 
 Counts are gathered from all training documents: batches send their distinct words' keys and counts, packed,
 to key shards, which add them up and send each batch the totals of its own words.

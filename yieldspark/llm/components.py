@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldspark.llm._spark import staged
@@ -28,9 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges, before = edges.select("x", "y"), None
     while True:
-        seen = Observation()
-        edges = staged(_small_star(_large_star(edges)).observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("x", "y")).alias("sum")), "stars")
-        now = seen.get
+        edges = staged(_small_star(_large_star(edges)), "stars")
+        # not an observation of the write: once a session has observed, models of Spark ML no longer serialise in it
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("x", "y"))).first()
         if now == before or not now["n"]:
             break
         before = now

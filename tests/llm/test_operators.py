@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +60,41 @@ def test_batches_with_clashing_columns(spark, texts, monkeypatch):
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == sorted(want)
 
 
+@given(st.data())
+@settings(max_examples=150, deadline=None)
+def test_sorted_suffixes(data):
+    """Buckets of suffixes, ties by cover ranks: what shares `length` bytes with another place is marked, frequent samples or not."""
+    length = data.draw(st.sampled_from([3, 5, 8, 12]))
+    windows = _repeats.Windows(length, data.draw(st.integers(1, length)), words=False)
+    second = suffix_dedup.SortedSuffixes(data.draw(st.sampled_from([1, 2, 9])), length)
+    texts = [t.encode() for t in data.draw(st.lists(st.text(data.draw(st.sampled_from(["a", "ab", "abcd", "ab\0"])), max_size=40), min_size=2, max_size=6))]
+    texts += texts[:1]
+    batches = [pa.chunked_array([pa.array(texts[k::2], pa.binary())]) for k in (0, 1)]
+    slices = [next(T.slices(b))[2:] for b in batches]
+    scans = [list(windows.scan(*x)) for x in slices]
+    anchors = [_repeats._distinct([windows.anchors(*x[2:]) for x in pieces]) for pieces in scans]
+    keys = np.concatenate([k for k, _ in anchors])
+    chosen = np.unique(keys[_repeats.exact(keys, np.concatenate([t for _, t in anchors]) + 1)])
+    often = np.unique(keys[_repeats.exact(keys, np.ones(len(keys)), max(2, second.frequent))])
+    found = [[second.of(windows, x[0], pieces, _repeats.Plain(), chosen, often)] for x, pieces in zip(slices, scans, strict=True)]
+    sent = pa.concat_tables([second.send(k, f, 3) for k, f in enumerate(found)])
+    shards = [sent.filter(pc.equal(sent["shard"], k)) for k in sent["shard"].unique().to_pylist()]
+    back = pa.concat_tables([_repeats.answers(x, 2, second.merge(x, 3)) for x in shards] or [_repeats.answers(sent, 2, [])])
+    counts = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+    for k, f in enumerate(found):
+        got = second.hits(f, back.filter(pc.equal(back["batch"], k)), 3)[0]
+        offsets = slices[k][1].tolist()
+        assert sorted(got.tolist()) == [at + j for at, t in zip(offsets, texts[k::2], strict=False) for j in range(len(t) - length + 1) if counts[t[j : j + length]] > 1]
+
+
+def test_frequent_samples_change_work_only(spark, texts, monkeypatch):
+    monkeypatch.setattr(_repeats, "BATCH_BYTES", 2000)
+    df = documents(spark, texts)
+    want = sorted(map(tuple, suffix_dedup.remove_repeated_bytes(df).collect()))
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 2)
+    assert sorted(map(tuple, suffix_dedup.remove_repeated_bytes(df).collect())) == want
+
+
 @given(st.lists(st.lists(st.integers(0, 60), max_size=40), min_size=1, max_size=6), st.integers(1, 12))
 @settings(max_examples=60, deadline=None)
 def test_merged_sketches_never_under(batches, bits):

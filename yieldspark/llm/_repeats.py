@@ -8,7 +8,8 @@ merges what it gets and sends back one bit a key. Two rounds keep this small:
    anchors at one offset: a content-defined difference cover, of density 2 / (window - gram + 2). A
    window whose anchor stands at one place only cannot repeat. What is sent of the anchors is up to the
    prefilter: the anchors themselves (Plain), or the cells of a count-min sketch of the batch.
-2. Windows. Only those with a repeated anchor are grouped exactly, by their own hash.
+2. Windows. Only those with a repeated anchor are grouped exactly: by their own hash (Hashed), or as the
+   exact pass that an operator brings says.
 """
 
 from __future__ import annotations
@@ -165,8 +166,8 @@ def _chosen(back: pa.Table, round_: int, keys: np.ndarray, shards: int) -> np.nd
     return keys[keep]
 
 
-def exact(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Mask of a shard's keys whose weights (1, or 2 for a batch's own repeats) add up to 2 or more."""
+def exact(keys: np.ndarray, weights: np.ndarray, least: int = 2) -> np.ndarray:
+    """Mask of a shard's keys whose weights (1, or 2 for a batch's own repeats) add up to `least` or more."""
     if not len(keys):
         return np.zeros(0, bool)
     order = np.argsort(keys, kind="stable")
@@ -174,28 +175,60 @@ def exact(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     turn = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     total = np.add.reduceat(weights[order].astype(np.int64), turn)
     out = np.zeros(len(keys), bool)
-    out[order] = np.repeat(total > 1, np.diff(np.append(turn, len(keys))))
+    out[order] = np.repeat(total >= least, np.diff(np.append(turn, len(keys))))
     return out
 
 
-def _merged(sent: DataFrame, round_: int) -> DataFrame:
-    def shard(rows: pa.Table) -> pa.Table:
-        parts = [unpack_keys(x) for x in rows["keys"].to_pylist()]
-        sizes = [len(x) for x in parts]
-        twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["twice"].to_pylist(), sizes, strict=True)]
-        keep = exact(np.concatenate(parts), np.concatenate(twice) + 1)
-        bits = [np.packbits(x).tobytes() for x in np.split(keep, np.cumsum(sizes)[:-1])]
-        some = np.array([any(x) for x in bits], bool)
-        out = {"batch": rows["batch"], "round": pa.array(np.full(len(bits), round_), pa.int32()), "shard": rows["shard"], "bits": pa.array(bits, pa.binary())}
-        return pa.table(out).filter(pa.array(some))
+@dataclass(frozen=True)
+class Hashed:
+    """The exact pass over windows by their own hash."""
+
+    #: Batches from which on an anchor is told apart as frequent; None where the pass treats all alike.
+    frequent: int | None = None
+
+    def of(self, windows: Windows, data: np.ndarray, pieces: Iterable[tuple], prefilter: Plain, chosen: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the pass needs of a slice: here starts and hashes of its windows with a chosen anchor."""
+        spots = [(low, *windows.candidates(prefix, starts, least, prefilter, chosen)) for low, prefix, _, starts, least in pieces]
+        return np.concatenate([at + low for low, at, _ in spots]), np.concatenate([h for *_, h in spots])
+
+    def send(self, batch: int, found: list[tuple], shards: int) -> pa.Table:
+        """The batch's messages, as SENT."""
+        return _sent(batch, *_distinct([h for _, h in found]), shards)
+
+    def merge(self, rows: pa.Table, shards: int) -> list[np.ndarray]:
+        """The bits that answer each message of a shard."""
+        return merged_keys(rows)[0]
+
+    def hits(self, found: list[tuple], back: pa.Table, shards: int) -> list[np.ndarray]:
+        """Starts of the repeated windows of each slice."""
+        keys = _chosen(back, 2, _distinct([h for _, h in found])[0], shards)
+        return [at[T.is_in(h, keys)] for at, h in found]
 
-    return sent.groupBy("shard").applyInArrow(shard, BACK)
 
+def merged_keys(rows: pa.Table, frequent: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each message of a shard, which of its keys are repeated, and which stand in `frequent` messages or more."""
+    parts = [unpack_keys(x) for x in rows["keys"].to_pylist()]
+    sizes = [len(x) for x in parts]
+    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["twice"].to_pylist(), sizes, strict=True)]
+    keys, cuts = np.concatenate(parts), np.cumsum(sizes)[:-1]
+    repeats = np.split(exact(keys, np.concatenate(twice) + 1), cuts)
+    if frequent is None or len(parts) < frequent:
+        return repeats, []
+    return repeats, np.split(exact(keys, np.ones(len(keys)), frequent), cuts)
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, prefilter: Callable[[int], Plain], finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
+
+def answers(rows: pa.Table, round_: int, bits: list[np.ndarray]) -> pa.Table:
+    """BACK rows of the messages that have a bit set."""
+    some = np.array([x.any() for x in bits], bool)
+    packed = pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())
+    out = {"batch": rows["batch"], "round": pa.array(np.full(len(bits), round_), pa.int32()), "shard": rows["shard"], "bits": packed}
+    return pa.table(out).filter(pa.array(some))
+
+
+def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, prefilter: Callable[[int], Plain], finish: Callable[[bytes, np.ndarray], tuple], schema: str, second: Hashed = Hashed()) -> DataFrame:
     """finish(text, mask of its elements covered by repeated windows) for each document, as a row `doc_id, *schema`.
 
-    prefilter makes the first round's filter for a corpus of so many bytes. Null texts are empty; rows with
+    prefilter makes the first round's filter for a corpus of so many bytes, second is the exact pass. Null texts are empty; rows with
     one id each keep their own row; a null id stays null.
     """
     total = text_bytes(docs, text_col)
@@ -218,26 +251,28 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, pref
     def send_anchors(texts: pa.Table) -> pa.Table:
         return _sent(texts["batch"][0].as_py(), *anchors_of(scans(texts)), anchor_shards, first.shift)
 
-    def found(texts: pa.Table, back: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    def found(texts: pa.Table, back: pa.Table) -> list[tuple]:
         scanned = scans(texts)
-        keys = _chosen(back, 1, anchors_of(scanned)[0], anchor_shards)
-        out = []
-        for pieces in scanned:
-            spots = [(low, *windows.candidates(prefix, starts, least, first, keys)) for low, prefix, _, starts, least in pieces]
-            out.append((np.concatenate([at + low for low, at, _ in spots]), np.concatenate([h for *_, h in spots])))
-        return out
+        keys = anchors_of(scanned)[0]
+        chosen, often = _chosen(back, 1, keys, anchor_shards), _chosen(back, 3, keys, anchor_shards)
+        datas = (data for _, _, data, _ in T.slices(texts["text"]))
+        return [second.of(windows, data, pieces, first, chosen, often) for data, pieces in zip(datas, scanned, strict=True)]
 
     def send_windows(texts: pa.Table, back: pa.Table) -> pa.Table:
         if not texts.num_rows or not back.num_rows:
             return _sent(0, *_distinct([]), shards)
-        return _sent(texts["batch"][0].as_py(), *_distinct([h for _, h in found(texts, back)]), shards)
+        return second.send(texts["batch"][0].as_py(), found(texts, back), shards)
+
+    def merge_anchors(sent: pa.Table) -> pa.Table:
+        repeats, often = merged_keys(sent, second.frequent)
+        back = answers(sent, 1, repeats)
+        return pa.concat_tables([back, answers(sent, 3, often)]) if often else back
+
+    def merge_windows(sent: pa.Table) -> pa.Table:
+        return answers(sent, 2, second.merge(sent, shards))
 
     def result(texts: pa.Table, back: pa.Table) -> pa.Table:
-        hits: list[np.ndarray] = []
-        if back.num_rows:
-            spots = found(texts, back)
-            keys = _chosen(back, 2, _distinct([h for _, h in spots])[0], shards)
-            hits = [at[T.is_in(h, keys)] for at, h in spots]
+        hits = second.hits(found(texts, back), back, shards) if back.num_rows else []
         out: list[tuple] = []
         for k, (row, end, data, offsets) in enumerate(T.slices(texts["text"])):
             bounds = T.word_bounds(data, offsets)[2] if windows.words else offsets
@@ -247,8 +282,9 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, windows: Windows, pref
         columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
         return pa.table({"doc_id": texts["doc_id"].cast(pa.int64())} | {n: pa.array(c, kind) for (n, kind), c in zip(kinds.items(), columns, strict=True)})
 
-    anchored = _merged(rows.groupBy("batch").applyInArrow(send_anchors, SENT), 1)
-    windowed = _merged(rows.groupBy("batch").cogroup(anchored.groupBy("batch")).applyInArrow(send_windows, SENT), 2)
+    anchored = rows.groupBy("batch").applyInArrow(send_anchors, SENT).groupBy("shard").applyInArrow(merge_anchors, BACK)
+    sent = rows.groupBy("batch").cogroup(anchored.groupBy("batch")).applyInArrow(send_windows, SENT)
+    windowed = sent.groupBy("shard").applyInArrow(merge_windows, BACK)
     return rows.groupBy("batch").cogroup(anchored.unionByName(windowed).groupBy("batch")).applyInArrow(result, f"doc_id long, {schema}")
 
 

@@ -72,7 +72,7 @@ def test_sorted_suffixes(data):
     batches = [pa.chunked_array([pa.array(texts[k::2], pa.binary())]) for k in (0, 1)]
     slices = [next(T.slices(b))[2:] for b in batches]
     scans = [list(windows.scan(*x)) for x in slices]
-    anchors = [_repeats._distinct([windows.anchors(*x[2:]) for x in pieces]) for pieces in scans]
+    anchors = [_repeats._distinct([k for x in pieces for k in _repeats.Plain().keys(windows.anchors(*x[2:]))]) for pieces in scans]
     keys = np.concatenate([k for k, _ in anchors])
     chosen = np.unique(keys[_repeats.exact(keys, np.concatenate([t for _, t in anchors]) + 1)])
     often = np.unique(keys[_repeats.exact(keys, np.ones(len(keys)), max(2, second.frequent))])

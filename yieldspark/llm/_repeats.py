@@ -36,13 +36,14 @@ BACK = "batch long, round int, shard int, bits binary"
 
 @dataclass(frozen=True)
 class Plain:
-    """A prefilter that sends the anchors' hashes as they are. shift: low bits of its keys that are always 0."""
+    """A prefilter that sends a key for each anchor. shift: low bits of its keys that are always 0."""
 
     shift: int = 0
 
     def keys(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """The keys whose counts must all be 2 or more for the anchor to count as repeated."""
-        return [hashes]
+        """The keys whose counts must all be 2 or more for the anchor to count as repeated. Anchors are least
+        hashes, all of them small: mixed anew, they spread over the shards."""
+        return [T.mix(hashes)]
 
 
 @dataclass(frozen=True)

@@ -40,11 +40,11 @@ LOOK = 4096
 
 
 class Runs(NamedTuple):
-    """Runs of a slice: first suffix, suffixes, shard, bytes spanned with the bytes before the sample's first one."""
+    """Runs of a slice: first suffix, suffixes, sample's key, bytes spanned and how many of them are before the sample."""
 
     at: np.ndarray
     size: np.ndarray
-    shard: np.ndarray
+    key: np.ndarray
     spans: list[tuple[bytes, int]]
 
 
@@ -112,10 +112,11 @@ class SortedSuffixes(Hashed):
         rare = np.setdiff1d(chosen, often, assume_unique=True)
         for low, _, grams, starts, least in pieces:
             at, size, hashes = find_runs(grams, starts, least)
-            keep = T.is_in(hashes, rare)
-            at, size, hashes = at[keep], size[keep], hashes[keep]
+            keys = prefilter.keys(hashes)[0]
+            keep = T.is_in(keys, rare)
+            at, size, hashes, keys = at[keep], size[keep], hashes[keep], keys[keep]
             offsets = sample_offsets(grams, at, hashes, windows.width - windows.gram)
-            parts.append((at + low, size, hashes))
+            parts.append((at + low, size, keys))
             ends = at + size + self.length - 1
             spans += [(text[a:b], n) for a, b, n in zip((at + low).tolist(), (ends + low).tolist(), offsets.tolist(), strict=True)]
         return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)), spans), super().of(windows, data, pieces, prefilter, often, often)
@@ -124,7 +125,7 @@ class SortedSuffixes(Hashed):
         """Shard by shard the batch's distinct runs in order, with their counts."""
         out: dict[int, Counter] = {}
         for runs, _ in found:
-            for shard, span in zip(shard_of(runs.shard, shards).tolist(), runs.spans, strict=True):
+            for shard, span in zip(shard_of(runs.key, shards).tolist(), runs.spans, strict=True):
                 out.setdefault(shard, Counter())[span] += 1
         return {s: dict(sorted(out[s].items())) for s in sorted(out)}
 

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+#: Working memory is some 60 bytes a byte of a slice.
+SLICE_BYTES = 1 << 18
 #: Texts over this size are hashed in pieces: working memory is a multiple of a piece, not of a text.
 PIECE_BYTES = 4 << 20
 #: The white space of all word definitions: space and \t \n \v \f \r.
@@ -29,7 +30,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept and grown as longer slices come."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(18, int(n).bit_length())
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)

@@ -36,22 +36,22 @@ class LanguageModel:
     weights: np.ndarray  # DIMS x languages, float32
 
 
-def gram_codes(data: np.ndarray) -> np.ndarray:
-    """Hashed codes of all n-grams of lower-cased bytes; white space counts as one blank."""
+def gram_codes(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashed codes of all n-grams of lower-cased bytes, order by order; white space counts as one blank."""
     x = np.where(T.SPACE[data], np.uint8(0x20), T.LOWER[data]).astype(np.uint32)
-    out, code = [], np.zeros(len(x), np.uint32)
+    code = np.zeros(len(x), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(x) < n:
             break
         code = (code[: len(x) - n + 1] << np.uint32(8)) | x[n - 1 :]
         if n in ORDERS:
-            out.append(((code + np.uint32(n * 0x9E3779B1 % (1 << 32))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - DIMS_BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+            yield ((code + np.uint32(n * 0x9E3779B1 % (1 << 32))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - DIMS_BITS)
 
 
 def _presence(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
     flags[:] = False
-    flags[gram_codes(data)] = True
+    for codes in gram_codes(data):
+        flags[codes] = True
     return np.flatnonzero(flags)
 
 
@@ -101,8 +101,7 @@ def fit(docs: DataFrame, rows: int = 1200, landmarks: int = 256, ridge: float =
         for b in batches:
             packed = []
             for text in T.binary(b.column("text")).to_pylist():
-                flags[:] = False
-                flags[gram_codes(np.frombuffer(text, np.uint8))] = True
+                _presence(np.frombuffer(text, np.uint8), flags)
                 packed.append(np.packbits(flags).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(packed, pa.binary())], schema=PAIR)
 

@@ -25,7 +25,7 @@ from yieldspark.llm.components import grown
 BUCKETS, MANTISSA = 192, 10
 #: A link at the threshold is missed by all bands less often than this.
 MISS = 1e-6
-ROW_SLICE = 4096
+ROW_SLICE = 1024
 #: Narrowed buckets of up to PAIRED members are compared pair by pair, so a member meets at most that many;
 #: wider ones get another star. What ROUNDS of stars have not narrowed is compared in blocks of PAIRED.
 PAIRED, ROUNDS = 1024, 5

@@ -18,7 +18,7 @@ def views(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def same(spark, query, sql: str, sf_dir: str) -> None:
-    got, want = query(spark, sf_dir).toPandas(), views(sf_dir).execute(sql).df()
+    got, want = query(spark, sf_dir).toPandas().convert_dtypes(), views(sf_dir).execute(sql).df().convert_dtypes()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     rows = lambda df: sorted(map(tuple, df[columns].astype(str).values.tolist()))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from yieldspark.llm.decontamination import op4_decontamination
-from yieldspark.llm import mixing, secret_scan
+from yieldspark.llm import fill_middle, hard_negatives, mixing, secret_scan
+from yieldspark.llm.bpe import op13_bpe
 from yieldspark.llm.html_wrapper import op5_html_extraction
 from yieldspark.llm.language_id import op2_language_id
 from yieldspark.llm.lm_scoring import op3_lm_scoring
@@ -12,13 +13,13 @@ from yieldspark.llm.quality_rules import RULES, op8_quality_rules
 from yieldspark.llm.substring_dedup import op9_substring_dedup
 from yieldspark.llm.suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (secret_scan.op1_secret_scan, op2_language_id, op3_lm_scoring, op4_decontamination, op5_html_extraction, mixing.op6_mixing, op7_near_dedup, op8_quality_rules, op9_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (secret_scan.op1_secret_scan, op2_language_id, op3_lm_scoring, op4_decontamination, op5_html_extraction, mixing.op6_mixing, op7_near_dedup, op8_quality_rules, op9_substring_dedup, op10_suffix_dedup, hard_negatives.op11_hard_negatives, fill_middle.op12_fill_in_middle, op13_bpe)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: DuckDB's own reading of the contracts. SQL has no lattice, kernel model or wrapper: ops 2, 3 and 5 have none.
+#: DuckDB's own reading of the contracts. SQL has no lattice, kernel model, wrapper or merges: ops 2, 3, 5 and 13 have none.
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
     "op4_decontamination": rf"""
@@ -81,4 +82,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans,
             sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN parts USING (doc_id)""",
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_fill_in_middle": fill_middle.ORACLE_SQL,
 }

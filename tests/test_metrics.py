@@ -116,15 +116,6 @@ def test_folds_and_calibration(spark, scored):
     assert (np.diff(iso) >= 0).all()
 
 
-def test_contributions_add_up(spark):
-    rng = np.random.default_rng(5)
-    rows = spark.createDataFrame([(i, float(a), None if i % 9 == 0 else float(b), int(a > 0.6)) for i, (a, b) in enumerate(rng.random((300, 2)))], "k long, a double, b double, y int")
-    encoded, columns = models.encode_missing(rows, models.lowest(rows, ["a", "b"]))
-    model = models.boosted_trees(encoded, columns, "y", rounds=3)
-    top = models.importance(models.contributions(model, encoded, "k", columns)).orderBy(F.desc("mean_abs")).first()
-    assert top["feature"] == "a"
-
-
 def test_folds_and_flag_rate_in_ranges(spark, scored, monkeypatch):
     """Many ordered ranges give what one gives, null classes too."""
     df = scored[0]
@@ -137,26 +128,3 @@ def test_folds_and_flag_rate_in_ranges(spark, scored, monkeypatch):
     whole = every()
     monkeypatch.setattr(ordering, "RANGE_ROWS", 60)
     assert every() == whole and len(whole[0]) == 800
-
-
-def test_cross_validated_training(spark, tmp_path):
-    """Each key once a repeat, by a model that has not seen it; growing stops early; a saved model scores alike."""
-    rng = np.random.default_rng(8)
-    rows = spark.createDataFrame([(i, float(a), None if i % 7 == 0 else float(b), int(rng.random() < 0.1 + 0.8 * (a > 0.5))) for i, (a, b) in enumerate(rng.random((300, 2)))], "k long, a double, b double, y int")
-    scores, fits = models.cross_validated(rows, "k", "y", ["a", "b"], folds=3, repeats=1, rounds=8, depth=3)
-    assert scores.count() == 300 == scores.select("k").distinct().count() and scores.where("p between 0 and 1").count() == 300
-    got = fits.collect()
-    assert [(r["repeat"], r["fold"]) for r in got] == [(1, 0), (1, 1), (1, 2)] and all(1 <= r["n_trees"] <= 8 and r["roc_auc"] > 0.6 for r in got)
-    model, low = models.refit(rows, "y", ["a", "b"], fits, depth=3)
-    models.save_model(model, f"file://{tmp_path}/m", low)
-    again, minima = models.load_model(f"file://{tmp_path}/m")
-    assert minima == low
-    few = rows.where("k < 20 and a > 0.4")  # its own minimum is not the training one
-    p = lambda m, x: [r["p"] for r in models.score(m, models.encode_missing(few, x)[0], "p").orderBy("k").collect()]
-    assert p(model, low) == pytest.approx(p(again, minima))
-    cal = models.platt(scores, "p", "y")
-    models.save_model(cal, f"file://{tmp_path}/c")
-    one, other = (models.apply_platt(m, scores).orderBy("k").toPandas()["p_cal"] for m in (cal, models.load_model(f"file://{tmp_path}/c", False)[0]))
-    assert (one == other).all()
-    chosen = spark.createDataFrame([(["a", "b"],), (["a", "a"],)], "features array<string>")
-    assert {(r["feature"], r["n"], r["share"]) for r in models.selection_counts(chosen).collect()} == {("a", 2, 1.0), ("b", 1, 0.5)}

@@ -1,17 +1,13 @@
-"""Folds, calibration and a boosted-tree score, on Spark ML."""
+"""Folds, calibration on Spark ML, cross-validated boosting, and models on disk."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.operators.metrics import average_precision, brier, roc_auc, threshold_table
-from yieldspark.operators.ordering import positions
+from yieldspark.operators.boosting import Boosted, boosted, probability
+from yieldspark.operators.ordering import positions, running_sums
 from yieldspark.sources.staging import stage
 
 
@@ -46,67 +42,43 @@ def isotonic(df: DataFrame, score: str, label: str):
     return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="p_cal").fit(df)
 
 
-def lowest(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Each column's minimum over the training rows (0 where all are null): what encode_missing puts nulls below."""
-    low = df.agg(*(F.min(F.col(c).cast("double")).alias(c) for c in columns)).first()
-    return {c: 0.0 if low[c] is None else float(low[c]) for c in columns}
-
-
-def encode_missing(df: DataFrame, low: dict[str, float]) -> tuple[DataFrame, list[str]]:
-    """Nulls as a value below the training minimum, with a flag column each, so that trees can part them."""
-    flags = {f"{c}__null": F.col(c).isNull().cast("double") for c in low}
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(least - 1.0)) for c, least in low.items()}
-    return df.withColumns(flags).withColumns(filled), [*low, *flags]
-
-
-def boosted_trees(df: DataFrame, columns: list[str], label: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 1337, valid: str | None = None):
-    """Gradient-boosted trees over encoded columns, classes weighted to balance.
-
-    valid names a boolean column: its rows are not fitted, and growing stops once the loss on them no longer falls.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+def calibrated(model, df: DataFrame) -> DataFrame:
+    """df with p_cal, by a fitted (or loaded) calibrator of either kind."""
+    from pyspark.ml import PipelineModel
 
-    fitted = df.where(~F.col(valid)) if valid else df
-    n1, n0 = fitted.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
-    weighted = df.withColumn("weight__", F.when(F.col(label) == 1, n0 / max(n1, 1)).otherwise(1.0))
-    trees = GBTClassifier(featuresCol="features__", labelCol=label, weightCol="weight__", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, predictionCol="pred__").setProbabilityCol("prob__").setRawPredictionCol("raw__")
-    if valid:
-        trees = trees.setValidationIndicatorCol(valid)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features__"), trees]).fit(weighted)
+    return apply_platt(model, df) if isinstance(model, PipelineModel) else model.transform(df)
 
 
-def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, repeats: int = 3, rounds: int = 200, **trees) -> tuple[DataFrame, DataFrame]:
-    """(out-of-fold scores, fits): a model for each repeat and fold, grown until its held-out fold stops gaining.
+def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, repeats: int = 3, **trees) -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold scores, fits): a boosted model for each repeat and fold, grown until its held-out fold stops gaining.
 
     Scores are key, label, repeat, fold, p: each key once a repeat, by the model that has not seen its fold.
-    Fits are repeat, fold, n_trees, average_precision, roc_auc and brier of that fold. The loop is over
-    folds x repeats models, each one distributed.
+    Fits are repeat, fold, n_trees, average_precision, roc_auc and brier of that fold. All models grow in the
+    same jobs, over bins of all rows; **trees goes to `boosted`.
     """
-    parts = stage(stratified_folds(df, key, label, folds, repeats).select("repeat", "fold", key), "folds")
-    rows = stage(df.select(key, label, *columns), "training")
-    scores, fits = None, []
-    for repeat in range(1, repeats + 1):
-        for fold in range(folds):
-            held = parts.where((F.col("repeat") == repeat) & (F.col("fold") == fold)).select(key, F.lit(True).alias("valid__"))
-            split = rows.join(held, key, "left").withColumn("valid__", F.coalesce("valid__", F.lit(False)))
-            encoded, used = encode_missing(split, lowest(split.where("not valid__"), columns))
-            model = boosted_trees(encoded, used, label, rounds, valid="valid__", **trees)
-            out = score(model, encoded.where("valid__"), "p").select(key, label, F.lit(repeat).cast("long").alias("repeat"), F.lit(fold).cast("long").alias("fold"), "p")
-            out = stage(out, "held_out")
-            curve = threshold_table(out, "p", label)
-            fits.append((repeat, fold, len(model.stages[-1].trees), average_precision(curve).first()[0], roc_auc(curve).first()[0], brier(out, "p", label).first()[0]))
-            scores = out if scores is None else scores.unionByName(out)
-    kind = "repeat long, fold long, n_trees long, average_precision double, roc_auc double, brier double"
-    return scores, df.sparkSession.createDataFrame(fits, kind)
-
-
-def refit(df: DataFrame, label: str, columns: list[str], fits: DataFrame, **trees):
-    """(model, training minima): all rows, with the median number of trees of the cross-validated fits."""
-    low = lowest(df, columns)
-    encoded, used = encode_missing(df, low)
-    return boosted_trees(encoded, used, label, max(1, int(fits.agg(F.median("n_trees")).first()[0])), **trees), low
+    labelled = df.where(F.col(label).isNotNull())
+    dealt = stratified_folds(labelled, key, label, folds, repeats)
+    bit = F.pow(F.lit(2), (F.col("repeat") - 1) * folds + F.col("fold")).cast("long")
+    held = dealt.groupBy(F.col(key).alias("key__")).agg(F.sum(bit).alias("held__"))  # one fold a repeat
+    rows = stage(labelled.join(held, F.col(key).eqNullSafe(F.col("key__"))).select(key, label, *columns, "held__"), "training")
+    fitted = boosted(rows, columns, label, held=F.col("held__"), models=folds * repeats, **trees)
+    scored = F.array(*(F.when(F.shiftright("held__", m) % 2 == 1, F.struct(F.lit(m // folds + 1).cast("long").alias("repeat"), F.lit(m % folds).cast("long").alias("fold"), probability(model).alias("p"))) for m, model in enumerate(fitted)))
+    scores = stage(rows.select(key, label, F.explode(F.filter(scored, lambda s: s.isNotNull())).alias("s")).select(key, label, "s.*"), "held_out")
+    y = F.col(label).cast("long")
+    curve = running_sums(stage(scores.groupBy("repeat", "fold", "p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")), "curve"), [F.desc("p")], {"tp": F.col("pos"), "fp": F.col("neg")}, keys=["repeat", "fold"])
+    precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")
+    auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))
+    error = scores.groupBy("repeat", "fold").agg(F.avg((F.col("p") - F.col(label)) ** 2).alias("brier"))
+    sizes = df.sparkSession.createDataFrame([(m // folds + 1, m % folds, len(model.trees)) for m, model in enumerate(fitted)], "repeat long, fold long, n_trees long")
+    fits = sizes.join(curve.groupBy("repeat", "fold").agg(precision.alias("average_precision"), auc.alias("roc_auc")), ["repeat", "fold"]).join(error, ["repeat", "fold"])
+    return scores, fits
+
+
+def refit(df: DataFrame, label: str, columns: list[str], fits: DataFrame | None = None, rounds: int = 5000, **trees) -> Boosted:
+    """A model of all labelled rows: `rounds` trees, or the median number of the cross-validated fits."""
+    if fits is not None:
+        rounds = max(1, int(fits.agg(F.median("n_trees")).first()[0]))
+    return boosted(df, columns, label, rounds, **trees)[0]
 
 
 def selection_counts(fits: DataFrame) -> DataFrame:
@@ -115,70 +87,22 @@ def selection_counts(fits: DataFrame) -> DataFrame:
     return fits.select(F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / n)
 
 
-def save_model(model, path: str, low: dict[str, float] | None = None) -> None:
-    """A fitted pipeline and, for trees, the minima its encoding needs; scoring may then be another job."""
-    model.write().overwrite().save(f"{path}/model")
-    if low is not None:
+def save_model(model, path: str) -> None:
+    """A boosted model (its trees and edges as JSON) or a fitted calibrator of Spark ML, so that another job may score."""
+    if isinstance(model, Boosted):
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(low),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/minima")
+        spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/boosted")
+    else:
+        model.write().overwrite().save(f"{path}/model")
 
 
-def load_model(path: str, encoded: bool = True):
-    """(model, minima) as save_model wrote them; minima are None for a calibrator."""
-    from pyspark.ml import PipelineModel
-
-    spark = SparkSession.getActiveSession()
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/minima").first()[0]) if encoded else None
-
-
-def score(model, df: DataFrame, name: str = "score_raw") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def load_model(spark: SparkSession, path: str):
+    """What save_model wrote: a Boosted, or a Spark ML model of the class its metadata name."""
+    from pyspark.ml.util import DefaultParamsReader
 
-    return model.transform(df).withColumn(name, F.get(vector_to_array("prob__"), 1)).drop("features__", "raw__", "prob__", "pred__", "weight__")
-
-
-def contributions(model, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, feature, contribution: each tree path's change of the node mean, summed by the feature split on.
-
-    Path attribution of the ensemble's margin: contributions add up to the margin less its root mean. Nodes
-    (a bounded table) go to the tasks; rows stay distributed.
-    """
-    gbt = model.stages[-1]
-    trees = []
-    for tree, weight in zip(gbt.trees, gbt.treeWeights, strict=True):
-        nodes: list[tuple[int, float, int, int, float]] = []
-
-        def add(node, nodes=nodes) -> int:
-            place = len(nodes)
-            nodes.append((-1, 0.0, -1, -1, float(node.prediction())))
-            if node.subtreeDepth() > 0:
-                split = node.split()
-                left, right = add(node.leftChild()), add(node.rightChild())
-                nodes[place] = (split.featureIndex(), float(split.threshold()), left, right, float(node.prediction()))
-            return place
-
-        add(tree._call_java("rootNode"))
-        trees.append((float(weight), nodes))
-    sent = df.sparkSession.sparkContext.broadcast(trees)
-    kind = dict(df.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b[columns].to_numpy(float)
-            out = np.zeros(x.shape)
-            for weight, nodes in sent.value:
-                feature, cut, left, right, mean = (np.array(c) for c in zip(*nodes, strict=True))
-                at = np.zeros(len(x), int)
-                while (inner := feature[at] >= 0).any():
-                    rows = np.flatnonzero(inner)
-                    f = feature[at[rows]]
-                    down = np.where(x[rows, f] <= cut[at[rows]], left[at[rows]], right[at[rows]])
-                    out[rows, f] += weight * (mean[down] - mean[at[rows]])
-                    at[rows] = down
-            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), len(columns)), "feature": columns * len(b), "contribution": out.ravel()})
-
-    return df.select(key, *columns).mapInPandas(run, f"{key} {kind}, feature string, contribution double")
-
-
-def importance(contribution: DataFrame) -> DataFrame:
-    return contribution.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    try:
+        return Boosted.from_json(spark.read.text(f"{path}/boosted").first()[0])
+    except AnalysisException as x:
+        if x.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)

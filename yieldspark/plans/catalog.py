@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from yieldspark.plans import control, evaluation, experiments, exploration, relational, series
+from yieldspark.plans import control, evaluation, training, experiments, exploration, relational, series, training
 
-_PLANS = (relational, control, evaluation, experiments, series, exploration)
+_PLANS = (relational, control, evaluation, training, experiments, series, exploration)
 QUERIES = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
 ORACLE_SQL = {k: s for p in _PLANS for k, s in p.ORACLE_SQL.items()}

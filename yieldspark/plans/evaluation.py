@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.operators import doe, metrics, models
-from yieldspark.plans.tables import CURVE_SQL, SCORED_SQL, lines, r, rounded, scored_documents, table
+from yieldspark.plans.tables import CURVE_SQL, SCORED_SQL, r, rounded, scored_documents, table
 
 TARGETS = [0.5, 0.6, 0.7]
 
@@ -97,51 +97,10 @@ def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.isotonic(rows, "p", "y").transform(rows).select("doc_id", r("p", 9).alias("p"), r("p_cal", 6).alias("p_cal"))
 
 
-def _by_order(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    return lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in columns), F.max("fail").alias("fail"))
+QUERIES = {f.__name__: f for f in (pr_curve, average_precision, roc_auc, brier, confusion, mcc_threshold, f1_threshold, operating_points, recall_at_flagrate, reliability_bins, evaluate_bundle, describe_columns, oof_mean, noisy_response, stratified_folds, fold_metrics, platt_calibration, isotonic_calibration)}
 
-
-def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["l_quantity", "l_tax", "sparse", "collinear"]
-    rows = _by_order(spark, sf_dir, columns)
-    train = rows.where("l_orderkey % 5 != 0")
-    low = models.lowest(train, columns)
-    encoded, used = models.encode_missing(train, low)
-    model = models.boosted_trees(encoded, used, "fail", rounds=5)
-    held_out, _ = models.encode_missing(rows.where("l_orderkey % 5 = 0"), low)
-    return models.score(model, held_out).select("l_orderkey", "fail", r("score_raw").alias("score_raw"))
-
-
-def contribution_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sensors = ["l_quantity", "l_tax", "sparse"]
-    rows = _by_order(spark, sf_dir, sensors)
-    encoded, used = models.encode_missing(rows, models.lowest(rows, sensors))
-    model = models.boosted_trees(encoded, used, "fail", rounds=5)
-    return rounded(models.importance(models.contributions(model, encoded, "l_orderkey", used)))
-
-
-def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("double").alias("quality")).join(sizes, "doc_id", "left")
-    return models.cross_validated(rows, "doc_id", "toxic", ["n_chars", "quality"], folds=3, repeats=2, rounds=6, depth=3)
-
-
-def cv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold rows of cross-validated models by repeat and fold: each key once a repeat."""
-    scores, _ = _trained(spark, sf_dir)
-    return scores.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_keys"), F.sum("toxic").alias("n_fail"), F.count_if(F.col("p").between(0, 1)).alias("n_scored"))
-
-
-def cv_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees and metrics of each cross-validated fit."""
-    return rounded(_trained(spark, sf_dir)[1])
-
-
-QUERIES = {f.__name__: f for f in (pr_curve, average_precision, roc_auc, brier, confusion, mcc_threshold, f1_threshold, operating_points, recall_at_flagrate, reliability_bins, evaluate_bundle, describe_columns, oof_mean, noisy_response, stratified_folds, fold_metrics, platt_calibration, isotonic_calibration, gbt_score, contribution_importance, cv_coverage, cv_fits)}
-
-_FOLDS = "f AS (SELECT t.r AS repeat, doc_id, toxic::BIGINT AS toxic, ((row_number() OVER (PARTITION BY t.r, toxic ORDER BY md5(t.r::VARCHAR || '|1337|' || doc_id::VARCHAR), doc_id) - 1) % 5)::BIGINT AS fold FROM labels, range(1, 4) t(r))"
+FOLDS_SQL = "f AS (SELECT t.r AS repeat, doc_id, toxic::BIGINT AS toxic, ((row_number() OVER (PARTITION BY t.r, toxic ORDER BY md5(t.r::VARCHAR || '|1337|' || doc_id::VARCHAR), doc_id) - 1) % 5)::BIGINT AS fold FROM labels, range(1, 4) t(r))"
 ORACLE_SQL = {
-    "cv_coverage": f"WITH {_FOLDS.replace('range(1, 4)', 'range(1, 3)').replace('% 5)', '% 3)')} SELECT repeat, fold, count(*) AS n, count(DISTINCT doc_id) AS n_keys, sum(toxic)::BIGINT AS n_fail, count(*) AS n_scored FROM f GROUP BY ALL",
     # the greatest of the least means of runs from and to a score: the isotonic fit
     "isotonic_calibration": f"""WITH {SCORED_SQL}, g AS (SELECT p, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM s GROUP BY p), i AS (SELECT p, y, n, row_number() OVER w AS k, sum(y) OVER w AS cy, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY p)),
         ab AS (SELECT a.k AS a, b.k AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM i a JOIN i b ON b.k >= a.k), mi AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM ab), f AS (SELECT b AS k, max(m) AS fit FROM mi WHERE a <= b GROUP BY b)
@@ -159,10 +118,10 @@ ORACLE_SQL = {
     "recall_at_flagrate": f"WITH {SCORED_SQL}, k AS (SELECT greatest(1, floor(count(*) * 0.05::DOUBLE))::BIGINT AS k, sum(y) AS np FROM s), o AS (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS rn FROM s) SELECT round(sum(y) / max(np)::DOUBLE, 6) AS recall, max(k) AS k FROM o, k WHERE rn <= k",
     "reliability_bins": f"""WITH {SCORED_SQL}, e AS (SELECT quantile_cont(p, [{', '.join(f'{i}::DOUBLE / 10' for i in range(1, 10))}]) AS e FROM s), b AS (SELECT p, y, len(list_filter(e, lambda x: p > x))::BIGINT AS bin FROM s, e)
         SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS mean_label FROM b GROUP BY 1""",
-    "stratified_folds": f"WITH {_FOLDS} SELECT * FROM f",
-    "fold_metrics": f"WITH {_FOLDS}, {SCORED_SQL}, c AS (SELECT repeat, fold, avg((p - y) ** 2) AS b FROM f JOIN s USING (doc_id) GROUP BY ALL) SELECT coalesce(repeat, 0)::BIGINT AS repeat, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS std, count(*) AS n FROM c GROUP BY GROUPING SETS ((repeat), ())",
+    "stratified_folds": f"WITH {FOLDS_SQL} SELECT * FROM f",
+    "fold_metrics": f"WITH {FOLDS_SQL}, {SCORED_SQL}, c AS (SELECT repeat, fold, avg((p - y) ** 2) AS b FROM f JOIN s USING (doc_id) GROUP BY ALL) SELECT coalesce(repeat, 0)::BIGINT AS repeat, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS std, count(*) AS n FROM c GROUP BY GROUPING SETS ((repeat), ())",
     "evaluate_bundle": f"WITH {CURVE_SQL}, a AS (SELECT sum(pos / np::DOUBLE * tp / (tp + fp)) AS ap, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / max(np::DOUBLE * nn) AS auc FROM c), b AS (SELECT avg((p - y) ** 2) AS b, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM s) SELECT round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc, round(b, 6) AS brier, tp, fp, fn, tn FROM a, b",
     "describe_columns": "SELECT 'o_totalprice' AS column_name, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, round(min(o_totalprice), 4) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.75), 4) AS q75, round(max(o_totalprice), 4) AS max FROM orders",
-    "oof_mean": f"WITH {_FOLDS}, {SCORED_SQL} SELECT doc_id, round(avg(p + fold / 10.0::DOUBLE), 6) AS p, count(*) AS n_repeats FROM f JOIN s USING (doc_id) GROUP BY 1",
+    "oof_mean": f"WITH {FOLDS_SQL}, {SCORED_SQL} SELECT doc_id, round(avg(p + fold / 10.0::DOUBLE), 6) AS p, count(*) AS n_repeats FROM f JOIN s USING (doc_id) GROUP BY 1",
     "noisy_response": f"WITH {SCORED_SQL} SELECT count(*) AS n, 1::BIGINT AS binary, count(*) AS inside FROM s",
 }

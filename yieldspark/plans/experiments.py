@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.operators import doe, models
+from yieldspark.operators import boosting, doe
 from yieldspark.plans.tables import lines, rounded, table
 
 FACTORS = [{"name": "s060", "low": 10.0, "high": 20.0}, {"name": "s123", "low": -1.0, "high": 1.0, "center": 0.25}, {"name": "s461", "low": 0.0, "high": 5.0}]
@@ -83,11 +83,9 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surrogate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     sensors = ["l_quantity", "l_tax", "sparse"]
     rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in sensors), F.max("fail").alias("fail"))
-    low = models.lowest(rows, sensors)
-    encoded, columns = models.encode_missing(rows, low)
-    model = models.boosted_trees(encoded, columns, "fail", rounds=5)
+    model = boosting.boosted(rows, sensors, "fail", rounds=5, rate=0.1)[0]
     design = doe.factorial_design(spark, [{"name": "l_quantity", "low": 5.0, "high": 45.0}, {"name": "sparse", "low": 0.0, "high": 0.08}], centers=1)
-    score = lambda df: models.score(model, models.encode_missing(df, low)[0])
+    score = lambda df: df.withColumn("score_raw", boosting.probability(model))
     out = doe.score_design(rows, design, ["l_quantity", "sparse"], score, {"f_any": sensors}, sensors)
     return rounded(out.groupBy("run_id", "l_quantity", "sparse").agg(F.count(F.lit(1)).alias("n"), F.avg("score_raw").alias("p"), F.avg(F.col("f_row_missing_rate").cast("double")).alias("missing")))
 

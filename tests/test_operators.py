@@ -160,8 +160,6 @@ def test_registry(spark):
     both = registry.upsert(old, new)
     assert registry.active_columns(both) == ["s001", "f_x"]
     assert registry.active_columns(registry.retire(both, ["s001"], "constant")) == ["f_x"]
-    with pytest.raises(ValueError):
-        registry.append_rows(old, old, "column_name")
     assert registry.append_fixed(new, old).columns == new.columns
 
 
@@ -231,19 +229,6 @@ def test_fisher_tails():
     assert _two_sided(0, 0, 0, 0) == 1.0 and 0 < _two_sided(5_000_000, 5_001_000, 5_000_500, 5_000_000) <= 1
 
 
-def test_create_and_refresh(spark, tmp_path):
-    from yieldspark.sources import registry
-
-    path = f"file://{tmp_path}/t"
-    assert registry.create_table(spark, path, "k long, v string").count() == 0
-    registry.full_refresh(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), path)
-    assert registry.create_table(spark, path, "k long, v string").count() == 2
-    out = registry.full_refresh(spark.read.parquet(path).where("k = 2"), path)
-    assert [tuple(r) for r in out.collect()] == [(2, "b")]
-    with pytest.raises(ValueError, match="schema"):
-        registry.create_table(spark, path, "k long")
-
-
 def test_retrain_decision(spark, tmp_path):
     from yieldspark.operators import monitoring
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.operators import extract, features, monitoring, quality
 from yieldspark.plans.tables import LINES_SQL, LONG_SQL, WIDE, lines, rounded, table
 from yieldspark.sources import readers, registry
+from yieldspark.sources.committed import Conflict, Store, retire
+from yieldspark.sources.staging import folder
 
 CUTOFF, EXCLUDE = "1999-01-01 00:00:00", "2000-06-01 00:00:00"
 
@@ -83,6 +87,46 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("column_name", "role", "status", "col_index", F.coalesce("notes", F.lit("")).alias("notes")))
 
 
+def _new_store(spark: SparkSession) -> Store:
+    return Store(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+def committed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders refreshed, appended, upserted and deleted in commits; a writer that began before them fails."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    store = _new_store(spark)
+    change = store.begin()
+    change.refresh("orders", o.where("o_orderdate < timestamp'1997-01-01'"))
+    change.commit()
+    stale, change = store.begin(), store.begin()
+    change.append("orders", o.where("o_orderdate >= timestamp'1997-01-01'"), "o_orderkey")
+    change.upsert("orders", o.where("o_orderpriority = '1-URGENT'").withColumn("o_totalprice", F.col("o_totalprice") * 2), "o_orderkey")
+    change.delete("orders", F.col("o_orderkey") % 7 == 0)
+    version = change.commit()
+    stale.delete("orders", F.col("o_orderkey") % 2 == 0)
+    try:
+        stale.commit()
+    except Conflict:
+        return rounded(store.read("orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.lit(version).cast("long").alias("version")), 2)
+    raise RuntimeError("a stale writer has committed")
+
+
+def committed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables in one commit, columns retired in the next; the rows of both versions."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("column_name"), F.lit("feature_raw").alias("role"), F.lit("active").alias("status"), F.col("p_partkey").cast("int").alias("col_index"))
+    store = _new_store(spark)
+    change = store.begin()
+    change.create("registry", registry.REGISTRY)
+    change.upsert("registry", parts, "column_name")
+    change.refresh("ledger", parts.groupBy("role").agg(F.count(F.lit(1)).alias("n")))
+    first = change.commit()
+    change = store.begin()
+    retire(change, "registry", ["s3", "s5"], "constant")
+    change.commit()
+    every = store.read("registry", first).withColumn("version", F.lit(0)).unionByName(store.read("registry").withColumn("version", F.lit(1))).join(F.broadcast(store.read("ledger")), "role")
+    return rounded(every.groupBy("version", "status", F.coalesce("notes", F.lit("")).alias("notes")).agg(F.count(F.lit(1)).alias("columns"), F.max("n").alias("n")))
+
+
 def ledger_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     a = events.groupBy("event_type").agg(F.max("event_id").alias("last_id")).withColumn("type", F.lit("spc"))
@@ -112,7 +156,7 @@ def named_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.run_query(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_view WHERE o_orderdate BETWEEN timestamp(:a) AND timestamp(:b) GROUP BY o_orderpriority", a="1997-01-01", b="1998-12-31")
 
 
-QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, ledger_union, resolve_bundle, table_fingerprint, dataset_card, named_query)}
+QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, committed_orders, committed_registry, ledger_union, resolve_bundle, table_fingerprint, dataset_card, named_query)}
 
 _NULLS = " + ".join(f"({c} IS NULL)::INT" for c in WIDE)
 _QUALITY = f"""WITH {LONG_SQL}, b AS (SELECT count(*) AS n, avg(fail::DOUBLE) AS base FROM li),
@@ -150,6 +194,9 @@ ORACLE_SQL = {
     "select_features": _G + ", k AS (SELECT column_name, row_number() OVER (ORDER BY g DESC, column_name) AS p, count(*) FILTER (g >= 0.005) OVER () AS s FROM h) SELECT column_name FROM k WHERE p <= CASE WHEN s < 2 THEN 2 ELSE least(s, 3) END",
     "registry_upsert": """SELECT 's' || lpad(p_partkey::VARCHAR, 9, '0') AS column_name, CASE WHEN p_partkey > 45 THEN 'feature_eng' ELSE 'feature_raw' END AS role, CASE WHEN p_partkey IN (1, 2) THEN 'excluded' ELSE 'active' END AS status,
         (p_partkey + CASE WHEN p_partkey > 45 THEN 100 ELSE 0 END)::BIGINT AS col_index, CASE WHEN p_partkey IN (1, 2) THEN 'constant' ELSE '' END AS notes FROM part""",
+    "committed_orders": "SELECT o_orderkey, o_orderpriority, round(o_totalprice * CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END, 2) AS o_totalprice, 1::BIGINT AS version FROM orders WHERE o_orderkey % 7 != 0",
+    "committed_registry": """WITH v AS (SELECT 0 AS version, 'active' AS status, '' AS notes FROM part UNION ALL SELECT 1, CASE WHEN p_partkey IN (3, 5) THEN 'excluded' ELSE 'active' END, CASE WHEN p_partkey IN (3, 5) THEN 'constant' ELSE '' END FROM part)
+        SELECT version::BIGINT AS version, status, notes, count(*) AS columns, (SELECT count(*) FROM part) AS n FROM v GROUP BY ALL""",
     "ledger_union": "SELECT event_type, 'spc' AS type, max(event_id) AS last_id, -1::BIGINT AS n FROM events GROUP BY 1 UNION ALL SELECT event_type, 'monitor', -1, count(*) FROM events GROUP BY 1",
     "resolve_bundle": """WITH t AS (SELECT max('run' || lpad(o_orderkey::VARCHAR, 12, '0')) AS train_id FROM orders WHERE o_orderkey % 5 = 0),
         c AS (SELECT 'run' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, 'run' || lpad((o_orderkey // 5 * 5)::BIGINT::VARCHAR, 12, '0') AS parent FROM orders WHERE o_orderkey % 5 != 0)

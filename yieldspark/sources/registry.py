@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.sources.readers import table_fingerprint
-from yieldspark.sources.staging import stage
 
 REGISTRY = "column_name string, role string, status string, col_index int, missing_pct double, derived_from string, notes string"
 
@@ -42,33 +41,6 @@ def append_fixed(ledger: DataFrame, rows: DataFrame) -> DataFrame:
     return ledger.unionByName(rows.select(*have), allowMissingColumns=True)
 
 
-def create_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at path, made empty with this schema where there is none; another schema than the one there raises."""
-    empty = spark.createDataFrame([], schema)
-    empty.write.mode("ignore").parquet(path)
-    have = spark.read.parquet(path)
-    if [(n, t) for n, t in have.dtypes] != [(n, t) for n, t in empty.dtypes]:
-        raise ValueError(f"{path} has another schema: {have.schema.simpleString()}")
-    return have
-
-
-def full_refresh(df: DataFrame, path: str) -> DataFrame:
-    """df in place of all rows at path, which df may read itself; a count that does not come back raises."""
-    rows = stage(df, "refresh")
-    rows.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.schema(rows.schema).parquet(path)
-    if (n := out.count()) != rows.count():
-        raise ValueError(f"{path} has {n} rows after the refresh")
-    return out
-
-
-def append_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """All or nothing: a key that is there already raises."""
-    if not rows.join(table.select(key), key, "left_semi").limit(1).isEmpty():
-        raise ValueError(f"{key} exists already")
-    return table.unionByName(rows)
-
-
 def write_snapshot(df: DataFrame, path: str, registry: DataFrame, note: str = "") -> dict:
     """matrix and registry as Parquet under path/<id>, a manifest as JSON; the id is the content's hash."""
     spark = df.sparkSession

@@ -176,15 +176,15 @@ def test_bpe_equals_the_library(library, text):
     if any(0xD800 <= ord(c) < 0xE000 for c in text):
         return
     automaton = bpe.load(PATH)
-    ids = automaton.encode(text).tolist()
-    assert ids == library.encode(text, add_special_tokens=False).ids
-    assert automaton.decode(ids) == text == library.decode(ids, skip_special_tokens=False)
+    ids = automaton.encode(pa.array([text]))
+    assert ids.to_pylist() == [library.encode(text, add_special_tokens=False).ids]
+    assert automaton.decode(ids).to_pylist() == [text] == [library.decode(ids.to_pylist()[0], skip_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 50_400), max_size=12))
-def test_any_ids_decode_as_in_the_library(library, ids):
-    assert bpe.load(PATH).decode(ids) == library.decode(ids, skip_special_tokens=False)
+@given(st.lists(st.lists(st.integers(0, 50_400), max_size=12), min_size=1, max_size=4))
+def test_any_ids_decode_as_in_the_library(library, lists):
+    assert bpe.load(PATH).decode(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [library.decode(ids, skip_special_tokens=False) for ids in lists]
 
 
 def bpe_by_merging(word, merges):
@@ -217,16 +217,31 @@ def test_gadgets_of_random_merges(data):
         assert [labels[t] for t in automaton.path(word)] == bpe_by_merging(word, merges)
 
 
-def test_pieces_end_between_words(library, monkeypatch):
-    monkeypatch.setattr(bpe, "PIECE_CHARS", 20)
-    monkeypatch.setattr(bpe, "WORDS", 5)
-    monkeypatch.setattr(bpe, "ARCS", 5)
+def test_every_code_point_has_the_librarys_class(library):
+    """Each code point beside letters, blanks, numbers and marks; many texts in one call."""
+    texts = ["".join(f"a{chr(c)} {chr(c)}{chr(c)}1{chr(c)}  {chr(c)}.'{chr(c)}" for c in range(low, low + 256) if not 0xD800 <= c < 0xE000) for low in range(0, 0x110000, 256)]
+    assert bpe.load(PATH).encode(pa.array(texts)).to_pylist() == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("slots", [4, 1 << 12])
+def test_pieces_and_slots(library, monkeypatch, slots):
+    """Small pieces, and a table in which words drive each other out."""
+    for name, value in {"PIECE_BYTES": 20, "SLOTS": slots, "ARCS": 5, "WIDE": 3}.items():
+        monkeypatch.setattr(bpe, name, value)
     rng, automaton = random.Random(2), bpe.Automaton.__new__(bpe.Automaton)
     automaton.__setstate__(bpe.load(PATH).__getstate__())
-    for _ in range(300):
-        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 80)))
-        assert "".join(bpe._pieces(text)) == text
-        assert automaton.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    for _ in range(60):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 80))) for _ in range(7)]
+        assert all("".join(bpe._pieces(t)) == t for t in texts if t)
+        got = automaton.encode(pa.array(texts, pa.string()))
+        assert got.to_pylist() == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert automaton.decode(got).to_pylist() == [t or "" for t in texts]
+
+
+def test_bytes_that_are_no_text(library):
+    raw = [b"ab \xff\xfe cd", b"\x80", "é".encode()[:1] + b" x"]
+    got = bpe.load(PATH).encode(pa.array(raw, pa.binary())).to_pylist()
+    assert got == [library.encode(r.decode("utf-8", "replace"), add_special_tokens=False).ids for r in raw]
 
 
 def test_bpe_rows(spark, library):

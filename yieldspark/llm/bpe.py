@@ -6,36 +6,81 @@ state that has an arc b, a leads from now on to a copy of that state without b,
 token leads past both. All arcs of one token lead to one state, so the state after a token is the chain of
 the gadgets along its right parts, each as of the time the token was made; `follows` walks such a chain.
 Arcs are kept in a table as they are first taken. Each prefix of a word has one accepted path, so a word is
-encoded left to right in one pass over a byte trie of the tokens; a path's arc labels joined are the text.
+encoded left to right along a byte trie of the tokens, longest arc first, and no place is entered twice; a
+path's arc labels joined are the text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.llm._spark import row_of, table
 
-#: Words and arcs that a task keeps at once; beyond it the table starts anew.
-WORDS, ARCS = 300_000, 400_000
-#: Longer words are encoded, but not kept.
-KEPT_CHARS = 64
-#: Texts are split in pieces of about so many characters, between a word and white space.
-PIECE_CHARS = 1 << 20
+#: Slots of the table of words met before, tokens a slot holds, and bytes of its longest word.
+SLOTS, WIDE, LONGEST = 1 << 20, 8, 15
+#: Arcs that a task keeps at once; beyond it their table starts anew.
+ARCS = 500_000
+#: Bytes encoded at once; a longer text goes through in pieces cut between a word and white space.
+PIECE_BYTES = 1 << 20
 #: Vocabulary files up to this size go to the driver and, compiled, to the executors.
 VOCABULARY_BYTES = 64 << 20
 
-# Fixed value: how byte-level vocabularies split text into words.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SEAM = regex.compile(r"\S(?=\s)")
+# Classes of code points: words are runs of letters, of numbers or of other marks, each with one blank before it.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+# Word ends that are split off after an apostrophe.
+ONE, TWO = (b"s", b"t", b"m", b"d"), (b"re", b"ve", b"ll")
+_SEAM = re.compile(r"\S(?=[ \n])")
+_MASKS = np.array([[(1 << 8 * min(n, 8)) - 1, (1 << 8 * max(n - 8, 0)) - 1] for n in range(16)], np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            out[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind  # no run spans the surrogates
+    return out
+
+
+def word_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Mask over code points: a word starts here. first: the places of the texts' first code points.
+
+    A run of one class is a word. Of white space before another run the last one stands apart, and belongs to
+    that run if it is a blank. An apostrophe that starts a word takes one of the fixed ends with it.
+    """
+    kind = _classes()[codes]
+    edge = np.zeros(len(codes) + 1, bool)
+    edge[first] = True
+    start = edge[:-1].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~edge[1:-1]) + 1
+    blank = codes[after - 1] == 0x20
+    start[after[blank]] = False
+    start[after - 1] = True
+    marks = np.flatnonzero((codes == 0x27) & start)
+    if marks.size:
+        padded, cut = np.append(codes, [0, 0]), np.append(edge, [True, True])
+        one = np.where(cut[marks + 1], 0, padded[marks + 1])
+        two = np.where(cut[marks + 1] | cut[marks + 2], 0, padded[marks + 2])
+        short = np.isin(one, [e[0] for e in ONE])
+        long = ~short & np.logical_or.reduce([(one == a) & (two == b) for a, b in TWO])
+        start[marks[short | long] + 1] = False
+        ends = np.concatenate([marks[short] + 2, marks[long] + 3])
+        start[ends[ends < len(codes)]] = True
+    return start
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,24 +107,25 @@ class Automaton:
                 self.gadget[a, b] = time
                 self.made[c] = (a, b, time)
                 live.add(c)
-        self.step: dict[int, int] = {}  # trie: node << 8 | byte -> node
-        self.end: list[int] = [-1]  # the token that ends at a node
+        self.trie: dict = {}  # byte -> node; at -1 the token that ends there
         for t in sorted(live):
-            node = 0
+            node = self.trie
             for x in labels[t]:
-                node = self.step.setdefault(node << 8 | x, len(self.end))
-                if node == len(self.end):
-                    self.end.append(-1)
-            self.end[node] = t
+                node = node.setdefault(x, {})
+            node[-1] = t
+        self.size = {t: len(labels[t]) for t in live}
+        self.span = max(self.size.values())
+        self.shorter = {t: self._longest(labels[t], 0, len(labels[t]) - 1) for t in live}  # the longest token that begins a token
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._fresh()
 
     def _fresh(self) -> None:
-        self.arcs: dict[int, bool] = {}
-        self.words = _Words(self)
+        self.arcs: dict[int, dict[int, bool]] = {}
+        self.kept = 0
+        self.low, self.high, self.count, self.tokens = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint8), np.zeros((SLOTS, WIDE), np.int32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "kept", "low", "high", "count", "tokens")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -103,72 +149,159 @@ class Automaton:
                 return True
             _, x, until = self.made[x]
 
+    def _longest(self, word: bytes, low: int, high: int) -> int:
+        """The longest token that begins at low and ends by high; -1 if there is none."""
+        node, found = self.trie, -1
+        for x in word[low:high]:
+            node = node.get(x)
+            if node is None:
+                break
+            found = node.get(-1, found)
+        return found
+
     def path(self, word: bytes) -> list[int]:
-        """The accepted path of a word: last[p] is the token that ends at p on the path of the first p bytes."""
-        n, step, end, arcs = len(word), self.step, self.end, self.arcs
-        last = [-1] * (n + 1)
-        for s in range(n):
-            before, node = last[s], 0
-            for e in range(s, n):
-                node = step.get(node << 8 | word[e])
-                if node is None:
-                    break
-                t = end[node]
-                if t >= 0 and last[e + 1] < 0:
-                    if before < 0:
-                        last[e + 1] = t
-                        continue
-                    key = before << 32 | t
-                    has = arcs.get(key)
+        """The accepted path of a word: from each place the longest arc first, shorter ones after.
+
+        A place is reached by one path only, so one from which no arc leads on is left for good.
+        """
+        if self.kept >= ARCS:
+            self.arcs, self.kept = {}, 0
+        span, n, size, shorter, trie, arcs = self.span, len(word), self.size, self.shorter, self.trie, self.arcs
+        out: list[int] = []
+        dead: set[int] = set()
+        place, row, t = 0, None, None
+        while place < n:
+            if t is None:
+                node, t = trie, -1
+                for x in word[place : place + span] if place else word:
+                    node = node.get(x)
+                    if node is None:
+                        break
+                    if -1 in node:
+                        t = node[-1]
+            while t >= 0:
+                if row is None:
+                    has = True
+                else:
+                    has = row.get(t)
                     if has is None:
-                        if len(arcs) >= ARCS:
-                            arcs.clear()
-                        has = arcs[key] = self.follows(before, t)
-                    if has:
-                        last[e + 1] = t
-        out, p = [], n
-        while p:
-            out.append(last[p])
-            p -= len(self.labels[last[p]])
-        return out[::-1]
-
-    def encode(self, text: str) -> np.ndarray:
-        parts = []
-        for piece in _pieces(text):
-            for k, run in enumerate(self.split.split(piece) if self.split else [piece]):
+                        has = row[t] = self.follows(out[-1], t)
+                        self.kept += 1
+                if has and not (dead and place + size[t] in dead):
+                    break
+                t = shorter[t]
+            if t >= 0:
+                out.append(t)
+                place += size[t]
+                row = arcs.get(t)
+                if row is None:
+                    row = arcs[t] = {}
+                t = None
+            else:
+                dead.add(place)
+                last = out.pop()
+                place -= size[last]
+                row, t = arcs[out[-1]] if out else None, shorter[last]
+        return out
+
+    def _paths(self, words: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
+        paths = [self.path(w) for w in words]
+        return paths, np.fromiter(map(len, paths), np.int64, len(paths))
+
+    def _flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, one after the other, and the first id of each text (one entry more).
+
+        Words of up to LONGEST bytes are looked up by their bytes and length in a table of the words met before.
+        """
+        codes = np.frombuffer((raw := data.tobytes()).decode().encode("utf-32-le"), np.uint32)
+        points = np.flatnonzero((data & 0xC0) != 0x80)
+        at = np.searchsorted(points, offsets)
+        starts = points[word_starts(codes, at[:-1][np.diff(at) > 0])]
+        size = np.diff(np.append(starts, len(data)))
+        padded = np.append(data, np.zeros(16, np.uint8))
+        pair = np.lib.stride_tricks.sliding_window_view(padded, 16)[starts].view("<u8") & _MASKS[np.minimum(size, LONGEST)]
+        low, high = pair[:, 0], pair[:, 1] | (size.astype(np.uint64) << np.uint64(56))
+        slot = ((low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % SLOTS
+        brief = size <= LONGEST
+        known = lambda: brief & (self.low[slot] == low) & (self.high[slot] == high)
+        words = lambda at: [raw[i:j] for i, j in zip(starts[at].tolist(), (starts[at] + size[at]).tolist(), strict=True)]
+        new = np.flatnonzero(~known() & brief)
+        new = new[np.unique(slot[new], return_index=True)[1]]  # one word a slot
+        paths, n = self._paths(words(new))
+        fit = np.flatnonzero(n <= WIDE)
+        s, n = slot[new[fit]], n[fit]
+        self.low[s], self.high[s], self.count[s] = low[new[fit]], high[new[fit]], n
+        rows = self.tokens[s]
+        rows[np.arange(WIDE) < n[:, None]] = np.fromiter(chain.from_iterable([paths[i] for i in fit.tolist()]), np.int32)
+        self.tokens[s] = rows
+        hit = known()  # new words have driven others out
+        rest = np.flatnonzero(~hit)
+        several = words(rest)
+        found = dict(zip(once := list(dict.fromkeys(several)), self._paths(once)[0], strict=True))
+        paths = [found[w] for w in several]
+        n = np.where(hit, self.count[slot], 0).astype(np.int64)
+        n[rest] = [len(p) for p in paths]
+        ends = np.concatenate([[0], n.cumsum()])
+        out = np.empty(ends[-1], np.int32)
+        seen = np.flatnonzero(hit)
+        held = n[seen]
+        out[np.repeat(ends[seen] - (held.cumsum() - held), held) + np.arange(held.sum())] = self.tokens[slot[seen]][np.arange(WIDE) < held[:, None]]
+        if paths:
+            out[np.repeat(ends[rest] - (n[rest].cumsum() - n[rest]), n[rest]) + np.arange(n[rest].sum())] = np.fromiter(chain.from_iterable(paths), np.int32)
+        return out, ends[np.searchsorted(starts, offsets)]
+
+    def encode(self, texts: pa.Array | pa.ChunkedArray) -> pa.Array:
+        """Ids of each text; null counts as empty, bytes that are no UTF-8 as the mark U+FFFD."""
+        runs: list[bytes] = []  # pieces between special tokens
+        row_of: list[int] = []
+        special: list[int] = []  # the special token after each piece, or -1
+        for row, text in enumerate(texts.cast(pa.large_binary()).to_pylist()):
+            whole = (text or b"").decode("utf-8", "replace")
+            for k, part in enumerate(self.split.split(whole) if self.split else [whole]):
                 if k % 2:
-                    parts.append(np.array([self.special[run]], np.int32))
-                elif run:
-                    parts.append(np.fromiter(chain.from_iterable(map(self.words.__getitem__, WORD.findall(run))), np.int32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
-
-    def decode(self, ids: list[int]) -> str:
-        """Arc labels joined; ids that are no token give nothing, bytes that are no UTF-8 the mark U+FFFD."""
-        labels = self.labels
-        return b"".join([labels.get(i, b"") for i in ids]).decode("utf-8", "replace")
-
-
-class _Words(dict):
-    """Paths of words, kept as they come up."""
-
-    def __init__(self, automaton: Automaton) -> None:
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        path = tuple(self.automaton.path(word.encode()))
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = path
-        return path
-
+                    special[-1] = self.special[part]
+                    continue
+                for piece in _pieces(part):
+                    runs.append(piece.encode())
+                    row_of.append(row)
+                    special.append(-1)
+        found, sizes = [], np.zeros(len(texts), np.int64)
+        k = 0
+        while k < len(runs):
+            end, held = k, 0
+            while end < len(runs) and (end == k or held + len(runs[end]) <= PIECE_BYTES):
+                held += len(runs[end])
+                end += 1
+            flat, first = self._flat(np.frombuffer(b"".join(runs[k:end]), np.uint8), np.cumsum([0, *map(len, runs[k:end])]))
+            more = np.array(special[k:end])
+            if (more >= 0).any():
+                flat = np.insert(flat, first[1:][more >= 0], more[more >= 0])
+            np.add.at(sizes, row_of[k:end], np.diff(first) + (more >= 0))
+            found.append(flat)
+            k = end
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(flat, pa.int32()))
+
+    def decode(self, ids: pa.Array | pa.ChunkedArray) -> pa.Array:
+        """Arc labels joined, a text for each list of ids; ids that are no token give nothing, bytes that are no
+        UTF-8 the mark U+FFFD."""
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).cumsum()])
+        labels = pa.array([self.labels.get(i, b"") for i in range(max(self.labels) + 1)] + [b""], pa.large_binary())
+        joined = labels.take(pa.array(np.where((flat < 0) | (flat >= len(labels)), len(labels) - 1, flat)))
+        _, offsets, data = joined.buffers()
+        starts = np.frombuffer(offsets, np.int64)[: len(joined) + 1][ends]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(starts)), data])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())  # CPython replaces as the library does
 
 def _pieces(text: str) -> Iterator[str]:
-    """Cut where white space follows a word: no word of WORD, and no special token without blanks, spans that."""
+    """Cut where a blank or line end follows a mark: no word spans that. One unbroken word is one piece."""
     low = 0
-    while len(text) - low > PIECE_CHARS:
-        seam = _SEAM.search(text, low + PIECE_CHARS)
+    while len(text) - low > PIECE_BYTES:
+        seam = _SEAM.search(text, low + PIECE_BYTES)
         if seam is None:
             break
         yield text[low : seam.end()]
@@ -188,7 +321,7 @@ def _compiled(content: str) -> Automaton:
 
 
 def load(path: str) -> Automaton:
-    """The automaton of a byte-level BPE file of the tokenizers library (words split by WORD, merges in order)."""
+    """The automaton of a byte-level BPE file of the tokenizers library (words split by class, merges in order)."""
     with open(path, encoding="utf-8") as f:
         content = f.read(VOCABULARY_BYTES + 1)
     if len(content) > VOCABULARY_BYTES:
@@ -201,13 +334,11 @@ def _coders(spark: SparkSession, path: str):
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        found = [sent.value.encode(t.as_py() or "") for t in texts]
-        ends = np.cumsum([0, *map(len, found)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))
+        return sent.value.encode(texts)
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        return pa.array([sent.value.decode(i.as_py() or []) for i in ids], pa.string())
+        return sent.value.decode(ids)
 
     return encoded, decoded
 
@@ -217,7 +348,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     Null texts count as empty and give no ids. Special tokens in a text are one id each. Repeated rows give
     repeated rows; very long texts are encoded whole, in pieces that end with a word (time and memory grow in
-    proportion, for one unbroken word as well); an empty table gives none. With carry, the input row comes
+    proportion, for one unbroken word as well); bytes that are no UTF-8 count as U+FFFD; an empty table gives none. With carry, the input row comes
     along as a struct `row`; without, other columns are ignored, whatever their names.
     """
     row, _ = row_of(docs)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.llm import _text as T
@@ -204,9 +204,9 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("x", "y", *own, "sx", "sy").mapInArrow(run, f"x long, y long{kinds}, nx long, ny long, diff array<long>")
 
 
-def _narrowed(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _narrowed(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Buckets (key, y, label, linked, f, left, n) that hold every pair which may still link two components, of a
-    star's groups; left: the elements of y from the bucket's on, which bound what a pair that meets here first shares.
+    star's groups (None if no group has two that might); left: the elements of y from the bucket's on, which bound what a pair that meets here first shares.
 
     star has (x, y, beside, linked): pivot, member, and what is known of the two. Let d(z) be the
     shingles which only one of z and its pivot has. Two members link if the sets d share at least
@@ -222,6 +222,9 @@ def _narrowed(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     spread = members.groupBy("x").agg(F.max(own("label")).alias("own"), F.min(near).alias("a"), F.max(near).alias("b"), F.min(other("label")).alias("low"), F.max(other("label")).alias("high"))
     # what is not beside the pivot links with nothing that links with the pivot
     open_ = spread.select("x", F.coalesce((F.col("a") != F.col("own")) | (F.col("b") != F.col("own")), F.lit(False)).alias("both"), (F.col("low") != F.col("high")).alias("many")).where("both or many")
+    open_ = staged(open_, "groups")
+    if open_.isEmpty():
+        return None
     members = members.join(open_, "x").where("both or not linked").drop("beside", "both", "many")
     found = staged(_differences(members, sets).withColumn("f", F.size("diff") - theta * F.col("ny")), "differences")
     elements = found.select("x", "y", "label", F.explode("diff").alias("e"))
@@ -262,33 +265,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), a row
     for each input row. Words are split at ASCII white space and A-Z lower-cased; a text under `shingle`
     words is one shingle; null, empty and blank texts link with nothing and are kept. Rows of one text link
-    whatever their ids. A null id is kept if its component has no other id. Other columns are ignored.
+    whatever their ids. A null id is kept if its component has no other id. Other columns are ignored. The
+    set of a very long text is built from the whole of it, in pieces; it is one row of 8 bytes a shingle.
     """
-    return _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle, percent).drop("place", "label")
+    return _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("place")), shingle, percent).drop("place", "label")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The input rows, one for each component of near_duplicates: that of the least doc_id, a null id after all others.
 
     Decided by row, whatever ids the rows share; of repeated rows one stays. Rows without a word all stay.
-    Input columns come out as they are, whatever their names; an empty table gives none.
+    Input columns come out as they are, whatever their names; an empty table gives none. Rows are staged
+    with a number, by which alone they are compared and kept; a very long text is read whole, twice.
     """
     row, _ = row_of(docs)
-    text = F.col(text_col).cast("string")
-    rows = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
-    found = _components(rows.where("worded").select("doc_id", "text"), shingle, percent)
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))["place"].alias("place"))
-    kept = rows.where("worded").withColumn("place", _place()).join(first.select("place"), "place", "left_semi").dropDuplicates(["place"])
-    return kept.select("row").unionByName(rows.where("not worded").select("row")).select("row.*")
-
-
-def _place() -> Column:
-    return F.xxhash64("doc_id", "text")
+    rows = staged(docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("place")), "rows")
+    found = staged(_components(rows.select("doc_id", F.col("row")[text_col].cast("string").alias("text"), "place"), shingle, percent).select("doc_id", "place", "label"), "found")
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))["place"].alias("place"))
+    kept = found.where("label is null").select("place").unionByName(first.select("place"))
+    return rows.select("row", "place").join(kept, "place", "left_semi").select("row.*")
 
 
 def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, place (a hash of id and text), n_shingles, component_id, label (null without shingles) and kept, of doc_id and text."""
-    sketched = staged(_sketch(docs.withColumn("place", _place()), shingle), "sketch")
+    """doc_id, place, n_shingles, component_id, label (null without shingles) and kept, of doc_id, text and place."""
+    sketched = staged(_sketch(docs, shingle), "sketch")
     rows = band_rows(percent)
     nodes = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     nodes = staged(nodes, "nodes")
@@ -308,6 +308,8 @@ def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         star = compared(hits.where("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct())
         labels = grown(labels, star.where("linked"))
         cells = _narrowed(star, labels, sets, percent)
+        if cells is None:
+            break
         labels = grown(labels, compared(_paired(cells if turn == ROUNDS - 1 else cells.where(F.col("n") <= PAIRED))).where("linked"))
         cells = cells.where(F.col("n") > PAIRED).select("key", F.col("y").alias("node"))
         if cells.isEmpty():

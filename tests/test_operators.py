@@ -75,10 +75,10 @@ def test_hedges_and_selection(spark):
 
 
 def test_factorial_design(spark):
-    f = [{"name": "s060", "low": 10, "high": 20}, {"name": "s123", "low": -1, "high": 1}]
+    f = [{"name": "temp", "low": 10, "high": 20}, {"name": "flow", "low": -1, "high": 1}]
     d = doe.factorial_design(spark, f, replicates=2, centers=2, seed=1337)
-    assert d.count() == 10 and d.where("is_center").select("s060").first()[0] == 15
-    assert [r["s060_coded"] for r in d.orderBy("design_row").limit(4).collect()] == [-1, 1, -1, 1]
+    assert d.count() == 10 and d.where("is_center").select("temp").first()[0] == 15
+    assert [r["temp_coded"] for r in d.orderBy("design_row").limit(4).collect()] == [-1, 1, -1, 1]
     assert d.select("run_order").collect() == doe.factorial_design(spark, f, 2, 2, seed=1337).select("run_order").collect()
     with pytest.raises(ValueError):
         doe.coded_design(["a", "b"], "a b ab")

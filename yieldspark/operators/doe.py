@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yieldspark.functions.draws import normal, uniform
 from yieldspark.functions.stats import inverse_logit, logit
 from yieldspark.operators.features import missingness_features
+from yieldspark.operators.moments import mean_and_covariance
 from yieldspark.operators.ordering import column_quantiles, grouped_quantiles, positions
 from yieldspark.sources.staging import stage
 
@@ -51,12 +55,13 @@ def factorial_design(spark: SparkSession, factors: list[dict], replicates: int =
     """run_id, design_row, is_center, replicate, <f>_coded, <f>, is_replicate, run_order.
 
     factors: {name, low, high[, center]}. All corner rows repeat for each replicate; center rows follow. The
-    run order is a seeded permutation, or the design order without a seed.
+    run order is by md5(seed|design_row), or the design order without a seed.
     """
     names = [f["name"] for f in factors]
     corners = coded_design(names, generator)
     rows = [(c, False, r + 1) for r in range(replicates) for c in corners] + [((0,) * len(names), True, 1)] * centers
-    order = np.random.default_rng(seed).permutation(len(rows)) + 1 if seed is not None else np.arange(1, len(rows) + 1)
+    drawn = [hashlib.md5(f"{seed}|{k + 1}".encode()).hexdigest() if seed is not None else "" for k in range(len(rows))]
+    order = np.argsort(np.argsort(drawn, kind="stable")) + 1
     out = []
     for k, (coded, center, replicate) in enumerate(rows):
         actual = [f.get("center", (f["low"] + f["high"]) / 2) if c == 0 else f["high"] if c > 0 else f["low"] for f, c in zip(factors, coded, strict=True)]
@@ -72,14 +77,14 @@ def expand_design(background: DataFrame, design: DataFrame, factors: list[str])
     return keep.crossJoin(F.broadcast(design))
 
 
-def with_noise(p: Column, kind: str | None, scale: float = 0.1, seed: int = 0) -> Column:
-    """Observed response: None (the probability), bernoulli, or logit-gaussian."""
+def with_noise(p: Column, kind: str | None, key: Column, scale: float = 0.1, seed: int = 0) -> Column:
+    """Observed response: None (the probability), bernoulli, or logit-gaussian; each key has its draw."""
     if kind is None:
         return p
     if kind == "bernoulli":
-        return (F.rand(seed) < p).cast("double")
+        return (uniform(key, seed) < p).cast("double")
     if kind == "logit-gaussian":
-        return inverse_logit(logit(p) + scale * F.randn(seed))
+        return inverse_logit(logit(p) + scale * normal(key, seed))
     raise ValueError(f"unknown noise {kind}")
 
 
@@ -175,16 +180,20 @@ def studentized_residuals(cells: DataFrame, factors: list[str], key: str, respon
 
 
 def mahalanobis(rows: DataFrame, reference: DataFrame, columns: list[str], name: str = "mahalanobis") -> DataFrame:
-    """rows with their distance to the reference's mean under the pseudo-inverse of its covariance (complete rows)."""
-    k = len(columns)
-    whole = reference.dropna(subset=columns)
-    m = whole.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    if m["n"] < MIN_BACKGROUND:
-        raise ValueError(f"only {m['n']} complete background rows; {MIN_BACKGROUND} are needed")
-    inverse = np.linalg.pinv(np.array([[m[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]))
-    d = [F.col(c) - F.lit(m[f"m{i}"]) for i, c in enumerate(columns)]
-    square = sum((F.lit(float(inverse[i, j])) * d[i] * d[j] for i in range(k) for j in range(k)), F.lit(0.0))
-    return rows.withColumn(name, F.sqrt(F.greatest(square, F.lit(0.0))))
+    """rows with their distance to the reference's mean under the pseudo-inverse of its covariance (complete rows);
+    null where a column is null. Any number of columns: moments are summed in blocks."""
+    n, mean, cov = mean_and_covariance(reference, columns)
+    if n < MIN_BACKGROUND:
+        raise ValueError(f"only {n} complete background rows; {MIN_BACKGROUND} are needed")
+    inverse = np.linalg.pinv(cov)
+
+    @F.arrow_udf("double")
+    def distance(values: pa.Array) -> pa.Array:
+        d = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean)).astype(float) - mean
+        square = ((d @ inverse) * d).sum(1)
+        return pa.array(np.sqrt(np.maximum(square, 0.0)), mask=np.isnan(square))
+
+    return rows.withColumn(name, distance(F.array(*(F.col(c).cast("double") for c in columns))))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from yieldspark.operators.ordering import column_quantiles, look_back, quantile_edges, running_sums
+from yieldspark.operators.moments import known_pairs
+from yieldspark.operators.ordering import column_quantiles, look_around, look_back, quantile_edges, running_sums
 from yieldspark.operators.quality import long_form
 from yieldspark.sources.staging import checked, stage
 
@@ -138,6 +139,36 @@ def dropout_cliques(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return rows.select("column_name", F.col("m.n").alias("n_missing"), F.min("column_name").over(Window.partitionBy("m.n", "m.h")).alias("clique"))
 
 
+def dropout_groups(df: DataFrame, columns: list[str], least: float = 0.999) -> DataFrame:
+    """column_name, n_missing, group, n_columns: columns whose null masks correlate by `least` or more share a
+    group, named by its first column, as do all that are linked so in steps. Columns without nulls are left out;
+    a column that is null throughout stands alone.
+
+    Correlations come from counts of rows on which two columns are known; labels spread over the links (a
+    table of columns) until none changes.
+    """
+    columns = sorted(columns)
+    names = F.array(*map(F.lit, columns))
+    total = F.lit(float(df.count()))
+    pairs = stage(known_pairs(df, columns), "known_pairs")
+    nulls = pairs.where("i = j").select(F.col("i").alias("c"), (total - F.col("n")).alias("nulls")).where("nulls > 0")
+    side = lambda c: F.broadcast(nulls.select(F.col("c").alias(c), F.col("nulls").alias(f"n{c}")))
+    ni, nj = F.col("ni"), F.col("nj")
+    both = ni + nj + F.col("n") - total  # rows on which both are null
+    r = (total * both - ni * nj) / F.sqrt(ni * (total - ni) * nj * (total - nj))
+    links = pairs.where("i < j").join(side("i"), "i").join(side("j"), "j").where((ni < total) & (nj < total)).where(r >= least).select("i", "j")
+    links = stage(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))), "links")
+    labels = stage(nulls.select("c", F.col("c").alias("label"), "nulls"), "labels")
+    while True:
+        low = links.join(labels.select(F.col("c").alias("j"), F.col("label").alias("low")), "j").groupBy(F.col("i").alias("c")).agg(F.min("low").alias("low"))
+        moved = stage(labels.join(low, "c", "left").select("c", F.least("label", "low").alias("label"), "nulls", (F.col("low") < F.col("label")).alias("changed")), "labels")
+        labels = moved.drop("changed")
+        if moved.where("changed").isEmpty():
+            break
+    size = F.count(F.lit(1)).over(Window.partitionBy("label"))
+    return labels.select(F.get(names, F.col("c")).alias("column_name"), F.col("nulls").cast("long").alias("n_missing"), F.get(names, F.col("label")).alias("group"), size.alias("n_columns"))
+
+
 def _two_sided(a: int, b: int, c: int, d: int) -> float:
     """Sum of the tables of equal margins no likelier than the seen one: two tails, each summed outward until nothing is left."""
     row, col, n = a + b, a + c, a + b + c + d
@@ -196,6 +227,57 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
     return cells.groupBy("column_name").agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """Of a number of 1 or more: by recurrence to 6 and above, then the asymptotic series."""
+    y = n + 6
+    t = 1 / (y * y)
+    series = t * (F.lit(1 / 12) - t * (F.lit(1 / 120) - t * (F.lit(1 / 252) - t * (F.lit(1 / 240) - t * F.lit(1 / 132)))))
+    return F.log(y) - 0.5 / y - series - sum((1 / (n + k) for k in range(6)), F.lit(0.0))
+
+
+def neighbour_information(df: DataFrame, columns: list[str], label: str, k: int = 5) -> DataFrame:
+    """column_name, n, mi: nearest-neighbour mutual information (nats) of each column with a discrete label.
+
+    For each row the distance to the k-th nearest row of its class (to the farthest in smaller ones) and the
+    number of rows of all classes nearer than that, its own included (equal ones, where that distance is 0):
+    mi = psi(n) + mean(psi(k) - psi(class size) - psi(number)), 0 at least. Nulls, and rows that are alone in
+    their class, are left out; null where none is left. Columns are sorted in ranges: windows reach k rows to
+    either side, and the counts are running sums over the values and the ends of the rows' intervals.
+    """
+    rows = long_form(df, columns, [label]).where(f"value is not null and not isnan(value) and {label} is not null").withColumnRenamed(label, "y")
+    sizes = stage(rows.groupBy("column_name", "y").agg(F.count(F.lit(1)).alias("size"), F.min("value").alias("least"), F.max("value").alias("most")), "classes")
+    sizes = checked(sizes.where("size > 1"), "classes")
+    rows = stage(rows.join(sizes, ["column_name", "y"]).withColumn("id", F.monotonically_increasing_id()), "values")
+    x = F.col("value")
+
+    def around(w: WindowSpec) -> dict[str, Column]:
+        before = [x, *(F.lag("value", j).over(w) for j in range(1, k + 1))]
+        after = [x, *(F.lead("value", j).over(w) for j in range(1, k + 1))]
+        # the k nearest are k + 1 rows in a row, j of them before this one
+        runs = [F.when(before[j].isNotNull() & after[k - j].isNotNull(), F.struct(F.greatest(x - before[j], after[k - j] - x).alias("d"), before[j].alias("low"), after[k - j].alias("high"))) for j in range(k + 1)]
+        return {"run": F.array_min(F.array_compact(F.array(*runs)))}
+
+    placed = look_around(rows, ["column_name", "y"], ["value", "id"], k, around)
+    few = F.struct(F.greatest(x - F.col("least"), F.col("most") - x).alias("d"), F.col("least").alias("low"), F.col("most").alias("high"))
+    run = F.when(F.col("size") > k, F.col("run")).otherwise(few)
+    points = placed.select("column_name", "y", "size", "value", run.alias("run")).groupBy("column_name", "y", "size", "value").agg(F.first("run").alias("run"), F.count(F.lit(1)).alias("w"))  # equal rows of a class have one run
+    d, low, high = F.col("run.d"), F.col("run.low"), F.col("run.high")
+    # an end that is a row at distance d is that row's value itself, so that rounding cannot move it
+    left = F.when(x - low == d, low).otherwise(x - d)
+    right = F.when(high - x == d, high).otherwise(x + d)
+    points = stage(points.select("column_name", "size", "w", F.monotonically_increasing_id().alias("id"), "value", (d == 0).alias("tied"), left.alias("left"), right.alias("right")), "points")
+    # order at one value: ends that leave it out on the left, rows, ends that take it in
+    ends = points.select("column_name", "id", F.explode(F.array(F.struct(F.col("right").alias("value"), F.when(F.col("tied"), 2).otherwise(0).alias("at"), F.lit(1).alias("sign")), F.struct(F.col("left").alias("value"), F.when(F.col("tied"), 0).otherwise(2).alias("at"), F.lit(-1).alias("sign")))).alias("e"))
+    ends = ends.select("column_name", F.col("e.value").alias("value"), F.col("e.at").alias("at"), "id", F.col("e.sign").alias("sign"), F.lit(0).cast("long").alias("n"))
+    data = points.select("column_name", "value", F.lit(1).alias("at"), "id", F.lit(0).alias("sign"), F.col("w").alias("n"))
+    merged = running_sums(stage(data.unionByName(ends), "ends"), [F.col("value"), F.col("at"), F.col("id"), F.col("sign")], {"upto": F.col("n")}, keys=["column_name"])
+    number = merged.where("sign != 0").groupBy("column_name", "id").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"))
+    both = points.join(number, ["column_name", "id"])
+    neighbours = F.least(F.col("size") - 1, F.lit(k))
+    term = F.col("w") * (digamma(neighbours) - digamma(F.col("size")) - digamma(F.col("m")))
+    return both.groupBy("column_name").agg(F.sum("w").alias("n"), F.sum(term).alias("t")).select("column_name", "n", F.greatest(digamma(F.col("n")) + F.col("t") / F.col("n"), F.lit(0.0)).alias("mi"))
+
+
 def rolling_mean(rows: DataFrame, keys: list[str], order: list[str], value: str, window: int = 10) -> DataFrame:
     """rows with the mean of the last `window` rows, null until that many values are there."""
 

@@ -64,6 +64,20 @@ def look_back(df: DataFrame, keys: list[str], order: list[str], reach: int, made
     return out.where("own__ = block__").select(*(c for c in df.columns if c not in names), *names)
 
 
+def look_around(df: DataFrame, keys: list[str], order: list[str], reach: int, made: Callable[[WindowSpec], dict[str, Column]], ranges: int | None = None) -> DataFrame:
+    """As look_back, for columns that look at up to `reach` rows on either side: blocks are led and followed by
+    the next rows of their neighbours."""
+    ranges = ranges or row_ranges(df)
+    if ranges == 1:
+        return df.withColumns(made(Window.partitionBy(*keys).orderBy(*order)))
+    placed = positions(df, [F.col(c) for c in order], "place__", ranges, keys)
+    block, into = F.floor(F.col("place__") / BLOCK_ROWS), F.col("place__") % BLOCK_ROWS
+    near = F.array(F.col("own__"), F.when(into < reach, F.col("own__") - 1), F.when(BLOCK_ROWS - into <= reach, F.col("own__") + 1))
+    cut = placed.withColumn("own__", block).withColumn("block__", F.explode(F.array_compact(near)))
+    out = cut.withColumns(names := made(Window.partitionBy(*keys, "block__").orderBy("place__")))
+    return out.where("own__ = block__").select(*(c for c in df.columns if c not in names), *names)
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """keys and a column for each named probability: exact quantiles, linear between ranks, nulls left out.
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from yieldspark.operators.moments import pair_sums
+
 # Thresholds of the rules.
 MAX_MISSING, MAX_DOMINANT, MIN_CV, MIN_UNIQUE = 0.5, 0.99, 0.01, 5
 RESCUE_DEVIANT, RESCUE_ENRICHMENT, MAX_CORR = 5, 2.0, 0.95
@@ -58,28 +57,20 @@ def verdicts(quality: DataFrame) -> DataFrame:
 
 
 def pairwise_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b (a < b), n, r: Pearson over rows where both are known, all pairs in one pass.
+    """a, b (a < b), n, r: Pearson over rows where both are known, all pairs in one pass, in blocks of columns.
 
-    Each Arrow batch adds to masked cross products of columns centred on their means; partials have a row a
-    pair and partition, then sum. Memory a task: a few matrices of columns x columns.
+    Masked cross products of columns centred on their means; null where fewer than two rows or no spread.
     """
     columns = sorted(columns)
     means = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).first()
-    centre = np.array([m if m is not None else 0.0 for m in means])
-    k = len(columns)
-    upper = np.triu_indices(k, 1)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((6, k, k))
-        for b in batches:
-            x = b.to_numpy(float) - centre
-            known = ~np.isnan(x)
-            m, x = known.astype(float), np.where(known, x, 0.0)
-            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        yield pd.DataFrame({"i": upper[0], "j": upper[1]} | {f"s{q}": sums[q][upper] for q in range(6)})
-
-    parts = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(partial, "i int, j int, " + ", ".join(f"s{q} double" for q in range(6)))
-    s = parts.groupBy("i", "j").agg(*(F.sum(f"s{q}").alias(f"s{q}") for q in range(6)))
+    centred = df.select(*((F.col(c).cast("double") - F.lit(float(means[c] or 0.0))).alias(c) for c in columns))
+
+    def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        return np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+
+    s = pair_sums(centred, columns, products, [f"s{q}" for q in range(6)]).where("i < j")
     n = F.col("s0")
     cov, va, vb = F.col("s5") - F.col("s1") * F.col("s2") / n, F.col("s3") - F.col("s1") ** 2 / n, F.col("s4") - F.col("s2") ** 2 / n
     names = F.array(*map(F.lit, columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +144,19 @@ def _minimise(f, x: np.ndarray, rounds: int = 400) -> np.ndarray:
     return simplex[int(np.argmin(values))]
 
 
+def _standard_errors(loss, v: np.ndarray) -> np.ndarray:
+    """Root diagonal of the inverse information matrix: second differences of the loss at its minimum; NaN where
+    that is not positive."""
+    n, step = len(v), 1e-4 * np.maximum(np.abs(v), 1e-2)
+    at = lambda *moves: loss(v + sum((s * step[i] * np.eye(n)[i] for i, s in moves), np.zeros(n)))
+    info = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            info[i, j] = info[j, i] = (at((i, 1), (j, 1)) - at((i, 1), (j, -1)) - at((i, -1), (j, 1)) + at((i, -1), (j, -1))) / (4 * step[i] * step[j])
+    with np.errstate(invalid="ignore"):
+        return np.sqrt(np.diag(np.linalg.pinv(info))) if n else np.zeros(0)
+
+
 def fit_arima(y: np.ndarray, order: tuple[int, int, int], season: tuple[int, int] = (0, 0), exog: np.ndarray | None = None, ahead: int = 0, exog_ahead: np.ndarray | None = None) -> dict:
     """Exact maximum likelihood of ARIMA(p, d, q) with an optional seasonal AR (count, period) and regressors.
 
@@ -177,8 +191,9 @@ def fit_arima(y: np.ndarray, order: tuple[int, int, int], season: tuple[int, int
     beta, ar, ma = unpack(best)
     ll, s2, mean, var = kalman(z - x @ beta, ar, ma, ahead)
     k, n = len(best) + 1, len(z)
+    errors = _standard_errors(loss, best)[: x.shape[1]]
     aic = 2 * k - 2 * ll
-    out = {"llf": ll, "aic": aic, "aicc": aic + 2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else float("nan"), "sigma2": s2, "ar": ar[:p].tolist(), "ma": ma.tolist(), "beta": beta.tolist()}
+    out = {"llf": ll, "aic": aic, "aicc": aic + 2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else float("nan"), "sigma2": s2, "ar": ar[:p].tolist(), "ma": ma.tolist(), "beta": beta.tolist(), "se_beta": errors.tolist()}
     if ahead:
         future = [np.ones(ahead)] if d == 0 else []
         if exog is not None:
@@ -280,6 +295,67 @@ def exogenous_tests(series: DataFrame, key: str, order: str, value: str, exog: l
     return long.groupBy(key, "exog").applyInPandas(run, f"{key} {kind}, exog string, coefficient double, aicc double, base_aicc double, accepted boolean")
 
 
+#: Points of one series that a task fits; more raise, as a fit is a loop over them.
+MAX_POINTS = 20_000
+
+
+def staged_choice(series: DataFrame, key: str, order: str, value: str, exog: dict[str, int], holdout: int, grid: tuple = GRID, gain: float = 2.0, min_train: int = MIN_TRAIN, horizon: int = HORIZON, step: int = STEP) -> DataFrame:
+    """key, p, d, q, base_aicc, exog, aicc, coefficient, p_value, sign_ok, used, winner, mase, holdout_mae: the model
+    of each series, chosen in stages, a row a series.
+
+    The order of least AICc on all but the last `holdout` points; then one regressor at a time on that order
+    (exog: name and expected sign, 0 for none), of which the best is used if its AICc is lower by over `gain`;
+    then rolling origins, in which a used regressor must beat the bare order (mase: mean absolute error over
+    that of the last value); the winner forecasts the held points. coefficient, p_value and sign_ok are the best
+    regressor's, also where it is not used; errors come from the information matrix. Rows with null values are
+    gaps; a series of no points, or with too few to hold out, gives nulls. A series is one task's work.
+    """
+    names = list(exog)
+    kind = dict(series.dtypes)[key]
+    fields = f"{key} {kind}, p int, d int, q int, base_aicc double, exog string, aicc double, coefficient double, p_value double, sign_ok boolean, used boolean, winner string, mase double, holdout_mae double"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > MAX_POINTS:
+            raise ValueError(f"a series of {len(part)} points; at most {MAX_POINTS}")
+        part = part.sort_values(order)
+        whole, x = part[value].to_numpy(float), part[names].to_numpy(float)
+        y, n = whole[: len(whole) - holdout], len(whole) - holdout
+        row = dict.fromkeys((f.split()[0] for f in fields.split(", ")[1:])) | {key: part[key].iloc[0], "used": False}
+        if n < 4 or np.isnan(y).all():
+            return pd.DataFrame([row])
+        fits = {o: fit_arima(y, o) for o in grid}
+        best = min(grid, key=lambda o: (fits[o]["aicc"] if np.isfinite(fits[o]["aicc"]) else np.inf, grid.index(o)))
+        row |= dict(zip("pdq", best, strict=True)) | {"base_aicc": fits[best]["aicc"], "winner": "arima"}
+        models = {"arima": None}
+        tried = [(fit_arima(y, best, exog=x[:n, [j]]), j) for j in range(len(names)) if not np.isnan(x[:, j]).any() and np.ptp(x[:n, j])]
+        if tried:
+            fit, j = min(tried, key=lambda f: (f[0]["aicc"] if np.isfinite(f[0]["aicc"]) else np.inf, f[1]))
+            coefficient, error = fit["beta"][-1], fit["se_beta"][-1]
+            z = abs(coefficient) / error if error > 0 else math.nan
+            used = bool(fit["aicc"] < row["base_aicc"] - gain)
+            row |= {"exog": names[j], "aicc": fit["aicc"], "coefficient": coefficient, "p_value": math.erfc(z / math.sqrt(2)), "sign_ok": bool(coefficient * exog[names[j]] > 0) if exog[names[j]] else None, "used": used}
+            if used:
+                models[f"arima+{names[j]}"] = x[:, [j]]
+        errors: dict[str, list[float]] = {m: [] for m in (*models, "last")}
+        for t in range(min_train, n - horizon + 1, step):
+            ahead = y[t : t + horizon]
+            errors["last"] += np.abs(ahead - y[t - 1]).tolist()
+            for m, r in models.items():
+                fit = fit_arima(y[:t], best, exog=None if r is None else r[:t], ahead=horizon, exog_ahead=None if r is None else r[t : t + horizon])
+                errors[m] += np.abs(ahead - fit["forecast"]).tolist()
+        if errors["arima"]:
+            mean = {m: np.nanmean(e) for m, e in errors.items()}
+            row["winner"] = min(models, key=lambda m: (mean[m], m != "arima"))
+            row["mase"] = mean[row["winner"]] / mean["last"] if mean["last"] > 0 else None
+        if holdout:
+            r = models[row["winner"]]
+            fit = fit_arima(y, best, exog=None if r is None else r[:n], ahead=holdout, exog_ahead=None if r is None else r[n:])
+            row["holdout_mae"] = float(np.nanmean(np.abs(whole[n:] - fit["forecast"])))
+        return pd.DataFrame([row])
+
+    return series.select(key, order, value, *names).groupBy(key).applyInPandas(run, fields)
+
+
 def rolling_arima_errors(series: DataFrame, key: str, order: str, value: str, model: tuple[int, int, int] = (0, 1, 1)) -> DataFrame:
     """key, mae, mase of an ARIMA refitted at each rolling origin: comparable with rolling_origin()."""
 

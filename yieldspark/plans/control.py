@@ -74,7 +74,7 @@ def drift_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score_raw"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score"))
     return rounded(artifacts.queue_view(o, "o_orderkey", 20))
 
 
@@ -248,5 +248,5 @@ ORACLE_SQL |= {
         g AS (SELECT feature, pos // 50 AS w, max(pos) + 1 AS x, count(*) AS n, avg(v) AS rate FROM f GROUP BY ALL)
         SELECT feature, w, x, n, round(rate, 6) AS rate, round(p0, 6) AS p0, round(greatest(p0 - 3 * sqrt(p0 * (1 - p0) / n), 0), 6) + 0.0 AS lcl, round(p0 + 3 * sqrt(p0 * (1 - p0) / n), 6) AS ucl, rate > p0 + 3 * sqrt(p0 * (1 - p0) / n) AS alarm FROM g JOIN p USING (feature)""",
     "drift_table": "SELECT event_type, delta FROM (" + ORACLE_SQL["spc_screening"] + ") WHERE delta IS NOT NULL AND delta >= -1",
-    "queue_view": "SELECT o_orderkey, round(o_totalprice, 6) AS score_raw, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, true AS in_top_k FROM orders QUALIFY rank <= 20",
+    "queue_view": "SELECT o_orderkey, round(o_totalprice, 6) AS score, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, true AS in_top_k FROM orders QUALIFY rank <= 20",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yieldspark.functions.draws import uniform_sql
 from yieldspark.operators import doe, metrics, models
 from yieldspark.plans.tables import CURVE_SQL, SCORED_SQL, r, rounded, scored_documents, table
 
@@ -70,9 +71,9 @@ def oof_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scored_documents(spark, sf_dir)
-    out = p.select("p", doe.with_noise(F.col("p"), "bernoulli", seed=3).alias("b"), doe.with_noise(F.col("p"), "logit-gaussian", 0.1, 3).alias("g"))
-    return out.agg(F.count("b").alias("n"), F.max(F.col("b").isin(0.0, 1.0).cast("int")).cast("long").alias("binary"), F.count_if((F.col("g") > 0) & (F.col("g") < 1)).alias("inside"))
+    """Each document's response under both kinds of noise."""
+    p, key = F.col("p"), F.col("doc_id")
+    return rounded(scored_documents(spark, sf_dir).select("doc_id", doe.with_noise(p, "bernoulli", key, seed=3).alias("b"), doe.with_noise(p, "logit-gaussian", key, 0.1, 3).alias("g")))
 
 
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +124,6 @@ ORACLE_SQL = {
     "evaluate_bundle": f"WITH {CURVE_SQL}, a AS (SELECT sum(pos / np::DOUBLE * tp / (tp + fp)) AS ap, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / max(np::DOUBLE * nn) AS auc FROM c), b AS (SELECT avg((p - y) ** 2) AS b, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM s) SELECT round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc, round(b, 6) AS brier, tp, fp, fn, tn FROM a, b",
     "describe_columns": "SELECT 'o_totalprice' AS column_name, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, round(min(o_totalprice), 4) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.75), 4) AS q75, round(max(o_totalprice), 4) AS max FROM orders",
     "oof_mean": f"WITH {FOLDS_SQL}, {SCORED_SQL} SELECT doc_id, round(avg(p + fold / 10.0::DOUBLE), 6) AS p, count(*) AS n_repeats FROM f JOIN s USING (doc_id) GROUP BY 1",
-    "noisy_response": f"WITH {SCORED_SQL} SELECT count(*) AS n, 1::BIGINT AS binary, count(*) AS inside FROM s",
+    "noisy_response": f"""WITH {SCORED_SQL}, u AS (SELECT doc_id, p, greatest(least(p, 1 - 1e-6), 1e-6) AS c, {uniform_sql('doc_id', 3)} AS u, {uniform_sql('doc_id', 3, 1)} AS v FROM s)
+        SELECT doc_id, (u < p)::INT::DOUBLE AS b, round(1 / (1 + exp(-(ln(c / (1 - c)) + 0.1 * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)))), 6) AS g FROM u""",
 }

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from yieldspark.operators import boosting, doe
 from yieldspark.plans.tables import lines, rounded, table
 
-FACTORS = [{"name": "s060", "low": 10.0, "high": 20.0}, {"name": "s123", "low": -1.0, "high": 1.0, "center": 0.25}, {"name": "s461", "low": 0.0, "high": 5.0}]
-NAMES = [f["name"] for f in FACTORS]
+NAMES = ["l_quantity", "l_extendedprice", "l_tax"]
 CODED = [f"{n}_coded" for n in NAMES]
 
 
@@ -22,18 +21,24 @@ def rank_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(doe.rank_factors(c, "s7"))
 
 
+def _factors(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """Levels at the 10, 50 and 90 % quantiles of the lines' sensors (a row a factor)."""
+    levels = {r["factor"]: r for r in doe.factor_levels(table(spark, sf_dir, "lineitem"), NAMES).collect()}
+    return [{"name": n, "low": levels[n]["low"], "center": levels[n]["center"], "high": levels[n]["high"]} for n in NAMES]
+
+
 def factorial_design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(doe.factorial_design(spark, FACTORS, replicates=2, centers=2))
+    return rounded(doe.factorial_design(spark, _factors(spark, sf_dir), replicates=2, centers=2, seed=1337))
 
 
 def fractional_design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(doe.factorial_design(spark, FACTORS, generator="a b ab").select("run_id", *CODED, *NAMES))
+    return rounded(doe.factorial_design(spark, _factors(spark, sf_dir), generator="a b ab").select("run_id", *CODED, *NAMES))
 
 
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An analytic surrogate over every supplier and design row."""
     background = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("wafer_id"), (F.col("s_acctbal") / 1e5).alias("b"))
-    rows = doe.expand_design(background, doe.factorial_design(spark, FACTORS, centers=1), NAMES)
+    rows = doe.expand_design(background, doe.factorial_design(spark, _factors(spark, sf_dir), centers=1), NAMES)
     a, b, c = map(F.col, CODED)
     p = 0.3 + 0.1 * a + 0.05 * b - 0.02 * c + 0.03 * a * b + F.col("b")
     return rows.withColumn("p", p).withColumn("y", (F.pmod(F.col("wafer_id") * 7 + F.col("design_row") * 13, F.lit(100)) < 100 * p).cast("int"))
@@ -91,7 +96,22 @@ def surrogate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", k).cast("double").alias(f"e{k}") for k in range(2)))
+    """The sums of the first and of the last half of the coordinates."""
+    whole = lambda low: F.aggregate(F.slice("embedding", low, 32), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", whole(1).alias("e0"), whole(33).alias("e1"))
+
+
+def _coordinates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    names = [f"e{k}" for k in range(64)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", k).cast("double").alias(n) for k, n in enumerate(names))), names
+
+
+def mahalanobis_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all 64 coordinates the squared distances of the reference's own rows add up to (n - 1) x 64."""
+    p, names = _coordinates(spark, sf_dir)
+    p = p.where("label < 5")
+    out = doe.mahalanobis(p, p, names)
+    return rounded(out.agg(F.count("mahalanobis").alias("n"), F.sum(F.col("mahalanobis") ** 2).alias("total")), 3)
 
 
 def mahalanobis_ood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,25 +129,26 @@ def ood_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(doe.ood_table(p.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "run_id"), p.where("label = 0").withColumnRenamed("vec_id", "wafer_id"), ["e0", "e1"]).select("run_id", "mahalanobis", "knn_distance", "ood_flag"), 5)
 
 
-QUERIES = {f.__name__: f for f in (factor_levels, rank_factors, factorial_design, fractional_design, design_expand, cell_summary, bernoulli_cells, main_effects, curvature, recommend, ols_effects, glm_effects, residuals, surrogate_scores, mahalanobis_ood, knn_ood, ood_flags)}
+QUERIES = {f.__name__: f for f in (factor_levels, rank_factors, factorial_design, fractional_design, design_expand, cell_summary, bernoulli_cells, main_effects, curvature, recommend, ols_effects, glm_effects, residuals, surrogate_scores, mahalanobis_ood, mahalanobis_spread, knn_ood, ood_flags)}
 
 _CORNERS = "co AS (SELECT a.v AS a, b.v AS b, c.v AS c, row_number() OVER (ORDER BY c.v, b.v, a.v) AS k FROM (VALUES (-1.0::DOUBLE), (1.0)) a(v), (VALUES (-1.0::DOUBLE), (1.0)) b(v), (VALUES (-1.0::DOUBLE), (1.0)) c(v))"
-_LEVELS = "CASE WHEN a < 0 THEN 10.0 WHEN a > 0 THEN 20.0 ELSE 15.0 END::DOUBLE AS s060, CASE WHEN b < 0 THEN -1.0 WHEN b > 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS s123, CASE WHEN c < 0 THEN 0.0 WHEN c > 0 THEN 5.0 ELSE 2.5 END::DOUBLE AS s461"
-_DESIGN = _CORNERS + ", de AS (SELECT a, b, c, k, false AS is_center FROM co UNION ALL SELECT 0, 0, 0, 9, true)"
-_ROWS = _DESIGN + f""", ex AS (SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, k, is_center, a, b, c, {_LEVELS}, s_suppkey, 0.3 + 0.1 * a + 0.05 * b - 0.02 * c + 0.03 * a * b + s_acctbal / 1e5 AS p FROM de, supplier),
+_LV = "lv AS (SELECT " + ", ".join(f"quantile_cont({n}, {q}) AS {v}_{k}" for v, n in zip("abc", NAMES, strict=True) for k, q in (("low", 0.1), ("mid", 0.5), ("high", 0.9))) + " FROM lineitem)"
+_LEVELS = ", ".join(f"round(CASE WHEN {v} < 0 THEN {v}_low WHEN {v} > 0 THEN {v}_high ELSE {v}_mid END, 6) AS {n}" for v, n in zip("abc", NAMES, strict=True))
+_DESIGN = _LV + ", " + _CORNERS + ", de AS (SELECT a, b, c, k, false AS is_center FROM co UNION ALL SELECT 0, 0, 0, 9, true)"
+_ROWS = _DESIGN + f""", ex AS (SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, k, is_center, a, b, c, {_LEVELS}, s_suppkey, 0.3 + 0.1 * a + 0.05 * b - 0.02 * c + 0.03 * a * b + s_acctbal / 1e5 AS p FROM de, supplier, lv),
     ce AS (SELECT run_id, is_center, a, b, c, count(*) AS n, avg(p) AS mean, coalesce(stddev_samp(p), 0) AS std FROM ex GROUP BY ALL)"""
-_PTS = "pt AS (SELECT vec_id, label, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1 FROM embeddings)"
+_PTS = "pt AS (SELECT vec_id, label, list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE)) AS e0, list_sum(list_transform(embedding[33:64], lambda x: x::DOUBLE)) AS e1 FROM embeddings)"
 _KNN = "{name} AS (SELECT id, avg(d) AS knn FROM (SELECT q.vec_id AS id, sqrt((q.e0 - r.e0) ** 2 + (q.e1 - r.e1) ** 2) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt((q.e0 - r.e0) ** 2 + (q.e1 - r.e1) ** 2)) AS rn FROM (SELECT * FROM pt WHERE {which}) q, pt r WHERE r.label = 0) WHERE rn <= {k} GROUP BY 1)"
 _MAH = "mo AS (SELECT avg(e0) AS m0, avg(e1) AS m1, var_samp(e0) AS v0, var_samp(e1) AS v1, covar_samp(e0, e1) AS v01 FROM pt WHERE label = 0), ma AS (SELECT vec_id, label, sqrt(greatest(((e0 - m0) ** 2 * v1 - 2 * (e0 - m0) * (e1 - m1) * v01 + (e1 - m1) ** 2 * v0) / (v0 * v1 - v01 * v01), 0)) AS m FROM pt, mo)"
-_FIT = {"s060_coded": "a", "s123_coded": "b", "s461_coded": "c", "s060_coded:s123_coded": "a * b", "s060_coded:s461_coded": "a * c", "s123_coded:s461_coded": "b * c", "intercept": "1"}
+_FIT = {"l_quantity_coded": "a", "l_extendedprice_coded": "b", "l_tax_coded": "c", "l_quantity_coded:l_extendedprice_coded": "a * b", "l_quantity_coded:l_tax_coded": "a * c", "l_extendedprice_coded:l_tax_coded": "b * c", "intercept": "1"}
 ORACLE_SQL = {
     "factor_levels": " UNION ALL ".join(f"SELECT '{c}' AS factor, round(quantile_cont({c}, 0.1), 6) AS low, round(quantile_cont({c}, 0.5), 6) AS center, round(quantile_cont({c}, 0.9), 6) AS high FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax")),
     "rank_factors": "WITH c AS (SELECT 's' || s_suppkey AS factor, CASE WHEN s_suppkey % 4 != 0 THEN s_acctbal END AS importance FROM supplier) SELECT factor, round(importance, 6) + 0.0 AS importance, row_number() OVER (ORDER BY (factor != 's7')::INT, importance DESC NULLS LAST, factor) AS place FROM c",
-    "factorial_design": f"""WITH {_CORNERS}, d AS (SELECT a, b, c, k, false AS is_center, 1 AS r FROM co UNION ALL SELECT a, b, c, k + 8, false, 2 FROM co UNION ALL SELECT 0, 0, 0, 17 + i, true, 1 FROM range(2) t(i))
-        SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, k::BIGINT AS design_row, is_center, r::BIGINT AS replicate, a::DOUBLE AS s060_coded, b::DOUBLE AS s123_coded, c::DOUBLE AS s461_coded, {_LEVELS}, r > 1 AS is_replicate, k::BIGINT AS run_order FROM d""",
-    "fractional_design": f"WITH q AS (SELECT a.v AS a, b.v AS b, a.v * b.v AS c, row_number() OVER (ORDER BY b.v, a.v) AS k FROM (VALUES (-1.0::DOUBLE), (1.0)) a(v), (VALUES (-1.0::DOUBLE), (1.0)) b(v)) SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, a AS s060_coded, b AS s123_coded, c AS s461_coded, {_LEVELS} FROM q",
-    "design_expand": f"WITH {_ROWS} SELECT run_id, s060, s123, s461, count(*) AS n, round(sum(p), 6) AS total FROM ex GROUP BY ALL",
-    "cell_summary": f"WITH {_ROWS} SELECT run_id, is_center, a AS s060_coded, b AS s123_coded, c AS s461_coded, n, round(mean, 6) AS mean, round(std, 6) AS std FROM ce",
+    "factorial_design": f"""WITH {_LV}, {_CORNERS}, d AS (SELECT a, b, c, k, false AS is_center, 1 AS r FROM co UNION ALL SELECT a, b, c, k + 8, false, 2 FROM co UNION ALL SELECT 0, 0, 0, 17 + i, true, 1 FROM range(2) t(i))
+        SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, k::BIGINT AS design_row, is_center, r::BIGINT AS replicate, a::DOUBLE AS l_quantity_coded, b::DOUBLE AS l_extendedprice_coded, c::DOUBLE AS l_tax_coded, {_LEVELS}, r > 1 AS is_replicate, row_number() OVER (ORDER BY md5('1337|' || k::VARCHAR)) AS run_order FROM d, lv""",
+    "fractional_design": f"WITH {_LV}, q AS (SELECT a.v AS a, b.v AS b, a.v * b.v AS c, row_number() OVER (ORDER BY b.v, a.v) AS k FROM (VALUES (-1.0::DOUBLE), (1.0)) a(v), (VALUES (-1.0::DOUBLE), (1.0)) b(v)) SELECT 'doe_' || lpad(k::VARCHAR, 3, '0') AS run_id, a AS l_quantity_coded, b AS l_extendedprice_coded, c AS l_tax_coded, {_LEVELS} FROM q, lv",
+    "design_expand": f"WITH {_ROWS} SELECT run_id, l_quantity, l_extendedprice, l_tax, count(*) AS n, round(sum(p), 6) AS total FROM ex GROUP BY ALL",
+    "cell_summary": f"WITH {_ROWS} SELECT run_id, is_center, a AS l_quantity_coded, b AS l_extendedprice_coded, c AS l_tax_coded, n, round(mean, 6) AS mean, round(std, 6) AS std FROM ce",
     "bernoulli_cells": f"WITH {_ROWS} SELECT run_id, count(*) FILTER ((s_suppkey * 7 + k * 13) % 100 < 100 * p) AS failures, count(*) AS trials, round(avg(p), 6) AS expected FROM ex GROUP BY 1",
     "main_effects": f"WITH {_ROWS} " + " UNION ALL ".join(f"SELECT '{n}' AS factor, round(avg(mean) FILTER ({v} = -1), 6) AS low_mean, round(avg(mean) FILTER ({v} = 1), 6) AS high_mean, round(avg(mean) FILTER ({v} = 1) - avg(mean) FILTER ({v} = -1), 6) + 0.0 AS effect FROM ce" for n, v in zip(CODED, "abc", strict=True)),
     "curvature": f"WITH {_ROWS} SELECT round(avg(mean) FILTER (is_center), 6) AS center_mean, round(avg(mean) FILTER (NOT is_center), 6) AS corner_mean, count(*) FILTER (is_center) AS n_center, round(avg(mean) FILTER (is_center) - avg(mean) FILTER (NOT is_center), 6) + 0.0 AS curvature FROM ce",
@@ -136,6 +157,7 @@ ORACLE_SQL = {
     "residuals": f"""WITH {_ROWS}, b AS (SELECT avg(mean) AS m, {', '.join(f'sum({x} * mean) / 8 AS b{k}' for k, x in enumerate(_FIT.values()))} FROM ce)
         SELECT run_id, round(m + {' + '.join(f'b{k} * {x}' for k, x in enumerate(_FIT.values()) if x != '1')}, 6) AS fitted, round(1 / 9.0::DOUBLE + CASE WHEN is_center THEN 0 ELSE 0.75 END, 6) AS leverage FROM ce, b""",
     "mahalanobis_ood": f"WITH {_PTS}, {_MAH} SELECT vec_id, round(m, 5) AS mahalanobis FROM ma",
+    "mahalanobis_spread": "SELECT count(*) AS n, round((count(*) - 1) * 64.0::DOUBLE, 3) AS total FROM embeddings WHERE label < 5",
     "knn_ood": f"WITH {_PTS}, {_KNN.format(name='kn', which='vec_id % 20 = 0', k=5)} SELECT id AS vec_id, round(knn, 5) AS knn_distance FROM kn",
     "ood_flags": f"""WITH {_PTS}, {_MAH}, {_KNN.format(name='kn', which='vec_id % 20 = 0', k=5)}, {_KNN.format(name='kr', which='label = 0', k=6)},
         th AS (SELECT (SELECT quantile_cont(m, 0.99) FROM ma WHERE label = 0) AS tm, (SELECT quantile_cont(knn, 0.99) FROM kr) AS tk)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.operators import eda
-from yieldspark.plans.tables import LINES_SQL, LONG_SQL, NUMERIC, WIDE, lines, masked_events, r, rounded
+from yieldspark.plans.tables import LINES_SQL, LONG_SQL, NUMERIC, WIDE, lines, masked_events, r, rounded, table
 
 TESTED = [*NUMERIC, "sparse", "collinear"]
 
@@ -50,6 +50,18 @@ def dropout_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.dropout_cliques(rows, list("abcdef"), "l_orderkey")
 
 
+def dropout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns null on the same orders but for one, and chains of such."""
+    rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.max("sparse").alias("a"), F.max("collinear").alias("b"))
+    top, o = rows.agg(F.max("l_orderkey")).first()[0], F.col("l_orderkey")
+    masks = {"c": (o % 3 == 0) | (o == top), "d": (o % 3 == 0) & (o > 3), "e": (o % 7 != 0) & (o < top - 40), "f": o % 2 == 0, "g": F.lit(True), "h": F.lit(False), "i": (o % 2 == 0) & (o % 1000 != 0)}
+    return eda.dropout_groups(rows.withColumns({n: F.when(m, 1.0) for n, m in masks.items()}), list("abcdefghi"))
+
+
+def neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eda.neighbour_information(table(spark, sf_dir, "customer").select("c_acctbal", "c_custkey", F.floor(F.col("c_acctbal") / 500).alias("step"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("c_nationkey"), "c_mktsegment"), ["c_acctbal", "c_custkey", "step", "c_nationkey"], "c_mktsegment"))
+
+
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("fail") == 1
     t = lines(spark, sf_dir).groupBy((F.col("l_orderkey") % 17).alias("k")).agg(*(F.count_if(c).alias(n) for n, c in {"a": (F.col("l_quantity") > 25) & y, "b": (F.col("l_quantity") > 25) & ~y, "c": (F.col("l_quantity") <= 25) & y, "d": (F.col("l_quantity") <= 25) & ~y}.items()))
@@ -68,7 +80,7 @@ def group_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(eda.group_offset(masked_events(spark, sf_dir), ["event_type"], "x").select("event_id", "offset"))
 
 
-QUERIES = {f.__name__: f for f in (skew_kurt, shape_flags, mann_whitney, bh_fdr, spearman, tail_enrichment, variance_ratio, missing_gap, dropout_cliques, fisher_exact, mutual_information, rolling_mean, group_offset)}
+QUERIES = {f.__name__: f for f in (skew_kurt, shape_flags, mann_whitney, bh_fdr, spearman, tail_enrichment, variance_ratio, missing_gap, dropout_cliques, dropout_groups, fisher_exact, mutual_information, neighbour_information, rolling_mean, group_offset)}
 
 _IN = lambda cs: "(" + ", ".join(f"'{c}'" for c in cs) + ")"
 _MW = f"""WITH {LONG_SQL}, g AS (SELECT column_name, value, count(*) AS n, count(*) FILTER (fail = 1) AS k FROM lo WHERE value IS NOT NULL AND column_name IN {_IN(TESTED)} GROUP BY ALL),
@@ -88,6 +100,20 @@ ORACLE_SQL = {
             round((quantile_cont(value, 0.75) FILTER (fail = 1) - quantile_cont(value, 0.25) FILTER (fail = 1)) / (quantile_cont(value, 0.75) FILTER (fail = 0) - quantile_cont(value, 0.25) FILTER (fail = 0)), 6) AS iqr FROM c GROUP BY 1""",
     "missing_gap": f"WITH {LONG_SQL} SELECT column_name, round(avg((value IS NULL)::INT) FILTER (fail = 1) - avg((value IS NULL)::INT) FILTER (fail = 0), 6) + 0.0 AS gap FROM lo GROUP BY 1",
     "dropout_cliques": f"WITH {LINES_SQL}, k AS (SELECT DISTINCT l_orderkey AS o FROM li), c AS (SELECT count(*) FILTER (o % 3 != 0) AS t, count(*) FILTER (o % 7 = 0) AS s, count(*) FILTER (o % 2 != 0) AS h FROM k) SELECT v.* FROM c, (VALUES ('a', c.t, 'a'), ('d', c.t, 'a'), ('b', c.s, 'b'), ('e', c.s, 'b'), ('f', c.h, 'f')) v(column_name, n_missing, clique)",
+    "dropout_groups": f"""WITH RECURSIVE {LINES_SQL}, k AS (SELECT DISTINCT l_orderkey AS o, max(l_orderkey) OVER () AS top FROM li),
+        m AS (SELECT o, unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i']) AS c, unnest([o % 3 != 0, o % 7 = 0, o % 3 != 0 AND o != top, o % 3 != 0 OR o <= 3, o % 7 = 0 OR o >= top - 40, o % 2 != 0, false, true, o % 2 != 0 OR o % 1000 = 0]) AS z FROM k),
+        s AS (SELECT c, count(*)::DOUBLE AS n, count(*) FILTER (z)::DOUBLE AS a FROM m GROUP BY 1), p AS (SELECT x.c AS i, y.c AS j, count(*) FILTER (x.z AND y.z) AS ab FROM m x JOIN m y USING (o) WHERE x.c != y.c GROUP BY ALL),
+        l AS (SELECT i, j FROM p JOIN s x ON x.c = i JOIN s y ON y.c = j WHERE x.a > 0 AND y.a > 0 AND x.a < x.n AND y.a < y.n AND (x.n * ab - x.a * y.a) / sqrt(x.a * (x.n - x.a) * y.a * (y.n - y.a)) >= 0.999),
+        reach AS (SELECT c AS i, c AS j FROM s WHERE a > 0 UNION SELECT r.i, l.j FROM reach r JOIN l ON l.i = r.j), g AS (SELECT i, min(j) AS g, count(*) AS n FROM reach GROUP BY 1)
+        SELECT c AS column_name, a::BIGINT AS n_missing, g AS "group", g.n AS n_columns FROM g JOIN s ON s.c = g.i""",
+    "neighbour_information": """WITH v AS (SELECT c_custkey AS id, c_mktsegment AS y, unnest(['c_acctbal', 'c_custkey', 'step', 'c_nationkey']) AS c, unnest([c_acctbal::DOUBLE, c_custkey::DOUBLE, floor(c_acctbal / 500)::DOUBLE, CASE WHEN c_custkey % 5 != 0 THEN c_nationkey END::DOUBLE]) AS x FROM customer),
+        w AS (SELECT *, count(*) OVER (PARTITION BY c, y) AS size FROM v WHERE x IS NOT NULL AND y IS NOT NULL), u AS (SELECT * FROM w WHERE size > 1),
+        d AS (SELECT a.c, a.id, a.x, a.size, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.c, a.id ORDER BY abs(a.x - b.x)) AS rn FROM u a JOIN u b ON a.c = b.c AND a.y = b.y AND a.id != b.id),
+        k AS (SELECT c, id, x, size, least(size - 1, 5) AS k, d FROM d WHERE rn = least(size - 1, 5)),
+        m AS (SELECT k.c, k.id, k.size, k.k, count(*) AS m FROM k JOIN u ON u.c = k.c AND CASE WHEN k.d = 0 THEN u.x = k.x ELSE abs(u.x - k.x) < k.d END GROUP BY ALL),
+        top AS (SELECT max(size) + (SELECT count(*) FROM customer) AS t FROM u), psi AS (SELECT n, sum(1 / (n - 1)::DOUBLE) OVER (ORDER BY n) - 0.5772156649015329 AS p FROM range(2, (SELECT t FROM top) + 1) r(n) UNION ALL SELECT 1, -0.5772156649015329),
+        t AS (SELECT c, count(*) AS n, avg(a.p - b.p - e.p) AS t FROM m JOIN psi a ON a.n = m.k JOIN psi b ON b.n = m.size JOIN psi e ON e.n = m.m GROUP BY 1)
+        SELECT c AS column_name, t.n, round(greatest(psi.p + t, 0), 6) AS mi FROM t JOIN psi ON psi.n = t.n""",
     "fisher_exact": f"""WITH {LINES_SQL}, t AS (SELECT l_orderkey % 17 AS k, count(*) FILTER (l_quantity > 25 AND fail = 1) AS a, count(*) FILTER (l_quantity > 25) AS r, count(*) FILTER (fail = 1) AS m, count(*) AS n FROM li GROUP BY 1),
         x AS (SELECT *, unnest(range(greatest(0, r + m - n), least(r, m) + 1)) AS x FROM t), p AS (SELECT *, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(m + 1) + lgamma(n - m + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(m - x + 1) - lgamma(n - r - m + x + 1)) AS p FROM x),
         s AS (SELECT k, p, max(p) FILTER (x = a) OVER (PARTITION BY k) AS seen FROM p) SELECT k, round(least(1, sum(p)), 6) AS p FROM s WHERE p <= seen * (1 + 1e-7) GROUP BY k""",

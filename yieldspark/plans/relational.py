@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldspark.operators import extract, features, monitoring, quality
+from yieldspark.operators.ordering import positions
 from yieldspark.plans.tables import LINES_SQL, LONG_SQL, WIDE, lines, rounded, table
-from yieldspark.sources import readers, registry
+from yieldspark.sources import artifacts, readers, registry
 from yieldspark.sources.committed import Conflict, Store, retire
 from yieldspark.sources.staging import folder
 
@@ -147,6 +148,23 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table_fingerprint(table(spark, sf_dir, "orders"))
 
 
+def data_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last loads of a ledger of which each order is a load of its priority's file."""
+    log = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ingest_id"), F.col("o_orderpriority").alias("source_file"), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("source_sha256"))
+    out = readers.data_fingerprint(log, "SELECT 1", files=7)
+    return out.select(F.explode("raw").alias("source_file", "source_sha256"), "extract_sql_sha256")
+
+
+def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written in date order over several files; the place of each row as the files are read one after the other."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey")
+    path = f"{folder(spark)}/ordered-{uuid.uuid4().hex}"
+    artifacts.write_ordered(o, ["o_orderdate", "o_orderkey"], path, rows=max(1, o.count() // 5))
+    files = spark.createDataFrame([(f.rpartition("/")[2], k) for k, f in enumerate(artifacts.ordered_files(spark, path))], "file string, number long")
+    rows = spark.read.parquet(f"{path}/data").select("o_orderkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")).join(F.broadcast(files), "file")
+    return positions(rows, [F.col("number"), F.col("at")], "place").select("o_orderkey", "place")
+
+
 def dataset_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(registry.dataset_card(lines(spark, sf_dir).select("l_orderkey", "fail"), "fail"))
 
@@ -156,7 +174,7 @@ def named_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.run_query(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_view WHERE o_orderdate BETWEEN timestamp(:a) AND timestamp(:b) GROUP BY o_orderpriority", a="1997-01-01", b="1998-12-31")
 
 
-QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, committed_orders, committed_registry, ledger_union, resolve_bundle, table_fingerprint, dataset_card, named_query)}
+QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, committed_orders, committed_registry, ledger_union, resolve_bundle, table_fingerprint, data_fingerprint, ordered_output, dataset_card, named_query)}
 
 _NULLS = " + ".join(f"({c} IS NULL)::INT" for c in WIDE)
 _QUALITY = f"""WITH {LONG_SQL}, b AS (SELECT count(*) AS n, avg(fail::DOUBLE) AS base FROM li),
@@ -201,6 +219,8 @@ ORACLE_SQL = {
     "resolve_bundle": """WITH t AS (SELECT max('run' || lpad(o_orderkey::VARCHAR, 12, '0')) AS train_id FROM orders WHERE o_orderkey % 5 = 0),
         c AS (SELECT 'run' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, 'run' || lpad((o_orderkey // 5 * 5)::BIGINT::VARCHAR, 12, '0') AS parent FROM orders WHERE o_orderkey % 5 != 0)
         SELECT train_id, max(id) AS calibrator_id FROM t LEFT JOIN c ON parent = train_id GROUP BY 1""",
+    "data_fingerprint": "WITH l AS (SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey DESC LIMIT 7) SELECT o_orderpriority AS source_file, sha256(max(o_orderkey)::VARCHAR) AS source_sha256, sha256('SELECT 1') AS extract_sql_sha256 FROM l GROUP BY 1",
+    "ordered_output": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders",
     "dataset_card": "SELECT count(*) AS n_rows, 2::BIGINT AS n_columns, count(*) FILTER (l_returnflag = 'R') AS n_fail, round(avg((l_returnflag = 'R')::INT), 6) AS fail_rate, md5('l_orderkey|fail') AS columns_md5 FROM lineitem",
     "named_query": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31' GROUP BY 1",
 }

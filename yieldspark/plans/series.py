@@ -61,6 +61,13 @@ def exogenous_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timeseries.exogenous_tests(daily, "event_type", "day", "y", ["weekday", "half"]).select("event_type", "exog", "coefficient", "accepted"), 1)
 
 
+def staged_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order, regressor, sign and winner of each daily series; the weekday is expected to have no sign."""
+    daily = _daily(spark, sf_dir).withColumns({"weekday": F.dayofweek("day").cast("double"), "half": (F.dayofmonth("day") > 15).cast("double")})
+    out = timeseries.staged_choice(daily, "event_type", "day", "y", {"weekday": 0, "half": 1}, holdout=4)
+    return rounded(out.select("event_type", "p", "d", "q", "exog", "coefficient", "p_value", "sign_ok", "used", "winner", "mase"), 3)
+
+
 def rolling_arima_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timeseries.rolling_arima_errors(_daily(spark, sf_dir), "event_type", "day", "y"), 3)
 
@@ -75,7 +82,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-QUERIES = {f.__name__: f for f in (daily_grid, windowed_mean, naive_scale, baseline_rolling_origin, autocorrelation, arima_grid, arima_forecast, forecast_breaches, partial_autocorrelation, seasonal_candidates, exogenous_tests, rolling_arima_errors, channel_drift, event_windows)}
+QUERIES = {f.__name__: f for f in (daily_grid, windowed_mean, naive_scale, baseline_rolling_origin, autocorrelation, arima_grid, arima_forecast, forecast_breaches, partial_autocorrelation, seasonal_candidates, exogenous_tests, staged_choice, rolling_arima_errors, channel_drift, event_windows)}
 _DAILY = "d AS (SELECT event_type, ts::DATE AS day, sum(value) AS y FROM events GROUP BY ALL)"
 ORACLE_SQL = {
     "daily_grid": """WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1), s AS (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d)

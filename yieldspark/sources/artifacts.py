@@ -9,8 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Score columns that a queue may carry, the first match counts; artifact names by role.
-SCORE_COLUMNS = ("p_cal", "score_cal", "p_hold", "p_oof", "score_raw", "score", "risk", "probability")
-ROLES = {"screening": "spc_screening.csv", "limits": "spc_limits.csv", "pchart": "pchart_data.csv", "protocol": "protocol_rates.csv", "imr": "imr_data.csv", "scores": "scores.parquet", "scorecard": "scorecard.json", "reconciliation": "reconciliation.json"}
+SCORE_COLUMNS = ("p_cal", "prob_cal", "p_calibrated", "calibrated", "p_hold", "prob", "score", "y_score")
+ROLES = {
+    "manifest": "files.json",
+    "config": "config.json",
+    "limits": "spc_limits.csv",
+    "screening": "spc_screening.csv",
+    "pchart": "pchart_data.csv",
+    "protocol_rates": "protocol_rates.csv",
+    "protocol_row_missing": "protocol_row_missing.csv",
+    "imr_series": "imr_series.csv",
+    "scores": "scores.parquet",
+    "scorecard": "scorecard.json",
+    "reconciliation": "reconciliation.json",
+}
 
 
 def six_digits(df: DataFrame) -> DataFrame:
@@ -36,6 +48,36 @@ def read_json(spark: SparkSession, path: str) -> dict:
         raise
 
 
+def write_ordered(df: DataFrame, order: list[str], path: str, rows: int = 2_000_000) -> DataFrame:
+    """df as Parquet files under path/data whose names sort in the total order of `order`; returns the manifest.
+
+    Rows are dealt into ranges of about `rows` and sorted in each; nulls come first. The manifest (file, number,
+    n, first, last: a row a file) is written beside them. Equal keys may not be told apart between files, so
+    `order` should end with a key.
+    """
+    ranges = max(1, -(-df.count() // rows))
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/data")
+    key = F.struct(*order)
+    files = df.sparkSession.read.schema(df.schema).parquet(f"{path}/data").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+    files.withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return df.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def ordered_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of write_ordered, to be read one after the other; raises if they are not all there, whole, or in order."""
+    want = spark.read.parquet(f"{path}/manifest").orderBy("number").collect()  # a row a file
+    rows = spark.read.parquet(f"{path}/data").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    have = {r["file"]: r["n"] for r in rows.collect()}
+    if have != {r["file"]: r["n"] for r in want}:
+        raise ValueError(f"the files under {path} are not those of its manifest")
+    known = spark.createDataFrame([(r["number"], r["first"], r["last"]) for r in want], spark.read.parquet(f"{path}/manifest").select("number", "first", "last").schema)
+    before = F.lag("last").over(Window.orderBy("number"))
+    if not known.select((before > F.col("first")).alias("wrong")).where("wrong").isEmpty():
+        raise ValueError(f"the files under {path} are not in order")
+    return [f"{path}/data/{r['file']}" for r in want]
+
+
 def make_run(spark: SparkSession, root: str, name: str, config: dict, note: str = "", now: datetime | None = None) -> str:
     """A run folder <time>_<name> with its config; returns the run id."""
     stamp = (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
@@ -51,7 +93,7 @@ def latest_run(index: DataFrame, kind: str) -> str | None:
 
 def artifact_path(spark: SparkSession, folder: str, role: str) -> str:
     """The manifest's file for a role, else the default name."""
-    return f"{folder}/{read_json(spark, f'{folder}/manifest.json').get('artifacts', {}).get(role, ROLES[role])}"
+    return f"{folder}/{read_json(spark, f"{folder}/{ROLES['manifest']}").get(role, ROLES[role])}"
 
 
 def batch_summary(spark: SparkSession, folder: str) -> dict[str, dict]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +53,47 @@ def run_query(spark: SparkSession, text: str, **params: object) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """path, bytes, sha256 of every file, read in pieces: memory does not grow with a file.
+
+    Files are read as runs of bytes up to each line end, which go to one task a file in their order and are
+    hashed as they come. A file may have any size and content; a run without a line end must be under 2 GB.
+    Files of no bytes are left out, as Spark's readers do not list them.
+    """
+    runs = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("run"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, seen, digest = None, 0, 0, hashlib.sha256()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], ["path", "bytes", "sha256"])
+
+        for b in batches:
+            for file, whole, run in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), b.column("run").to_pylist(), strict=True):
+                if file != now:
+                    if now is not None:
+                        yield row()
+                    now, size, seen, digest = file, whole, 0, hashlib.sha256()
+                digest.update(run)
+                seen += len(run)
+                if seen < size:  # the last run has a line end only if the file ends with one
+                    digest.update(b"\n")
+                    seen += 1
+        if now is not None:
+            yield row()
+
+    return runs.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "size", "run").mapInArrow(hashed, "path string, bytes long, sha256 string")
+
+
+def data_fingerprint(log: DataFrame, sql: str, order: str = "ingest_id", files: int = 2) -> DataFrame:
+    """raw (source_file: hash, of the last `files` rows of an ingestion log) and extract_sql_sha256, one row.
+
+    log has source_file, source_sha256 and the order column; of two rows of one file the later counts. An
+    empty log gives an empty map.
+    """
+    last = log.orderBy(F.desc(order)).limit(files)  # a few rows
+    newest = last.groupBy("source_file").agg(F.max_by("source_sha256", order).alias("hash"))
+    pairs = F.array_sort(F.collect_list(F.struct("source_file", "hash")))
+    return newest.agg(F.map_from_entries(pairs).alias("raw"), F.sha2(F.lit(sql.encode()), 256).alias("extract_sql_sha256"))
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

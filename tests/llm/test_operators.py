@@ -366,15 +366,14 @@ def test_extraction(spark, tag, attr):
 @pytest.mark.parametrize("pages", [2, 3, 8])
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_constants_by_position(spark, pages, tag):
-    """Constants go on all hosts, main regions included, whatever their length; long texts that differ late stay."""
+    """Boxes of constants go on all hosts, main regions included, whatever their length; long texts that differ late stay."""
     notice, long = "All rights reserved. " * 20, "same start " * 30
     page = "<body><{t}><h1>One title</h1><div>{n}</div><p>own {k}</p><blockquote>{l}{k}</blockquote><h2>Follow us</h2></{t}></body>"
     rows = [(k, "http://h/", page.format(k=k, t=tag, n=notice, l=long)) for k in range(pages)]
     rows += [(10 + k, "http://copies/", page.format(k=0, t=tag, n=notice, l=long)) for k in range(6)]
     got = {r["page_id"]: r["text"].split("\n") for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    title = ["One title"] if tag == "article" else []
-    for k in range(pages):
-        assert got[k] == [*title, f"own {k}", f"{long}{k}"]
+    for k in range(pages):  # headings are the article's own
+        assert got[k] == ["One title", f"own {k}", f"{long}{k}", "Follow us"]
     # copies of one page have no varying text to tell a template by
     assert got[10][:3] == ["One title", notice.strip(), "own 0"]
 
@@ -408,8 +407,8 @@ def test_deep_pages(spark, depth):
     page = "<body><article>" + "".join(f"<div>t{k}" for k in range(depth)) + '<nav>menu<div>home</div></nav><p>own {}</p>' + "".join(f"</div>u{k}" for k in range(depth)) + "</article></body>"
     rows = [(k, "http://deep/", page.format(k)) for k in range(3)]
     got = {r["page_id"]: r["text"].split("\n") for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    # texts that all pages share are constants, but for those of the repeated group below DEPTH
-    assert all(f"own {k}" in got[k] and "home" not in got[k] and "t0" not in got[k] for k in range(3))
+    # texts that all pages share stay where their element holds a slot
+    assert all(f"own {k}" in got[k] and "home" not in got[k] and "t0" in got[k] for k in range(3))
     alone = html_wrapper.Page(page.format("x"))
     text = html_wrapper.main_text(alone, {"main": None, "constants": []}).split("\n")
     assert text == [*(f"t{k}" for k in range(depth)), "own x", *(f"u{k}" for k in range(depth))]
@@ -425,12 +424,29 @@ def test_aligned_places(xs, ys):
     def longest(i, j):
         return 0 if i == len(xs) or j == len(ys) else longest(i + 1, j + 1) + 1 if xs[i] == ys[j] else max(longest(i + 1, j), longest(i, j + 1))
 
-    for table in (html_wrapper.TABLE, 0):
-        old, html_wrapper.TABLE = html_wrapper.TABLE, table
-        got = html_wrapper.common_places(xs, ys)
-        html_wrapper.TABLE = old
-        assert all(xs[i] == ys[j] for i, j in got) and got == sorted(set(got)) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
-        assert not table or len(got) == longest(0, 0)
+    got = html_wrapper.common_places(xs, ys)
+    assert all(xs[i] == ys[j] for i, j in got) and got == sorted(set(got)) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+    assert len(got) == longest(0, 0)
+
+
+def test_long_lists_are_aligned_alike():
+    """Thousands of siblings: a longest common subsequence still, in linear memory."""
+    rng = random.Random(3)
+    xs = [rng.choice("abcdefgh") for _ in range(1500)]
+    ys = [x for x in xs if rng.random() < 0.9]
+    assert len(html_wrapper.common_places(xs, ys)) == len(ys)
+
+
+@pytest.mark.parametrize("parts", [1, 50])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_section_headings_of_a_host_stay(spark, parts, tag):
+    """Headings and lines that all articles of a host have are theirs; boxes that say the same everywhere are not."""
+    page = "<body><ul><li>Home</li><li>News</li></ul><{t}><h1>Dish {k}</h1><p>Story {k} of the dish</p><h2>Ingredients</h2><ul><li>salt</li><li>item {k}</li></ul><h2>Method</h2><p>Cook {k} minutes and more</p><div><span>Share this</span></div><p>References</p><p>Book {k}</p></{t}><p>All rights reserved</p></body>"
+    rows = [(k, "http://dishes/", page.format(k=k, t=tag)) for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts, "page_id")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_wrapper.extract(df).collect()}
+    for k in range(12):
+        assert got[k] == [f"Dish {k}", f"Story {k} of the dish", "Ingredients", "salt", f"item {k}", "Method", f"Cook {k} minutes and more", "References", f"Book {k}"]
 
 
 def test_wrapper_groups():

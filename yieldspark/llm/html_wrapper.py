@@ -11,7 +11,6 @@ wrapper's mass gives, and drops its constants; texts of a repeated group are slo
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import html as entities
 import json
@@ -31,8 +30,9 @@ BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol
 VOID = frozenset(["hr"])
 #: Elements deeper than this give their text to the element at this depth, in page order; furniture stays furniture.
 DEPTH = 100
-#: Two lists of siblings whose tags make a larger table than this are matched in linear memory.
-TABLE = 250_000
+#: Elements whose text belongs to what is around them, and those that head a section or a list.
+TEXTUAL = frozenset("p li dt dd td th tr caption figcaption summary address pre blockquote center h1 h2 h3 h4 h5 h6".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption summary".split())
 #: Wrappers of a host's batches are merged in so many groups first.
 GROUPS = 64
 #: An element whose start ends open elements of these names up to the nearest of its bounds.
@@ -260,27 +260,47 @@ def _aligned(xs: list[list], ys: list[list], within: bool = False) -> list[list]
     return out
 
 
-def common_places(kx: list[str], ky: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence; of lists over TABLE, of long common runs one in another instead."""
-    if len(kx) * len(ky) > TABLE:
-        blocks = difflib.SequenceMatcher(None, kx, ky, autojunk=False).get_matching_blocks()
-        return [(a + k, b + k) for a, b, n in blocks for k in range(n)]
-    best = [[0] * (len(ky) + 1) for _ in range(len(kx) + 1)]
-    for i in range(len(kx) - 1, -1, -1):
-        for j in range(len(ky) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if kx[i] == ky[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(kx) and j < len(ky):
-        if kx[i] == ky[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+def _lengths(xs: list[str], ys: list[str]) -> list[int]:
+    """Length of a longest common subsequence of xs and each prefix of ys, by a bit vector of ys' places."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(ys):
+        places[y] = places.get(y, 0) | 1 << j
+    whole = v = (1 << len(ys)) - 1
+    for x in xs:
+        u = v & places.get(x, 0)
+        v = ((v + u) | (v - u)) & whole
+    out = [0]
+    for bit in reversed(f"{v:0{len(ys)}b}"):
+        out.append(out[-1] + (bit == "0"))
     return out
 
 
+def common_places(kx: list[str], ky: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in memory that grows with the lists and not with their product:
+    one list is halved, the other cut where the two halves have most in common."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(kx), 0, len(ky))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and kx[a] == ky[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and kx[b - 1] == ky[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            if kx[a] in ky[c:d]:
+                out.append((a, ky.index(kx[a], c, d)))
+            continue
+        half = (a + b) // 2
+        first, last = _lengths(kx[a:half], ky[c:d]), _lengths(kx[half:b][::-1], ky[c:d][::-1])
+        cut = c + max(range(d - c + 1), key=lambda k: first[k] + last[d - c - k])
+        todo += [(a, half, c, cut), (half, b, cut, d)]
+    return sorted(out)
+
+
 def _hash(*parts: str) -> str:
     return hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).hexdigest()
 
@@ -330,29 +350,39 @@ def _has_main(node: list) -> bool:
 
 def plan(wrapper: list) -> dict:
     """What extraction needs: the path of the main region (None where an element names it), and the hashes of
-    template constants: what all pages with a position share there. A main region's h1 is its page's title."""
+    template constants: what all pages with a position share there. In a main region only those of an element
+    that holds nothing else are dropped, a notice or a share box, and headings never: a section's heading or a
+    line between paragraphs is the article's own, however many pages have it. Elsewhere all constants go."""
     main: list[str] | None = None
+    region = None
     if not _has_main(wrapper):
-        main, node = [], wrapper
+        main, region = [], wrapper
         while True:
-            below = [c for c in _flat(node) if not c[0].startswith("-") and c[0] != "#" and not c[2]]
+            below = [c for c in _flat(region) if not c[0].startswith("-") and c[0] != "#" and not c[2]]
             heavy = max(below, key=_mass, default=None)
-            if heavy is None or _mass(heavy) < 0.6 * _mass(node):
+            if heavy is None or _mass(heavy) < 0.6 * _mass(region):
                 break
             main.append(heavy[0])
-            node = heavy
+            region = heavy
     constants: set[str] = set()
     least = max(2, len(wrapper[7]))
+    fixed = lambda node: all(len(c[7]) >= least if c[0] == "#" else fixed(c) for c in _flat(node) if not c[0].startswith("-"))
 
-    def walk(node: list, inside: bool) -> None:
+    def walk(node: list, inside: bool, box: bool) -> None:
+        """inside: in a main region; box: the element that holds this one has constants only."""
+        name = node[0].lstrip("*").split(".")[0]
+        alone = fixed(node) if name not in TEXTUAL else box
         for c in _flat(node):
             if c[0] == "#":
-                if len(c[7]) >= least and not (inside and node[0].lstrip("*").split(".")[0] == "h1"):
+                if len(c[7]) >= least and not (inside and (name in HEADING or not alone)):
                     constants.update(c[6])
             elif not c[0].startswith("-"):
-                walk(c, inside or c[0].startswith("*"))
+                starts = c is region or c[0].startswith("*")
+                walk(c, inside or starts, alone and not starts)
 
-    walk(wrapper, False)
+    if region is not None and region[0].split(".")[0] in ("", "html", "body"):
+        region = None  # no element stands out: constants may be of any part of the page
+    walk(wrapper, False, False)
     return {"main": main, "constants": sorted(constants)}
 
 

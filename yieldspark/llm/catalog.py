@@ -9,16 +9,29 @@ from yieldspark.llm.html_wrapper import op5_html_extraction
 from yieldspark.llm.language_id import op2_language_id
 from yieldspark.llm.lm_scoring import op3_lm_scoring
 from yieldspark.llm.near_dedup import op7_near_dedup
-from yieldspark.llm.quality_rules import RULES, op8_quality_rules
+from yieldspark.llm.quality_rules import POLICIES, RULES, op8_quality_rules, quality_ablations
 from yieldspark.llm.substring_dedup import op9_substring_dedup
 from yieldspark.llm.suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (secret_scan.op1_secret_scan, op2_language_id, op3_lm_scoring, op4_decontamination, op5_html_extraction, mixing.op6_mixing, op7_near_dedup, op8_quality_rules, op9_substring_dedup, op10_suffix_dedup, hard_negatives.op11_hard_negatives, fill_middle.op12_fill_in_middle, op13_bpe)}
+QUERIES = {f.__name__: f for f in (secret_scan.op1_secret_scan, op2_language_id, op3_lm_scoring, op4_decontamination, op5_html_extraction, mixing.op6_mixing, op7_near_dedup, op8_quality_rules, quality_ablations, op9_substring_dedup, op10_suffix_dedup, hard_negatives.op11_hard_negatives, fill_middle.op12_fill_in_middle, op13_bpe)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_MEASURED = rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS words, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT doc_id, p, array_to_string(words[p:p + 2], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM d)),
+        r0 AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+        c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM r0) GROUP BY 1),
+        m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')))::BIGINT AS n_letter_words,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+            FROM d LEFT JOIN c USING (doc_id)),
+        l AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(list_filter(lines, lambda x: starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, chr(8226))))::BIGINT AS n_bullet_lines,
+            len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, chr(8230))))::BIGINT AS n_cut_lines, coalesce(list_max(list_transform(lines, lambda x: strlen(x))), 0)::BIGINT AS most_line_bytes FROM m),
+        f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))} AS bits FROM l)"""
+
 #: DuckDB's own reading of the contracts. SQL has no lattice, kernel model, wrapper or merges: ops 2, 3, 5 and 13 have none.
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
@@ -46,18 +59,10 @@ ORACLE_SQL: dict[str, str] = {
         low AS (SELECT x, min(y) AS m FROM reach GROUP BY 1)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(m, d.doc_id) >= d.doc_id AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = d.doc_id""",
-    "op8_quality_rules": rf"""
-        WITH d AS (SELECT doc_id, {_WORDS} AS words, coalesce(text, '') AS t FROM documents),
-        g AS (SELECT doc_id, p, array_to_string(words[p:p + 2], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM d)),
-        r AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
-        c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM r) GROUP BY 1),
-        m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-                len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0)::BIGINT AS n_repeat_words
-            FROM d LEFT JOIN c USING (doc_id)),
-        l AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM m),
-        f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))} AS bits FROM l)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) != 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS failed FROM f""",
+    "op8_quality_rules": _MEASURED + """
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) != 0 AS base_failed, (bits & 63) = 0 AS kept, (bits & 63)::BIGINT AS failed FROM f""",
+    "quality_ablations": _MEASURED + ", r AS (SELECT unnest([" + ", ".join(f"'{r}'" for r in POLICIES["v3"]) + f"""]) AS rule, unnest(range({len(POLICIES["v3"])})) AS k)
+        SELECT rule, count(*) FILTER ((bits >> k) & 1 = 1) AS n_failed, count(*) FILTER (bits = 1 << k) AS n_only, count(*) FILTER (bits & ~(1 << k) = 0) AS n_kept_without FROM r, f GROUP BY 1""",
     "op9_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
         s AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS p FROM d),

@@ -19,7 +19,11 @@ from yieldspark.llm._spark import table
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_bullet_lines", "n_cut_lines", "most_line_bytes")
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Starts of list items and ends of cut lines.
+BULLETS, CUT = tuple(x.encode() for x in ("- ", "* ", "\u2022")), tuple(x.encode() for x in ("...", "\u2026"))
 LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
 #: name -> condition of failure over the measurements; a rule's bit is its place here. Only append.
@@ -30,11 +34,16 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
+    "few_letter_words": "100 * n_letter_words < 80 * n_words",
+    "many_bullets": "100 * n_bullet_lines > 90 * n_lines",
+    "many_cut_lines": "100 * n_cut_lines > 30 * n_lines",
+    "one_long_line": "most_line_bytes > 100000",
 }
 #: Versioned policies: the rules whose failure drops a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": ("few_words", "repeated_words"),
     "v2": ("few_words", "repeated_words", "many_symbols", "short_words", "long_words", "duplicate_lines"),
+    "v3": ("few_words", "repeated_words", "many_symbols", "short_words", "long_words", "duplicate_lines", "few_letter_words", "many_bullets", "many_cut_lines", "one_long_line"),
 }
 
 
@@ -63,11 +72,16 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     symbols = np.zeros(len(data) + 1, np.int64)
     np.cumsum(SYMBOLS[data], out=symbols[1:])
-    lines, repeats = [], []
+    letters = np.concatenate([[0], np.cumsum(LETTER[data])])
+    lettered = letters[ends] > letters[starts]
+    lines, repeats, bullets, cut, most = [], [], [], [], []
     for i, j in zip(offsets[:-1], offsets[1:], strict=True):
         full = [x for x in data[i:j].tobytes().split(b"\n") if x.strip()]
         lines.append(len(full))
         repeats.append(len(full) - len(set(full)))
+        bullets.append(sum(x.startswith(BULLETS) for x in full))
+        cut.append(sum(x.endswith(CUT) for x in full))
+        most.append(max(map(len, full), default=0))
     return {
         "n_words": np.diff(first),
         "word_chars": chars[offsets[1:]] - chars[offsets[:-1]],
@@ -75,6 +89,10 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_lines": np.array(lines),
         "n_dup_lines": np.array(repeats),
         "n_repeat_words": T.per_document(T.covered(len(starts), at[twice], 3), first),
+        "n_letter_words": T.per_document(lettered, first),
+        "n_bullet_lines": np.array(bullets),
+        "n_cut_lines": np.array(cut),
+        "most_line_bytes": np.array(most),
     }
 
 
@@ -118,5 +136,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~passes("v1")).alias("base_failed"), (passes("v1") & passes("v2")).alias("kept"), "failed",
+        (~passes("v1")).alias("base_failed"), (passes("v1") & passes("v2")).alias("kept"), F.col("failed").bitwiseAND(mask(POLICIES["v2"])).alias("failed"),
     )
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the last policy does, of all documents: from the ledger's bits alone."""
+    return ablations(ledger(table(spark, sf_dir, "documents")), "v3").select("rule", "n_failed", "n_only", "n_kept_without")

@@ -30,7 +30,7 @@ CLASSES: dict[str, tuple[str, float]] = {
     "alnum": (r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.7),
     "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_=-]+$", 3.9),
 }
-#: Classes of the candidates that are left, as CLASSES; the SQL of op1_secret_scan does not have them. mixed: letters whose case changes too often for words.
+#: Classes of the candidates that are left, as CLASSES. mixed: letters whose case changes too often for words.
 LEFT: dict[str, tuple[str, float]] = {
     "token": (r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+$", 3.8),
     "mixed": (r"^(?=.*(?:[a-z][A-Z][A-Za-z]{0,2}){4})[A-Za-z+/_=-]+$", 4.0),
@@ -168,17 +168,29 @@ def _oracle() -> str:
     found = " UNION ALL ".join(
         f"SELECT doc_id, '{k}' AS kind, {n} AS least, regexp_extract_all(t, '{text(p)}') AS f, regexp_extract_all(t, '{text(p)}', {g}) AS s, string_split_regex(t, '{text(p)}') AS p FROM d WHERE regexp_matches(t, '{text(p)}')" for k, p, g, n in kinds
     )
-    allowed = " OR ".join(f"regexp_matches(token, '{p}')" for p in ALLOWED)
-    hits = {"hex": "regexp_full_match(token, '[0-9a-fA-F]+')", "alnum": "regexp_full_match(token, '[A-Za-z0-9]+') AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]')", "base64": "regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[a-z]')"}
-    case = "CASE " + " ".join(f"WHEN {hits[k]} THEN '{k}'" for k in CLASSES) + " END"
-    least = "CASE cls " + " ".join(f"WHEN '{k}' THEN {bits}" for k, (_, bits) in CLASSES.items()) + " END"
-    place = [*PATTERNS, *(f"entropy_{c}" for c in CLASSES)]
+    allowed = " OR ".join(f"regexp_matches(token, '{p}')" for p in ALLOWED if p not in (WORDS, PLACEHOLDER))
+    digit, letter = "regexp_matches(token, '[0-9]')", "regexp_matches(token, '[A-Za-z]')"
+    hits = {
+        "hex": "regexp_full_match(token, '[0-9a-fA-F]+')",
+        "alnum": f"regexp_full_match(token, '[A-Za-z0-9]+') AND {digit} AND {letter}",
+        "base64": f"{digit} AND regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[a-z]')",
+        "token": f"{digit} AND {letter}",
+        "mixed": f"NOT {digit} AND regexp_matches(token, '([a-z][A-Z][A-Za-z]{{0,2}}){{4}}')",
+    }
+    classes = CLASSES | LEFT
+    words = f"NOT regexp_matches(token, '{WORDS}') AND "
+    case = "CASE " + " ".join(f"WHEN {'' if k == 'mixed' else words}{hits[k]} THEN '{k}'" for k in classes) + " END"
+    least = "CASE cls " + " ".join(f"WHEN '{k}' THEN {bits}" for k, (_, bits) in classes.items()) + " END"
+    place = [*PATTERNS, *(f"entropy_{c}" for c in classes)]
     n = lambda k: f"count(*) FILTER (kind = '{k}') AS n_{k}"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), g AS ({found}), i AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM g),
         m AS (SELECT doc_id, kind, least, f[i] AS token, length(s[i]) AS size, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a FROM i),
-        c AS (SELECT doc_id, a, token, {case} AS cls FROM m WHERE kind = 'entropy' AND NOT ({allowed})),
-        w AS (SELECT doc_id, a, token, cls, max(list_aggregate(string_split(substr(token, o, {WINDOW}), ''), 'entropy')) AS h FROM (SELECT *, unnest(range(1, length(token) - {WINDOW} + 2)) AS o FROM c WHERE cls IS NOT NULL) GROUP BY ALL),
-        s AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(token))::BIGINT AS b FROM m WHERE kind != 'entropy' AND size >= least UNION ALL SELECT doc_id, 'entropy_' || cls, a::BIGINT, (a + length(token))::BIGINT FROM w WHERE h >= {least}),
+        q AS (SELECT doc_id, a, length(token) AS whole, CASE WHEN regexp_matches(token, '{PLACEHOLDER}') THEN list_filter(string_split_regex(token, '{PLACEHOLDER}'), lambda x: length(x) >= {WINDOW}) ELSE [token] END AS parts FROM m WHERE kind = 'entropy'),
+        p AS (SELECT doc_id, a, whole, unnest(parts) AS token, unnest(range(1, len(parts) + 1)) AS nth FROM q),
+        c AS (SELECT doc_id, a, whole, nth, token, {case} AS cls FROM p WHERE NOT ({allowed})),
+        w AS (SELECT doc_id, a, whole, nth, cls, max(list_aggregate(string_split(substr(token, o, {WINDOW}), ''), 'entropy')) AS h FROM (SELECT *, unnest(range(1, length(token) - {WINDOW} + 2)) AS o FROM c WHERE cls IS NOT NULL) GROUP BY ALL),
+        e AS (SELECT doc_id, a, whole, min_by(cls, nth) AS cls FROM w WHERE h >= {least} GROUP BY doc_id, a, whole),
+        s AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(token))::BIGINT AS b FROM m WHERE kind != 'entropy' AND size >= least UNION ALL SELECT doc_id, 'entropy_' || cls, a::BIGINT, (a + whole)::BIGINT FROM e),
         o AS (SELECT *, list_position({place}, kind) AS k, kind || ':' || a || ':' || b AS span FROM s),
         r AS (SELECT doc_id, {', '.join(map(n, PATTERNS))}, string_agg(span, ',' ORDER BY a, k, b) FILTER (k <= {len(PATTERNS)}) AS base, string_agg(span, ',' ORDER BY a, k, b) AS spans FROM o GROUP BY 1)
         SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in PATTERNS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)"""

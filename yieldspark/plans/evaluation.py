@@ -90,7 +90,7 @@ def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def platt_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored_documents(spark, sf_dir)
-    return models.apply_platt(models.platt(rows, "p", "y"), rows).select("doc_id", r("p", 9).alias("p"), r("p_cal", 6).alias("p_cal"))
+    return models.apply_platt(models.platt(rows, "p", "y"), rows).select("doc_id", r("p", 9).alias("p"), r("p_cal", 4).alias("p_cal"))
 
 
 def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,12 @@ QUERIES = {f.__name__: f for f in (pr_curve, average_precision, roc_auc, brier,
 
 FOLDS_SQL = "f AS (SELECT t.r AS repeat, doc_id, toxic::BIGINT AS toxic, ((row_number() OVER (PARTITION BY t.r, toxic ORDER BY md5(t.r::VARCHAR || '|1337|' || doc_id::VARCHAR), doc_id) - 1) % 5)::BIGINT AS fold FROM labels, range(1, 4) t(r))"
 ORACLE_SQL = {
+    # Newton steps on the penalised likelihood; b is the score's weight, of which half the square is added
+    "platt_calibration": f"""WITH RECURSIVE {SCORED_SQL}, g AS (SELECT p AS x, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS k FROM s GROUP BY 1),
+        it AS (SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT step + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+            FROM (SELECT step, a, b, sum(n * q - k) AS g0, sum((n * q - k) * x) + b AS g1, sum(n * q * (1 - q)) AS h00, sum(n * q * (1 - q) * x) AS h01, sum(n * q * (1 - q) * x * x) + 1 AS h11
+                FROM (SELECT step, a, b, x, n, k, 1 / (1 + exp(-(a + b * x))) AS q FROM it, g WHERE step < 30) GROUP BY step, a, b))
+        SELECT doc_id, round(p, 9) AS p, round(1 / (1 + exp(-(a + b * p))), 4) AS p_cal FROM s, it WHERE step = 30""",
     # the greatest of the least means of runs from and to a score: the isotonic fit
     "isotonic_calibration": f"""WITH {SCORED_SQL}, g AS (SELECT p, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM s GROUP BY p), i AS (SELECT p, y, n, row_number() OVER w AS k, sum(y) OVER w AS cy, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY p)),
         ab AS (SELECT a.k AS a, b.k AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM i a JOIN i b ON b.k >= a.k), mi AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM ab), f AS (SELECT b AS k, max(m) AS fit FROM mi WHERE a <= b GROUP BY b)

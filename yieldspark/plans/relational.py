@@ -219,6 +219,8 @@ ORACLE_SQL = {
     "resolve_bundle": """WITH t AS (SELECT max('run' || lpad(o_orderkey::VARCHAR, 12, '0')) AS train_id FROM orders WHERE o_orderkey % 5 = 0),
         c AS (SELECT 'run' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, 'run' || lpad((o_orderkey // 5 * 5)::BIGINT::VARCHAR, 12, '0') AS parent FROM orders WHERE o_orderkey % 5 != 0)
         SELECT train_id, max(id) AS calibrator_id FROM t LEFT JOIN c ON parent = train_id GROUP BY 1""",
+    "table_fingerprint": """WITH h AS (SELECT md5(concat('|', o_orderkey::VARCHAR, '|', o_custkey::VARCHAR, '|', o_orderstatus, '|', o_totalprice::VARCHAR, '|', o_orderdate::VARCHAR, '|', o_orderpriority)) AS h FROM orders)
+        SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 13))::BIGINT)::VARCHAR AS content_sum, bit_xor(('0x' || substr(h, 14, 13))::BIGINT) AS content_xor, md5('o_orderkey|o_custkey|o_orderstatus|o_totalprice|o_orderdate|o_orderpriority') AS columns_md5 FROM h""",
     "data_fingerprint": "WITH l AS (SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey DESC LIMIT 7) SELECT o_orderpriority AS source_file, sha256(max(o_orderkey)::VARCHAR) AS source_sha256, sha256('SELECT 1') AS extract_sql_sha256 FROM l GROUP BY 1",
     "ordered_output": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders",
     "dataset_card": "SELECT count(*) AS n_rows, 2::BIGINT AS n_columns, count(*) FILTER (l_returnflag = 'R') AS n_fail, round(avg((l_returnflag = 'R')::INT), 6) AS fail_rate, md5('l_orderkey|fail') AS columns_md5 FROM lineitem",

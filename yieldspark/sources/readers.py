@@ -97,7 +97,13 @@ def data_fingerprint(log: DataFrame, sql: str, order: str = "ingest_id", files:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """n_rows, columns_md5 and an order-free content hash: equal for equal rows in any order or partitioning."""
-    simple = [F.to_json(c) if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f.name) for f in df.schema.fields for c in [F.col(f.name)]]
-    rows = F.xxhash64(*simple)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("string").alias("x"), F.coalesce(F.sum(F.pmod(rows, F.lit(2**31))), F.lit(0)).alias("content_sum"), F.coalesce(F.bit_xor(rows), F.lit(0)).alias("content_xor")).withColumn("columns_md5", F.md5(F.lit("|".join(df.columns)).cast("binary"))).drop("x")
+    """n_rows, columns_md5 and an order-free content hash: equal for equal rows in any order or partitioning.
+
+    A row is the md5 of its values as text, each led by a mark (nulls have another); its first 52 bits add up
+    in content_sum, the next 52 are combined in content_xor. Arrays, maps and structs count as JSON.
+    """
+    cells = [F.to_json(F.col(f.name)) if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f.name).cast("string") for f in df.schema.fields]
+    row = F.md5(F.concat(*(F.coalesce(F.concat(F.lit("|"), c), F.lit("~")) for c in cells)).cast("binary"))
+    part = lambda k: F.conv(F.substring(row, 13 * k + 1, 13), 16, 10).cast("long")
+    total = F.coalesce(F.sum(part(0).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("content_sum"), F.coalesce(F.bit_xor(part(1)), F.lit(0)).alias("content_xor")).withColumn("columns_md5", F.md5(F.lit("|".join(df.columns)).cast("binary")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import datetime, timezone
 
@@ -45,7 +46,7 @@ def write_snapshot(df: DataFrame, path: str, registry: DataFrame, note: str = ""
     """matrix and registry as Parquet under path/<id>, a manifest as JSON; the id is the content's hash."""
     spark = df.sparkSession
     print_ = table_fingerprint(df).first().asDict()
-    ident = f"{print_['content_xor'] & 0xFFFFFFFFFFFFFFFF:016x}"[:8]
+    ident = hashlib.md5("|".join(map(str, print_.values())).encode()).hexdigest()[:8]
     manifest = {"snapshot_id": ident, "created": datetime.now(timezone.utc).isoformat(), "note": note, "columns": df.columns} | print_
     df.write.mode("overwrite").parquet(f"{path}/{ident}/matrix")
     registry.write.mode("overwrite").parquet(f"{path}/{ident}/registry")

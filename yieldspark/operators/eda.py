@@ -39,9 +39,12 @@ def shape_flags(stats: DataFrame, skew: float = 2.0, kurtosis: float = 7.0, zero
     return stats.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
 
 
-def mid_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n, before): counts of each distinct value and of the rows before it; mid-rank = before + (n + 1) / 2."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+def mid_ranks(rows: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, value, n, before): counts of each distinct value and of the rows before it; mid-rank = before + (n + 1) / 2.
+
+    weight names a column that says how often a row counts.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     out = running_sums(stage(counts, "values"), [F.col(value)], {"before": F.col("n")}, keys=keys)
     return out.withColumn("before", F.col("before") - F.col("n")).withColumn("mid_rank", F.col("before") + (F.col("n") + 1) / 2)
 
@@ -84,9 +87,10 @@ def benjamini_hochberg(tests: DataFrame, key: str, p: str = "p") -> DataFrame:
 def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """column_name, rho: correlation of mid-ranks over rows where both are known."""
     rows = long_form(df, columns, [target]).where(f"value is not null and {target} is not null")
-    x = mid_ranks(rows, ["column_name"], "value").select("column_name", "value", F.col("mid_rank").alias("rx"))
-    y = mid_ranks(rows, ["column_name"], target).select("column_name", target, F.col("mid_rank").alias("ry"))
-    cells = rows.groupBy("column_name", "value", target).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    cells = stage(rows.groupBy("column_name", "value", target).agg(F.count(F.lit(1)).alias("w")), "cells")  # read three times
+    x = mid_ranks(cells, ["column_name"], "value", "w").select("column_name", "value", F.col("mid_rank").alias("rx"))
+    y = mid_ranks(cells, ["column_name"], target, "w").select("column_name", target, F.col("mid_rank").alias("ry"))
+    cells = cells.withColumn("w", F.col("w").cast("double"))
     # rank tables of bounded size are broadcast, so a value that a column's rows share is no single task
     cells = cells.join(checked(x, "ranks"), ["column_name", "value"]).join(checked(y, "ranks"), ["column_name", target])
     n, sx, sy = F.sum("w"), F.sum(F.col("w") * F.col("rx")), F.sum(F.col("w") * F.col("ry"))

@@ -78,13 +78,15 @@ def look_around(df: DataFrame, keys: list[str], order: list[str], reach: int, ma
     return out.where("own__ = block__").select(*(c for c in df.columns if c not in names), *names)
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """keys and a column for each named probability: exact quantiles, linear between ranks, nulls left out.
 
+    weight names a column of whole numbers that says how often a row counts.
+
     Distinct values are counted, ranked by running sums and picked by rank. A built-in percentile keeps every
     distinct value of a group in one task's memory; here a group may have any number of them.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v__")).agg(F.count(F.lit(1)).alias("n__"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v__")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n__"))
     counts = stage(counts, "values")  # read three times
     ranked = running_sums(counts, [F.col("v__")], {"upto__": F.col("n__")}, keys=keys)
     totals = counts.groupBy(*keys).agg(F.sum("n__").alias("total__"))

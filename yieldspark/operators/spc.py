@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from yieldspark.functions.stats import binomial_limits
 from yieldspark.operators.ordering import grouped_quantiles, look_back, positions, row_ranges
-from yieldspark.sources.staging import checked
+from yieldspark.sources.staging import checked, stage
 
 # MAD to sigma, d2 of a range of 2, D4 of a moving range.
 MAD_SIGMA, D2, D4 = 1.4826, 1.128, 3.267
@@ -23,19 +23,22 @@ def moving_range(rows: DataFrame, value: str, sensor: list[str], order: list[str
     return look_back(rows, sensor, order, 1, lambda w: {"mr": F.abs(F.col(value) - F.lag(value).over(w))}, ranges)
 
 
-def control_limits(rows: DataFrame, sensor: str, value: str, order: list[str], method: str = "robust", k: float = 3.0) -> DataFrame:
+def control_limits(rows: DataFrame, sensor: str, value: str, order: list[str], method: str = "robust", k: float = 3.0, ranges: int | None = None) -> DataFrame:
     """Frozen limits of each sensor from the rows given (phase I only).
 
     robust: median and 1.4826 * MAD; classic: mean and mean moving range / 1.128. Moving ranges are over
     observed values (nulls leave no gap). Under 25 observations, or sigma not over 0: degenerate, no limits.
     """
     seen = rows.where(F.col(value).isNotNull()).select(sensor, *order, F.col(value).alias("x"))
-    seen = moving_range(seen, "x", [sensor], order)
+    seen = moving_range(seen, "x", [sensor], order, ranges)
+    if method == "robust":
+        seen = stage(seen.select(sensor, "x", "mr"), "observed")  # read twice
     first = seen.groupBy(sensor).agg(F.count(F.lit(1)).alias("n_obs"), F.avg("x").alias("mean"), F.avg("mr").alias("mr_bar"))
     if method == "robust":
-        middle = checked(grouped_quantiles(seen, [sensor], "x", {"median": 0.5}), "medians")
-        spread = seen.select(sensor, "x").join(middle, sensor).select(sensor, F.abs(F.col("x") - F.col("median")).alias("d"))
-        first = first.join(middle, sensor).join(grouped_quantiles(spread, [sensor], "d", {"mad": 0.5}), sensor).withColumns({"center": F.col("median"), "sigma": MAD_SIGMA * F.col("mad")})
+        counts = stage(seen.groupBy(sensor, "x").agg(F.count(F.lit(1)).alias("n")), "observed_values")
+        middle = checked(grouped_quantiles(counts, [sensor], "x", {"median": 0.5}, "n"), "medians")
+        spread = counts.join(middle, sensor).select(sensor, F.abs(F.col("x") - F.col("median")).alias("d"), "n")
+        first = first.join(middle, sensor).join(grouped_quantiles(spread, [sensor], "d", {"mad": 0.5}, "n"), sensor).withColumns({"center": F.col("median"), "sigma": MAD_SIGMA * F.col("mad")})
     elif method == "classic":
         first = first.withColumns({"center": F.col("mean"), "sigma": F.col("mr_bar") / D2})
     else:
@@ -141,10 +144,10 @@ def screening(rows: DataFrame, sensor: str, value: str, order: list[str], phase2
     Limits are frozen on phase I. OOC rates are over observed rows, EWMA rates over all rows; an empty phase
     is null; a degenerate sensor has no rates but its missing ones. delta = p2 - p1.
     """
-    flagged = rows.withColumns({"p2__": phase2, "tail__": tail})
-    limits = control_limits(flagged.where(~F.col("p2__")), sensor, value, order, method, k)
-    joined = flagged.select(sensor, *order, F.col(value).cast("double").alias("x"), F.col("p2__").alias("p2"), F.col("tail__").alias("tail")).join(checked(limits, "limits"), sensor, "left")
-    joined = ewma(joined, sensor, "x", order, F.col("center"), lam, row_ranges(rows))
+    flagged = stage(rows.select(sensor, *order, F.col(value).cast("double").alias("x"), phase2.alias("p2"), tail.alias("tail")), "screened")
+    ranges = row_ranges(flagged)
+    limits = control_limits(flagged.where(~F.col("p2")), sensor, "x", order, method, k, ranges)
+    joined = ewma(flagged.join(checked(limits, "limits"), sensor, "left"), sensor, "x", order, F.col("center"), lam, ranges)
     low, high = ewma_limits(F.col("center"), F.col("sigma"), lam, k)
     ok = ~F.col("degenerate")
     out_of, alarm = ((F.col("x") < F.col("lcl")) | (F.col("x") > F.col("ucl"))), ((F.col("ewma") < low) | (F.col("ewma") > high))

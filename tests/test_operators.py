@@ -132,7 +132,7 @@ def test_rolling_origin(spark):
 
 
 def test_arima_likelihood_golden():
-    # 27 published windowed failure fractions' likelihood is rebuilt from a series in the same setting.
+    # A long series of known parameters; likelihoods against dense algebra (published values: test_golden.py).
     rng = np.random.default_rng(8)
     e = rng.normal(size=400)
     y = np.cumsum(e - 0.6 * np.append(0, e[:-1]))

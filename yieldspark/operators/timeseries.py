@@ -218,11 +218,11 @@ def fit_arima(y: np.ndarray, order: tuple[int, int, int], season: tuple[int, int
 def arima_grid(series: DataFrame, key: str, order: str, value: str, grid: tuple = GRID) -> DataFrame:
     """key, p, d, q, llf, aic, aicc, sigma2: one task a series and order. A series is a window summary, not rows."""
     orders = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("pdq", o, strict=True))) for o in grid)))
-    jobs = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s")).select(key, F.transform("s", lambda x: x[value]).alias("y"), orders.alias("o")).select(key, "y", "o.*").repartition(len(grid) * 2, key, "p", "d", "q")
+    jobs = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("series__")).select(key, F.transform("series__", lambda x: x[value]).alias("y__"), orders.alias("order__")).select(key, "y__", "order__.*").repartition(len(grid) * 2, key, "p", "d", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fits = [fit_arima(np.array(y, float), (p, d, q)) for y, p, d, q in zip(b["y"], b["p"], b["d"], b["q"], strict=True)]
+            fits = [fit_arima(np.array(y, float), (p, d, q)) for y, p, d, q in zip(b["y__"], b["p"], b["d"], b["q"], strict=True)]
             yield b[[key, "p", "d", "q"]].assign(**{c: [f[c] for f in fits] for c in ("llf", "aic", "aicc", "sigma2")})
 
     return jobs.mapInPandas(run, f"{key} {dict(series.dtypes)[key]}, p int, d int, q int, llf double, aic double, aicc double, sigma2 double")
@@ -270,11 +270,11 @@ def seasonal_candidates(series: DataFrame, key: str, order: str, value: str) ->
     """key, model, llf, aicc, place by AICc: a constant with AR(1), and seasonal AR of a week and two weeks."""
     kind = dict(series.dtypes)[key]
     names = F.explode(F.array(*map(F.lit, SEASONAL)))
-    jobs = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s")).select(key, F.transform("s", lambda x: x[value]).alias("y"), names.alias("model")).repartition(len(SEASONAL) * 2, key, "model")
+    jobs = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("series__")).select(key, F.transform("series__", lambda x: x[value]).alias("y__"), names.alias("model")).repartition(len(SEASONAL) * 2, key, "model")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fits = [fit_arima(np.array(y, float), (SEASONAL[m][0], 0, 0), (SEASONAL[m][1], SEASONAL[m][2])) for y, m in zip(b["y"], b["model"], strict=True)]
+            fits = [fit_arima(np.array(y, float), (SEASONAL[m][0], 0, 0), (SEASONAL[m][1], SEASONAL[m][2])) for y, m in zip(b["y__"], b["model"], strict=True)]
             yield b[[key, "model"]].assign(llf=[f["llf"] for f in fits], aicc=[f["aicc"] for f in fits])
 
     out = jobs.mapInPandas(run, f"{key} {kind}, model string, llf double, aicc double")

@@ -24,6 +24,8 @@ MIN_BACKGROUND = 20
 
 #: Points of a leaf in nearest-neighbour searches, and of the sample that balances the leaves.
 LEAF, SAMPLE = 4096, 50_000
+#: Coordinates compared at once.
+CELLS = 1 << 22
 
 
 def factor_levels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -248,53 +250,72 @@ class Leaves:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+class Neighbours:
+    """The different points of a reference, dealt into leaves once, for any number of searches.
+
+    What comes to the driver is a sample of SAMPLE points, to balance the leaves.
+    """
+
+    def __init__(self, reference: DataFrame, columns: list[str]) -> None:
+        self.xs = xs = [f"x{i}" for i in range(len(columns))]
+        self.sql = [F.col(c).cast("double").alias(x) for c, x in zip(columns, xs, strict=True)]
+        points = stage(reference.select(*self.sql).dropna().groupBy(*xs).agg(F.count(F.lit(1)).alias("times")), "points")
+        share = min(1.0, SAMPLE / max(points.count(), 1))
+        sample = points.select(*xs) if share == 1 else points.sample(share, seed=5).select(*xs)
+        self.leaves = Leaves.of(sample.toPandas().to_numpy(float).reshape(-1, len(xs)), share)
+        self.coordinates = ", ".join(f"{x} double" for x in xs)
+        self.placed = stage(points.mapInPandas(self._dealt(), f"{self.coordinates}, times long, leaf long"), "leaves")
+
+    def _dealt(self) -> Callable:
+        leaves, xs = self.leaves, self.xs
+
+        def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(leaf=leaves.of_points(b[xs].to_numpy(float)))
+
+        return dealt
+
+    def distances(self, queries: DataFrame, key: str, k: int) -> DataFrame:
+        """key, knn_distance, as knn_distance() gives them."""
+        leaves, xs, placed = self.leaves, self.xs, self.placed
+
+        def nearest(q: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            """The k least distances of each query to the leaf's points."""
+            at, times, best = y[xs].to_numpy(float), np.minimum(y["times"].to_numpy(int), k), []
+            step = max(1, CELLS // max(at.size, 1))
+            for low in range(0, len(q), step):
+                d = np.sqrt(((q[xs].to_numpy(float)[low : low + step, None, :] - at[None]) ** 2).sum(2))
+                few = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.arange(d.shape[1])[None].repeat(len(d), 0)
+                best += [np.sort(np.repeat(row[f], times[f]))[:k].tolist() for row, f in zip(d, few, strict=True)]
+            return q[xs].assign(best=pd.Series(best, q.index, object))
+
+        def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = b[xs].to_numpy(float)
+                reach = np.array([d[k - 1] if len(d) == k else np.inf for d in b["best"]])
+                point, leaf = leaves.within(x, reach)
+                other = leaf != leaves.of_points(x)[point]
+                yield b[xs].iloc[point[other]].assign(leaf=leaf[other])
+
+        found = f"{self.coordinates}, best array<double>"
+        search = lambda q: q.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInPandas(nearest, found)
+        wanted = queries.select(key, *self.sql).dropna(subset=xs)
+        own = stage(search(wanted.select(*xs).distinct().mapInPandas(self._dealt(), f"{self.coordinates}, leaf long")), "own_leaf")
+        every = own.unionByName(search(own.mapInPandas(further, f"{self.coordinates}, leaf long")))
+        least = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+        merged = every.groupBy(*xs).agg(least.alias("best")).where(F.size("best") > 0)
+        mean = F.aggregate("best", F.lit(0.0), lambda n, d: n + d) / F.size("best")
+        return wanted.join(merged.select(*xs, mean.alias("knn_distance")), xs).select(key, "knn_distance")
+
+
 def knn_distance(queries: DataFrame, reference: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
     """key, knn_distance: mean unscaled Euclidean distance to the k nearest reference rows (all, if fewer).
 
     Exact: the reference's different points are dealt into leaves; a query's own leaf bounds its k-th distance,
     then only leaves within that bound are searched. Rows that are equal count by their number. Rows with a
-    null coordinate are left out. What comes to the driver is a sample of SAMPLE points, to balance the leaves.
+    null coordinate are left out.
     """
-    sql = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
-    xs = [f"x{i}" for i in range(len(columns))]
-    points = stage(reference.select(*sql).dropna().groupBy(*xs).agg(F.count(F.lit(1)).alias("times")), "points")
-    total = points.count()
-    share = min(1.0, SAMPLE / max(total, 1))
-    sample = np.array([tuple(r) for r in points.sample(share, seed=5).select(*xs).collect()] if share < 1 else [tuple(r) for r in points.select(*xs).collect()], float).reshape(-1, len(xs))
-    leaves = Leaves.of(sample, share)
-    coordinates = ", ".join(f"{x} double" for x in xs)
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(leaf=leaves.of_points(b[xs].to_numpy(float)))
-
-    def nearest(q: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        """The k least distances of each query to the leaf's points."""
-        at, times, best = y[xs].to_numpy(float), np.minimum(y["times"].to_numpy(int), k), []
-        for low in range(0, len(q), 256):
-            d = np.sqrt(((q[xs].to_numpy(float)[low : low + 256, None, :] - at[None]) ** 2).sum(2))
-            few = np.argsort(d, axis=1, kind="stable")[:, :k]
-            best += [np.sort(np.repeat(row[f], times[f]))[:k].tolist() for row, f in zip(d, few, strict=True)]
-        return q[xs].assign(best=pd.Series(best, q.index, object))
-
-    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b[xs].to_numpy(float)
-            reach = np.array([d[k - 1] if len(d) == k else np.inf for d in b["best"]])
-            point, leaf = leaves.within(x, reach)
-            other = leaf != leaves.of_points(x)[point]
-            yield b[xs].iloc[point[other]].assign(leaf=leaf[other])
-
-    placed = stage(points.mapInPandas(dealt, f"{coordinates}, times long, leaf long"), "leaves")
-    found = f"{coordinates}, best array<double>"
-    search = lambda q: q.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInPandas(nearest, found)
-    wanted = queries.select(key, *sql).dropna(subset=xs)
-    own = stage(search(wanted.select(*xs).distinct().mapInPandas(dealt, f"{coordinates}, leaf long")), "own_leaf")
-    every = own.unionByName(search(own.mapInPandas(further, f"{coordinates}, leaf long")))
-    least = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    merged = every.groupBy(*xs).agg(least.alias("best")).where(F.size("best") > 0)
-    mean = F.aggregate("best", F.lit(0.0), lambda n, d: n + d) / F.size("best")
-    return wanted.join(merged.select(*xs, mean.alias("knn_distance")), xs).select(key, "knn_distance")
+    return Neighbours(reference, columns).distances(queries, key, k)
 
 
 def ood_table(design: DataFrame, background: DataFrame, factors: list[str], key: str = "run_id", ref_key: str = "wafer_id", k: int = 5) -> DataFrame:
@@ -305,6 +326,7 @@ def ood_table(design: DataFrame, background: DataFrame, factors: list[str], key:
     whole = background.dropna(subset=factors)
     limit = lambda df, c: grouped_quantiles(df, [], c, {"q": 0.99}).first()["q"]
     far_m = limit(mahalanobis(whole, whole, factors), "mahalanobis")
-    far_k = limit(knn_distance(whole, whole, ref_key, factors, k + 1), "knn_distance")
-    out = mahalanobis(design, whole, factors).join(knn_distance(design, whole, key, factors, k), key, "left")
+    near = Neighbours(whole, factors)
+    far_k = limit(near.distances(whole, ref_key, k + 1), "knn_distance")
+    out = mahalanobis(design, whole, factors).join(near.distances(design, key, k), key, "left")
     return out.withColumns({"mahalanobis_threshold_q99": F.lit(far_m), "knn_threshold_q99": F.lit(far_k)}).withColumn("ood_flag", (F.col("mahalanobis") > far_m) | (F.col("knn_distance") > far_k))

@@ -99,6 +99,21 @@ def test_models_grow_side_by_side_and_stop(spark):
     assert boosting.Boosted.from_json(both[0].to_json()) == both[0]
 
 
+def test_models_use_only_their_columns(spark):
+    x, y = table(160)
+    df = frame(spark, x, y)
+    chosen = [["a"], ["b", "c"]]
+    both = boosting.boosted(df, ["a", "b", "c"], "y", rounds=3, models=2, chosen=chosen, **PARAMS)
+    for model, names in zip(both, chosen, strict=True):
+        used = {model.columns[n[boosting.FEATURE]] for t in model.trees for n in t if n[boosting.FEATURE] >= 0}
+        assert used and used <= set(names)
+        alone = boosting.boosted(df, names, "y", rounds=3, **PARAMS)[0]
+        assert [[n[1:] for n in t] for t in model.trees] == [[n[1:] for n in t] for t in alone.trees]
+    picked = []
+    _, fits = models.cross_validated(df, "k", "y", ["a", "b", "c"], folds=2, repeats=1, rounds=2, depth=2, select=lambda part: picked.append(part.count()) or ["abc"[len(picked)]])
+    assert [r["features"] for r in fits.orderBy("fold").collect()] == [["b"], ["c"]] and all(70 < n < 90 for n in picked)
+
+
 def test_stops_at_the_best_round(spark, monkeypatch):
     monkeypatch.setattr(boosting, "CHUNK", 3)
     rng = np.random.default_rng(1)

@@ -163,15 +163,17 @@ def _part(g: np.ndarray, h: np.ndarray, alpha: float, lam: float) -> np.ndarray:
     return np.maximum(np.abs(g) - alpha, 0) ** 2 / np.maximum(h + lam, 1e-300)
 
 
-def _best_split(alpha: float, lam: float, least: float):
-    """The best split of a node and column from all tasks' sums: over bins, with nulls on either side."""
+def _best_split(alpha: float, lam: float, least: float, allowed: list[set[int]] | None):
+    """The best split of a node and column from all tasks' sums: over bins, with nulls on either side; none of a
+    column that its model may not use."""
 
     def run(table: pa.Table) -> pa.Table:
         g, h = (sum(np.frombuffer(v, np.int64) for v in table.column(c).to_pylist()) for c in ("g", "h"))
         total = g.sum(), h.sum()
         best = (-1.0, 0, False, int(total[0]), int(total[1]), 0, 0)
         whole = _part(total[0] / SCALE, total[1] / SCALE, alpha, lam)
-        for left in (True, False):
+        closed = allowed is not None and table["feature"][0].as_py() not in allowed[table["model"][0].as_py()]
+        for left in () if closed else (True, False):
             gl, hl = (np.cumsum(v[:-1]) + (v[-1] if left else 0) for v in (g, h))
             gr, hr = total[0] - gl, total[1] - hl
             gain = _part(gl / SCALE, hl / SCALE, alpha, lam) + _part(gr / SCALE, hr / SCALE, alpha, lam) - whole
@@ -187,12 +189,13 @@ def _best_split(alpha: float, lam: float, least: float):
     return run
 
 
-def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 5000, depth: int = 4, rate: float = 0.03, bins: int = 511, alpha: float = 3.0, lam: float = 2.0, least: float = 1.0, held: Column | None = None, models: int = 1, patience: int = 100, gain: float = 1e-5) -> list[Boosted]:
+def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 5000, depth: int = 4, rate: float = 0.03, bins: int = 511, alpha: float = 3.0, lam: float = 2.0, least: float = 1.0, held: Column | None = None, models: int = 1, patience: int = 100, gain: float = 1e-5, chosen: list[list[str]] | None = None) -> list[Boosted]:
     """`models` boosted classifiers of a 0/1 label, positives weighted to balance; rows without a label are left out.
 
     held is a long whose bit m keeps a row out of model m; a model with held rows stops once their average
     precision has not risen by `gain` for `patience` rounds and is cut to its best round. Leaves have a hessian
-    of `least` at least. Nulls and NaN go to the side of each split that gains more. Up to 63 models. The
+    of `least` at least. Nulls and NaN go to the side of each split that gains more. chosen names the columns
+    that each model may split on (all, if not given). Up to 63 models. The
     driver holds the trees, and `bins` edges a column; a task holds sums of 2 ** (depth - 1) nodes a model.
     """
     if models > 63 or bins > 65_000:
@@ -212,6 +215,7 @@ def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 5000, d
     bit = [(F.shiftright("held", m) % 2) == 1 for m in range(models)]
     counts = rows.agg(*(F.count_if(~b & (F.col("y") == v)).alias(f"n{v}_{m}") for m, b in enumerate(bit) for v in (0, 1)), *(F.count_if(b).alias(f"held_{m}") for m, b in enumerate(bit))).first()
     weight = [counts[f"n0_{m}"] / max(counts[f"n1_{m}"], 1) for m in range(models)]
+    allowed = None if chosen is None else [{columns.index(c) for c in names} for names in chosen]
     out = [Boosted(list(columns), edges) for _ in range(models)]
     best = {m: (-math.inf, 0) for m in range(models)}
     growing = set(range(models))
@@ -219,7 +223,7 @@ def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 5000, d
     while growing and done < rounds:
         recent: dict[int, list[list[tuple]]] = {m: [] for m in sorted(growing)}
         for _ in range(min(CHUNK, rounds - done)):
-            for m, tree in _tree(spark, rows, len(columns), models, none, weight, recent, depth, rate, alpha, lam, least).items():
+            for m, tree in _tree(spark, rows, len(columns), models, none, weight, recent, depth, rate, alpha, lam, least, allowed).items():
                 recent[m].append(tree)
         done += min(CHUNK, rounds - done)
         for m, trees in recent.items():
@@ -240,7 +244,7 @@ def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 5000, d
     return out
 
 
-def _tree(spark: SparkSession, rows: DataFrame, columns: int, models: int, none: int, weight: list[float], recent: dict, depth: int, rate: float, alpha: float, lam: float, least: float) -> dict[int, list[tuple]]:
+def _tree(spark: SparkSession, rows: DataFrame, columns: int, models: int, none: int, weight: list[float], recent: dict, depth: int, rate: float, alpha: float, lam: float, least: float, allowed: list[set[int]] | None) -> dict[int, list[tuple]]:
     """One more tree for each model in `recent`, level by level."""
     leaf = lambda g, h: (-1, 0, False, -1, -1, rate * leaf_value(g / SCALE, h / SCALE, alpha, lam), h / SCALE)
     trees: dict[int, list[tuple]] = {m: [(-1, 0, False, -1, -1, 0.0, 0.0)] for m in recent}
@@ -249,7 +253,7 @@ def _tree(spark: SparkSession, rows: DataFrame, columns: int, models: int, none:
         if not open_:
             break
         sent = spark.sparkContext.broadcast(_Job(columns, none, weight, recent, trees, open_))
-        splits = rows.mapInArrow(_task_sums(sent, models), _SUMS).groupBy("model", "node", "feature").applyInArrow(_best_split(alpha, lam, least), _SPLITS)
+        splits = rows.mapInArrow(_task_sums(sent, models), _SUMS).groupBy("model", "node", "feature").applyInArrow(_best_split(alpha, lam, least, allowed), _SPLITS)
         order = F.struct(F.col("gain"), (-F.col("feature")).alias("f"))
         got = splits.groupBy("model", "node").agg(F.max_by(F.struct("feature", "gain", "cut", "nulls_left", "gl", "hl", "gr", "hr"), order).alias("s")).collect()  # a row a node
         sent.unpersist()

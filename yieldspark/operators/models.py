@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,19 +51,23 @@ def calibrated(model, df: DataFrame) -> DataFrame:
     return apply_platt(model, df) if isinstance(model, PipelineModel) else model.transform(df)
 
 
-def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, repeats: int = 3, **trees) -> tuple[DataFrame, DataFrame]:
+def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, repeats: int = 3, select: Callable[[DataFrame], list[str]] | None = None, **trees) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold scores, fits): a boosted model for each repeat and fold, grown until its held-out fold stops gaining.
 
     Scores are key, label, repeat, fold, p: each key once a repeat, by the model that has not seen its fold.
-    Fits are repeat, fold, n_trees, average_precision, roc_auc and brier of that fold. All models grow in the
-    same jobs, over bins of all rows; **trees goes to `boosted`.
+    Fits are repeat, fold, n_trees, features, average_precision, roc_auc and brier of that fold. select names the
+    columns that a model may use, from its training rows alone (key, label and columns); without it all are used.
+    All models grow in the same jobs, over bins of all rows; **trees goes to `boosted`.
     """
     labelled = df.where(F.col(label).isNotNull())
     dealt = stratified_folds(labelled, key, label, folds, repeats)
     bit = F.pow(F.lit(2), (F.col("repeat") - 1) * folds + F.col("fold")).cast("long")
     held = dealt.groupBy(F.col(key).alias("key__")).agg(F.sum(bit).alias("held__"))  # one fold a repeat
     rows = stage(labelled.join(held, F.col(key).eqNullSafe(F.col("key__"))).select(key, label, *columns, "held__"), "training")
-    fitted = boosted(rows, columns, label, held=F.col("held__"), models=folds * repeats, **trees)
+    chosen = [list(columns)] * (folds * repeats)
+    if select:
+        chosen = [select(rows.where(F.shiftright("held__", m) % 2 == 0).drop("held__")) for m in range(folds * repeats)]  # a model's own rows
+    fitted = boosted(rows, columns, label, held=F.col("held__"), models=folds * repeats, chosen=chosen, **trees)
     scored = F.array(*(F.when(F.shiftright("held__", m) % 2 == 1, F.struct(F.lit(m // folds + 1).cast("long").alias("repeat"), F.lit(m % folds).cast("long").alias("fold"), probability(model).alias("p"))) for m, model in enumerate(fitted)))
     scores = stage(rows.select(key, label, F.explode(F.filter(scored, lambda s: s.isNotNull())).alias("s")).select(key, label, "s.*"), "held_out")
     y = F.col(label).cast("long")
@@ -69,7 +75,7 @@ def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], fol
     precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")
     auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))
     error = scores.groupBy("repeat", "fold").agg(F.avg((F.col("p") - F.col(label)) ** 2).alias("brier"))
-    sizes = df.sparkSession.createDataFrame([(m // folds + 1, m % folds, len(model.trees)) for m, model in enumerate(fitted)], "repeat long, fold long, n_trees long")
+    sizes = df.sparkSession.createDataFrame([(m // folds + 1, m % folds, len(model.trees), chosen[m]) for m, model in enumerate(fitted)], "repeat long, fold long, n_trees long, features array<string>")
     fits = sizes.join(curve.groupBy("repeat", "fold").agg(precision.alias("average_precision"), auc.alias("roc_auc")), ["repeat", "fold"]).join(error, ["repeat", "fold"])
     return scores, fits
 

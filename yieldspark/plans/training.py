@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldspark.operators import boosting, models
+from yieldspark.operators import boosting, models, quality
 from yieldspark.plans.evaluation import FOLDS_SQL
 from yieldspark.plans.evaluation import ORACLE_SQL as EVALUATION_SQL
 from yieldspark.plans.tables import LINES_SQL, SCORED_SQL, lines, r, rounded, scored_documents, table
@@ -69,7 +69,16 @@ def cv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cv_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees and metrics of each cross-validated fit."""
-    return rounded(_trained(spark, sf_dir)[1])
+    return rounded(_trained(spark, sf_dir)[1].drop("features"))
+
+
+def cv_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each sensor is chosen inside a fold, by its effect size on that fold's training rows."""
+    rows = lines(spark, sf_dir).withColumn("id", F.concat_ws("-", "l_orderkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount"))
+    rows = rows.groupBy("id").agg(F.max("fail").alias("fail"), *(F.max(c).alias(c) for c in SENSORS))
+    chosen = lambda part: [r["column_name"] for r in quality.select_features(quality.hedges_g(part, SENSORS, "fail"), g_min=0.01, k_min=2, k_max=3, floor=2).collect()]
+    _, fits = models.cross_validated(rows, "id", "fail", SENSORS, folds=3, repeats=1, select=chosen, **STUMP)
+    return rounded(models.selection_counts(fits))
 
 
 def cv_stump_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +102,7 @@ def isotonic_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.calibrated(models.load_model(spark, path), rows).select("doc_id", r("p", 9).alias("p"), r("p_cal", 6).alias("p_cal"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_score, contribution_importance, newton_stump, stump_contributions, cv_coverage, cv_fits, cv_stump_scores, cv_stump_metrics, isotonic_queue)}
+QUERIES = {f.__name__: f for f in (gbt_score, contribution_importance, newton_stump, stump_contributions, cv_coverage, cv_fits, cv_selection, cv_stump_scores, cv_stump_metrics, isotonic_queue)}
 
 _PART = lambda g, h: f"(greatest(abs({g} / 1048576) - 3.0::DOUBLE, 0) * greatest(abs({g} / 1048576) - 3.0::DOUBLE, 0) / ({h} / 1048576 + 2.0::DOUBLE))"
 _VALUE = lambda g, h: f"(-0.3::DOUBLE * sign({g}) * greatest(abs({g} / 1048576) - 3.0::DOUBLE, 0) / ({h} / 1048576 + 2.0::DOUBLE))"
@@ -123,6 +132,13 @@ _DOC_CELLS = f"""{FOLDS_SQL}, d AS (SELECT doc_id, l.toxic::INT AS y, l.quality:
         FROM each e JOIN totals t USING (model) LEFT JOIN best s USING (model) LEFT JOIN bins b ON b.feature = s.feature AND b.v = CASE s.feature WHEN 1 THEN e.n_chars ELSE e.quality END WHERE NOT train)"""
 ORACLE_SQL = {
     "cv_coverage": f"WITH {FOLDS_SQL.replace('range(1, 4)', 'range(1, 3)').replace('% 5)', '% 3)')} SELECT repeat, fold, count(*) AS n, count(DISTINCT doc_id) AS n_keys, sum(toxic)::BIGINT AS n_fail, count(*) AS n_scored FROM f GROUP BY ALL",
+    "cv_selection": f"""WITH {LINES_SQL}, u AS (SELECT concat_ws('-', l_orderkey, l_quantity, l_extendedprice, l_tax, l_discount) AS id, max(fail) AS fail, {", ".join(f"max({c}) AS {c}" for c in SENSORS)} FROM li GROUP BY 1),
+        f AS (SELECT *, (row_number() OVER (PARTITION BY fail ORDER BY md5('1|1337|' || id), id) - 1) % 3 AS fold FROM u),
+        c AS (SELECT m, fail, unnest([{", ".join(f"'{c}'" for c in SENSORS)}]) AS feature, unnest([{", ".join(SENSORS)}]) AS v FROM f, range(3) t(m) WHERE fold != m),
+        s AS (SELECT m, feature, count(*) FILTER (fail = 1) AS n1, count(*) FILTER (fail = 0) AS n0, avg(v) FILTER (fail = 1) AS m1, avg(v) FILTER (fail = 0) AS m0, var_samp(v) FILTER (fail = 1) AS v1, var_samp(v) FILTER (fail = 0) AS v0 FROM c GROUP BY ALL),
+        p AS (SELECT *, ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) AS sp FROM s), g AS (SELECT m, feature, CASE WHEN sp > 0 THEN abs((m1 - m0) / sqrt(sp) * (1 - 3 / (4 * (n1 + n0) - 9.0::DOUBLE))) ELSE 0 END AS g FROM p),
+        k AS (SELECT m, feature, row_number() OVER (PARTITION BY m ORDER BY g DESC, feature) AS p, count(*) FILTER (g >= 0.01) OVER (PARTITION BY m) AS s FROM g)
+        SELECT feature, count(*) AS n, round(count(*) / 3.0::DOUBLE, 6) AS share FROM k WHERE p <= CASE WHEN s < 2 THEN 2 ELSE least(s, 3) END GROUP BY 1""",
     "newton_stump": f"""WITH {_LINE_CELLS}
         SELECT 0::BIGINT AS node, {_NAMES}[b.feature] AS feature, round(CASE WHEN e.bin < (SELECT max(bin) FROM ends x WHERE x.feature = b.feature) THEN e.v END, 9) AS cut, nulls_left, round({_VALUE('g', 'h')}, 9) + 0.0 AS value, round(h / 1048576, 9) AS cover FROM best b JOIN ends e USING (feature, bin)
         UNION ALL SELECT 1, NULL, NULL, NULL, round({_VALUE('gl', 'hl')}, 9) + 0.0, round(hl / 1048576, 9) FROM best

@@ -165,6 +165,14 @@ def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(rows, [F.col("number"), F.col("at")], "place").select("o_orderkey", "place")
 
 
+def csv_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of each customer's largest order written as text of six digits and read back."""
+    spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("o_totalprice")).alias("share"), F.max(F.when(F.col("o_totalprice") > 200000, F.col("o_orderpriority"))).alias("top"))
+    path = f"{folder(spark)}/digits-{uuid.uuid4().hex}"
+    artifacts.write_csv(spent, path)
+    return rounded(artifacts.read_csv(spark, path, "o_custkey long, n long, share double, top string"))
+
+
 def dataset_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(registry.dataset_card(lines(spark, sf_dir).select("l_orderkey", "fail"), "fail"))
 
@@ -174,7 +182,7 @@ def named_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.run_query(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_view WHERE o_orderdate BETWEEN timestamp(:a) AND timestamp(:b) GROUP BY o_orderpriority", a="1997-01-01", b="1998-12-31")
 
 
-QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, committed_orders, committed_registry, ledger_union, resolve_bundle, table_fingerprint, data_fingerprint, ordered_output, dataset_card, named_query)}
+QUERIES = {f.__name__: f for f in (extract_split, boundary_collisions, any_null_flags, missing_share_by_column, missing_drift, recode_target, column_quality, quality_verdicts, pairwise_corr, corr_pruned, hedges_g, hedges_g_observed, select_features, registry_upsert, committed_orders, committed_registry, ledger_union, resolve_bundle, table_fingerprint, data_fingerprint, ordered_output, csv_digits, dataset_card, named_query)}
 
 _NULLS = " + ".join(f"({c} IS NULL)::INT" for c in WIDE)
 _QUALITY = f"""WITH {LONG_SQL}, b AS (SELECT count(*) AS n, avg(fail::DOUBLE) AS base FROM li),
@@ -223,6 +231,7 @@ ORACLE_SQL = {
         SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 13))::BIGINT)::VARCHAR AS content_sum, bit_xor(('0x' || substr(h, 14, 13))::BIGINT) AS content_xor, md5('o_orderkey|o_custkey|o_orderstatus|o_totalprice|o_orderdate|o_orderpriority') AS columns_md5 FROM h""",
     "data_fingerprint": "WITH l AS (SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey DESC LIMIT 7) SELECT o_orderpriority AS source_file, sha256(max(o_orderkey)::VARCHAR) AS source_sha256, sha256('SELECT 1') AS extract_sql_sha256 FROM l GROUP BY 1",
     "ordered_output": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders",
+    "csv_digits": "SELECT o_custkey, count(*) AS n, round(printf('%.6g', sqrt(max(o_totalprice)))::DOUBLE, 6) AS share, max(o_orderpriority) FILTER (o_totalprice > 200000) AS top FROM orders GROUP BY 1",
     "dataset_card": "SELECT count(*) AS n_rows, 2::BIGINT AS n_columns, count(*) FILTER (l_returnflag = 'R') AS n_fail, round(avg((l_returnflag = 'R')::INT), 6) AS fail_rate, md5('l_orderkey|fail') AS columns_md5 FROM lineitem",
     "named_query": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31' GROUP BY 1",
 }

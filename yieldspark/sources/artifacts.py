@@ -26,7 +26,7 @@ ROLES = {
 
 
 def six_digits(df: DataFrame) -> DataFrame:
-    """Every double as text of six significant digits, as the CSV artifacts have it."""
+    """Every double as text of six significant digits, as the CSV artifacts have it (a decimal 5 after them goes up)."""
     return df.select(*(F.format_string("%.6g", F.col(n)).alias(n) if t in ("double", "float") else F.col(n) for n, t in df.dtypes))
 
 
@@ -34,6 +34,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     six_digits(df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What write_csv wrote: columns by the header, types by the schema (inferred, if none is given), empty cells null."""
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -205,8 +205,8 @@ def score_documents(docs: DataFrame, learn: str, id_col: str = "doc_id", text_co
     model), both log10 of the whole text, a row for each input row. Tokens are A-Z lower-cased words at ASCII
     white space and one end, so a null or empty text is one token. A null `learn` is false. Without training
     rows all counts are 0 and score is the lattice's alone; without training words, half of the base measure
-    is the end's. There is no least score: an unknown word's falls with its length. Repeated rows count each time; other columns are
-    ignored; an empty table gives none.
+    is the end's. There is no least score: an unknown word's falls with its length. A very long text is scored whole, in its batch; a very long word by
+    one pass over its places. Repeated rows count each time; other columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     batches = max(8, -(-text_bytes(docs, text_col) // BATCH_BYTES))

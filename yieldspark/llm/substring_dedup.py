@@ -56,7 +56,8 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space), a row for each input
     row. Null, empty and blank texts have no words; a text under `window` words keeps all; the same row
-    twice is a repeat of itself; other columns are ignored, whatever their names; an empty table gives none.
+    twice is a repeat of itself; a very long text goes through in pieces, with a mask of its words; other columns
+    are ignored, whatever their names; an empty table gives none.
     """
     windows = Windows(window, min(GRAM, window), words=True)
     return repeated(docs, id_col, text_col, windows, CountMin.of, _keep, "n_words long, n_removed long, kept_text string")

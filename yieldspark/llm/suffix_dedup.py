@@ -204,7 +204,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (binary, as a cut may fall inside a character), a
     row for each input row. Null and empty texts have no bytes; strings never cross documents; the same
-    row twice is a repeat of itself; other columns are ignored; an empty table gives none.
+    row twice is a repeat of itself; a very long text goes through in pieces, with a mask of its bytes; other columns are ignored; an empty table gives none.
     """
     windows = Windows(length, min(GRAM, length), words=False)
     return repeated(docs, id_col, text_col, windows, lambda total: Plain(), _keep, "n_bytes long, n_removed long, n_spans long, kept binary", SortedSuffixes(FREQUENT, length))

@@ -39,7 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each group (five words, similarity 0.8), of the least id; rows without a word stay.
 
     Rows count, not ids: rows that share an id are duplicates only by their texts, a null id comes after all
-    others, of repeated rows one stays. An empty table gives none.
+    others, of repeated rows one stays. A very long text is compared by the set of all its words' shingles. An
+    empty table gives none.
     """
     return one_of_each(docs, shingle=5, percent=80)
 
@@ -70,7 +71,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Input columns of these three names give way to them. Null values of source and lang are a value of their
     own; texts without a word get their cell's probability; a null id is always drawn; repeated rows fare
-    alike; an empty table gives none.
+    alike; a very long text weighs all its words; an empty table gives none.
     """
     out = mixture(docs).where("mix.selected")
     own = [c for c in docs.columns if c not in ("topic", "n_tokens", "weight")]

@@ -87,11 +87,23 @@ def test_lists_outside_the_window_are_passed_over(spark):
     rows = [(k, [1.0 if k % 2 else -1.0, k / 1000], k % 4) for k in range(1, 200)] + [(200, [1.0, 0.0], 1)]
     index = hard_negatives.Index(hard_negatives.quantised(spark.createDataFrame(rows, VECTORS)))
     asked = index.rows.where("vec_id = 200").select("row", "label", "vector", F.array(F.lit(60_000).cast("long")).alias("floors"), F.array(F.lit(70_000).cast("long")).alias("tops"))
-    seen = {r["list"] for first in (True, False) for r in hard_negatives._visits(index, asked, 1, first).collect()}
+    seen = {r["list"] for first in (True, False) for r in hard_negatives._visits(index, asked.withColumn("wave", F.lit(0)), first).collect()}
     held = {r["list"]: r["v"] for r in index.rows.groupBy("list").agg(F.sum((F.col("vec_id") % 2 == 1).cast("int")).alias("v")).collect()}
     assert {k for k, odd in held.items() if odd} <= seen and len(seen) < len(held)
 
 
+def test_waves_hold_neighbours(spark, monkeypatch):
+    """About WAVE anchors a wave, whatever list holds them; anchors of a list share few waves."""
+    monkeypatch.setattr(hard_negatives, "WAVE", 10)
+    rows = [(k, 0 if k < 70 else 1 + k % 3) for k in range(100)]
+    got = hard_negatives._waved(spark.createDataFrame(rows, "row long, list int")).collect()
+    waves = {}
+    for r in got:
+        waves.setdefault(r["wave"], []).append(r["list"])
+    assert set(waves) <= set(range(10)) and all(set(v) == {0} for w, v in waves.items() if w < 7) and len({r["wave"] for r in got if r["list"] == 1}) <= 2
+    assert hard_negatives._waved(spark.createDataFrame([], "row long, list int")).count() == 0
+
+
 def test_best_keeps_the_first_of_ties():
     scores = np.array([[3.0, 5, 5, 5, 1], [1, 1, 1, 1, 1]])
     fits = np.array([[True] * 5, [False, True, True, True, False]])

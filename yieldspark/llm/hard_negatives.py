@@ -128,10 +128,25 @@ class Index:
 _VISIT = "row long, label long, vector binary, floors array<long>, tops array<long>, list int, block int, wave int"
 
 
-def _visits(index: Index, queries: DataFrame, waves: int, first: bool) -> DataFrame:
+def _waved(queries: DataFrame) -> DataFrame:
+    """queries with `wave`: about WAVE anchors each, in the order of their own lists, so that those of one wave
+    visit much the same lists."""
+    counts = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
+    if not counts:
+        return queries.withColumn("wave", F.lit(0))
+    held, before, upto = [], [], 0
+    for list_, n in sorted(counts.items()):
+        held += [F.lit(list_), F.lit(n).cast("long")]
+        before += [F.lit(list_), F.lit(upto).cast("long")]
+        upto += n
+    place = F.element_at(F.create_map(*before), F.col("list")) + F.pmod(F.xxhash64(F.col("row"), F.lit(3)), F.element_at(F.create_map(*held), F.col("list")))
+    return queries.withColumn("wave", F.floor(place / WAVE).cast("int"))
+
+
+def _visits(index: Index, queries: DataFrame, first: bool) -> DataFrame:
     """A row for each anchor and block of a list it has to visit: the best FIRST lists, or all others.
 
-    queries: row, label, vector, floors and tops (the window of each search; a floor is the k-th score so far).
+    queries: row, label, vector, wave, floors and tops (the window of each search; a floor is the k-th score so far).
     """
     means, radius, blocks, dim = index.means, index.radius, index.blocks, index.dim
 
@@ -159,8 +174,7 @@ def _visits(index: Index, queries: DataFrame, waves: int, first: bool) -> DataFr
                 part = slice(low, low + 20_000)
                 yield pa.RecordBatch.from_arrays([*sent.take(pa.array(anchor[part])).columns, pa.array(list_[part], pa.int32()), pa.array(block[part], pa.int32()), b.column("wave").take(pa.array(anchor[part]))], [f.name for f in sent.schema] + ["list", "block", "wave"])
 
-    wave = F.pmod(F.xxhash64(F.col("row"), F.lit(3)), F.lit(waves)).cast("int")
-    return queries.withColumn("wave", wave).mapInArrow(run, _VISIT)
+    return queries.select("row", "label", "vector", "wave", "floors", "tops").mapInArrow(run, _VISIT)
 
 
 def _best(scores: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,24 +245,27 @@ def _leading(hits: DataFrame, k: int) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int, same_label: bool) -> DataFrame:
     """row, search, place (from 1), score, other, other_id: the k best of each search's window, ties by id.
 
-    queries: row, label, vector, floors, tops; search s of an anchor takes scores from floors[s] to tops[s] of
-    rows with its label, or of the others. Both passes are tiles; the second one visits only lists whose bound
-    is not under the k-th score that the first has found. No queries, or an empty index, give no rows.
+    queries: row, label, vector, list, floors, tops; search s of an anchor takes scores from floors[s] to tops[s]
+    of rows with its label, or of the others. Both passes are tiles; the second one visits only lists whose bound
+    is not under the k-th score that the first has found. A list goes only to waves that visit it. No queries, or
+    an empty index, give no rows.
     """
     if not len(index.means):
         return index.spark.createDataFrame([], f"{_HITS}, place int")
-    waves = max(1, -(-queries.count() // WAVE))
+    queries = _waved(queries)
     key = ["list", "block", "wave"]
 
     def hits(asked: DataFrame, first: bool) -> DataFrame:
-        visits = _visits(index, asked, waves, first)
-        dealt = index.rows.select("row", "vec_id", "label", "vector", "list", index.block().alias("block"), F.explode(F.sequence(F.lit(0), F.lit(waves - 1))).alias("wave"))
+        visits = _visits(index, asked, first)
+        to = visits.groupBy("list").agg(F.collect_set("wave").alias("waves"))  # a row a list
+        rows = index.rows.join(F.broadcast(to), "list")
+        dealt = rows.select("row", "vec_id", "label", "vector", "list", index.block().alias("block"), F.explode("waves").alias("wave"))
         return dealt.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(_tile(k, same_label, index.dim), _HITS)
 
     one = staged(_leading(hits(queries, True), k), "first_lists")
     kth = one.where(F.col("place") == k).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("search", "score"))).alias("kth"))  # an entry a search
     raised = F.transform("floors", lambda f, s: F.greatest(f, F.coalesce(F.try_element_at(F.col("kth"), s), F.lit(int(LOW)))))
-    more = hits(queries.join(kth, "row", "left").select("row", "label", "vector", raised.alias("floors"), "tops"), False)
+    more = hits(queries.join(kth, "row", "left").select("row", "label", "vector", "wave", raised.alias("floors"), "tops"), False)
     return staged(_leading(one.drop("place").unionByName(more), k), "leading")
 
 
@@ -263,14 +280,14 @@ def hard_negatives(vectors: DataFrame, anchors: Column | None = None, positives:
     without rows in a window give none, as does an empty table.
     """
     index = Index(vectors.select("vec_id", "label", "v"))
-    chosen = index.rows.where(F.col("vec_id") % 100 == 0 if anchors is None else anchors).select("row", "vec_id", "label", "vector")
+    chosen = index.rows.where(F.col("vec_id") % 100 == 0 if anchors is None else anchors).select("row", "vec_id", "label", "vector", "list")
     whole = lambda v: F.array(F.lit(int(v)).cast("long"))
-    pairs = search(index, chosen.select("row", "label", "vector", whole(LOW).alias("floors"), whole(HIGH).alias("tops")), positives, True)
+    pairs = search(index, chosen.select("row", "label", "vector", "list", whole(LOW).alias("floors"), whole(HIGH).alias("tops")), positives, True)
     # integer bounds of percent: scores are whole, so the least one is rounded up and the greatest down
     score, low, top = F.col("score").cast("decimal(38,0)"), *percent
     window = pairs.select("row", F.struct(F.col("place").alias("place"), F.ceil(score * low / 100).cast("decimal(38,0)").alias("floor"), F.floor(score * top / 100).cast("decimal(38,0)").alias("top")).alias("w"))
     each = window.groupBy("row").agg(F.array_sort(F.collect_list("w")).alias("w"))  # `positives` entries
-    asked = chosen.join(each, "row").select("row", "label", "vector", F.transform("w", lambda w: w["floor"].cast("long")).alias("floors"), F.transform("w", lambda w: w["top"].cast("long")).alias("tops"))
+    asked = chosen.join(each, "row").select("row", "label", "vector", "list", F.transform("w", lambda w: w["floor"].cast("long")).alias("floors"), F.transform("w", lambda w: w["top"].cast("long")).alias("tops"))
     found = search(index, asked, negatives, False).select("row", (F.col("search") + 1).alias("nth"), F.col("place").alias("rank"), F.col("other_id").alias("negative_id"), F.col("score").alias("negative_score"))
     known = pairs.select("row", F.col("place").alias("nth"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = found.join(known, ["row", "nth"]).join(chosen.select("row", F.col("vec_id").alias("anchor_id")), "row")

@@ -81,6 +81,13 @@ def glm_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(doe.glm_effects(cells, CODED))
 
 
+def glm_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two factors and their interaction over the four corners: as many effects as cells."""
+    corners = _expanded(spark, sf_dir).where("not is_center")
+    cells = doe.bernoulli_cells(corners, CODED[:2], "y", "p")
+    return rounded(doe.glm_effects(cells, CODED[:2]).select("term", "estimate", "odds_ratio", "std_error"), 4)
+
+
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(doe.studentized_residuals(_cells(spark, sf_dir), CODED, "run_id").select("run_id", "fitted", "leverage"))
 
@@ -129,7 +136,7 @@ def ood_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(doe.ood_table(p.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "run_id"), p.where("label = 0").withColumnRenamed("vec_id", "wafer_id"), ["e0", "e1"]).select("run_id", "mahalanobis", "knn_distance", "ood_flag"), 5)
 
 
-QUERIES = {f.__name__: f for f in (factor_levels, rank_factors, factorial_design, fractional_design, design_expand, cell_summary, bernoulli_cells, main_effects, curvature, recommend, ols_effects, glm_effects, residuals, surrogate_scores, mahalanobis_ood, mahalanobis_spread, knn_ood, ood_flags)}
+QUERIES = {f.__name__: f for f in (factor_levels, rank_factors, factorial_design, fractional_design, design_expand, cell_summary, bernoulli_cells, main_effects, curvature, recommend, ols_effects, glm_effects, glm_saturated, residuals, surrogate_scores, mahalanobis_ood, mahalanobis_spread, knn_ood, ood_flags)}
 
 _CORNERS = "co AS (SELECT a.v AS a, b.v AS b, c.v AS c, row_number() OVER (ORDER BY c.v, b.v, a.v) AS k FROM (VALUES (-1.0::DOUBLE), (1.0)) a(v), (VALUES (-1.0::DOUBLE), (1.0)) b(v), (VALUES (-1.0::DOUBLE), (1.0)) c(v))"
 _LV = "lv AS (SELECT " + ", ".join(f"quantile_cont({n}, {q}) AS {v}_{k}" for v, n in zip("abc", NAMES, strict=True) for k, q in (("low", 0.1), ("mid", 0.5), ("high", 0.9))) + " FROM lineitem)"
@@ -154,6 +161,10 @@ ORACLE_SQL = {
     "curvature": f"WITH {_ROWS} SELECT round(avg(mean) FILTER (is_center), 6) AS center_mean, round(avg(mean) FILTER (NOT is_center), 6) AS corner_mean, count(*) FILTER (is_center) AS n_center, round(avg(mean) FILTER (is_center) - avg(mean) FILTER (NOT is_center), 6) + 0.0 AS curvature FROM ce",
     "recommend": f"WITH {_ROWS} SELECT run_id, round(mean, 6) AS mean FROM ce ORDER BY mean, run_id LIMIT 1",
     "ols_effects": f"WITH {_ROWS} " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(avg(mean * {x}), 6) + 0.0 AS estimate FROM ce WHERE NOT is_center" for t, x in _FIT.items()),
+    # with as many effects as cells the fit is exact: effects are contrasts of the cells' log odds
+    "glm_saturated": f"""WITH {_ROWS}, c AS (SELECT a, b, count(*)::DOUBLE AS n, count(*) FILTER ((s_suppkey * 7 + k * 13) % 100 < 100 * p)::DOUBLE AS f FROM ex WHERE NOT is_center GROUP BY ALL),
+        l AS (SELECT a, b, ln(f / (n - f)) AS l, 1 / f + 1 / (n - f) AS v FROM c), t AS (SELECT unnest(['intercept', '{CODED[0]}', '{CODED[1]}', '{CODED[0]}:{CODED[1]}']) AS term, unnest([1.0::DOUBLE, a, b, a * b]) AS x, l, v FROM l)
+        SELECT term, round(sum(x * l) / 4, 4) + 0.0 AS estimate, round(exp(sum(x * l) / 4), 4) AS odds_ratio, round(sqrt(sum(v)) / 4, 4) AS std_error FROM t GROUP BY 1""",
     "residuals": f"""WITH {_ROWS}, b AS (SELECT avg(mean) AS m, {', '.join(f'sum({x} * mean) / 8 AS b{k}' for k, x in enumerate(_FIT.values()))} FROM ce)
         SELECT run_id, round(m + {' + '.join(f'b{k} * {x}' for k, x in enumerate(_FIT.values()) if x != '1')}, 6) AS fitted, round(1 / 9.0::DOUBLE + CASE WHEN is_center THEN 0 ELSE 0.75 END, 6) AS leverage FROM ce, b""",
     "mahalanobis_ood": f"WITH {_PTS}, {_MAH} SELECT vec_id, round(m, 5) AS mahalanobis FROM ma",

@@ -181,10 +181,11 @@ def studentized_residuals(cells: DataFrame, factors: list[str], key: str, respon
     return out.withColumn("studentized", F.when((F.col("leverage") < 1 - 1e-12) & F.lit(s2 > 0), F.col("residual") / F.sqrt(F.lit(float(s2)) * (1 - F.col("leverage")))))
 
 
-def mahalanobis(rows: DataFrame, reference: DataFrame, columns: list[str], name: str = "mahalanobis") -> DataFrame:
+def mahalanobis(rows: DataFrame, reference: DataFrame, columns: list[str], name: str = "mahalanobis", moments: tuple | None = None) -> DataFrame:
     """rows with their distance to the reference's mean under the pseudo-inverse of its covariance (complete rows);
-    null where a column is null. Any number of columns: moments are summed in blocks."""
-    n, mean, cov = mean_and_covariance(reference, columns)
+    null where a column is null. Any number of columns: moments are summed in blocks, or given (as
+    mean_and_covariance gives them) where several tables are held against one reference."""
+    n, mean, cov = moments or mean_and_covariance(reference, columns)
     if n < MIN_BACKGROUND:
         raise ValueError(f"only {n} complete background rows; {MIN_BACKGROUND} are needed")
     inverse = np.linalg.pinv(cov)
@@ -325,8 +326,9 @@ def ood_table(design: DataFrame, background: DataFrame, factors: list[str], key:
     """
     whole = background.dropna(subset=factors)
     limit = lambda df, c: grouped_quantiles(df, [], c, {"q": 0.99}).first()["q"]
-    far_m = limit(mahalanobis(whole, whole, factors), "mahalanobis")
+    moments = mean_and_covariance(whole, factors)
+    far_m = limit(mahalanobis(whole, whole, factors, moments=moments), "mahalanobis")
     near = Neighbours(whole, factors)
     far_k = limit(near.distances(whole, ref_key, k + 1), "knn_distance")
-    out = mahalanobis(design, whole, factors).join(near.distances(design, key, k), key, "left")
+    out = mahalanobis(design, whole, factors, moments=moments).join(near.distances(design, key, k), key, "left")
     return out.withColumns({"mahalanobis_threshold_q99": F.lit(far_m), "knn_threshold_q99": F.lit(far_k)}).withColumn("ood_flag", (F.col("mahalanobis") > far_m) | (F.col("knn_distance") > far_k))

@@ -218,3 +218,20 @@ def test_cross_validated_refit_and_saved(spark, tmp_path):
         assert one == other
     chosen = spark.createDataFrame([(["a", "b"],), (["a", "a"],)], "features array<string>")
     assert {(r["feature"], r["n"], r["share"]) for r in models.selection_counts(chosen).collect()} == {("a", 2, 1.0), ("b", 1, 0.5)}
+
+
+def test_cross_validation_moves_rows_once_a_repeat(spark, monkeypatch):
+    """Rows carry their folds: one shuffle a repeat, no join of rows; rows of one key have a fold each."""
+    staged, write = {}, models.stage
+    monkeypatch.setattr(models, "stage", lambda df, name: staged.setdefault(name, df) and write(df, name))
+    x, y = table(200)
+    rows = frame(spark, x, y)
+    models.cross_validated(rows, "k", "y", ["a", "b", "c"], folds=3, repeats=2, rounds=1, depth=1)
+    text = staged["training"]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in text
+    scores, _ = models.cross_validated(rows.union(rows), "k", "y", ["a", "b", "c"], folds=3, repeats=2, rounds=1, depth=1)
+    sizes = {(r["repeat"], r["fold"], r["y"]): r["n"] for r in scores.groupBy("repeat", "fold", "y").agg(F.count("*").alias("n")).collect()}
+    assert scores.count() == 800 and len(sizes) == 12
+    for label in (0, 1):
+        dealt = [n for (_, _, y), n in sizes.items() if y == label]
+        assert max(dealt) - min(dealt) <= 1

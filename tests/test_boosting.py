@@ -235,3 +235,15 @@ def test_cross_validation_moves_rows_once_a_repeat(spark, monkeypatch):
     for label in (0, 1):
         dealt = [n for (_, _, y), n in sizes.items() if y == label]
         assert max(dealt) - min(dealt) <= 1
+
+
+def test_rows_packed_and_rows_alike():
+    x = np.random.default_rng(2).integers(0, 9, (50, 3)).astype(np.uint16)
+    packed = boosting._packed(x)
+    assert packed.to_pylist() == [r.tobytes() for r in x]
+    assert (boosting._matrix(packed.slice(7, 20), np.uint16, 3) == x[7:27]).all() and boosting._matrix(packed.slice(0, 0), float, 2).shape == (0, 2)
+    tree = [(0, 3, True, 1, 2, 0.0, 3.0), (2, 5, False, 3, 4, 0.0, 2.0), (-1, 0, False, -1, -1, 0.7, 1.0), (-1, 0, False, -1, -1, -0.2, 1.0), (-1, 0, False, -1, -1, 0.4, 1.0)]
+    first, of = boosting._alike(boosting._cuts(tree), x, 8)
+    leaves = boosting._leaf(boosting._arrays(tree), x, 8)
+    assert len(first) <= 9 and (leaves[first][of] == leaves).all()
+    assert leaves.tolist() == [2 if not (r[0] <= 3 or r[0] == 8) else 3 if r[2] <= 5 else 4 for r in x]

@@ -36,3 +36,10 @@ def test_positions_have_no_single_window(spark):
 
     text = plan(positions(spark.range(1000).withColumn("x", F.rand(1)), [F.col("x"), F.col("id")], ranges=8))
     assert "hashpartitioning(range__" in text
+
+
+def test_models_of_orders_read_the_lines_once(spark):
+    """Edges, bins and scores come from the staged orders."""
+    for name in ("contribution_importance", "gbt_score"):
+        text = plan(catalog.QUERIES[name](spark, SF))
+        assert "by_order-" in text and "lineitem.parquet" not in text, name

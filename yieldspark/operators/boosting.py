@@ -86,15 +86,28 @@ def _arrays(tree: list[tuple]) -> list[np.ndarray]:
     return [np.array(c) for c in zip(*tree, strict=True)]
 
 
+def _all_arrays(recent: dict[int, list[list[tuple]]]) -> dict[int, list[list[np.ndarray]]]:
+    return {m: [_arrays(t) for t in trees] for m, trees in recent.items()}
+
+
 def _leaf(tree: list[np.ndarray], x: np.ndarray, none: int) -> np.ndarray:
-    """The node in which each row of bins ends."""
-    at = np.zeros(len(x), int)
-    rows = np.flatnonzero(tree[FEATURE][at] >= 0)
-    while rows.size:
-        node = at[rows]
-        b = x[rows, tree[FEATURE][node]]
-        at[rows] = np.where(np.where(b == none, tree[NULLS][node], b <= tree[CUT][node]), tree[LEFT][node], tree[RIGHT][node])
-        rows = rows[tree[FEATURE][at[rows]] >= 0]
+    """The node in which each row of bins ends. All rows step together, a level at a time; leaves lead to themselves."""
+    inner = tree[FEATURE] >= 0
+    own = np.arange(len(inner))
+    feature, cut = np.where(inner, tree[FEATURE], 0), tree[CUT]
+    least = np.where(tree[NULLS].astype(bool), none, np.iinfo(np.int64).max)  # bins from here go left: nulls, or none
+    child = np.stack([np.where(inner, tree[RIGHT], own), np.where(inner, tree[LEFT], own)], 1).ravel()
+    flat, start, at = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), int)
+    reached = own[:1]
+    while inner[reached].any():
+        if len(reached) == 1:  # the root: one column, one cut
+            b = x[:, feature[0]]
+            left = (b <= cut[0]) & (b != none) | (b >= least[0])
+        else:
+            b = flat[start + feature[at]]
+            left = (b <= cut[at]) & (b != none) | (b >= least[at])
+        at = child[2 * at + left]
+        reached = np.unique(np.concatenate([child[2 * reached], child[2 * reached + 1]]))
     return at
 
 
@@ -110,19 +123,33 @@ class _Job:
     open: dict[int, list[int]]
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    x = np.ascontiguousarray(x)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Binary values of one length as rows of a matrix, without a copy."""
+    n = len(column)
+    if n == 0:
+        return np.empty((0, width), kind)
+    _, ends, data = column.cast(pa.binary()).buffers()
+    first = int(np.frombuffer(ends, np.int32, 1, 4 * column.offset)[0])
+    return np.frombuffer(data, kind, n * width, first).reshape(n, width)
+
+
 def _unpacked(batch: pa.RecordBatch, columns: int, models: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """bins, labels, margins and held flags of a batch."""
-    n = batch.num_rows
-    x = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint16).reshape(n, columns)
-    margin = np.frombuffer(b"".join(batch.column("margins").to_pylist()), float).reshape(n, models).copy()
-    held = np.array(batch.column("held").to_pylist(), np.uint64)
-    return x, batch.column("y").to_numpy(), margin, held
+    x, margin = _matrix(batch.column("bins"), np.uint16, columns), _matrix(batch.column("margins"), float, models).copy()
+    return x, batch.column("y").to_numpy(), margin, batch.column("held").to_numpy().astype(np.uint64)
 
 
-def _grown(x: np.ndarray, margin: np.ndarray, recent: dict[int, list[list[tuple]]], none: int) -> None:
+def _grown(x: np.ndarray, margin: np.ndarray, recent: dict[int, list[list[np.ndarray]]], none: int) -> None:
     """Adds the recent trees to the margins, in place."""
     for m, trees in recent.items():
-        for t in map(_arrays, trees):
+        for t in trees:
             margin[:, m] += t[VALUE][_leaf(t, x, none)]
 
 
@@ -130,16 +157,17 @@ def _task_sums(sent, models: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         job: _Job = sent.value
         width = job.none + 1
+        recent, growing = _all_arrays(job.recent), {m: _arrays(t) for m, t in job.growing.items()}
         sums = {m: np.zeros((2, len(nodes) * job.columns * width), np.int64) for m, nodes in job.open.items()}
         for b in batches:
             x, y, margin, held = _unpacked(b, job.columns, models)
-            _grown(x, margin, job.recent, job.none)
+            _grown(x, margin, recent, job.none)
             for m, nodes in job.open.items():
                 p = 1 / (1 + np.exp(-margin[:, m]))
                 weight = np.where(y == 1, job.weight[m], 1.0) * SCALE
                 slot = np.full(len(job.growing[m]), -1)
                 slot[nodes] = np.arange(len(nodes))
-                at = slot[_leaf(_arrays(job.growing[m]), x, job.none)]
+                at = slot[_leaf(growing[m], x, job.none)]
                 at[(held >> np.uint64(m)) & np.uint64(1) == 1] = -1
                 rows = np.flatnonzero(at >= 0)
                 cell = ((at[rows, None] * job.columns + np.arange(job.columns)) * width + x[rows]).ravel()
@@ -208,7 +236,7 @@ def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 5000, d
 
     @F.arrow_udf("binary")
     def packed(values: pa.Array) -> pa.Array:
-        return pa.array([r.tobytes() for r in _bins(values, ends, none)], pa.binary())
+        return _packed(_bins(values, ends, none))
 
     flags = F.lit(0).cast("long") if held is None else F.coalesce(held, F.lit(0).cast("long"))
     rows = stage(known.select(F.col(label).cast("int").alias("y"), flags.alias("held"), packed(_vector(columns)).alias("bins"), F.lit(bytes(8 * models)).alias("margins")), "binned")
@@ -274,10 +302,11 @@ def _moved(rows: DataFrame, columns: int, models: int, none: int, recent: dict)
     sent = rows.sparkSession.sparkContext.broadcast(recent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = _all_arrays(sent.value)
         for b in batches:
             x, _, margin, _ = _unpacked(b, columns, models)
-            _grown(x, margin, sent.value, none)
-            yield b.set_column(b.schema.get_field_index("margins"), "margins", pa.array([r.tobytes() for r in margin], pa.binary()))
+            _grown(x, margin, trees, none)
+            yield b.set_column(b.schema.get_field_index("margins"), "margins", _packed(margin))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -287,11 +316,12 @@ def _held_precision(rows: DataFrame, columns: int, models: int, none: int, recen
     sent = rows.sparkSession.sparkContext.broadcast({m: recent[m] for m in watched})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = _all_arrays(sent.value)
         for b in batches:
             x, y, margin, held = _unpacked(b, columns, models)
-            for m, trees in sent.value.items():
+            for m, trees in arrays.items():
                 mine = np.flatnonzero((held >> np.uint64(m)) & np.uint64(1) == 1)
-                for k, t in enumerate(map(_arrays, trees)):
+                for k, t in enumerate(trees):
                     margin[mine, m] += t[VALUE][_leaf(t, x[mine], none)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), m), pa.int32()), pa.array(np.full(len(mine), k), pa.int32()), pa.array(margin[mine, m]), pa.array(y[mine].astype(np.int64))], ["model", "round", "margin", "y"])
 
@@ -382,6 +412,27 @@ def _shap(paths, x: np.ndarray, none: int, out: np.ndarray) -> None:
             out[:, f] += value * (meets[i] - z) * sum(c * w for c, w in zip(poly, size, strict=True))
 
 
+def _cuts(tree: list[tuple]) -> dict[int, list[int]]:
+    """The bins at which a tree cuts each column it uses."""
+    out: dict[int, set[int]] = {}
+    for f, cut, *_ in tree:
+        if f >= 0:
+            out.setdefault(f, set()).add(cut)
+    return {f: sorted(c) for f, c in out.items()}
+
+
+def _alike(cuts: dict[int, list[int]], x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that lie between the same cuts of a tree go the same ways: one row of each kind, and each row's kind."""
+    kind, kinds = np.zeros(len(x), np.int64), 1
+    for f, c in cuts.items():
+        at = np.where(x[:, f] == none, len(c) + 1, np.searchsorted(c, x[:, f], "left"))
+        kind, kinds = kind * (len(c) + 2) + at, kinds * (len(c) + 2)
+        if kinds > 1 << 40:  # numbers stay small, however many columns
+            kind, kinds = np.unique(kind, return_inverse=True)[1], len(x)
+    _, first, of = np.unique(kind, return_index=True, return_inverse=True)
+    return first, of
+
+
 def expectation(model: Boosted) -> float:
     """The margin of a row of which nothing is known: leaves by cover."""
     return math.fsum(value * math.prod(z for _, z, _ in path) for tree in model.trees for value, path in _paths(tree))
@@ -393,7 +444,7 @@ def contributions(model: Boosted, df: DataFrame, key: str) -> DataFrame:
     A row's contributions and the model's expectation add up to its margin. Paths (a table of the trees' size)
     go to the tasks; rows stay distributed.
     """
-    sent = df.sparkSession.sparkContext.broadcast((model.edges, [_paths(t) for t in model.trees]))
+    sent = df.sparkSession.sparkContext.broadcast((model.edges, [(_paths(t), _cuts(t)) for t in model.trees]))
     columns = list(model.columns)
 
     @F.arrow_udf("array<double>")
@@ -402,8 +453,11 @@ def contributions(model: Boosted, df: DataFrame, key: str) -> DataFrame:
         none = max((len(e) for e in edges), default=0) + 1
         x = _bins(values, [np.array(e) for e in edges], none)
         out = np.zeros((len(x), len(edges)))
-        for paths in trees:
-            _shap(paths, x, none, out)
+        for paths, cuts in trees:
+            alike, of = _alike(cuts, x, none)
+            some = np.zeros((len(alike), len(edges)))
+            _shap(paths, x[alike], none, some)
+            out += some[of]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(edges), pa.int32()), pa.array(out.ravel()))
 
     each = df.select(F.col(key), F.explode(F.arrays_zip(F.array(*map(F.lit, columns)).alias("feature"), run(_vector(columns)).alias("contribution"))).alias("c"))

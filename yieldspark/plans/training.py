@@ -11,7 +11,7 @@ from yieldspark.operators import boosting, models, quality
 from yieldspark.plans.evaluation import FOLDS_SQL
 from yieldspark.plans.evaluation import ORACLE_SQL as EVALUATION_SQL
 from yieldspark.plans.tables import LINES_SQL, SCORED_SQL, lines, r, rounded, scored_documents, table
-from yieldspark.sources.staging import folder
+from yieldspark.sources.staging import folder, stage
 
 SENSORS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "sparse"]
 #: One tree of one split, so that SQL can follow: its rate, L1 and L2 terms.
@@ -19,7 +19,8 @@ STUMP = {"rounds": 1, "depth": 1, "rate": 0.3, "alpha": 3.0, "lam": 2.0}
 
 
 def _by_order(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    return lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in columns), F.max("fail").alias("fail"))
+    """Lines averaged by order, staged: edges, bins and scores read them."""
+    return stage(lines(spark, sf_dir).groupBy("l_orderkey").agg(*(F.avg(c).alias(c) for c in columns), F.max("fail").alias("fail")), "by_order")
 
 
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:

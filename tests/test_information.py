@@ -95,3 +95,33 @@ def test_draws_are_by_key(spark):
     assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.02 and abs(np.mean(z)) < 0.05 and abs(np.std(z) - 1) < 0.05
     noisy = rows.select("id", doe.with_noise(F.lit(0.3), "bernoulli", F.col("id"), seed=1).alias("b"))
     assert abs(noisy.agg(F.avg("b")).first()[0] - 0.3) < 0.03
+
+
+def test_spearman_ranks_without_a_join_on_the_target(spark, monkeypatch):
+    """Ties, nulls, a constant, an empty column and many distinct values; columns in parts; cells are never spelt out."""
+
+    def ranked(v):
+        return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 4, 300), rng.normal(size=300), rng.random(300), np.full(300, 7.0), np.full(300, math.nan)], 1)
+    t = np.round(x[:, 1] + rng.normal(size=300), 1)
+    x[:, :3][rng.random((300, 3)) < 0.2] = math.nan
+    t[::17] = math.nan
+    df = frame(spark, np.column_stack([x, t]), "abcdet")
+    staged, write = {}, eda.stage
+    monkeypatch.setattr(eda, "stage", lambda d, name: staged.setdefault(name, []).append(write(d, name)) or staged[name][-1])
+    for wide in (16, 2):
+        monkeypatch.setattr(eda, "WIDE", wide, raising=False)
+        staged.clear()
+        got = {r["column_name"]: r["rho"] for r in eda.spearman(df, list("abcde"), "t").collect()}
+        assert set(got) == set("abcd") and got["d"] is None
+        for k, c in enumerate("abc"):
+            both = ~np.isnan(x[:, k]) & ~np.isnan(t)
+            assert got[c] == pytest.approx(np.corrcoef(ranked(x[both, k]), ranked(t[both]))[0, 1], abs=1e-12)
+        assert "cells" not in staged and all(d.count() == len(np.unique(t[~np.isnan(t)])) for d in staged["targets"])
+    whole = {r["column_name"]: r["rho"] for r in eda.spearman(df, list("abc"), "t").collect()}
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 20)
+    monkeypatch.setattr(eda, "BROADCAST_ROWS", 10, raising=False)
+    dealt = {r["column_name"]: r["rho"] for r in eda.spearman(df, list("abc"), "t").collect()}
+    assert dealt == pytest.approx(whole, abs=1e-12)

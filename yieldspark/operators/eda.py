@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from yieldspark.operators.moments import known_pairs
 from yieldspark.operators.ordering import column_quantiles, look_around, look_back, quantile_edges, running_sums
 from yieldspark.operators.quality import long_form
-from yieldspark.sources.staging import checked, stage
+from yieldspark.sources.staging import BROADCAST_ROWS, checked, stage
+
+#: Columns whose ranks rows take side by side.
+WIDE = 16
 
 
 def shape_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,18 +89,41 @@ def benjamini_hochberg(tests: DataFrame, key: str, p: str = "p") -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """column_name, rho: correlation of mid-ranks over rows where both are known."""
-    rows = long_form(df, columns, [target]).where(f"value is not null and {target} is not null")
-    cells = stage(rows.groupBy("column_name", "value", target).agg(F.count(F.lit(1)).alias("w")), "cells")  # read three times
-    x = mid_ranks(cells, ["column_name"], "value", "w").select("column_name", "value", F.col("mid_rank").alias("rx"))
-    y = mid_ranks(cells, ["column_name"], target, "w").select("column_name", target, F.col("mid_rank").alias("ry"))
-    cells = cells.withColumn("w", F.col("w").cast("double"))
-    # rank tables of bounded size are broadcast, so a value that a column's rows share is no single task
-    cells = cells.join(checked(x, "ranks"), ["column_name", "value"]).join(checked(y, "ranks"), ["column_name", target])
-    n, sx, sy = F.sum("w"), F.sum(F.col("w") * F.col("rx")), F.sum(F.col("w") * F.col("ry"))
-    cov = F.sum(F.col("w") * F.col("rx") * F.col("ry")) - sx * sy / n
-    vx, vy = F.sum(F.col("w") * F.col("rx") ** 2) - sx**2 / n, F.sum(F.col("w") * F.col("ry") ** 2) - sy**2 / n
-    return cells.groupBy("column_name").agg(F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"))
+    """column_name, rho: correlation of mid-ranks over rows where both are known.
+
+    Columns are ranked by their counted values, rows take their ranks wide, and the target's distinct values, in
+    order, carry for each column how many rows know it and the sum of their ranks: running counts rank the target
+    for all columns at once, and nothing is joined on it.
+    """
+    parts = [_spearman(df, columns[k : k + WIDE], target) for k in range(0, len(columns), WIDE)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    known = df.where(F.col(target).isNotNull())
+    # a value that all columns' rows share is counted before it is dealt, so it is no single task
+    ranks = mid_ranks(long_form(known, columns, []), ["column_name"], "value")
+    ranks = stage(ranks.select("column_name", "value", "n", F.col("mid_rank").alias("rank")), "ranks")
+    sizes = {r["column_name"]: (r["n"], r["values"]) for r in ranks.groupBy("column_name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).collect()}
+    names = [c for c in columns if c in sizes]
+    if not names:
+        return ranks.select("column_name", F.col("rank").alias("rho"))
+    wide = known.select(F.col(target).alias("t__"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(names)))
+    for k, c in enumerate(names):
+        mine = ranks.where(F.col("column_name") == c).select(F.col("value").alias(f"x{k}"), (F.col("rank") - (sizes[c][0] + 1) / 2).alias(f"r{k}"))
+        wide = wide.join(F.broadcast(mine) if sizes[c][1] <= BROADCAST_ROWS else mine, f"x{k}", "left")
+    every = range(len(names))
+    targets = wide.groupBy("t__").agg(*(F.count(f"r{k}").alias(f"n{k}") for k in every), *(F.sum(f"r{k}").alias(f"s{k}") for k in every))
+    upto = running_sums(stage(targets, "targets"), [F.col("t__")], {f"u{k}": F.col(f"n{k}") for k in every})
+    sums = []
+    for k, c in enumerate(names):
+        n = F.col(f"n{k}")
+        y = F.col(f"u{k}") - n + (n + 1) / 2 - (sizes[c][0] + 1) / 2
+        sums.append(F.struct(F.sum(y * F.col(f"s{k}")).alias("cov"), F.sum(n * y**2).alias("vy")).alias(c))
+    middle = F.element_at(F.create_map(*(F.lit(v) for c in names for v in (c, (sizes[c][0] + 1) / 2))), F.col("column_name"))
+    spread = ranks.groupBy("column_name").agg(F.sum(F.col("n") * (F.col("rank") - middle) ** 2).alias("vx"))
+    out = upto.agg(*sums).unpivot([], names, "column_name", "s").join(spread, "column_name")
+    return out.select("column_name", F.when((F.col("vx") > 0) & (F.col("s.vy") > 0), F.col("s.cov") / F.sqrt(F.col("vx") * F.col("s.vy"))).alias("rho"))
 
 
 def tail_enrichment(df: DataFrame, columns: list[str], label: str, q: float = 0.95) -> DataFrame:
